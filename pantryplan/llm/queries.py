@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pantryplan.llm.bpe import op4_bpe_round_trip
+from pantryplan.llm.dac import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_token_files": op5_token_files,
     }
 
 
