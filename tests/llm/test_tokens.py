@@ -16,7 +16,8 @@ ENC = {p: PieceEncoder(p, leaf_chars=8) for p in (BYTE, WORD)}
 text = st.lists(
     st.sampled_from(["a", "the", "'s", "'", "é", "é", "́", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x85", "᠎", "​", " ", "1", "23", "!", "<|endoftext|>", "<|startoftext|>", "😀", "中文", "ß", "İ", "Σ", "\x00", "﻿"])
     | st.characters(exclude_categories=["Cs"])
-    | st.text(alphabet="abc", min_size=5, max_size=60),
+    | st.text(alphabet="abc", min_size=5, max_size=60)
+    | st.text(alphabet="aeiou nrstéÉß',.1½", min_size=5, max_size=80),
     max_size=40,
 ).map("".join)
 
