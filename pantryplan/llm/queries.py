@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pantryplan.llm.bpe import op4_bpe_round_trip
+from pantryplan.llm.secrets import op7_secret_scan
 from pantryplan.llm.rules import op9_quality_rules
 from pantryplan.llm.dac import op5_token_files
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_token_files": op5_token_files,
+        "op7_secret_scan": op7_secret_scan,
         "op9_quality_rules": op9_quality_rules,
     }
 
