@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pantryplan.llm.bpe import op4_bpe_round_trip
 from pantryplan.llm.secrets import op7_secret_scan
+from pantryplan.llm.decontaminate import op3_decontaminate
 from pantryplan.llm.rules import op9_quality_rules
 from pantryplan.llm.dac import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontaminate": op3_decontaminate,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_token_files": op5_token_files,
         "op7_secret_scan": op7_secret_scan,
