@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from pantryplan.llm.common import table
+from pantryplan.llm.common import table, text_batches
 from pantryplan.llm.tokens import encoder
 
 #: Texts of one unit of work hold at most so many characters (one longer text is a unit of its own).
@@ -89,4 +89,5 @@ def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return digests(table(spark, sf_dir, "documents"), default_tokenizer())

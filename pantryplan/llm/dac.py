@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pantryplan.llm.bpe import default_tokenizer
-from pantryplan.llm.common import Scratch, bounded, table, write_blobs
+from pantryplan.llm.common import Scratch, bounded, table, text_batches, write_blobs
 from pantryplan.llm.tokens import encoder
 
 MAGIC, VERSION, TRAILER = b"DACS", 1, b"DACSEND\n"
@@ -185,6 +185,7 @@ def offsets(docs: DataFrame) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     scratch = Scratch(spark, "dac")
     write(table(spark, sf_dir, "documents"), scratch.path("files"), default_tokenizer("word_bpe_49k.json"))
     return offsets(scratch.save(read(spark, scratch.path("files")), "docs"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantryplan.llm.common import Scratch, bounded, table, write_blobs
+from pantryplan.llm.common import Scratch, bounded, table, text_batches, write_blobs
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:record:"
@@ -142,6 +142,7 @@ def resolve(found: DataFrame) -> DataFrame:
 
 
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     scratch = Scratch(spark, "warc")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("id"), "url", F.col("html").alias("payload"))
     write_archives(pages, scratch.path("archives"))
