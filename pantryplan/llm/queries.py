@@ -10,12 +10,14 @@ from pantryplan.llm.bpe import op4_bpe_round_trip
 from pantryplan.llm.secrets import op7_secret_scan
 from pantryplan.llm.warc import OP2_SQL, op2_warc_revisits
 from pantryplan.llm.decontaminate import op3_decontaminate
+from pantryplan.llm.neardup import OP1_SQL, op1_near_duplicates
 from pantryplan.llm.rules import op9_quality_rules
 from pantryplan.llm.dac import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op2_warc_revisits": op2_warc_revisits,
         "op3_decontaminate": op3_decontaminate,
         "op4_bpe_round_trip": op4_bpe_round_trip,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisits": OP2_SQL}
+    return {"op1_near_duplicates": OP1_SQL, "op2_warc_revisits": OP2_SQL}
