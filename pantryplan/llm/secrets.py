@@ -18,6 +18,8 @@ texts; they are a table of length classes by bins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,41 +85,56 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _tests(s: Column, alphabet: str) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _tests(s: Column, alphabet: Column) -> Column:
     """Combined p-value under uniform draws from the alphabet; small for ordinary strings."""
-    size = len(alphabet)
-    n = F.char_length(s).cast("double")
-    counted = F.transform(F.split(F.lit(alphabet), ""), lambda c: n - F.char_length(F.replace(s, c, F.lit(""))))
+    n, size = F.char_length(s).cast("double"), F.char_length(alphabet).cast("double")
+    counted = F.transform(F.split(alphabet, ""), lambda c: n - F.char_length(F.replace(s, c, F.lit(""))))
     squares = F.aggregate(counted, F.lit(0.0), lambda acc, k: acc + k * k)
     df = size - 1
     ratio = F.greatest((squares * size / n - n) / df, F.lit(1e-9))
-    p_chi = _normal_tail((F.pow(ratio, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-    half = F.translate(s, alphabet, "0" * (size // 2) + "1" * (size - size // 2))
-    turns = (2 * n - F.char_length(F.replace(half, F.lit("01"), F.lit(""))) - F.char_length(F.replace(half, F.lit("10"), F.lit("")))) / 2
-    p_runs = 2 * _normal_tail(F.abs(turns - (n - 1) / 2) / F.sqrt((n - 1) / 4))
-    at = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - (size + 1) / 2)
-    length = F.char_length(s)
-    lagged = F.zip_with(F.slice(at, F.lit(1), length - 1), F.slice(at, F.lit(2), length - 1), lambda x, y: x * y)
-    p_serial = 2 * _normal_tail(F.abs(F.aggregate(lagged, F.lit(0.0), lambda acc, x: acc + x)) / (F.sqrt(n - 1) * (size * size - 1) / 12))
-    x = -sum(F.log(F.greatest(p, F.lit(1e-12))) for p in (p_chi, p_runs, p_serial))
-    return F.exp(-x) * (1 + x + x * x / 2)
+    z_chi = (F.pow(ratio, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    low = F.floor(size / 2).cast("int")
+    half = F.call_function("translate", s, alphabet, F.concat(F.repeat(F.lit("0"), low), F.repeat(F.lit("1"), F.char_length(alphabet) - low)))
+    turns = _let(half, lambda h: (2 * n - F.char_length(F.replace(h, F.lit("01"), F.lit(""))) - F.char_length(F.replace(h, F.lit("10"), F.lit("")))) / 2)
+    z_runs = F.abs(turns - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    at = F.transform(F.split(s, ""), lambda c: F.instr(alphabet, c).cast("double") - (size + 1) / 2)
+    sums = _let(at, lambda x: F.aggregate(F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda u, v: u * v), F.lit(0.0), lambda acc, u: acc + u))
+    z_serial = F.abs(sums) / (F.sqrt(n - 1) * (size * size - 1) / 12)
+    # one-sided for the alphabet, two-sided for the others
+    tails = F.transform(F.array(F.struct(z_chi.alias("z"), F.lit(1.0).alias("sides")), F.struct(z_runs.alias("z"), F.lit(2.0).alias("sides")), F.struct(z_serial.alias("z"), F.lit(2.0).alias("sides"))), lambda t: -F.log(F.greatest(t["sides"] * _normal_tail(t["z"]), F.lit(1e-12))))
+    return _let(F.aggregate(tails, F.lit(0.0), lambda acc, t: acc + t), lambda x: F.exp(-x) * (1 + x + x * x / 2))
 
 
 def randomness(value: Column) -> Column:
     """The p-value of a string by its inferred encoding; null where none is."""
-    s = F.regexp_replace(value, "=+$", "")
-    out = F.lit(None).cast("double")
-    for pattern, alphabet in reversed(ENCODINGS):
-        out = F.when(s.rlike(pattern), _tests(s, alphabet)).otherwise(out)
-    return out
+
+    def inferred(s: Column) -> Column:
+        alphabet = F.lit(None).cast("string")
+        for pattern, letters in reversed(ENCODINGS):
+            alphabet = F.when(s.rlike(pattern), letters).otherwise(alphabet)
+        return _let(F.struct(s.alias("s"), alphabet.alias("a")), lambda x: F.when(x["a"].isNotNull(), _tests(x["s"], x["a"])))
+
+    return _let(F.regexp_replace(value, "=+$", ""), inferred)
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
+    """doc_id and f: the base spans by kind and together, and the runs of encoded data outside them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", text.alias("text")).select("doc_id", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), _spans(F.col("text"), ENCODED, len(BASE)).alias("runs"))
-    base = F.concat(*BASE)
-    free = F.filter("runs", lambda r: ~F.exists(F.col("base"), lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
-    return out.withColumn("base", base).withColumn("runs", free)
+
+    def found(t: Column) -> Column:
+        parts = F.struct(*(c.alias(k) for k, c in base_spans(t).items()), _spans(t, ENCODED, len(BASE)).alias("raw"))
+        return _let(parts, lambda x: _let(F.struct(*(x[k].alias(k) for k in BASE), F.concat(*(x[k] for k in BASE)).alias("base"), x["raw"].alias("raw")), outside))
+
+    def outside(y: Column) -> Column:
+        runs = F.filter(y["raw"], lambda r: ~F.exists(y["base"], lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
+        return F.struct(*(F.size(y[k]).cast("long").alias(f"n_{k}") for k in BASE), y["base"].alias("base"), runs.alias("runs"))
+
+    return docs.select("doc_id", found(text).alias("f"))
 
 
 def _length_class(n: Column) -> Column:
@@ -129,7 +146,7 @@ def _length_class(n: Column) -> Column:
 
 def cuts(docs: DataFrame, fdr: float = 0.05, least: float = 0.01) -> list[float | None]:
     """The lowest p-value that each class of length accepts; None where it accepts nothing."""
-    runs = _with_spans(docs).select(F.explode("runs").alias("r")).select(_length_class(F.char_length("r.value")).alias("c"), randomness(F.col("r.value")).alias("p"))
+    runs = _with_spans(docs).select(F.explode("f.runs").alias("r")).select(_length_class(F.char_length("r.value")).alias("c"), randomness(F.col("r.value")).alias("p"))
     counts = {(r.c, r.b): r["count"] for r in runs.where("p is not null").groupBy("c", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).alias("b")).count().collect()}
     out: list[float | None] = []
     for c in range(len(LENGTHS)):
@@ -148,13 +165,11 @@ def cuts(docs: DataFrame, fdr: float = 0.05, least: float = 0.01) -> list[float
 def scan(docs: DataFrame, accept: list[float | None]) -> DataFrame:
     """doc_id, base and all spans as arrays of (start, kind, stop, value), and counts of the base kinds."""
     def random(r: Column) -> Column:
-        limit = F.lit(None).cast("double")
-        for low, p in zip(LENGTHS, accept):
-            limit = F.when(F.char_length(r["value"]) >= low, F.lit(p).cast("double")).otherwise(limit)
-        return F.coalesce(randomness(r["value"]) >= limit, F.lit(False))
+        limits = F.array(*(F.lit(p).cast("double") for p in accept))
+        return F.coalesce(randomness(r["value"]) >= F.get(limits, _length_class(F.char_length(r["value"]))), F.lit(False))
 
-    out = _with_spans(docs).withColumn("runs", F.filter("runs", random))
-    return out.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "runs")).alias("spans"))
+    out = _with_spans(docs).select("doc_id", "f.*")
+    return out.select("doc_id", *(f"n_{k}" for k in BASE), F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.filter("runs", random))).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
