@@ -25,13 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantryplan.llm.common import SEPARATORS, bounded, table
+from pantryplan.llm.common import SEPARATORS, Scratch, bounded, table
 
 SHINGLE = 5
 RADIUS = 19
 SIMILARITY = 0.8
 #: Item shingles up to this many rows (16 bytes each) are broadcast; more are joined by a shuffle.
-BROADCAST_SHINGLES = 2_000_000
+BROADCAST_SHINGLES = 1_000_000
+#: Items up to this many rows are broadcast with their shingles.
+BROADCAST_ITEMS = 5_000
 
 
 def _words(text: Column) -> Column:
@@ -78,7 +80,7 @@ def _items(items: DataFrame) -> DataFrame:
 
 def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct item-sized windows of documents that share a shingle with an item of that size."""
-    sizes = sorted({min(r.n, SHINGLE) for r in items.select("n").distinct().collect()})
+    sizes = sorted(r.k for r in items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())
     words = docs.select("doc_id", _words(F.col("text")).alias("w"))
     found = []
     for k in sizes:
@@ -101,14 +103,17 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, similarity, start_word and n_words of every document that holds an item."""
-    items = _items(benchmark)
+    items = Scratch(docs.sparkSession, "items").save(_items(benchmark), "items")
     windows = _windows(docs, items).withColumn("shingles", _shingles(F.split("window", " "))).withColumn("hash", simhash(F.col("shingles")))
     probes = windows.select("doc_id", "n", "start", "shingles", "hash", F.inline(_blocks(F.col("hash"))))
     masks = F.expr(f"filter(sequence(0, 65535), x -> bit_count(x) <= {radius // 4})")
-    index = items.select("item_id", "n", "item_shingles", "item_hash", F.inline(_blocks(F.col("item_hash"))))
-    index = index.select("item_id", "n", "item_shingles", "item_hash", "block", "bits", F.explode(masks).alias("mask")).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
-    near = probes.join(index, ["n", "block", "bits"]).where(F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash"))) <= radius)
-    scored = near.withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= least)
+    index = items.select("item_id", "n", "item_hash", F.inline(_blocks(F.col("item_hash"))))
+    index = index.select("item_id", "n", "item_hash", "block", "bits", F.explode(masks).alias("mask")).withColumn("bits", F.col("bits").bitwiseXOR(F.col("mask"))).drop("mask")
+    # A plan doesn't see how far the masks spread an item, and must not broadcast the index.
+    near = probes.join(index.hint("merge"), ["n", "block", "bits"]).where(F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash"))) <= radius)
+    texts = items.select("item_id", "n", "item_hash", "item_shingles")
+    texts = F.broadcast(texts) if bounded(texts, BROADCAST_ITEMS) else texts
+    scored = near.drop("block", "bits").join(texts, ["item_id", "n", "item_hash"]).withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= least)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("neg"), "n")).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.similarity").alias("similarity"), (-F.col("m.neg")).alias("start_word"), F.col("m.n").alias("n_words"))
 
