@@ -11,11 +11,12 @@ if the sets' Jaccard similarity is at least ``percent`` / 100, in whole numbers.
    of its values (for sets that fit their sketch by arithmetic, else with a chance
    of loss under 1e-7), so it meets in a list of the ``m - least + 1`` rarest values of
    each; common values generate nothing on their own.
-3. Each class is first held against the most central class of its lists, which
-   joins groups of near copies in linear time. Then the pairs of each list that
-   are still in different components follow, all of them.
-4. The sketch of the union, merged from both, estimates the similarity; pairs
-   below ``ESTIMATE`` of it go. Exact similarity of whole sets confirms a link.
+3. The sketch of a pair's union, merged from both, estimates its similarity; pairs
+   below ``ESTIMATE`` go. Exact similarity of whole sets confirms a link.
+4. Each class is first held against the most central class of its lists. Pairs that
+   the estimate lets pass make families, their links components. Then all other
+   pairs of a list follow: those of two families one by one, those inside a family
+   and of different components in blocks, to which sets are sent once for all.
 
 Components are of doc_ids; a row without one shows its class and is always kept. Rows with
 equal doc_id are one node that has the sets of all of them.
@@ -38,6 +39,8 @@ from pantryplan.llm.graph import components
 K = 48
 #: Share of a union's sketch that must be common; for similarity 0.8 six standard deviations below it.
 ESTIMATE = 0.45
+#: Classes of a family that one task holds against as many others.
+BLOCK = 128
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -90,18 +93,18 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, prefix int")
 
 
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = np.sort(np.concatenate([s, t]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _similar(a: str, b: str, percent: int) -> Column:
     """Whether two whole sets, given as bytes of sorted hashes, are linked."""
 
     @F.arrow_udf("boolean")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y):
-            s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([s, t]), kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(100 * common >= percent * (len(both) - common))
-        return pa.array(out, pa.bool_())
+        return pa.array([_linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y)], pa.bool_())
 
     return check(F.col(a), F.col(b))
 
@@ -137,14 +140,8 @@ class NearDuplicates:
         left = F.greatest(F.col("prefix") - (F.col("m") - F.size("vs")), F.lit(0))
         return lists.select("rep", "d", "n", "central", F.explode(F.slice("vs", F.lit(1), left)).alias("x")).select("rep", "d", "n", "central", F.col("x.v").alias("v"))
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs of classes (a, da), (b, db) with columns of ``reps``."""
-        self.turn += 1
-        s, label = self.scratch, f"r{self.turn}"
-        side = lambda x: self.reps.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"), F.col("sketch").alias(f"s{x}"))
-        near = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).where(_estimated() >= ESTIMATE * self.percent / 80)
-        near = s.save(near.select("a", "da", "b", "db"), f"{label}near")
-        needed = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+    def _sets(self, needed: DataFrame) -> DataFrame:
+        """rep, d and whole set (bytes of sorted hashes) of the documents needed."""
         width = self.width
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +151,21 @@ class NearDuplicates:
                 d2 = np.array([_mix(x ^ _M2).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
                 yield pa.record_batch({"rep": batch.column(0), "d1": pa.array(d1), "d2": pa.array(d2), "whole": pa.array([x.tobytes() for x in sets], pa.binary())})
 
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id")
-        sets = texts.mapInArrow(scan, "rep long, d1 long, d2 long, whole binary").select("rep", F.xxhash64("d1", "d2").alias("d"), "whole")
-        sets = s.save(sets, f"{label}sets", "none").dropDuplicates(["rep", "d"])
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.distinct(), "doc_id")
+        return texts.mapInArrow(scan, "rep long, d1 long, d2 long, whole binary").select("rep", F.xxhash64("d1", "d2").alias("d"), "whole").dropDuplicates(["rep", "d"])
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """Links among pairs of classes (a, da), (b, db) with columns of ``reps``."""
+        self.turn += 1
+        s, label = self.scratch, f"r{self.turn}"
+        side = lambda x: self.reps.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"), F.col("sketch").alias(f"s{x}"))
+        near = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).where(_estimated() >= ESTIMATE * self.percent / 80)
+        near = s.save(near.select("a", "da", "b", "db"), f"{label}near")
+        sets = s.save(self._sets(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))), f"{label}sets", "none")
         whole = lambda x: sets.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"), F.col("whole").alias(f"w{x}"))
         both = near.join(whole("b"), ["b", "db"]).join(whole("a"), ["a", "da"])
         links = s.save(both.where(_similar("wa", "wb", self.percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}links")
-        s.drop(f"{label}near", f"{label}sets")
+        s.drop(f"{label}sets")
         return links
 
     def run(self) -> DataFrame:
@@ -178,14 +183,66 @@ class NearDuplicates:
         first = self._verify(pairs)
         found = components(first, s, "one")
 
-        # all other pairs of a list whose components differ
-        at = prefix.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("central")
-        open_ = at.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("v")
+        # pairs of a list in different families: one by one
+        home = s.save(components(s.load("r1near").select(F.col("a").alias("u"), F.col("b").alias("v")), s, "fam"), "families")
+        at = prefix.drop("central").join(home.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+        open_ = at.groupBy("v").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("v")
         left = s.save(at.join(open_, "v"), "open")
-        right = left.select("v", F.col("rep").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), F.col("component").alias("other"))
-        rest = left.join(right, "v").where((F.col("rep") < F.col("b")) & (F.col("component") != F.col("other")) & ratio)
+        right = left.select("v", F.col("rep").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), F.col("family").alias("other"))
+        rest = left.join(right, "v").where((F.col("rep") < F.col("b")) & (F.col("family") != F.col("other")) & ratio)
         second = self._verify(rest.select(F.col("rep").alias("a"), F.col("d").alias("da"), "b", "db").distinct())
-        return self._result(s.save(components(first.unionByName(second), s, "two"), "components"))
+        third = self._within(home, found)
+        return self._result(s.save(components(first.unionByName(second).unionByName(third), s, "two"), "components"))
+
+    def _within(self, home: DataFrame, found: DataFrame) -> DataFrame:
+        """Links inside families between classes whose components still differ.
+
+        The largest component of a family isn't held against itself. Families are
+        dealt into blocks of about ``BLOCK`` classes, and each task compares two.
+        """
+        s = self.scratch
+        members = home.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        members = members.withColumn("component", F.coalesce("component", "rep"))
+        sizes = members.groupBy("family", "component").agg(F.count("*").alias("k"))
+        sizes = sizes.groupBy("family").agg(F.sum("k").alias("all"), F.max(F.struct("k", (-F.col("component")).alias("neg"))).alias("m")).where("m.k < all")
+        blocks = lambda k: F.ceil(k / BLOCK).cast("int")
+        dealt = sizes.select("family", (-F.col("m.neg")).alias("core"), blocks(F.col("all") - F.col("m.k")).alias("outer"), blocks(F.col("m.k")).alias("inner"))
+        members = members.join(dealt, "family").withColumn("is_core", F.col("component") == F.col("core"))
+        members = s.save(members.drop("core"), "members")
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("is_core"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+        keys = lambda n, kind, i, j: F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.lit(kind).alias("kind"), i(x).alias("i"), j(x).alias("j")))
+        core = keys(F.col("outer"), "c", lambda x: x, lambda x: F.col("own"))
+        outer = F.concat(keys(F.col("outer"), "o", lambda x: F.least(x, F.col("own")), lambda x: F.greatest(x, F.col("own"))), keys(F.col("inner"), "c", lambda x: F.col("own"), lambda x: x))
+        sets = s.save(self._sets(members.select(F.col("rep").alias("doc_id"))), "wholes", "none").join(members, "rep").withColumn("own", own)
+        spread = sets.select("family", "rep", "component", "is_core", "whole", F.explode(F.when(F.col("is_core"), core).otherwise(outer)).alias("g")).select("*", "g.*").drop("g")
+        percent = self.percent
+
+        def compare(part: pa.Table) -> pa.Table:
+            reps, comp, is_core = (part.column(c).to_pylist() for c in ("rep", "component", "is_core"))
+            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("whole")]
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (y := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent[y] if y in parent else y
+                return x
+
+            links = []
+            for x in range(len(reps)):
+                if is_core[x]:
+                    continue
+                for y in range(len(reps)):
+                    a, b = len(sets_[x]), len(sets_[y])
+                    if x == y or 100 * min(a, b) < percent * max(a, b) or (not is_core[y] and y < x):
+                        continue
+                    if (p := root(comp[x])) != (q := root(comp[y])) and _linked(sets_[x], sets_[y], percent):
+                        parent[max(p, q)] = min(p, q)
+                        links.append((reps[x], reps[y]))
+            return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+        out = s.save(spread.groupBy("family", "kind", "i", "j").applyInArrow(compare, "u long, v long"), "within")
+        s.drop("wholes", "members")
+        return out
 
     def _result(self, found: DataFrame) -> DataFrame:
         own = self.sketched.select("doc_id", "n_shingles", "d1", "d2").join(self.classes, ["n_shingles", "d1", "d2"], "left")

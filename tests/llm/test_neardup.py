@@ -49,8 +49,9 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("width,seed", [(2, 1), (5, 2)])
-def test_against_brute_force(spark, width, seed):
+@pytest.mark.parametrize("width,seed", [(2, 1), (5, 2), (2, 3)])
+def test_against_brute_force(spark, width, seed, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, rep string, component long")
     got = {tuple(r) for r in neardup.near_duplicates(df, width).collect()}
