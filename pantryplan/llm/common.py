@@ -54,7 +54,7 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.parquet(self.path(name))
 
