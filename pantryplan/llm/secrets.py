@@ -55,7 +55,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int | None = None, leas
     One pattern takes each match with the gap before it, so positions are running
     sums of lengths. A match counts only if its group has ``least`` characters.
     """
-    found = rf"(?s)(.*?)({pattern})"
+    found = rf"(?s)\G(.*?)({pattern})"  # \G: a text is read once, also after its last match
     pick = lambda g: F.regexp_extract_all(text, F.lit(found), F.lit(g))
     value = pick(2 + group) if group else pick(2)
     parts = F.arrays_zip(pick(1).alias("gap"), pick(2).alias("hit"), value.alias("value"))
