@@ -32,6 +32,8 @@ RADIUS = 19
 SIMILARITY = 0.8
 #: Item shingles up to this many rows (16 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: Places of up to this many documents are broadcast back to their texts.
+BROADCAST_DOCS = 50_000
 #: Items up to this many rows are broadcast with their shingles.
 BROADCAST_ITEMS = 5_000
 
@@ -82,23 +84,23 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Distinct item-sized windows of documents that share a shingle with an item of that size."""
     sizes = sorted(r.k for r in items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect())
     words = docs.select("doc_id", _words(F.col("text")).alias("w"))
-    found = []
+    places = words.select("doc_id", F.lit(0).alias("n"), F.lit(0).alias("start")).limit(0)
     for k in sizes:
         keys = items.where(F.col("n") >= k if k == SHINGLE else F.col("n") == k).select("n", F.posexplode(_hashes(F.col("iw"), k)).alias("offset", "hash")).distinct()
-        at = lambda start: F.greatest(F.least(start, F.size("w") - F.col("n")), F.lit(0))
-        window = lambda df: df.withColumn("start", at(F.col("pos") - F.col("offset"))).select("doc_id", "n", "start", F.array_join(F.slice("w", F.col("start") + 1, F.col("n")), " ").alias("window"))
-        if bounded(keys, BROADCAST_SHINGLES):
-            hits = words.select("doc_id", "w", F.posexplode(_hashes(F.col("w"), k)).alias("pos", "hash")).join(F.broadcast(keys), "hash")
-            found.append(window(hits))
-        else:
-            hits = words.select("doc_id", F.posexplode(_hashes(F.col("w"), k)).alias("pos", "hash")).join(keys, "hash").select("doc_id", "pos", "n", "offset").distinct()
-            found.append(window(words.join(hits, "doc_id")))
-    if not found:
-        return words.select("doc_id", F.lit(0).alias("n"), F.lit(0).alias("start"), F.lit("").alias("window")).limit(0)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("doc_id", "n", "window").agg(F.min("start").alias("start"))
+        keys = F.broadcast(keys) if bounded(keys, BROADCAST_SHINGLES) else keys
+        # words stay behind here: a generator would copy them to each position
+        at = words.select("doc_id", F.posexplode(_hashes(F.col("w"), k)).alias("pos", "hash"))
+        places = places.unionByName(at.join(keys, "hash").select("doc_id", "n", (F.col("pos") - F.col("offset")).alias("start")))
+    scratch = Scratch(docs.sparkSession, "places")
+    places = scratch.save(places.groupBy("doc_id").agg(F.collect_set(F.struct("n", "start")).alias("places")), "places")
+    places = F.broadcast(places) if bounded(places, BROADCAST_DOCS) else places
+    held = words.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.doc_id", "w", "places")
+
+    def window(x: Column) -> Column:
+        start = F.greatest(F.least(x["start"], F.size("w") - x["n"]), F.lit(0))
+        return F.struct(x["n"].alias("n"), start.alias("start"), F.array_join(F.slice("w", start + 1, x["n"]), " ").alias("window"))
+
+    return held.select("doc_id", F.inline(F.transform("places", window))).groupBy("doc_id", "n", "window").agg(F.min("start").alias("start"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: float = SIMILARITY) -> DataFrame:

@@ -29,7 +29,7 @@ def brute(docs, items):
     return out
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     vocab = [f"{a}{b}" for a in ("al", "be", "cor", "dé", "ef") for b in ("ta", "no", "rix", "u")]
     say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
@@ -47,14 +47,12 @@ def test_against_brute_force(spark):
             at = rng.randrange(len(text) + 1)
             text[at:at] = leak
         docs.append((i, rng.choice([" ", "\n", "  "]).join(text).upper() if i % 3 else " ".join(text)))
-    docs += [(500, None), (501, ""), (502, "a a a a a a a a a a a a a"), (503, docs[1][1]), (504, docs[1][1])]
+    docs += [(None, docs[1][1]), (500, None), (501, ""), (502, "a a a a a a a a a a a a a"), (503, docs[1][1]), (504, docs[1][1])]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")
     it = spark.createDataFrame([(i, t, "y") for i, t in items], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in d.contaminated(df, it).collect()}
     assert got == brute(docs, items) and len(got) > 20
     assert d.contaminated(df.limit(0), it).count() == 0 == d.contaminated(df, it.limit(0)).count()
-    wide, d.BROADCAST_SHINGLES = d.BROADCAST_SHINGLES, 5
-    try:
-        assert {(r.doc_id, r.item_id) for r in d.contaminated(df, it).collect()} == set(got)
-    finally:
-        d.BROADCAST_SHINGLES = wide
+    for limit in ("BROADCAST_SHINGLES", "BROADCAST_DOCS", "BROADCAST_ITEMS"):
+        monkeypatch.setattr(d, limit, 1)
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(df, it).collect()} == set(got)
