@@ -10,6 +10,7 @@ from pantryplan.llm.bpe import op4_bpe_round_trip
 from pantryplan.llm.secrets import op7_secret_scan
 from pantryplan.llm.warc import OP2_SQL, op2_warc_revisits
 from pantryplan.llm.decontaminate import op3_decontaminate
+from pantryplan.llm.licenses import op6_license_scan
 from pantryplan.llm.neardup import OP1_SQL, op1_near_duplicates
 from pantryplan.llm.rules import op9_quality_rules
 from pantryplan.llm.classifier import op8_quality_classifier
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_bpe_round_trip": op4_bpe_round_trip,
         "op5_token_files": op5_token_files,
+        "op6_license_scan": op6_license_scan,
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
