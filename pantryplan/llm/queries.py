@@ -11,6 +11,7 @@ from pantryplan.llm.secrets import op7_secret_scan
 from pantryplan.llm.warc import OP2_SQL, op2_warc_revisits
 from pantryplan.llm.decontaminate import op3_decontaminate
 from pantryplan.llm.licenses import op6_license_scan
+from pantryplan.llm.linededup import op10_line_dedup
 from pantryplan.llm.neardup import OP1_SQL, op1_near_duplicates
 from pantryplan.llm.rules import op9_quality_rules
 from pantryplan.llm.classifier import op8_quality_classifier
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secret_scan": op7_secret_scan,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
