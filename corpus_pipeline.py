@@ -1,8 +1,75 @@
-"""A corpus-cleaning pipeline of five stages."""
+"""A corpus-cleaning pipeline: rules, line dedup, near-dedup, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept
+and returns rows with the columns of ``documents``; the last adds token columns.
+Rows are only dropped by a stage's own verdict:
+
+- quality_rules: rows that fail the base rules or the isolation forest go.
+- line_dedup: later copies of repeated runs of more than 50 words go; a row of
+  which nothing is left goes with them, being a copy all through.
+- near_dedup: of each group of near duplicates (five-word shingles, 0.8) the row
+  with the smallest doc_id stays.
+- decontaminate: rows that hold a benchmark item go.
+- bpe: token ids of the whole text, their number and whether they decode to it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pantryplan.llm import bpe, decontaminate, linededup, neardup, rules
+from pantryplan.llm.common import Scratch, table, text_batches
+from pantryplan.llm.graph import without
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    judged = rules.verdicts(docs, rules.fit(docs, table(spark, sf_dir, "labels")), out="__rules")
+    return judged.where("__rules.kept").drop("__rules")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    out = linededup.dedup_lines(docs).where("n_deleted = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    n_chars = {"n_chars": F.when(F.col("n_deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return out.withColumns(n_chars).select(*docs.columns) if n_chars else out.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    found = neardup.near_duplicates(docs, width=5, percent=80)
+    return without(docs, found.where("not kept").select("doc_id").distinct())
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, Scratch(spark, "contaminated").save(found.select("doc_id").distinct(), "ids"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    path = bpe.default_tokenizer()
+    coded = bpe.decode(bpe.encode(docs, path, ids_col="token_ids"), path, ids_col="token_ids", text_col="__decoded")
+    same = F.col("__decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("round_trip", same).drop("__decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontamination),
+    ("bpe", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = scratch.save(docs, name)
+    return docs
