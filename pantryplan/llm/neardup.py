@@ -9,8 +9,9 @@ if the sets' Jaccard similarity is at least ``percent`` / 100, in whole numbers.
    sets are one class, which goes on as its smallest doc_id.
 2. Inverted lists of retained values: a linked pair shares at least ``_least(m)``
    of its values (for sets that fit their sketch by arithmetic, else with a chance
-   of loss under 1e-7), so it meets in a list of the ``m - least + 1`` rarest values of
-   each; common values generate nothing on their own.
+   of loss of about 1e-5 at the limit and far less above it), so it has ``COMMON`` in
+   common among the ``m - least + COMMON`` rarest values of each (all that it shares,
+   if those are fewer); values that many sets have generate little on their own.
 3. The sketch of a pair's union, merged from both, estimates its similarity; pairs
    below ``ESTIMATE`` go. Exact similarity of whole sets confirms a link.
 4. Each class is first held against the most central class of its lists. Pairs that
@@ -37,8 +38,10 @@ from pantryplan.llm.common import Scratch, table, text_batches
 from pantryplan.llm.graph import components
 
 K = 48
-#: Share of a union's sketch that must be common; for similarity 0.8 six standard deviations below it.
-ESTIMATE = 0.45
+#: Share of a union's sketch that must be common; for similarity 0.8 more than four standard deviations below it.
+ESTIMATE = 0.55
+#: Of the rarest values so many must be common, where a pair shares as many at all.
+COMMON = 4
 #: Classes of a family that one task holds against as many others.
 BLOCK = 128
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,6 +80,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
             low = [s[:K] for s in sets]
+            least = [_least(len(s), percent) if len(s) else 0 for s in low]
             offsets = np.cumsum([0, *map(len, low)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.uint64), *low]).view(np.int64)
             yield pa.record_batch(
@@ -86,11 +90,12 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     "d1": pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                     "d2": pa.array(np.array([_mix(s ^ _M2).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
                     "sketch": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    "prefix": pa.array([len(s) - _least(len(s), percent) + 1 if len(s) else 0 for s in low], pa.int32()),
+                    "prefix": pa.array([len(s) - k + min(COMMON, k) for s, k in zip(low, least)], pa.int32()),
+                    "common": pa.array([min(COMMON, k) for k in least], pa.int32()),
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, prefix int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, prefix int, common int")
 
 
 def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -128,17 +133,17 @@ class NearDuplicates:
         self.classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
         own = full.join(self.classes, ["n_shingles", "d1", "d2"]).where("doc_id = rep")
         # Where rows share a doc_id, a node may have several sets; each of them is held by its digest.
-        return own.select("rep", F.col("n_shingles").alias("n"), F.xxhash64("d1", "d2").alias("d"), "sketch", "prefix").dropDuplicates(["rep", "d"])
+        return own.select("rep", F.col("n_shingles").alias("n"), F.xxhash64("d1", "d2").alias("d"), "sketch", "prefix", "common").dropDuplicates(["rep", "d"])
 
     def _prefixes(self, reps: DataFrame) -> DataFrame:
         """The rarest values of each class that others have too: rep, d, n, v and the class's centrality."""
-        entries = reps.select("rep", "d", "n", "prefix", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+        entries = reps.select("rep", "d", "n", "prefix", "common", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
         counts = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
         shared = entries.join(counts, "v")
-        lists = shared.groupBy("rep", "d", "n", "prefix", "m").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum("c").alias("central"))
+        lists = shared.groupBy("rep", "d", "n", "prefix", "common", "m").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum("c").alias("central"))
         # values that no other class has come first in order of rarity
         left = F.greatest(F.col("prefix") - (F.col("m") - F.size("vs")), F.lit(0))
-        return lists.select("rep", "d", "n", "central", F.explode(F.slice("vs", F.lit(1), left)).alias("x")).select("rep", "d", "n", "central", F.col("x.v").alias("v"))
+        return lists.select("rep", "d", "n", "common", "central", F.explode(F.slice("vs", F.lit(1), left)).alias("x")).select("rep", "d", "n", "common", "central", F.col("x.v").alias("v"))
 
     def _sets(self, needed: DataFrame) -> DataFrame:
         """rep, d and whole set (bytes of sorted hashes) of the documents needed."""
@@ -175,9 +180,10 @@ class NearDuplicates:
         ratio = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * self.percent
 
         # each class against the most central one of its lists, by shared values
-        lead = prefix.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "d", "n")).alias("l"))
-        stars = prefix.join(lead, "v").select("rep", "d", "n", (-F.col("l.neg")).alias("b"), F.col("l.d").alias("db"), F.col("l.n").alias("nb"))
-        stars = stars.where((F.col("rep") != F.col("b")) & ratio).groupBy("rep", "d", "b", "db").count()
+        lead = prefix.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "d", "n", "common")).alias("l"))
+        stars = prefix.join(lead, "v").select("rep", "d", "n", "common", (-F.col("l.neg")).alias("b"), F.col("l.d").alias("db"), F.col("l.n").alias("nb"), F.col("l.common").alias("commonb"))
+        enough = F.col("count") >= F.least("common", "commonb")
+        stars = stars.where((F.col("rep") != F.col("b")) & ratio).groupBy("rep", "d", "b", "db", "common", "commonb").count().where(enough)
         best = stars.groupBy("rep", "d").agg(F.max(F.struct("count", (-F.col("b")).alias("neg"), "db")).alias("m"))
         pairs = best.select(F.col("rep").alias("a"), F.col("d").alias("da"), (-F.col("m.neg")).alias("b"), F.col("m.db").alias("db"))
         first = self._verify(pairs)
@@ -188,9 +194,10 @@ class NearDuplicates:
         at = prefix.drop("central").join(home.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
         open_ = at.groupBy("v").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("v")
         left = s.save(at.join(open_, "v"), "open")
-        right = left.select("v", F.col("rep").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), F.col("family").alias("other"))
+        right = left.select("v", F.col("rep").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), F.col("family").alias("other"), F.col("common").alias("commonb"))
         rest = left.join(right, "v").where((F.col("rep") < F.col("b")) & (F.col("family") != F.col("other")) & ratio)
-        second = self._verify(rest.select(F.col("rep").alias("a"), F.col("d").alias("da"), "b", "db").distinct())
+        rest = rest.groupBy(F.col("rep").alias("a"), F.col("d").alias("da"), "b", "db", "common", "commonb").count().where(enough)
+        second = self._verify(rest.select("a", "da", "b", "db"))
         third = self._within(home, found)
         return self._result(s.save(components(first.unionByName(second).unionByName(third), s, "two"), "components"))
 
