@@ -73,13 +73,13 @@ def bounded(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def write_blobs(df: DataFrame, column: str, path: str, trailer: bytes) -> None:
+def write_blobs(df: DataFrame, column: str, path: str, trailer: bytes, file_rows: int = 0) -> None:
     """Write a binary column as raw bytes, each row followed by ``trailer``.
 
     Spark's text writer copies a string's bytes as they are, and a binary value
     cast to string keeps its bytes, so this is a binary sink with Spark's own
     commit protocol on any file system: a lost or repeated task leaves no
-    partial file.
+    partial file. A file has at most ``file_rows`` rows, where that is given.
     """
     blob = df.select(df[column].cast("string").alias("value"))
-    blob.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", trailer.decode("latin-1")).text(path)
+    blob.write.mode("overwrite").option("maxRecordsPerFile", file_rows).option("encoding", "ISO-8859-1").option("lineSep", trailer.decode("latin-1")).text(path)

@@ -36,7 +36,9 @@ MAGIC, VERSION, TRAILER = b"DACS", 1, b"DACSEND\n"
 _HEAD = struct.Struct("<4sHHIQQ")
 _BLOCK = 512
 #: Ids gathered before a segment is closed.
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
+#: Segments of a file at most: a reader holds a whole file.
+FILE_SEGMENTS = 8
 #: Above so many files their offsets are joined by a shuffle instead of broadcast.
 BROADCAST_FILES = 100_000
 
@@ -143,7 +145,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> Non
             yield close()
 
     ordered = df.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    write_blobs(ordered.mapInArrow(pack_all, "segment binary"), "segment", path, TRAILER)
+    write_blobs(ordered.mapInArrow(pack_all, "segment binary"), "segment", path, TRAILER, FILE_SEGMENTS)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -175,7 +177,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def offsets(docs: DataFrame) -> DataFrame:
     """Replace each document's place in its file by its place among all ids."""
     # One row a file; the writer numbers files by their range of ids.
-    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
+    digits = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    number = F.struct(digits(r"part-(\d+)[^/]*$"), digits(r"-c(\d+)[^/]*$"))
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -30,7 +30,8 @@ def test_a_cut_file_is_noticed():
         list(dac.segments(blob[:-3]))
 
 
-def test_files_against_the_library(spark, tmp_path):
+def test_files_against_the_library(spark, monkeypatch):
+    monkeypatch.setattr(dac, "SEGMENT_IDS", 500)
     lib = Tokenizer.from_file(WORD)
     texts = ["b c", None, "", "Naïve  Été\n\n#1 <|endoftext|>", "x" * 5000, "b c", *[f"doc {i} " * (i % 40) for i in range(200)]]
     rows = [(1000 - 3 * i, t, "note") for i, t in enumerate(texts)]
