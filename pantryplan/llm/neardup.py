@@ -40,6 +40,8 @@ from pantryplan.llm.graph import components
 K = 48
 #: Share of a union's sketch that must be common; for similarity 0.8 more than four standard deviations below it.
 ESTIMATE = 0.55
+#: Families are of pairs with this estimate and more: the wider they are, the fewer pairs are held one by one.
+FAMILY = 0.25
 #: Of the rarest values so many must be common, where a pair shares as many at all.
 COMMON = 4
 #: Classes of a family that one task holds against as many others.
@@ -159,13 +161,14 @@ class NearDuplicates:
         texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.distinct(), "doc_id")
         return texts.mapInArrow(scan, "rep long, d1 long, d2 long, whole binary").select("rep", F.xxhash64("d1", "d2").alias("d"), "whole").dropDuplicates(["rep", "d"])
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Links among pairs of classes (a, da), (b, db) with columns of ``reps``."""
+    def _verify(self, pairs: DataFrame, loose: float = ESTIMATE) -> DataFrame:
+        """Links among pairs of classes (a, da), (b, db) with columns of ``reps``; pairs that ``loose`` lets pass are kept too."""
         self.turn += 1
         s, label = self.scratch, f"r{self.turn}"
         side = lambda x: self.reps.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"), F.col("sketch").alias(f"s{x}"))
-        near = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).where(_estimated() >= ESTIMATE * self.percent / 80)
-        near = s.save(near.select("a", "da", "b", "db"), f"{label}near")
+        near = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).withColumn("estimate", _estimated())
+        near = s.save(near.where(F.col("estimate") >= loose * self.percent / 80).select("a", "da", "b", "db", "estimate"), f"{label}near")
+        near = near.where(F.col("estimate") >= ESTIMATE * self.percent / 80)
         sets = s.save(self._sets(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))), f"{label}sets", "none")
         whole = lambda x: sets.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"), F.col("whole").alias(f"w{x}"))
         both = near.join(whole("b"), ["b", "db"]).join(whole("a"), ["a", "da"])
@@ -186,7 +189,7 @@ class NearDuplicates:
         stars = stars.where((F.col("rep") != F.col("b")) & ratio).groupBy("rep", "d", "b", "db", "common", "commonb").count().where(enough)
         best = stars.groupBy("rep", "d").agg(F.max(F.struct("count", (-F.col("b")).alias("neg"), "db")).alias("m"))
         pairs = best.select(F.col("rep").alias("a"), F.col("d").alias("da"), (-F.col("m.neg")).alias("b"), F.col("m.db").alias("db"))
-        first = self._verify(pairs)
+        first = self._verify(pairs, FAMILY)
         found = components(first, s, "one")
 
         # pairs of a list in different families: one by one
