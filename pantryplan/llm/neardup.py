@@ -9,7 +9,7 @@ if the sets' Jaccard similarity is at least ``percent`` / 100, in whole numbers.
    sets are one class, which goes on as its smallest doc_id.
 2. Inverted lists of retained values: a linked pair shares at least ``_least(m)``
    of its values (for sets that fit their sketch by arithmetic, else with a chance
-   of loss of about 1e-5 at the limit and far less above it), so it has ``COMMON`` in
+   of loss under 1e-7 at the limit and far less above it), so it has ``COMMON`` in
    common among the ``m - least + COMMON`` rarest values of each (all that it shares,
    if those are fewer); values that many sets have generate little on their own.
 3. The sketch of a pair's union, merged from both, estimates its similarity; pairs
@@ -38,14 +38,16 @@ from pantryplan.llm.common import Scratch, table, text_batches
 from pantryplan.llm.graph import components
 
 K = 48
-#: Share of a union's sketch that must be common; for similarity 0.8 more than four standard deviations below it.
-ESTIMATE = 0.55
+#: Share of a union's sketch that must be common; for similarity 0.8 six standard deviations below it.
+ESTIMATE = 0.45
 #: Families are of pairs with this estimate and more: the wider they are, the fewer pairs are held one by one.
 FAMILY = 0.25
 #: Of the rarest values so many must be common, where a pair shares as many at all.
 COMMON = 4
 #: Classes of a family that one task holds against as many others.
 BLOCK = 128
+#: Flipped, unsigned values keep their order as signed ones.
+_SIGN = np.uint64(1 << 63)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -84,7 +86,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
             low = [s[:K] for s in sets]
             least = [_least(len(s), percent) if len(s) else 0 for s in low]
             offsets = np.cumsum([0, *map(len, low)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.uint64), *low]).view(np.int64)
+            values = (np.concatenate([np.zeros(0, np.uint64), *low]) ^ _SIGN).view(np.int64)
             yield pa.record_batch(
                 {
                     "doc_id": batch.column(0),

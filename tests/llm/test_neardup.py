@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pantryplan.llm import graph, neardup
 from pantryplan.llm.common import Scratch
@@ -58,6 +59,33 @@ def test_against_brute_force(spark, width, seed, monkeypatch):
     assert got == brute(rows, width)
 
 
+def appended(pairs=150, seed=4):
+    """Texts of 49 to 76 shingles of one word and longer copies of them, of similarity 0.8 and a little more."""
+    rng, texts = random.Random(seed), []
+    for p in range(pairs):
+        n = rng.randrange(49, 77)
+        w = [f"p{p}w{i}" for i in range(n * 5 // 4)]
+        texts += [" ".join(w[:n]), " ".join(w)]
+    return list(enumerate(texts))
+
+
+def test_estimates_of_sets_little_larger_than_a_sketch(spark):
+    df = spark.createDataFrame(appended(), "doc_id long, text string")
+    made = neardup.sketches(df, 1, 80).select((F.col("doc_id") / 2).cast("long").alias("p"), (F.col("doc_id") % 2).alias("odd"), "sketch")
+    both = made.where("odd = 0").select("p", F.col("sketch").alias("sa")).join(made.where("odd = 1").select("p", F.col("sketch").alias("sb")), "p")
+    got = {r.p: r.e for r in both.select("p", neardup._estimated().alias("e")).collect()}
+    sets = [set(neardup.shingle_set(t, 1).tolist()) for _, t in appended()]
+    want = {p: sum(x in sets[2 * p] for x in sorted(sets[2 * p + 1])[: neardup.K]) / neardup.K for p in range(len(sets) // 2)}
+    assert got == pytest.approx(want)
+
+
+def test_appended_copies_of_different_families(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FAMILY", 2.0)  # none: all pairs are of different families
+    rows = appended()
+    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert got == brute(rows, 1)
+
+
 def test_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(300, 301), (302, 301), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in graph.components(edges, Scratch(spark, "t"), "c").collect()}
