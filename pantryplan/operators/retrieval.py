@@ -101,9 +101,10 @@ def fuse(lists: list[DataFrame], by: list[str], ids: list[str], k: int, constant
     return top_k(fused, by, k, ids)
 
 
-def within_pool(pool: DataFrame, scored: DataFrame, by: list[str], ids: list[str]) -> DataFrame:
-    """Rank every pair of the pool, those without a score too."""
-    all_ = pool.join(scored.select(*by, *ids, "score"), [*by, *ids], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def within_pool(pool: DataFrame, by: list[str], ids: list[str]) -> DataFrame:
+    """Score every pair of the pool (``qvec`` by ``vec``) and rank all of them; a pair without a vector scores 0."""
+    score = F.coalesce(F.round(dot(F.col("qvec"), F.col("vec")), 6), F.lit(0.0))
+    all_ = pool.select(*by, *ids, score.alias("score"))
     return all_.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), *ids)))
 
 

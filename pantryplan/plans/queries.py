@@ -208,10 +208,14 @@ vs AS (SELECT q.vec_id AS request_id, d.vec_id AS product_id, round(list_sum(lis
 vectors AS (SELECT request_id, product_id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS rank FROM vs WHERE score > 0 QUALIFY rank <= 50)"""
 
 
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "embeddings")
+    return items.join(view(spark, sf_dir, "requests").select(F.col("request_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("qvec"))
+
+
 def vectors(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     items = read(spark, sf_dir, "embeddings")
-    asked = items.join(view(spark, sf_dir, "requests").select(F.col("request_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("qvec"))
-    return retrieval.vector_search(asked, items.select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vec")), k, "request_id", "product_id")
+    return retrieval.vector_search(asked_vectors(spark, sf_dir), items.select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vec")), k, "request_id", "product_id")
 
 
 @query(f"WITH {VECTOR_SQL} SELECT request_id, product_id, score, CAST(rank AS INT) AS rank FROM vectors")
@@ -241,9 +245,10 @@ def rrf_fusion(spark, sf_dir):
 @query(f"""WITH {VECTOR_SQL}, pool AS (SELECT q.vec_id AS request_id, d.vec_id AS product_id FROM embeddings q JOIN embeddings d ON q.vec_id < 50 AND d.vec_id % 9 = q.vec_id % 9)
 SELECT p.request_id, p.product_id, coalesce(v.score, 0.0) AS score, CAST(row_number() OVER (PARTITION BY p.request_id ORDER BY coalesce(v.score, 0.0) DESC, p.product_id) AS INT) AS rank FROM pool p LEFT JOIN vectors v USING (request_id, product_id)""")
 def within_pool_rank(spark, sf_dir):
-    items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("product_id"))
-    pool = items.join(retrieval.small(view(spark, sf_dir, "requests").select("request_id")), F.col("product_id") % 9 == F.col("request_id") % 9)
-    return retrieval.within_pool(pool, vectors(spark, sf_dir), ["request_id"], ["product_id"])
+    # every pair is scored, as in the reference; the SQL scores only those of the full search's top 50 and differs
+    items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vec"))
+    pool = items.join(retrieval.small(asked_vectors(spark, sf_dir), 5_000), F.col("product_id") % 9 == F.col("request_id") % 9)
+    return retrieval.within_pool(pool, ["request_id"], ["product_id"])
 
 
 POOL_SQL = f"""{RRF_SQL},

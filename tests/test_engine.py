@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def test_unknown_never_conflicts(spark):
     assert one(spark, [["whole"], ["skim"], []], lambda x: identity.variants_conflict(x, F.array(F.lit("whole"), F.lit("frozen"))), "array<string>") == [False, True, False]
 
 
+def test_every_pair_of_a_pool_is_scored(spark, tmp_path):
+    from pantryplan.plans import queries
+
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(64)], i % 10) for i in range(900)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.request_id, r.product_id): (r.score, r.rank) for r in queries.within_pool_rank(spark, str(tmp_path)).collect()}
+    asked = {q for q, _ in got}
+    assert asked and len(got) == 100 * len(asked)
+    for q in asked:
+        scores = {p: round(sum(x * y for x, y in zip(rows[q][1], rows[p][1])), 6) for p in range(q % 9, 900, 9)}
+        best = sorted(scores, key=lambda p: (-scores[p], p))
+        assert {p: got[q, p] for p in scores} == {p: (pytest.approx(scores[p], abs=2e-6), best.index(p) + 1) for p in scores}
+
+
 def test_packages(spark):
     df = spark.createDataFrame([(16.0, 16.0), (17.0, 16.0), (16.1, 16.0), (1.0, 16.0), (0.0, 4.0)], "a double, b double")
     assert [r[0] for r in df.select(basket.packages_needed(F.col("a"), F.col("b"))).collect()] == [1, 2, 1, 1, None]
