@@ -6,7 +6,9 @@ a raw zstandard dictionary; the template that saves the largest share is the
 block's winner, ties by name, and it is confirmed by the exact wording: words of
 the template that the block lacks and words that it has inside the template's
 wording. A confirmed block has at most one such difference for every eight words
-of the template. Null and empty texts have no blocks; each row is scanned by
+of the template. What stands before its wording is scanned by itself, and a block
+that isn't confirmed without differences is tried from some lines before too, for
+wordings whose cue is not on their first line. Null and empty texts have no blocks; each row is scanned by
 itself, and blocks that start inside a confirmed one are part of it.
 """
 
@@ -40,7 +42,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-CUES = r"licen[cs]|copyright|rights reserved|permission is hereby|redistribut|free software|mozilla public"
+CUES = r"licen[cs]|copyright|rights\s+reserved|permission\s+is\s+hereby|redistribut|free\s+software|mozilla\s+public"
 _CUE = re.compile(CUES, re.I)
 _WORD = re.compile(r"[^\s]+")
 WORDS_PER_DIFFERENCE = 8
@@ -56,6 +58,8 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=3)
         self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, (t, _) in self.templates.items()}
         self.lengths = sorted({len(t.split()) for t, _ in self.templates.values()})
+        #: Words that a template has before its first cue.
+        self.lead = max(len(t[: m.start()].split()) for t, _ in self.templates.values() if (m := _CUE.search(t)))
         self.memo: dict[str, tuple | None] = {}
 
     def wording(self, block: str, name: str) -> tuple[int, int, list[str], int] | None:
@@ -94,28 +98,48 @@ class Scanner:
             self.memo[key] = out
         return out
 
-    def scan(self, text: str | None) -> list[tuple]:
-        """(start, end, license, saved, differences) in code points."""
-        out, done, text = [], 0, text or ""
-        for cue in _CUE.finditer(text):
-            start = text.rfind("\n", 0, cue.start()) + 1
+    def blocks(self, text: str, start: int, begin: int, least: int, limit: int) -> dict[int, str]:
+        """Text from ``begin`` on in whole lines, by the number of words from ``start`` on; each reaches ``least`` and none ``limit``."""
+        out = {}
+        for n in self.lengths:
+            end = start
+            for i, m in enumerate(_WORD.finditer(text, start, limit)):
+                end = m.end()
+                if i + 1 >= n:
+                    break
+            stop = text.find("\n", max(end, least), limit)
+            out[n] = text[begin : stop if stop >= 0 else limit]
+        return out
+
+    def early(self, text: str, start: int, done: int) -> int:
+        """Start of a line with ``lead`` words before ``start``, not before ``done``."""
+        n = 0
+        while start > done and n < self.lead:
+            line = max(text.rfind("\n", 0, start - 1) + 1, done)
+            n += sum(bool(_bare(w)) for w in text[line:start].split())
+            start = line
+        return start
+
+    def span(self, text: str, done: int, limit: int) -> Iterator[tuple]:
+        for cue in _CUE.finditer(text, done, limit):
             if cue.start() < done:
                 continue
-            start = max(start, done)
-            blocks = {}
-            for n in self.lengths:
-                end = start
-                for i, m in enumerate(_WORD.finditer(text, start)):
-                    end = m.end()
-                    if i + 1 >= n:
-                        break
-                stop = text.find("\n", max(end, cue.end()))
-                blocks[n] = text[start : stop if stop >= 0 else len(text)]
-            if found := self.winner(blocks):
+            begin = start = max(text.rfind("\n", 0, cue.start()) + 1, done)
+            found = self.winner(self.blocks(text, start, begin, cue.end(), limit))
+            if (not found or found[5]) and (line := self.early(text, start, done)) < start:
+                # the wording may begin on a line before that of its first cue
+                more = self.winner(self.blocks(text, start, line, cue.end(), limit))
+                if more and (not found or more[5] < found[5]):
+                    begin, found = line, more
+            if found:
                 name, saved, a, b, changes, _ = found
-                out.append((start + a, start + b, name, saved, changes))
-                done = max(done, start + b)
-        return out
+                yield from self.span(text, begin, begin + a)  # notices that stand before the winner
+                yield begin + a, begin + b, name, saved, changes
+                done = max(done, begin + b)
+
+    def scan(self, text: str | None) -> list[tuple]:
+        """(start, end, license, saved, differences) in code points."""
+        return list(self.span(text or "", 0, len(text or "")))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

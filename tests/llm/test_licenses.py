@@ -24,6 +24,16 @@ def test_wording_differences():
     assert S.scan("copyright " * 500) == [] and S.scan(None) == S.scan("") == []
 
 
+def test_notices_before_the_winner_and_cues_behind_the_first_line():
+    text = "All rights reserved. Licensed under the Apache License, Version 2.0."
+    assert [(text[r[0] : r[1]].rstrip("."), r[2]) for r in S.scan(text)] == [("All rights reserved", "all-rights-reserved"), ("Licensed under the Apache License, Version 2.0", "Apache-2.0")]
+    for at in (" Mozilla", " the terms", " Public", " subject"):
+        wrapped = "some words before\n" + x.TEMPLATES["MPL-2.0"].replace(at, "\n" + at[1:]) + "\nand after"
+        (row,) = S.scan(wrapped)
+        assert row[2] == "MPL-2.0" and not row[4] and wrapped[row[0] :].startswith("This Source")
+    assert [r[2] for r in S.scan("All rights\nreserved.\nReleased under the MIT License. All rights reserved.")] == ["all-rights-reserved", "MIT", "all-rights-reserved"]
+
+
 def test_table(spark):
     rows = [(1, "a\nReleased under the MIT License."), (1, "a\nReleased under the MIT License."), (2, None), (3, ""), (None, "All rights reserved."), (5, "word " * 5000 + "\nLicensed under CC BY-NC 4.0.")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
