@@ -8,19 +8,25 @@ if the sets' Jaccard similarity is at least ``percent`` / 100, in whole numbers.
 1. One 64-bit hash of shingles gives each set its ``K`` smallest values. Equal
    sets are one class, which goes on as its smallest doc_id.
 2. Inverted lists of retained values: a linked pair shares at least ``_least(m)``
-   of its values (for sets that fit their sketch by arithmetic, else with a chance
-   of loss under 1e-7 at the limit and far less above it), so it has ``COMMON`` in
-   common among the ``m - least + COMMON`` rarest values of each (all that it shares,
-   if those are fewer); values that many sets have generate little on their own.
-3. The sketch of a pair's union, merged from both, estimates its similarity; pairs
-   below ``ESTIMATE`` go. Exact similarity of whole sets confirms a link.
-4. Each class is first held against the most central class of its lists. Pairs that
-   the estimate lets pass make families, their links components. Then all other
-   pairs of a list follow: those of two families one by one, those inside a family
-   and of different components in blocks, to which sets are sent once for all.
-
-Components are of doc_ids; a row without one shows its class and is always kept. Rows with
-equal doc_id are one node that has the sets of all of them.
+   of its ``m`` values (for sets that fit their sketch by arithmetic, else with a
+   chance of loss under 1e-7 at the limit and far less above it), so it meets on one
+   of the ``m - least + 1`` rarest values of each. A list's members are compared in
+   place by bitmaps of their sketches, which bound the number of common values from
+   above; only each member's ``NEIGHBOURS`` best partners leave the list as pairs.
+3. The sketch of a pair's union estimates its similarity; pairs below ``ESTIMATE``
+   go. Exact similarity of whole sets confirms a link.
+4. Pairs that the estimate lets pass make families, their links components. Members
+   with more partners than left their list go back to it, where those of different
+   families are held against each other by the estimate and join families. Inside
+   a family, classes of different components are then compared exactly, in blocks
+   whose output is one link for each two components. So no list or family is ever
+   written out in pairs: rows grow with members, work inside blocks with what the
+   neighbours left open.
+
+Lists of more than ``LIST`` members are dealt into parts, and families into blocks;
+the largest family of a list and the largest component of a family aren't held
+against themselves. Components are of doc_ids; a row without one shows its class and
+is always kept. Rows with equal doc_id are one node that has the sets of all of them.
 """
 
 from __future__ import annotations
@@ -32,20 +38,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from pantryplan.llm.common import Scratch, table, text_batches
-from pantryplan.llm.graph import components
+from pantryplan.llm.common import Scratch, bounded, table, text_batches
+from pantryplan.llm.graph import BROADCAST_IDS, components
 
 K = 48
 #: Share of a union's sketch that must be common; for similarity 0.8 six standard deviations below it.
 ESTIMATE = 0.45
-#: Families are of pairs with this estimate and more: the wider they are, the fewer pairs are held one by one.
-FAMILY = 0.25
-#: Of the rarest values so many must be common, where a pair shares as many at all.
-COMMON = 4
-#: Classes of a family that one task holds against as many others.
-BLOCK = 128
+#: Partners that a member of a list names.
+NEIGHBOURS = 2
+#: Members of a list, and classes of a family, that one task holds against as many others.
+LIST, BLOCK = 512, 128
+#: 64-bit words of a sketch's bitmap.
+WORDS = 8
+#: Rows of two whole sets in an Arrow batch, and columns of a block's matrix.
+PAIR_ROWS, COLUMNS = 32, 8192
 #: Flipped, unsigned values keep their order as signed ones.
 _SIGN = np.uint64(1 << 63)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,29 +84,41 @@ def _least(m: int, percent: int) -> int:
     return max(1, int(ESTIMATE * percent / 80 * m))
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two sums that name a set."""
+    return [pa.array(np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for f in (lambda s: s, lambda s: _mix(s ^ _M2))]
+
+
+def bitmap(sketch: np.ndarray) -> np.ndarray:
+    """The low bits of a sketch's values as set bits of ``WORDS`` words."""
+    out, at = np.zeros(WORDS, np.uint64), sketch % np.uint64(64 * WORDS)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the whole set, its smallest values and how many of the rarest generate pairs."""
+    """doc_id, n_shingles, a digest of the whole set, its smallest values, their bitmap and how many of them a linked set shares."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
             low = [s[:K] for s in sets]
-            least = [_least(len(s), percent) if len(s) else 0 for s in low]
+            d1, d2 = _digests(sets)
             offsets = np.cumsum([0, *map(len, low)]).astype(np.int32)
             values = (np.concatenate([np.zeros(0, np.uint64), *low]) ^ _SIGN).view(np.int64)
             yield pa.record_batch(
                 {
                     "doc_id": batch.column(0),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "d1": pa.array(np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
-                    "d2": pa.array(np.array([_mix(s ^ _M2).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)),
+                    "d1": d1,
+                    "d2": d2,
                     "sketch": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    "prefix": pa.array([len(s) - k + min(COMMON, k) for s, k in zip(low, least)], pa.int32()),
-                    "common": pa.array([min(COMMON, k) for k in least], pa.int32()),
+                    "bits": pa.array([bitmap(s).tobytes() for s in low], pa.binary()),
+                    "least": pa.array([_least(len(s), percent) if len(s) else 0 for s in low], pa.int32()),
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, prefix int, common int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bits binary, least int")
 
 
 def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -108,20 +127,91 @@ def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(both) - common)
 
 
-def _similar(a: str, b: str, percent: int) -> Column:
-    """Whether two whole sets, given as bytes of sorted hashes, are linked."""
+def estimate(s: np.ndarray, t: np.ndarray) -> float:
+    """Share of the sketch of a union that both sets hold, from sorted sets or their sketches."""
+    union = np.sort(np.concatenate([s[:K], t[:K]]), kind="stable")
+    twice = np.concatenate([union[1:] == union[:-1], [False]])
+    first = np.concatenate([[True], union[1:] != union[:-1]])
+    return float(twice[first][:K].mean())
+
+
+def _grade(a: str, b: str, percent: int) -> Column:
+    """For two whole sets as bytes of sorted hashes: 0 below the estimate, 1 not linked, 2 linked."""
 
-    @F.arrow_udf("boolean")
+    @F.arrow_udf("int")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([_linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y)], pa.bool_())
+        out = []
+        for p, q in zip(x, y):
+            s, t = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+            out.append(0 if estimate(s, t) < ESTIMATE * percent / 80 else 1 + _linked(s, t, percent))
+        return pa.array(out, pa.int32())
 
     return check(F.col(a), F.col(b))
 
 
-def _estimated() -> Column:
-    """Share of the union's sketch that both sketches hold."""
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
-    return F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb"))) / F.size(union)
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 8192) -> Iterator[pa.Table]:
+    """Tables of whole groups of about ``rows`` rows, from batches sorted by their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        part = pa.Table.from_batches(held).combine_chunks()
+        change = np.zeros(max(part.num_rows - 1, 0), bool)
+        for k in range(keys):
+            x = part.column(k).to_numpy()
+            change |= x[1:] != x[:-1]
+        cut = np.flatnonzero(change)
+        if len(cut):
+            yield part.slice(0, cut[-1] + 1)
+            part = part.slice(cut[-1] + 1)
+        held = part.to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _groups(part: pa.Table, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the groups of a sorted table."""
+    change = np.zeros(part.num_rows - 1, bool)
+    for k in range(keys):
+        x = part.column(k).to_numpy()
+        change |= x[1:] != x[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+    return starts, np.diff(np.concatenate([starts, [part.num_rows]]))
+
+
+def _fitting(bits: np.ndarray, n: np.ndarray, least: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common bits of every two members of groups (group, member), and whether they may be linked.
+
+    Values of one sketch that fall on one bit are all that bits can lose of the common ones.
+    """
+    common = np.zeros((*n.shape, n.shape[1]), np.int16)
+    for w in range(WORDS):
+        common += np.bitwise_count(bits[:, :, None, w] & bits[:, None, :, w])
+    lost = np.minimum(n, K) - np.bitwise_count(bits).sum(2, dtype=np.int64)
+    need = np.maximum(least[:, :, None], least[:, None, :]) - np.minimum(lost[:, :, None], lost[:, None, :])
+    fits = (common >= need) & (100 * np.minimum(n[:, :, None], n[:, None, :]) >= percent * np.maximum(n[:, :, None], n[:, None, :]))
+    fits[:, np.arange(n.shape[1]), np.arange(n.shape[1])] = False
+    return common, fits
+
+
+class _Union:
+    """Joined numbers; the root of a set is its smallest."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.parent.setdefault(x, x)) != x:
+            self.parent[x] = x = self.parent[y] if y in self.parent else y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether they were apart."""
+        p, q = self.root(a), self.root(b)
+        if p != q:
+            self.parent[max(p, q)] = min(p, q)
+        return p != q
 
 
 class NearDuplicates:
@@ -129,7 +219,7 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame, width: int = 5, percent: int = 80):
         self.docs, self.width, self.percent = docs, width, percent
-        self.scratch, self.turn = Scratch(docs.sparkSession, "neardup"), 0
+        self.scratch = Scratch(docs.sparkSession, "neardup")
 
     def _reps(self) -> DataFrame:
         self.sketched = self.scratch.save(sketches(self.docs, self.width, self.percent), "sketches")
@@ -137,17 +227,57 @@ class NearDuplicates:
         self.classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
         own = full.join(self.classes, ["n_shingles", "d1", "d2"]).where("doc_id = rep")
         # Where rows share a doc_id, a node may have several sets; each of them is held by its digest.
-        return own.select("rep", F.col("n_shingles").alias("n"), F.xxhash64("d1", "d2").alias("d"), "sketch", "prefix", "common").dropDuplicates(["rep", "d"])
+        return own.select("rep", F.xxhash64("d1", "d2").alias("d"), F.col("n_shingles").alias("n"), "sketch", "bits", "least").dropDuplicates(["rep", "d"])
 
-    def _prefixes(self, reps: DataFrame) -> DataFrame:
-        """The rarest values of each class that others have too: rep, d, n, v and the class's centrality."""
-        entries = reps.select("rep", "d", "n", "prefix", "common", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    def _lists(self, reps: DataFrame) -> DataFrame:
+        """v, part, whole, rep, d, n, least and bits of each class at its rarest values that others have too."""
+        entries = reps.select("rep", "d", F.explode("sketch").alias("v"))
         counts = entries.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
-        shared = entries.join(counts, "v")
-        lists = shared.groupBy("rep", "d", "n", "prefix", "common", "m").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"), F.sum("c").alias("central"))
+        shared = entries.join(counts, "v").groupBy("rep", "d").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("vs"))
+        held = shared.join(reps.select("rep", "d", "n", "least", "bits", F.size("sketch").alias("m")), ["rep", "d"])
         # values that no other class has come first in order of rarity
-        left = F.greatest(F.col("prefix") - (F.col("m") - F.size("vs")), F.lit(0))
-        return lists.select("rep", "d", "n", "common", "central", F.explode(F.slice("vs", F.lit(1), left)).alias("x")).select("rep", "d", "n", "common", "central", F.col("x.v").alias("v"))
+        left = F.greatest(F.col("m") - F.col("least") + 1 - (F.col("m") - F.size("vs")), F.lit(0))
+        out = held.select("rep", "d", "n", "least", "bits", F.explode(F.slice("vs", F.lit(1), left)).alias("x")).select("*", "x.v", "x.c")
+        parts = F.ceil(F.col("c") / LIST)
+        return out.select("v", F.when(parts > 1, F.pmod(F.xxhash64("rep", "d", "v"), parts)).otherwise(0).cast("int").alias("part"), (parts == 1).alias("whole"), "rep", "d", "n", "least", "bits")
+
+    def _neighbours(self, lists: DataFrame) -> DataFrame:
+        """Best partners (a, da, b, db) of members of a list; and, without b, members (v, a, da) that may have more of them."""
+        percent = self.percent
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _whole_groups(batches, 2):
+                v, rep, d, n, least = (part.column(c).to_numpy() for c in ("v", "rep", "d", "n", "least"))
+                whole = part.column("whole").to_numpy(zero_copy_only=False)
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+                starts, sizes = _groups(part, 2)
+                x, y, open_ = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
+                for size in np.unique(sizes):
+                    chosen = starts[sizes == size]
+                    if size == 1:
+                        open_.append(chosen[~whole[chosen]])
+                        continue
+                    step = max(1, 2_000_000 // int(size) ** 2)
+                    for i in range(0, len(chosen), step):
+                        at = chosen[i : i + step, None] + np.arange(size)
+                        common, fits = _fitting(bits[at], n[at], least[at], percent)
+                        open_.append(at[(fits.sum(2) > NEIGHBOURS) | ~whole[at]])
+                        score = np.where(fits, common, -1)
+                        for _ in range(min(NEIGHBOURS, int(size) - 1)):
+                            best = score.argmax(2)
+                            value = np.take_along_axis(score, best[:, :, None], 2)
+                            np.put_along_axis(score, best[:, :, None], -1, 2)
+                            found = value[:, :, 0] >= 0
+                            x.append(at[found])
+                            y.append(np.take_along_axis(at, best, 1)[found])
+                x, y, open_ = map(np.concatenate, (x, y, open_))
+                swap = (rep[x] > rep[y]) | ((rep[x] == rep[y]) & (d[x] > d[y]))
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                none = pa.nulls(len(open_), pa.int64())
+                columns = (pa.concat_arrays([pa.array(p), q]) for p, q in ((np.zeros(len(x), np.int64), pa.array(v[open_])), (rep[x], pa.array(rep[open_])), (d[x], pa.array(d[open_])), (rep[y], none), (d[y], none)))
+                yield pa.record_batch(dict(zip(("v", "a", "da", "b", "db"), columns)))
+
+        return lists.repartition("v", "part").sortWithinPartitions("v", "part").select("v", "part", "whole", "rep", "d", "n", "least", "bits").mapInArrow(scan, "v long, a long, da long, b long, db long")
 
     def _sets(self, needed: DataFrame) -> DataFrame:
         """rep, d and whole set (bytes of sorted hashes) of the documents needed."""
@@ -156,104 +286,118 @@ class NearDuplicates:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-                d1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                d2 = np.array([_mix(x ^ _M2).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                yield pa.record_batch({"rep": batch.column(0), "d1": pa.array(d1), "d2": pa.array(d2), "whole": pa.array([x.tobytes() for x in sets], pa.binary())})
+                d1, d2 = _digests(sets)
+                yield pa.record_batch({"rep": batch.column(0), "d1": d1, "d2": d2, "whole": pa.array([x.tobytes() for x in sets], pa.binary())})
 
-        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed.distinct(), "doc_id")
+        needed = needed.distinct()
+        needed = F.broadcast(needed) if bounded(needed, BROADCAST_IDS) else needed
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
         return texts.mapInArrow(scan, "rep long, d1 long, d2 long, whole binary").select("rep", F.xxhash64("d1", "d2").alias("d"), "whole").dropDuplicates(["rep", "d"])
 
-    def _verify(self, pairs: DataFrame, loose: float = ESTIMATE) -> DataFrame:
-        """Links among pairs of classes (a, da), (b, db) with columns of ``reps``; pairs that ``loose`` lets pass are kept too."""
-        self.turn += 1
-        s, label = self.scratch, f"r{self.turn}"
-        side = lambda x: self.reps.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"), F.col("sketch").alias(f"s{x}"))
-        near = pairs.join(side("a"), ["a", "da"]).join(side("b"), ["b", "db"]).withColumn("estimate", _estimated())
-        near = s.save(near.where(F.col("estimate") >= loose * self.percent / 80).select("a", "da", "b", "db", "estimate"), f"{label}near")
-        near = near.where(F.col("estimate") >= ESTIMATE * self.percent / 80)
-        sets = s.save(self._sets(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))), f"{label}sets", "none")
+    def _graded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of classes (a, da), (b, db) that the estimate lets pass, and whether they are linked."""
+        s, key = self.scratch, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        ids = s.save(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needed")
+        sets = s.save(self._sets(ids), "sets", "none")
         whole = lambda x: sets.select(F.col("rep").alias(x), F.col("d").alias(f"d{x}"), F.col("whole").alias(f"w{x}"))
-        both = near.join(whole("b"), ["b", "db"]).join(whole("a"), ["a", "da"])
-        links = s.save(both.where(_similar("wa", "wb", self.percent)).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{label}links")
-        s.drop(f"{label}sets")
-        return links
+        both = pairs.join(whole("b"), ["b", "db"]).join(whole("a"), ["a", "da"]).withColumn("grade", _grade("wa", "wb", self.percent))
+        before = self.docs.sparkSession.conf.get(key)
+        self.docs.sparkSession.conf.set(key, PAIR_ROWS)
+        out = s.save(both.where("grade > 0").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("grade") == 2).alias("linked")), "graded")
+        self.docs.sparkSession.conf.set(key, before)
+        s.drop("sets", "needed")
+        return out
 
     def run(self) -> DataFrame:
         s = self.scratch
         self.reps = s.save(self._reps(), "reps")
-        prefix = s.save(self._prefixes(self.reps), "prefix")
-        ratio = F.least("n", "nb") * 100 >= F.greatest("n", "nb") * self.percent
-
-        # each class against the most central one of its lists, by shared values
-        lead = prefix.groupBy("v").agg(F.max(F.struct("central", (-F.col("rep")).alias("neg"), "d", "n", "common")).alias("l"))
-        stars = prefix.join(lead, "v").select("rep", "d", "n", "common", (-F.col("l.neg")).alias("b"), F.col("l.d").alias("db"), F.col("l.n").alias("nb"), F.col("l.common").alias("commonb"))
-        enough = F.col("count") >= F.least("common", "commonb")
-        stars = stars.where((F.col("rep") != F.col("b")) & ratio).groupBy("rep", "d", "b", "db", "common", "commonb").count().where(enough)
-        best = stars.groupBy("rep", "d").agg(F.max(F.struct("count", (-F.col("b")).alias("neg"), "db")).alias("m"))
-        pairs = best.select(F.col("rep").alias("a"), F.col("d").alias("da"), (-F.col("m.neg")).alias("b"), F.col("m.db").alias("db"))
-        first = self._verify(pairs, FAMILY)
-        found = components(first, s, "one")
-
-        # pairs of a list in different families: one by one
-        home = s.save(components(s.load("r1near").select(F.col("a").alias("u"), F.col("b").alias("v")), s, "fam"), "families")
-        at = prefix.drop("central").join(home.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-        open_ = at.groupBy("v").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y").select("v")
-        left = s.save(at.join(open_, "v"), "open")
-        right = left.select("v", F.col("rep").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"), F.col("family").alias("other"), F.col("common").alias("commonb"))
-        rest = left.join(right, "v").where((F.col("rep") < F.col("b")) & (F.col("family") != F.col("other")) & ratio)
-        rest = rest.groupBy(F.col("rep").alias("a"), F.col("d").alias("da"), "b", "db", "common", "commonb").count().where(enough)
-        second = self._verify(rest.select("a", "da", "b", "db"))
-        third = self._within(home, found)
-        return self._result(s.save(components(first.unionByName(second).unionByName(third), s, "two"), "components"))
+        listed = s.save(self._neighbours(self._lists(self.reps)), "listed")
+        graded = self._graded(s.save(listed.where("b is not null").select("a", "da", "b", "db").distinct(), "pairs"))
+        first = graded.where("linked").select("u", "v")
+        found = s.save(components(first, s, "one"), "found")
+        home = s.save(components(graded.select("u", "v"), s, "fam"), "home")
+        more = s.save(self._across(listed.where("b is null").select("v", F.col("a").alias("rep"), F.col("da").alias("d")), home), "across")
+        if not more.isEmpty():
+            home = s.save(components(self._as_edges(home).unionByName(more), s, "wide"), "families")
+        second = self._within(home, found)
+        if not second.isEmpty():
+            found = s.save(components(self._as_edges(found).unionByName(second), s, "two"), "components")
+        return self._result(found)
+
+    @staticmethod
+    def _as_edges(found: DataFrame) -> DataFrame:
+        return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+    @staticmethod
+    def _pairs_of_blocks(largest: Column, outer: Column, inner: Column, own: Column) -> Column:
+        """Keys (i, j), i <= j, of a member in block ``own``: blocks from ``outer`` on aren't held against each other."""
+        low, high = F.sequence(F.lit(0), outer - 1), F.sequence(F.lit(0), outer + inner - 1)
+        pair = lambda x: F.struct(F.least(x, own).cast("int").alias("i"), F.greatest(x, own).cast("int").alias("j"))
+        return F.when(largest, F.transform(low, pair)).otherwise(F.transform(high, pair))
+
+    def _dealt(self, members: DataFrame, group: str, part: str, size: int) -> DataFrame:
+        """Members of groups with several parts, once for each two blocks that hold them: i, j and own block.
+
+        A group of up to ``size`` members is one block; in others the largest part has blocks of its own.
+        """
+        sizes = members.groupBy(group, part).agg(F.count("*").alias("k"))
+        sizes = sizes.groupBy(group).agg(F.sum("k").alias("all"), F.max(F.struct("k", F.col(part).alias("p"))).alias("m")).where("m.k < all")
+        one, blocks = F.col("all") <= size, lambda k: F.ceil(k / size).cast("int")
+        outer, inner = F.when(one, 1).otherwise(blocks(F.col("all") - F.col("m.k"))), F.when(one, 0).otherwise(blocks(F.col("m.k")))
+        plan = sizes.select(group, F.col("m.p").alias("core"), outer.alias("outer"), inner.alias("inner"))
+        at = members.join(plan, group).withColumn("core", (F.col("inner") > 0) & (F.col(part) == F.col("core")))
+        own = F.when(F.col("core"), F.col("outer") + F.pmod(F.xxhash64("rep", "d"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("rep", "d"), F.col("outer"))).cast("int")
+        at = at.withColumn("own", own)
+        keys = self._pairs_of_blocks(F.col("core"), F.col("outer"), F.col("inner"), F.col("own"))
+        return at.select(group, part, "rep", "d", "own", F.inline(keys))
+
+    def _across(self, members: DataFrame, home: DataFrame) -> DataFrame:
+        """Pairs of families that have members in one list for whom the estimate passes."""
+        percent = self.percent
+        at = members.join(home.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+        dealt = self._dealt(at, "v", "family", LIST).join(self.reps.select("rep", "d", "n", "least", "bits", "sketch"), ["rep", "d"])
+        columns = ["v", "i", "j", "own", "family", "n", "least", "bits", "sketch"]
 
-    def _within(self, home: DataFrame, found: DataFrame) -> DataFrame:
-        """Links inside families between classes whose components still differ.
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _whole_groups(batches, 3):
+                own, j, i, family, n, least = (part.column(c).to_numpy() for c in ("own", "j", "i", "family", "n", "least"))
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+                sketch = [x.values.to_numpy().view(np.uint64) ^ _SIGN for x in part.column("sketch")]
+                joined, edges = _Union(), []
+                for start, size in zip(*_groups(part, 3)):
+                    at = slice(start, start + size)
+                    _, fits = _fitting(bits[None, at], n[None, at], least[None, at], percent)
+                    apart = (family[at][:, None] != family[at][None]) & (own[at] == i[start])[:, None] & (own[at] == j[start])[None]
+                    for x, y in np.argwhere(fits[0] & apart):
+                        a, b = int(family[start + x]), int(family[start + y])
+                        if joined.root(a) != joined.root(b) and estimate(sketch[start + x], sketch[start + y]) >= ESTIMATE * percent / 80:
+                            joined.join(a, b)
+                            edges.append((a, b))
+                yield pa.record_batch({"u": pa.array([a for a, _ in edges], pa.int64()), "v": pa.array([b for _, b in edges], pa.int64())})
+
+        return dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").select(*columns).mapInArrow(scan, "u long, v long").distinct()
 
-        The largest component of a family isn't held against itself. Families are
-        dealt into blocks of about ``BLOCK`` classes, and each task compares two.
-        """
-        s = self.scratch
+    def _within(self, home: DataFrame, found: DataFrame) -> DataFrame:
+        """Links inside families between classes whose components still differ: the exact comparison of block with block."""
+        s, percent = self.scratch, self.percent
         members = home.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        members = members.withColumn("component", F.coalesce("component", "rep"))
-        sizes = members.groupBy("family", "component").agg(F.count("*").alias("k"))
-        sizes = sizes.groupBy("family").agg(F.sum("k").alias("all"), F.max(F.struct("k", (-F.col("component")).alias("neg"))).alias("m")).where("m.k < all")
-        blocks = lambda k: F.ceil(k / BLOCK).cast("int")
-        dealt = sizes.select("family", (-F.col("m.neg")).alias("core"), blocks(F.col("all") - F.col("m.k")).alias("outer"), blocks(F.col("m.k")).alias("inner"))
-        members = members.join(dealt, "family").withColumn("is_core", F.col("component") == F.col("core"))
-        members = s.save(members.drop("core"), "members")
-        own = F.pmod(F.xxhash64("rep"), F.when(F.col("is_core"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
-        keys = lambda n, kind, i, j: F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct(F.lit(kind).alias("kind"), i(x).alias("i"), j(x).alias("j")))
-        core = keys(F.col("outer"), "c", lambda x: x, lambda x: F.col("own"))
-        outer = F.concat(keys(F.col("outer"), "o", lambda x: F.least(x, F.col("own")), lambda x: F.greatest(x, F.col("own"))), keys(F.col("inner"), "c", lambda x: F.col("own"), lambda x: x))
-        sets = s.save(self._sets(members.select(F.col("rep").alias("doc_id"))), "wholes", "none").join(members, "rep").withColumn("own", own)
-        spread = sets.select("family", "rep", "component", "is_core", "whole", F.explode(F.when(F.col("is_core"), core).otherwise(outer)).alias("g")).select("*", "g.*").drop("g")
-        percent = self.percent
+        members = members.withColumn("component", F.coalesce("component", "rep")).join(self.reps.select("rep", "d"), "rep")
+        dealt = s.save(self._dealt(members, "family", "component", BLOCK), "dealt")
+        sets = s.save(self._sets(dealt.select(F.col("rep").alias("doc_id"))), "wholes", "none")
 
         def compare(part: pa.Table) -> pa.Table:
-            reps, comp, is_core = (part.column(c).to_pylist() for c in ("rep", "component", "is_core"))
-            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("whole")]
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (y := parent.setdefault(x, x)) != x:
-                    parent[x] = x = parent[y] if y in parent else y
-                return x
-
-            links = []
-            for x in range(len(reps)):
-                if is_core[x]:
-                    continue
-                for y in range(len(reps)):
-                    a, b = len(sets_[x]), len(sets_[y])
-                    if x == y or 100 * min(a, b) < percent * max(a, b) or (not is_core[y] and y < x):
-                        continue
-                    if (p := root(comp[x])) != (q := root(comp[y])) and _linked(sets_[x], sets_[y], percent):
-                        parent[max(p, q)] = min(p, q)
-                        links.append((reps[x], reps[y]))
+            own, comp, rep = (part.column(c).to_numpy() for c in ("own", "component", "rep"))
+            wholes = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("whole")]
+            x, y = np.flatnonzero(own == part.column("i")[0].as_py()), np.flatnonzero(own == part.column("j")[0].as_py())
+            both = common_values([wholes[k] for k in x], [wholes[k] for k in y])
+            n, m = (np.array([len(wholes[k]) for k in at])[shape] for at, shape in ((x, np.s_[:, None]), (y, np.s_[None])))
+            linked = (100 * both >= percent * (n + m - both)) & (comp[x][:, None] != comp[y][None])
+            joined = _Union()
+            links = [(int(rep[x[p]]), int(rep[y[q]])) for p, q in np.argwhere(linked) if joined.join(int(comp[x[p]]), int(comp[y[q]]))]
             return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
-        out = s.save(spread.groupBy("family", "kind", "i", "j").applyInArrow(compare, "u long, v long"), "within")
-        s.drop("wholes", "members")
+        out = s.save(dealt.join(sets, ["rep", "d"]).groupBy("family", "i", "j").applyInArrow(compare, "u long, v long"), "within")
+        s.drop("wholes", "dealt")
         return out
 
     def _result(self, found: DataFrame) -> DataFrame:
@@ -263,6 +407,36 @@ class NearDuplicates:
         return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def common_values(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set on the left with every one on the right, by products of slices of their 0/1 matrices."""
+
+    def table_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (a, of_a), (b, of_b) = table_of(left), table_of(right)
+    values = np.intersect1d(a, b)
+    out = np.zeros((len(left), len(right)), np.float64)
+
+    def places(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(values, x)
+        at[at == len(values)] = 0
+        held = values[at] == x
+        order = np.argsort(at[held], kind="stable")
+        return at[held][order], of[held][order]
+
+    if len(values):
+        (pa_, oa), (pb, ob) = places(a, of_a), places(b, of_b)
+        for start in range(0, len(values), COLUMNS):
+            sides = []
+            for p, o, n in ((pa_, oa, len(left)), (pb, ob, len(right))):
+                cut = slice(*np.searchsorted(p, [start, start + COLUMNS]))
+                m = np.zeros((n, min(COLUMNS, len(values) - start)), np.float32)
+                m[o[cut], p[cut] - start] = 1
+                sides.append(m)
+            out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     return NearDuplicates(docs, width, percent).run()

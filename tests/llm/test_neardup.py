@@ -1,8 +1,9 @@
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pantryplan.llm import graph, neardup
 from pantryplan.llm.common import Scratch
@@ -53,6 +54,7 @@ def corpus(seed):
 @pytest.mark.parametrize("width,seed", [(2, 1), (5, 2), (2, 3)])
 def test_against_brute_force(spark, width, seed, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "LIST", 5)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, rep string, component long")
     got = {tuple(r) for r in neardup.near_duplicates(df, width).collect()}
@@ -71,21 +73,39 @@ def appended(pairs=150, seed=4):
 
 def test_estimates_of_sets_little_larger_than_a_sketch(spark):
     df = spark.createDataFrame(appended(), "doc_id long, text string")
-    made = neardup.sketches(df, 1, 80).select((F.col("doc_id") / 2).cast("long").alias("p"), (F.col("doc_id") % 2).alias("odd"), "sketch")
-    both = made.where("odd = 0").select("p", F.col("sketch").alias("sa")).join(made.where("odd = 1").select("p", F.col("sketch").alias("sb")), "p")
-    got = {r.p: r.e for r in both.select("p", neardup._estimated().alias("e")).collect()}
+    made = {r.doc_id: np.array(r.sketch, np.int64).view(np.uint64) ^ neardup._SIGN for r in neardup.sketches(df, 1, 80).collect()}
     sets = [set(neardup.shingle_set(t, 1).tolist()) for _, t in appended()]
-    want = {p: sum(x in sets[2 * p] for x in sorted(sets[2 * p + 1])[: neardup.K]) / neardup.K for p in range(len(sets) // 2)}
-    assert got == pytest.approx(want)
+    for p in range(len(sets) // 2):
+        want = sum(x in sets[2 * p] for x in sorted(sets[2 * p + 1])[: neardup.K]) / neardup.K
+        assert neardup.estimate(made[2 * p], made[2 * p + 1]) == pytest.approx(want)
 
 
 def test_appended_copies_of_different_families(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "FAMILY", 2.0)  # none: all pairs are of different families
+    monkeypatch.setattr(neardup, "NEIGHBOURS", 0)  # none: all pairs are of different families
     rows = appended()
     got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
     assert got == brute(rows, 1)
 
 
+def test_bits_bound_common_values():
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    low = [np.sort(rng.choice(pool, neardup.K, replace=False)) for _ in range(40)]
+    bits, n = np.array([neardup.bitmap(s) for s in low])[None], np.full((1, 40), neardup.K)
+    for least in (3, 6, 9):
+        _, fits = neardup._fitting(bits, n, np.full((1, 40), least), 80)
+        for x, y in itertools.combinations(range(40), 2):
+            assert fits[0, x, y] or len(np.intersect1d(low[x], low[y])) < least
+
+
+def test_common_values(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 90, k).astype(np.uint64)) for k in (0, 1, 5, 30, 60, 80)]
+    got = neardup.common_values(sets[:4], sets[2:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets[:4]]
+
+
 def test_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200)] + [(300, 301), (302, 301), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in graph.components(edges, Scratch(spark, "t"), "c").collect()}
