@@ -1,14 +1,19 @@
-"""Exact BPE encoding by pieces and by tree concatenation, on one executor core.
-
-Texts of well-known letters go whole through a faster library that has been given
-the same merges. Any other splits into pieces at white space, where no token of
-these vocabularies can cross; the tokenizers library encodes those. A piece too
-long to be one unit of work is cut into halves down to leaves, the leaves are
-encoded in one parallel batch, and each join is mended by re-encoding a window
-around it that grows until its outermost tokens equal those of both sides.
-Adjacent tokens of a BPE encoding are compatible pair by pair, and a sequence
-all of whose adjacent pairs are compatible is the encoding; so agreement at both
-ends of the window proves the joined sequence.
+"""Exact BPE encoding by tree concatenation, on one executor core.
+
+A text longer than a leaf is cut into leaves of equal length, wherever that falls.
+Leaves are encoded by themselves and joined two by two: each join is mended by
+re-encoding a window around it, which grows until its outermost tokens equal those
+of both sides. Windows start and end at a lone space between other characters; no
+token and no piece of a pre-tokenizer that keeps spaces crosses to its left, so what
+stands outside such a window is not changed by the join.
+
+Text without such spaces is cut at other white space, and a piece of it longer than
+a leaf goes through the same tree by tokens: adjacent tokens of a BPE encoding are
+compatible pair by pair, and a sequence all of whose adjacent pairs are compatible
+is the encoding, so agreement at both ends of the window proves the joined sequence.
+
+Leaves and windows of well-known letters are encoded by a faster library that has
+been given the same merges, any others by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -46,6 +51,9 @@ class PieceEncoder:
         self.split = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+" if self.keeps_space else f"[^{_SPACE}]+").findall
         self.leaf_chars, self.cache_pieces = leaf_chars, cache_pieces
         self.cache: dict[str, bytes] = {}
+        #: Joins mended so far: of whole texts, and of pieces without a space.
+        self.joins, self.piece_joins = 0, 0
+        self.space = re.compile(f"[{_SPACE}]").match
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -127,18 +135,69 @@ class PieceEncoder:
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self.merger is None or not self._is_plain(text):
-                out.append(self._by_pieces(text))
-            elif self.keeps_space:
-                out.append(self.merger.encode_to_numpy(text, disallowed_special=()).tobytes())
-            else:
-                marked = "\0".join([*self.units(text.lower()), ""])
-                out.append(self.to_id[self.merger.encode_to_numpy(marked, disallowed_special=())].tobytes())
-        return out
+        return [self._encode_text(text) if text else b"" for text in texts]
+
+    def _encode_text(self, text: str) -> bytes:
+        if self.merger is not None and self._is_plain(text):
+            leaf = self._merged
+        else:
+            leaf = self._by_pieces
+        if not self.tree or len(text) <= self.leaf_chars or not self._is_spaced(text):
+            return leaf(text)
+        cuts = [*range(0, len(text), self.leaf_chars), len(text)]
+        nodes = [(a, b, np.frombuffer(leaf(text[a:b]), "<u4")) for a, b in zip(cuts, cuts[1:])]
+        while len(nodes) > 1:
+            pairs = zip(nodes[::2], nodes[1::2])
+            joined = [(a, c, self._mended(text, a, b, c, left, right, leaf)) for (a, b, left), (_, c, right) in pairs]
+            nodes = joined + nodes[len(joined) * 2 :]
+        return nodes[0][2].tobytes()
+
+    def _merged(self, text: str) -> bytes:
+        if self.keeps_space:
+            return self.merger.encode_to_numpy(text, disallowed_special=()).tobytes()
+        marked = "\0".join([*self.units(text.lower()), ""])
+        return self.to_id[self.merger.encode_to_numpy(marked, disallowed_special=())].tobytes()
+
+    def _is_spaced(self, text: str) -> bool:
+        """Whether a lone space stands in each leaf, and no special token anywhere."""
+        leaves = (text[i : i + self.leaf_chars] for i in range(0, len(text) - self.leaf_chars, self.leaf_chars))
+        return not (self.special_split and self.special_split.search(text)) and all(self._lone_before(x, 0, len(x)) for x in leaves)
+
+    def _lone_before(self, text: str, start: int, stop: int) -> int:
+        """The last place before ``stop`` of a space between two other characters; ``start`` if there is none."""
+        while (at := text.rfind(" ", start + 1, max(stop - 1, 0))) > 0 and (self.space(text[at - 1]) or self.space(text[at + 1])):
+            stop = at
+        return max(at, start)
+
+    def _lone_after(self, text: str, start: int, stop: int) -> int:
+        """The first place from ``start`` on of such a space; ``stop`` if there is none."""
+        while (at := text.find(" ", start, stop - 1)) >= 0 and (self.space(text[at - 1]) or self.space(text[at + 1])):
+            start = at + 1
+        return at if at >= 0 else stop
+
+    @functools.cached_property
+    def token_sizes(self) -> np.ndarray:
+        return np.array([len(x) for x in self.token_bytes])
+
+    def _mended(self, text: str, start: int, cut: int, stop: int, left: np.ndarray, right: np.ndarray, leaf, width: int = 32) -> np.ndarray:
+        """The encoding of text[start:stop] from those of text[start:cut] and text[cut:stop]."""
+        self.joins += 1
+        while True:
+            a, b = self._lone_before(text, start, max(cut - width, start)), self._lone_after(text, min(cut + width, stop), stop)
+            # tokens of both sides inside the window; None where none of them ends at its edge
+            k = len(left) if a == start else self._count(left[::-1], len(text[a:cut].encode()))
+            m = len(right) if b == stop else self._count(right, len(text[cut:b].encode()))
+            if k is not None and m is not None:
+                window = np.frombuffer(leaf(text[a:b]), "<u4")
+                if (a == start or window[0] == left[-k]) and (b == stop or window[-1] == right[m - 1]):
+                    return np.concatenate([left[: len(left) - k], window, right[m:]])
+            width *= 2
+
+    def _count(self, ids: np.ndarray, size: int) -> int | None:
+        """How many tokens from the first on have ``size`` bytes together."""
+        ends = np.cumsum(self.token_sizes[ids[:size]])
+        at = int(np.searchsorted(ends, size))
+        return at + 1 if at < len(ends) and ends[at] == size else None
 
     def encode_long(self, piece: str) -> list[int]:
         """Ids of a piece without white space to split at, by tree concatenation."""
@@ -163,6 +222,7 @@ class PieceEncoder:
     def _join(self, left: list[int], right: list[int], width: int = 8) -> list[int]:
         """The encoding of the concatenation of two encoded strings."""
         table = self.token_bytes
+        self.piece_joins += 1
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
             while a > 0 and (table[left[a]][0] & 0xC0) == 0x80:  # a window starts and ends between characters

@@ -43,6 +43,29 @@ def test_tree_concatenation_equals_one_encoding(t):
     assert ENC[BYTE].encode_long(t) == LIB[BYTE].encode(t, add_special_tokens=False).ids
 
 
+spaced = st.lists(st.sampled_from(["a", "the ", " 's", "é", " ", "  ", "\n", " \n", "12", "! ", "中文 ", "x y ", " re"]) | st.text(alphabet="abe ", min_size=1, max_size=12), min_size=4, max_size=80).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(t=spaced)
+def test_tree_over_whole_texts(t):
+    assert ids(ENC[BYTE], t) == LIB[BYTE].encode(t, add_special_tokens=False).ids
+
+
+def test_every_long_document_goes_through_the_tree():
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    enc = PieceEncoder(BYTE)
+    long_ = [t for t in texts if len(t) > enc.leaf_chars]
+    assert long_
+    for t in long_:
+        before = enc.joins + enc.piece_joins
+        assert ids(enc, t) == LIB[BYTE].encode(t, add_special_tokens=False).ids
+        leaves = -(-len(t) // enc.leaf_chars)
+        assert enc.joins + enc.piece_joins - before >= leaves - 1
+
+
 @pytest.mark.parametrize("t", ["a" * 5000, "!=" * 3000, " " * 4000 + "x", "ab" * 4000 + "c", "é" * 3000])
 def test_long_unsplit_texts(t):
     assert ids(ENC[BYTE], t) == LIB[BYTE].encode(t, add_special_tokens=False).ids
