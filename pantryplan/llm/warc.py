@@ -3,13 +3,15 @@
 ``write_archives`` turns pages into records: headers alone (id, digest, length)
 are shuffled by payload digest, the smallest id of equal payloads of at least
 ``least`` bytes stays a response, and the others are written as revisits that
-refer to it. Payloads move only where the revisits are too many to broadcast.
+refer to it. Payloads move only where the repeated digests are too many to broadcast.
 ``read_archives`` parses any archives of this kind, and ``resolve`` joins revisit
 records to the responses they refer to.
 
 A null payload is empty. Rows with equal id and payload are all responses if
-theirs is the smallest id; a record without id is a response. Each record is a
-gzip member, followed by one that holds the blank lines that end it.
+theirs is the smallest id; a record without id is a response. Each record is one
+gzip member with the blank lines that end it; an empty member stands between two.
+Each task's first file begins with a ``warcinfo`` record, and files are closed after
+about ``FILE_BYTES`` of payload.
 """
 
 from __future__ import annotations
@@ -28,16 +30,30 @@ from pantryplan.llm.common import Scratch, bounded, table, text_batches, write_b
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:record:"
-TRAILER = gzip.compress(b"\r\n\r\n", mtime=0)
-#: Revisits up to this many rows (an id, a digest and an id each) are broadcast.
-BROADCAST_REVISITS = 200_000
+END = b"\r\n\r\n"
+TRAILER = gzip.compress(b"", mtime=0)
+#: Repeated digests up to this many rows (a digest and an id each) are broadcast.
+BROADCAST_DIGESTS = 200_000
+#: Payload bytes of a file, by the mean payload.
+FILE_BYTES = 1 << 28
 
 
-def find_revisits(headers: DataFrame, least: int = 100) -> DataFrame:
-    """id, digest and refers_to of records that repeat the payload of a smaller id."""
+def originals(headers: DataFrame, least: int = 100) -> DataFrame:
+    """digest and refers_to (the smallest id) of payloads of at least ``least`` bytes that more than one record has."""
     large = headers.where(F.col("bytes") >= least)
-    first = large.groupBy("digest").agg(F.min("id").alias("refers_to"))
-    return large.join(first, "digest").where(F.col("id") > F.col("refers_to")).select("id", "digest", "refers_to").distinct()
+    return large.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def find_revisits(headers: DataFrame, first: DataFrame, least: int = 100) -> DataFrame:
+    """id, digest and refers_to of records that repeat the payload of a smaller id."""
+    return headers.join(first, "digest").where((F.col("bytes") >= least) & (F.col("id") > F.col("refers_to"))).select("id", "digest", "refers_to").distinct()
+
+
+def info(date: str) -> bytes:
+    """The record that opens a file."""
+    block = b"software: pantryplan\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{RECORD_ID}info>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join([*head, "", ""]).encode() + block + END
 
 
 def record(rid: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -56,25 +72,35 @@ def record(rid: int | None, url: str | None, payload: bytes, digest: str, refers
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join([*head, "", ""]).encode() + block
+    return "\r\n".join([*head, "", ""]).encode() + block + END
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write records of ``id``, ``url`` and ``payload`` (text)."""
-    payload = F.coalesce("payload", F.lit(""))
-    full = pages.select("id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    revisits = find_revisits(full.select("id", "digest", F.octet_length("payload").alias("bytes")), least)
-    if bounded(revisits, BROADCAST_REVISITS):
-        revisits = F.broadcast(revisits)
+    payload, scratch = F.coalesce("payload", F.lit("")), Scratch(pages.sparkSession, "headers")
+    full = pages.select("id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
+    headers = scratch.save(full.select("id", "digest", "bytes"), "headers")
+    first = scratch.save(originals(headers, least), "originals")
+    if bounded(first, BROADCAST_DIGESTS):
+        repeats = (F.col("bytes") >= least) & (F.col("id") > F.col("refers_to"))
+        resolved = full.join(F.broadcast(first), "digest", "left").withColumn("refers_to", F.when(repeats, F.col("refers_to")))
+    else:
+        resolved = full.join(find_revisits(headers, first, least), ["id", "digest"], "left")
+    mean = headers.agg(F.avg("bytes")).first()[0] or 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda x: gzip.compress(x, 6, mtime=0)
+        opened = False
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = zip(*(c.to_pylist() for c in batch.slice(start, 256).columns))
-                yield pa.record_batch({"record": pa.array([gzip.compress(record(i, u, p.encode(), d, r, date), 6, mtime=0) for i, d, u, p, r in rows], pa.binary())})
+                out = [packed(record(i, u, p.encode(), d, r, date)) for i, d, u, p, r in rows]
+                yield pa.record_batch({"record": pa.array(out if opened else [packed(info(date)), *out], pa.binary())})
+                opened = True
 
-    resolved = full.join(revisits, ["id", "digest"], "left").select("id", "digest", "url", "payload", "refers_to")
-    write_blobs(resolved.mapInArrow(build, "record binary"), "record", path, TRAILER)
+    resolved = resolved.select("id", "digest", "url", "payload", "refers_to")
+    write_blobs(resolved.mapInArrow(build, "record binary"), "record", path, TRAILER, max(1, int(FILE_BYTES / max(mean, 1))))
+    scratch.drop("headers", "originals")
 
 
 def _members(blob: bytes) -> Iterator[bytes]:
@@ -122,6 +148,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for blob in batch.column(0):
                 rows = []
                 for head, block in records(blob.as_buffer()):
+                    if head["warc-type"] == "warcinfo":
+                        continue
                     payload = block[block.index(b"\r\n\r\n") + 4 :]
                     response = head["warc-type"] == "response"
                     rows.append((number(head["warc-record-id"]), head["warc-type"], number(head.get("warc-refers-to")), head["warc-payload-digest"].removeprefix("sha256:"), len(payload) if response else None, hashlib.sha256(payload).hexdigest() if response else None))

@@ -31,9 +31,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [warc.BROADCAST_REVISITS, 1])
+@pytest.mark.parametrize("limit", [warc.BROADCAST_DIGESTS, 1])
 def test_against_brute_force(spark, limit, monkeypatch):
-    monkeypatch.setattr(warc, "BROADCAST_REVISITS", limit)
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", limit)
     rows = [(i, ["é" * 50, "x" * 99, "same " * 40, None, "", "own %d " % i * 30][i % 6]) for i in range(60)]
     rows += [(2, "same " * 40), (8, "own 5 " * 30), (None, "same " * 40), (99, "\r\n\r\n" * 60), (98, "\r\n\r\n" * 60)]
     df = spark.createDataFrame([(i, None if i == 3 else f"http://h/{i}", p, "d") for i, p in rows], "id long, url string, payload string, digest string")
