@@ -118,6 +118,10 @@ def segments(blob: bytes) -> Iterator[Segment]:
         at = segment.end + len(TRAILER)
 
 
+#: Writing tasks whose files are summed together.
+SPAN = 4096
+
+
 def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> None:
     """Encode ``text`` and write it in ascending order of ``doc_id``, file after file."""
 
@@ -178,10 +182,14 @@ def offsets(docs: DataFrame) -> DataFrame:
     """Replace each document's place in its file by its place among all ids."""
     # One row a file; the writer numbers files by their range of ids.
     digits = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
-    number = F.struct(digits(r"part-(\d+)[^/]*$"), digits(r"-c(\d+)[^/]*$"))
-    totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns({"task": digits(r"part-(\d+)[^/]*$"), "nth": digits(r"-c(\d+)[^/]*$")})
+    # first over spans of files, few enough for one task, then inside each span
+    totals = totals.withColumn("span", F.floor(F.col("task") / SPAN))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    spans = totals.groupBy("span").agg(F.sum("n").alias("n"))
+    spans = spans.select("span", F.coalesce(F.sum("n").over(earlier(Window.orderBy("span"))), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("span").orderBy("task", "nth"))), F.lit(0))
+    bases = totals.withColumn("inside", inside).join(spans, "span").select("file", (F.col("base") + F.col("inside")).alias("base"))
     if bounded(totals, BROADCAST_FILES):
         bases = F.broadcast(bases)
     return docs.join(bases, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
