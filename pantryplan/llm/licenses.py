@@ -1,21 +1,30 @@
 """Operator 6: license scans by conditional compression.
 
-A block starts at each line with a cue word of licences and has as many words as
-a template, in whole lines. It is compressed by itself and with each template as
-a raw zstandard dictionary; the template that saves the largest share is the
-block's winner, ties by name, and it is confirmed by the exact wording: words of
-the template that the block lacks and words that it has inside the template's
-wording. A confirmed block has at most one such difference for every eight words
-of the template. What stands before its wording is scanned by itself, and a block
-that isn't confirmed without differences is tried from some lines before too, for
-wordings whose cue is not on their first line. Null and empty texts have no blocks; each row is scanned by
-itself, and blocks that start inside a confirmed one are part of it.
+Words are runs without white space, in lower case and without punctuation at their
+ends. A notice is a template's wording with at most one difference (a word in place
+of another, missing or added) for every eight words of the template.
+
+1. A template that may have ``d`` differences is cut into ``d + 1`` parts, one of
+   which stands in any such notice word for word; so the index of all parts meets
+   every notice. A text with none of the parts' longest words is not read further.
+2. A block is what a part points at: as many words as its template, and ``d`` more
+   on both sides. It is compressed by itself and with the template as a raw
+   zstandard dictionary; blocks are ranked by the share that this saves, and those
+   that it doesn't shorten go.
+3. The exact wording confirms: words of the template that the block lacks and words
+   that it has inside the template's wording. Of notices that overlap, the one with
+   most words of its template less differences stays; then the larger saving, then
+   the first name.
+
+Null and empty texts have no notices; each row is scanned by itself, and a line may
+hold several.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,9 +50,15 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT-full-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
-CUES = r"licen[cs]|copyright|rights\s+reserved|permission\s+is\s+hereby|redistribut|free\s+software|mozilla\s+public"
-_CUE = re.compile(CUES, re.I)
 _WORD = re.compile(r"[^\s]+")
 WORDS_PER_DIFFERENCE = 8
 
@@ -52,19 +67,33 @@ def _bare(word: str) -> str:
     return word.lower().strip("\"'.,;:()[]*#/-")
 
 
+def parts_of(words: list[str]) -> list[tuple[int, tuple[str, ...]]]:
+    """Offset and words of the parts of a template, one more than it may have differences."""
+    n = len(words) // WORDS_PER_DIFFERENCE + 1
+    cuts = [len(words) * i // n for i in range(n + 1)]
+    return [(a, tuple(words[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+
+def rare_words(templates: dict[str, str]) -> list[str]:
+    """Of each part its longest word: a text with a notice has one of them at least."""
+    parts = (p for t in templates.values() for _, p in parts_of([w for w in map(_bare, t.split()) if w]))
+    return sorted({max(p, key=lambda w: (len(w), w)) for p in parts})
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        self.templates = {k: (t, [w for w in map(_bare, t.split()) if w]) for k, t in sorted(templates.items())}
+        self.templates = {k: [w for w in map(_bare, t.split()) if w] for k, t in sorted(templates.items())}
         self.plain = zstandard.ZstdCompressor(level=3)
-        self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, (t, _) in self.templates.items()}
-        self.lengths = sorted({len(t.split()) for t, _ in self.templates.values()})
-        #: Words that a template has before its first cue.
-        self.lead = max(len(t[: m.start()].split()) for t, _ in self.templates.values() if (m := _CUE.search(t)))
-        self.memo: dict[str, tuple | None] = {}
-
-    def wording(self, block: str, name: str) -> tuple[int, int, list[str], int] | None:
-        """Start and end of the template's wording in the block, the differences inside it and their number."""
-        want = self.templates[name][1]
+        self.given = {k: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
+        self.parts: dict[tuple[str, str], list] = defaultdict(list)
+        for name, words in self.templates.items():
+            for offset, part in parts_of(words):
+                self.parts[part[:2]].append((part, offset, name))
+        self.memo: dict[tuple[str, str], tuple | None] = {}
+
+    def wording(self, block: str, name: str) -> tuple[int, int, list[str], int, int] | None:
+        """Start and end of the template's wording in the block, the differences inside it, their number and that of equal words."""
+        want = self.templates[name]
         found = [(m.start(), m.end(), b) for m in _WORD.finditer(block) if (b := _bare(m[0]))]
         have = [b for _, _, b in found]
         same = [m for m in difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
@@ -77,73 +106,54 @@ class Scanner:
             cost += max(m.b - b, m.a - a)  # a word in place of another counts once
             a, b = m.a + m.size, m.b + m.size
         changes += [f"-{w}" for w in want[b:]]
-        return found[first][0], found[last - 1][1], changes, cost + len(want) - b
-
-    def winner(self, blocks: dict[int, str]) -> tuple | None:
-        """Name, share saved, start, end and differences of the best template over blocks by their length in words."""
-        key = "\0".join(blocks.values())
-        if key in self.memo:
-            return self.memo[key]
-        ranked = []
-        for name, (text, _) in self.templates.items():
-            raw = blocks[len(text.split())].encode()
-            alone = len(self.plain.compress(raw))
-            ranked.append((-(alone - len(self.given[name].compress(raw))) / alone, name, raw))
-        out = None
-        for saved, name, raw in sorted(ranked)[:3]:  # equal wordings with a word changed compress alike
-            found = self.wording(raw.decode(), name)
-            if found and found[3] <= len(self.templates[name][1]) // WORDS_PER_DIFFERENCE and (out is None or found[3] < out[5]):
-                out = (name, -saved, *found)
-        if len(self.memo) < 50_000:
+        return found[first][0], found[last - 1][1], changes, cost + len(want) - b, sum(m.size for m in same)
+
+    def saving(self, block: str, name: str) -> float:
+        """Share of its compressed size that a block loses with the template at hand."""
+        raw = block.encode()
+        alone = len(self.plain.compress(raw))
+        return (alone - len(self.given[name].compress(raw))) / alone
+
+    def confirmed(self, block: str, name: str) -> tuple | None:
+        """Saving, then what ``wording`` gives, of a block that is the template's notice."""
+        key = (name, block)
+        if key not in self.memo:
+            out, saved = None, self.saving(block, name)
+            if saved > 0:
+                found = self.wording(block, name)
+                if found and found[3] <= len(self.templates[name]) // WORDS_PER_DIFFERENCE:
+                    out = (saved, *found)
+            if len(self.memo) >= 50_000:
+                self.memo.clear()
             self.memo[key] = out
-        return out
-
-    def blocks(self, text: str, start: int, begin: int, least: int, limit: int) -> dict[int, str]:
-        """Text from ``begin`` on in whole lines, by the number of words from ``start`` on; each reaches ``least`` and none ``limit``."""
-        out = {}
-        for n in self.lengths:
-            end = start
-            for i, m in enumerate(_WORD.finditer(text, start, limit)):
-                end = m.end()
-                if i + 1 >= n:
-                    break
-            stop = text.find("\n", max(end, least), limit)
-            out[n] = text[begin : stop if stop >= 0 else limit]
-        return out
-
-    def early(self, text: str, start: int, done: int) -> int:
-        """Start of a line with ``lead`` words before ``start``, not before ``done``."""
-        n = 0
-        while start > done and n < self.lead:
-            line = max(text.rfind("\n", 0, start - 1) + 1, done)
-            n += sum(bool(_bare(w)) for w in text[line:start].split())
-            start = line
-        return start
-
-    def span(self, text: str, done: int, limit: int) -> Iterator[tuple]:
-        for cue in _CUE.finditer(text, done, limit):
-            if cue.start() < done:
-                continue
-            begin = start = max(text.rfind("\n", 0, cue.start()) + 1, done)
-            found = self.winner(self.blocks(text, start, begin, cue.end(), limit))
-            if (not found or found[5]) and (line := self.early(text, start, done)) < start:
-                # the wording may begin on a line before that of its first cue
-                more = self.winner(self.blocks(text, start, line, cue.end(), limit))
-                if more and (not found or more[5] < found[5]):
-                    begin, found = line, more
-            if found:
-                name, saved, a, b, changes, _ = found
-                yield from self.span(text, begin, begin + a)  # notices that stand before the winner
-                yield begin + a, begin + b, name, saved, changes
-                done = max(done, begin + b)
+        return self.memo[key]
 
     def scan(self, text: str | None) -> list[tuple]:
         """(start, end, license, saved, differences) in code points."""
-        return list(self.span(text or "", 0, len(text or "")))
+        words = [(m.start(), m.end(), b) for m in _WORD.finditer(text or "") if (b := _bare(m[0]))]
+        bare = [b for _, _, b in words]
+        places = set()
+        for i, pair in enumerate(zip(bare, bare[1:])):
+            for part, offset, name in self.parts.get(pair, ()):
+                if tuple(bare[i : i + len(part)]) == part:
+                    places.add((name, i - offset))
+        found = []
+        for name, at in sorted(places):
+            n = len(self.templates[name])
+            slack = n // WORDS_PER_DIFFERENCE
+            a, b = words[max(at - slack, 0)][0], words[min(at + n + slack, len(words)) - 1][1]
+            if hit := self.confirmed(text[a:b], name):
+                saved, start, stop, changes, cost, same = hit
+                found.append((cost - same, -saved, name, a + start, a + stop, changes))
+        out: list[tuple] = []
+        for _, saved, name, start, stop, changes in sorted(found, key=lambda x: x[:5]):
+            if all(stop <= o[0] or start >= o[1] for o in out):
+                out.append((start, stop, name, -saved, changes))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, start, stop, license, saved and differences of each confirmed block."""
+    """doc_id, start, stop, license, saved and differences of each notice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
@@ -156,8 +166,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             start, stop, name, saved, changes = map(list, zip(*rows)) if rows else ([], [], [], [], [])
             yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64()), "license": pa.array(name, pa.string()), "saved": pa.array(saved, pa.float64()), "differences": pa.array(changes, pa.list_(pa.string()))})
 
-    cued = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(f"(?i)(?:{CUES})"))
-    return cued.mapInArrow(run, "doc_id long, start long, stop long, license string, saved double, differences array<string>")
+    rare = "|".join(re.sub(r"([^a-z0-9])", r"\\\1", w) for w in rare_words(templates))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(f"(?iu)(?:{rare})"))
+    return some.mapInArrow(run, "doc_id long, start long, stop long, license string, saved double, differences array<string>")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

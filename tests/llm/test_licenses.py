@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pantryplan.llm import licenses as x
@@ -34,6 +36,46 @@ def test_notices_before_the_winner_and_cues_behind_the_first_line():
     assert [r[2] for r in S.scan("All rights\nreserved.\nReleased under the MIT License. All rights reserved.")] == ["all-rights-reserved", "MIT", "all-rights-reserved"]
 
 
+def brute(text):
+    """Every template at every place of a text, without index or compression."""
+    words = [m for m in x._WORD.finditer(text) if x._bare(m[0])]
+    found = []
+    for name, want in S.templates.items():
+        slack = len(want) // x.WORDS_PER_DIFFERENCE
+        for at in range(1 - len(want), len(words)):
+            a, b = max(at - slack, 0), min(at + len(want) + slack, len(words))
+            if a < b and (hit := S.wording(text[words[a].start() : words[b - 1].end()], name)) and hit[3] <= slack:
+                found.append((hit[3] - hit[4], name, words[a].start() + hit[0], words[a].start() + hit[1]))
+    out = []
+    for _, name, start, stop in sorted(found):
+        if all(stop <= o[0] or start >= o[1] for o in out):
+            out.append((start, stop, name))
+    return sorted(out)
+
+
+def test_against_brute_force():
+    rng = random.Random(6)
+    names = sorted(x.TEMPLATES)
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            words += [rng.choice(["some", "license", "the", "software", "under", "text\n"]) for _ in range(rng.randrange(0, 12))]
+            notice = x.TEMPLATES[rng.choice(names)].split()
+            for _ in range(rng.choice([0, 0, 1, 2, len(notice) // 8, len(notice) // 6])):
+                at = rng.randrange(len(notice))
+                notice[at : at + rng.randrange(0, 2)] = rng.choice([[], ["odd"], ["odd", "words"]])
+            words += notice
+        text = " ".join(words)
+        assert [(a, b, n) for a, b, n, _, _ in S.scan(text)] == brute(text)
+
+
+def test_two_notices_on_one_line():
+    text = "Licensed under CC BY 4.0. Released under the MIT License."
+    assert [r[2] for r in S.scan(text)] == ["CC-BY-4.0", "MIT"]
+    many = "All rights reserved. " * 800
+    assert len(S.scan(many)) == 800
+
+
 def test_table(spark):
     rows = [(1, "a\nReleased under the MIT License."), (1, "a\nReleased under the MIT License."), (2, None), (3, ""), (None, "All rights reserved."), (5, "word " * 5000 + "\nLicensed under CC BY-NC 4.0.")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, license string")
