@@ -6,7 +6,10 @@ or another document, are kept where they first occur, by (doc_id, place), and
 deleted elsewhere: a line goes if it is in such a run that has an earlier
 occurrence. Shorter repeated lines stay.
 
-1. Lines are named by hash; only those that occur twice can be in a repeated run.
+1. Lines are named by two hashes and their length; only those that occur twice can
+   be in a repeated run, and only those in consecutive repeated lines with more than
+   ``words`` words go on. The most frequent lines (each a thousandth of all, so a
+   thousand at most) are matched by broadcast, not by a shuffle on their name.
 2. Prefix doubling: level k ranks the runs of 2^k lines. A level is ranked by the
    pairs of ranks of the level before, over the distinct pairs in sorted order, so
    ranks sort as the suffixes do; pairs that occur once leave.
@@ -33,13 +36,17 @@ from pantryplan.llm.common import Scratch, bounded, table, text_batches
 
 #: Deletions of up to this many documents are broadcast to their texts.
 BROADCAST_DOCS = 50_000
+#: Lines that are this part of all repeated ones and more are matched by broadcast.
+HOT = 1_000
 KEY = ["doc", "row"]
 
 
 def _shortest(lines: Column, words: int) -> Column:
-    """Start, length and level of the shortest runs over ``words`` words, from (pos, words) of a document's repeated lines."""
+    """From (pos, words) of a document's repeated lines: the shortest runs over ``words`` words, and the places that they cover."""
+    kind = "struct<runs:array<struct<start:int,length:int,level:int>>,places:array<int>>"
+    run = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("level", pa.int32())])
 
-    @F.arrow_udf("array<struct<start:int,length:int,level:int>>")
+    @F.arrow_udf(kind)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
@@ -54,8 +61,13 @@ def _shortest(lines: Column, words: int) -> Column:
                 start = np.searchsorted(total, total[at + 1] - words, "left") - 1
                 runs = {(int(a), int(b)) for a, b in zip(at[stop <= last], stop[stop <= last])}
                 runs |= {(int(a), int(b) + 1) for a, b in zip(start[start >= first], at[start >= first])}
-                out.append([{"start": int(pos[a]), "length": b - a, "level": (b - a).bit_length() - 1} for a, b in sorted(runs)])
-            yield pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("level", pa.int32())])))
+                depth = np.zeros(len(pos) + 1, int)
+                for a, b in runs:
+                    depth[a] += 1
+                    depth[b] -= 1
+                found = [{"start": int(pos[a]), "length": b - a, "level": (b - a).bit_length() - 1} for a, b in sorted(runs)]
+                out.append({"runs": found, "places": pos[np.cumsum(depth[:-1]) > 0].tolist()})
+            yield pa.array(out, pa.struct([("runs", pa.list_(run)), ("places", pa.list_(pa.int32()))]))
 
     return find(lines)
 
@@ -68,13 +80,22 @@ def _doc(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc, row, pos, words and rank (the hash) of every line that occurs more than once."""
+def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, row, pos, words and rank (a number of the line) of every line that occurs more than once."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.select(_doc(F.col("doc_id")).alias("doc"), _row(text).alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.select(*KEY, "pos", F.xxhash64("line").alias("rank"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
-    again = lines.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1")
-    return lines.join(again.select("rank"), "rank").select(*KEY, "pos", "words", "rank")
+    name = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.char_length("line").alias("chars")]
+    lines = lines.select(*KEY, "pos", *name, F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
+    again = lines.groupBy("h1", "h2", "chars").agg(F.count("*").alias("n")).where("n > 1").withColumn("rank", F.monotonically_increasing_id())
+    again = scratch.save(again, "again")
+    total = again.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT >= total
+    often, seldom = (again.where(c).drop("n") for c in (hot, ~hot))
+    held = lines.join(F.broadcast(often.withColumnRenamed("rank", "known")), ["h1", "h2", "chars"], "left")
+    # a line whose number is known is dealt out by its place and meets nothing
+    dealt = F.when(F.col("known").isNull(), F.col("h1")).otherwise(F.xxhash64(*KEY, "pos"))
+    held = held.withColumn("h1", dealt).withColumn("h2", F.when(F.col("known").isNull(), F.col("h2"))).join(seldom, ["h1", "h2", "chars"], "left")
+    return held.withColumn("rank", F.coalesce("known", "rank")).where("rank is not null").select(*KEY, "pos", "words", "rank")
 
 
 def levels(lines: DataFrame, scratch: Scratch, most: int) -> DataFrame:
@@ -98,9 +119,12 @@ def levels(lines: DataFrame, scratch: Scratch, most: int) -> DataFrame:
 def deletions(docs: DataFrame, words: int = 50) -> DataFrame:
     """doc, row and the places of the lines to delete."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = scratch.save(repeated_lines(docs).dropDuplicates([*KEY, "pos"]), "lines")
+    lines = scratch.save(repeated_lines(docs, scratch).dropDuplicates([*KEY, "pos"]), "lines")
     by_doc = lines.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("lines"))
-    runs = scratch.save(by_doc.select(*KEY, F.explode(_shortest(F.col("lines"), words)).alias("r")).select(*KEY, "r.*"), "runs")
+    found = scratch.save(by_doc.select(*KEY, _shortest(F.col("lines"), words).alias("f")).where(F.size("f.runs") > 0).select(*KEY, "f.*"), "found")
+    runs = found.select(*KEY, F.inline("runs"))
+    # lines outside all such runs, blank ones between other texts above all, stay behind
+    lines = scratch.save(lines.join(found.select(*KEY, F.explode("places").alias("pos")), [*KEY, "pos"], "left_semi"), "inside")
     most = runs.agg(F.max("length")).first()[0]
     if most is None:
         return runs.select(*KEY, F.array(F.col("start")).alias("places")).limit(0)
@@ -117,16 +141,19 @@ def deletions(docs: DataFrame, words: int = 50) -> DataFrame:
     return scratch.save(gone.groupBy(*KEY).agg(F.collect_set("pos").alias("places")), "places")
 
 
-def dedup_lines(docs: DataFrame, words: int = 50) -> DataFrame:
-    """The rows with their text freed of later copies, and ``n_lines`` and ``n_deleted`` of them."""
+def dedup_lines(docs: DataFrame, words: int = 50, lines_col: str = "n_lines", deleted_col: str = "n_deleted") -> DataFrame:
+    """The rows with their text freed of later copies, and the numbers of lines and of deleted ones.
+
+    Columns that have the names of these numbers are replaced.
+    """
     gone = deletions(docs, words)
     gone = F.broadcast(gone) if bounded(gone, BROADCAST_DOCS) else gone
     same = (_doc(F.col("d.doc_id")) == F.col("g.doc")) & (_row(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("g.row"))
     out = docs.alias("d").join(gone.alias("g"), same, "left")
     left = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("g.places", i)), "\n")
-    keep = [F.col(f"d.{c}").alias(c) for c in docs.columns if c != "text"]
+    keep = [F.col(f"d.`{c}`").alias(c) for c in docs.columns if c not in ("text", lines_col, deleted_col)]
     count = F.when(F.coalesce("d.text", F.lit("")) == "", 0).otherwise(F.regexp_count("d.text", F.lit("\n")) + 1)
-    return out.select(*keep, F.when(F.col("g.places").isNull(), F.col("d.text")).otherwise(left).alias("text"), count.cast("long").alias("n_lines"), F.coalesce(F.size("g.places"), F.lit(0)).cast("long").alias("n_deleted"))
+    return out.select(*keep, F.when(F.col("g.places").isNull(), F.col("d.text")).otherwise(left).alias("text"), count.cast("long").alias(lines_col), F.coalesce(F.size("g.places"), F.lit(0)).cast("long").alias(deleted_col))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
