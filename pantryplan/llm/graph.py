@@ -35,7 +35,8 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is not among ``ids``; texts move only where the ids are too many to broadcast."""
+    """The rows of ``docs`` whose key is not among ``ids``, of which a null is one like any other; texts move only where the ids are too many to broadcast."""
+    ids = ids.select(F.col(key).alias("__gone"))
     if bounded(ids, BROADCAST_IDS):
         ids = F.broadcast(ids)
-    return docs.join(ids, key, "left_anti")
+    return docs.join(ids, docs[key].eqNullSafe(ids["__gone"]), "left_anti")
