@@ -33,9 +33,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    out = linededup.dedup_lines(docs).where("n_deleted = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    n_chars = {"n_chars": F.when(F.col("n_deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns(n_chars).select(*docs.columns) if n_chars else out.select(*docs.columns)
+    out = linededup.dedup_lines(docs, lines_col="__lines", deleted_col="__deleted").where("__deleted = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("__deleted") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
