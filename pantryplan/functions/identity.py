@@ -23,6 +23,17 @@ VARIANTS = (
     "spicy", "mild", "medium", "hot", "sweet", "sour", "smoky", "garlic", "onion", "herb", "ranch", "bbq", "barbecue", "buffalo", "sea-salt",
     "white", "brown", "black", "green", "red", "yellow", "dark", "milk", "extra-virgin", "virgin", "unrefined", "refined",
 )
+# Brands of the stores themselves, known rather than inferred.
+STORE_BRANDS = (
+    "Signature Select", "O Organics", "Value Corner", "Lucerne", "Open Nature", "Primo Taglio", "Waterfront Bistro", "Debi Lilly", "Soleil",
+    "Kroger", "Simple Truth", "Private Selection", "Home Chef", "Sprouts", "Sprouts Farmers Market",
+    "Friendly Farms", "Simply Nature", "Specially Selected", "Happy Farms", "Clancy's", "Millville", "Crofton", "Benton's", "Burman's", "Casa Mamita",
+    "Barissimo", "Fit & Active", "Never Any", "Southern Grove", "Berryhill", "Chef's Cupboard", "Countryside Creamery", "Dakota's Pride", "Earth Grown",
+    "Elevation", "Goldhen", "Little Salad Bar", "Mama Cozzi's", "Nature's Nectar", "Priano", "Pueblo Lindo", "Reggano", "Season's Choice", "Simply Gum",
+    "Stonemill", "Sundae Shoppe", "Tuscan Garden", "Village Bakery",
+)
+# Words that are part of a size.
+SIZE_LIKE = r"^(?:[\d.,/]+|oz|lb|lbs|g|kg|mg|ml|l|ct|pk|pack|fl|gal|qt|pt|x|count)$"
 EXCLUSIVE = (
     ("whole", "skim", "1%", "2%", "nonfat", "low-fat", "lowfat", "reduced-fat"),
     ("frozen", "fresh", "canned", "dried"),
@@ -56,7 +67,7 @@ def brand_lexicon(catalog: DataFrame, least: int = 5) -> DataFrame:
 
 
 def brands(catalog: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Adds ``brand``: the longest leading gram of the lexicon that keeps half of the shorter one's products."""
+    """Adds ``brand``: the longest leading gram of the lexicon that keeps half of the shorter one's products; else a leading store brand."""
     out, ts = catalog, tokenize(F.col("raw_title"))
     for n in range(1, LONGEST + 1):
         part = lexicon.select(F.col("gram").alias(f"g{n}"), F.col("n").alias(f"n{n}"))
@@ -64,7 +75,8 @@ def brands(catalog: DataFrame, lexicon: DataFrame) -> DataFrame:
     grows = lambda a, b: F.coalesce(F.col(b) >= EXTENSION * F.col(a), F.lit(False))
     two = F.col("n2").isNotNull() & (F.col("n1").isNull() | grows("n1", "n2"))
     three = F.col("n3").isNotNull() & ((two & grows("n2", "n3")) | (F.col("n1").isNull() & F.col("n2").isNull()))
-    found = F.when(three, F.col("g3")).when(two, F.col("g2")).when(F.col("n1").isNotNull(), F.col("g1"))
+    listed = [F.when(F.col(f"g{n}").isin(*STORE_BRANDS), F.col(f"g{n}")) for n in range(LONGEST, 0, -1)]
+    found = F.when(three, F.col("g3")).when(two, F.col("g2")).when(F.col("n1").isNotNull(), F.col("g1")).otherwise(F.coalesce(*listed))
     return out.withColumn("brand", strip_generic(found)).drop(*(f"{x}{n}" for x in "gn" for n in range(1, LONGEST + 1)))
 
 
@@ -77,11 +89,29 @@ def strip_generic(brand: Column) -> Column:
 
 
 def variant_tokens(title: Column, brand: Column) -> Column:
-    """Sorted descriptors of a title, joined pairs like ``low-fat`` too, without the brand's own words."""
-    ts = F.transform(F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^a-z0-9&'.%\-]+"), lambda t: F.rtrim(t, F.lit(".")))
-    pairs = F.transform(ts, lambda t, i: F.concat(t, F.lit("-"), F.coalesce(F.get(ts, i + 1), F.lit(""))))
-    own = F.split(F.lower(F.coalesce(brand, F.lit(""))), " ")
-    return F.array_sort(F.array_except(F.array_intersect(F.concat(ts, pairs), words(*VARIANTS)), own))
+    """Sorted descriptors of a title without the brand's own words; a word that is none may make one with the next (``sea salt``).
+
+    Tokens have no ``%``, so fat percentages are no descriptors of a title.
+    """
+    own = F.transform(tokenize(brand), F.lower)
+    ts = F.transform(F.filter(F.transform(tokenize(title), F.lower), lambda t: ~F.array_contains(own, t)), lambda t: F.btrim(t, F.lit(".")))
+
+    def descriptor(t: Column, i: Column) -> Column:
+        pair = F.concat(t, F.lit("-"), F.get(ts, i + 1))
+        return F.when(t.rlike(SIZE_LIKE), None).when(t.isin(*VARIANTS), t).when(pair.isin(*VARIANTS), pair)
+
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(ts, descriptor))))
+
+
+def request_identity(requests: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
+    """key, brand and variants of requests: the longest run of words anywhere in the text that is a brand, the leftmost of equals."""
+    ts = tokenize(F.col(text))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.transform(ts, lambda _, i: F.when(i + n <= F.size(ts), F.struct((-n).alias("n"), i.alias("i"), F.array_join(F.slice(ts, i + 1, n), " ").alias("gram"))))))
+    at = requests.select(key, F.explode(F.array_compact(grams)).alias("g")).select(key, "g.*").where(plausible(F.col("gram")))
+    known = at.join(lexicon.select("gram", F.lit(True).alias("known")), "gram", "left").where(F.col("known") | F.col("gram").isin(*STORE_BRANDS))
+    best = known.groupBy(key).agg(F.min_by("gram", F.struct("n", "i")).alias("found"))
+    out = requests.join(best, key, "left").withColumn("brand", strip_generic(F.col("found")))
+    return out.select(key, "brand", variant_tokens(F.col(text), F.col("brand")).alias("variants"))
 
 
 def variants_conflict(a: Column, b: Column) -> Column:

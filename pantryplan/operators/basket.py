@@ -74,12 +74,22 @@ def resolve(requests: DataFrame, stores: DataFrame, candidates: DataFrame, keys:
 
 
 def override(resolved: DataFrame, choices: DataFrame) -> DataFrame:
-    """Choices made by hand (list_id, pos, store_id, product_id, packages, cost_cents) win over any state."""
+    """Choices made by hand win over any state; everything about the line is computed anew.
+
+    ``choices``: list_id, pos, store_id, product_id, asked, asked_unit, size, unit,
+    price_cents, stock. A choice that can't be priced (no amount asked, no size, or
+    other units) is an error. The runner-up of the old choice goes.
+    """
     by = ["list_id", "pos", "store_id"]
-    hand = choices.select(*by, F.col("product_id").alias("h_product"), F.col("packages").alias("h_packages"), F.col("cost_cents").alias("h_cost"))
-    out = resolved.join(hand, by, "left")
-    ours = F.col("h_product").isNotNull()
-    return out.withColumns({"product_id": F.coalesce("h_product", "product_id"), "packages": F.coalesce("h_packages", "packages"), "cost_cents": F.coalesce("h_cost", "cost_cents"), "state": F.when(ours, "priced").otherwise(F.col("state"))}).drop("h_product", "h_packages", "h_cost")
+    priced = arithmetic(choices)
+    failed = F.raise_error(F.concat(F.lit("an override can't be priced: product "), F.coalesce("product_id", F.lit("?")), F.lit(" for list "), F.col("list_id").cast("string")))
+    cost = F.when(F.col("cost_cents").isNull(), failed.cast("long")).otherwise(F.col("cost_cents"))
+    fields = ["product_id", "packages", "cost_cents", "excess", "stock"]
+    hand = priced.withColumn("cost_cents", cost).select(*by, F.lit(True).alias("by_hand"), *(F.col(c).alias(f"h_{c}") for c in fields))
+    out = resolved.join(hand, by, "left").withColumn("by_hand", F.coalesce("by_hand", F.lit(False)))
+    new = {c: F.when(F.col("by_hand"), F.col(f"h_{c}")).otherwise(F.col(c)) for c in fields}
+    new |= {"state": F.when(F.col("by_hand"), "priced").otherwise(F.col("state")), "runner_up": F.when(~F.col("by_hand"), F.col("runner_up"))}
+    return out.withColumns(new).drop(*(f"h_{c}" for c in fields)).withColumnRenamed("by_hand", "overridden")
 
 
 def totals(resolved: DataFrame) -> DataFrame:
@@ -101,7 +111,63 @@ def compare(baskets: DataFrame) -> DataFrame:
     wins = F.coalesce(F.col("total_cents") == least, F.lit(False))
     order = Window.partitionBy("list_id").orderBy(F.asc_nulls_last("total_cents"), "store_id")
     out = baskets.withColumn("rank", F.when(F.col("complete"), F.row_number().over(order))).withColumn("is_winner", wins)
-    return out.withColumn("is_tie", F.col("is_winner") & (F.sum(F.col("is_winner").cast("int")).over(whole) > 1))
+    out = out.withColumn("is_tie", F.col("is_winner") & (F.sum(F.col("is_winner").cast("int")).over(whole) > 1))
+    return out.withColumn("no_winner_reason", F.when(least.isNull(), "no store can complete this basket"))
+
+
+def number(x: Column) -> Column:
+    """A number as it is shown to shoppers: six significant digits, no zeros at the end."""
+    digits = F.greatest(F.lit(5) - F.floor(F.log10(F.abs(x))), F.lit(0)).cast("int")
+    short = F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+    return F.regexp_replace(F.regexp_replace(short.cast("decimal(24,6)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def because(chosen_cost: Column, considered: Column, rival: Column, rival_cost: Column, cheaper: Column, cheaper_cost: Column) -> Column:
+    """Why a package was chosen: from the runner-up in the band, or a cheaper one outside it, by their titles and costs."""
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    delta = rival_cost - chosen_cost
+    return (
+        F.when(rival.isNotNull() & (delta > 0), text("cheapest accepted option: ", chosen_cost.cast("string"), "c against ", rival_cost.cast("string"), "c for ", rival, ", a ", delta.cast("string"), "c difference"))
+        .when(rival.isNotNull(), text("tied on cost with ", rival, " at ", chosen_cost.cast("string"), "c; broken by less excess, then by match score"))
+        .when(cheaper.isNotNull(), text("best match among accepted options; ", cheaper, " is ", (chosen_cost - cheaper_cost).cast("string"), f"c cheaper but scores further from the request than the near-tie band ({BAND}) allows"))
+        .when(considered <= 1, "the only candidate that could be priced")
+        .otherwise("the only accepted candidate")
+    )
+
+
+def explain_lines(requests: DataFrame, candidates: DataFrame, resolved: DataFrame, keys: list[str], accept: float, top: int = 5) -> DataFrame:
+    """An explanation of each resolved request at each store.
+
+    Priced lines tell the package, unit price, excess and why it was chosen; others
+    show the ``top`` best candidates. Out-of-stock products are listed for both.
+    ``candidates`` have product_id, title, score, size, unit, price_cents and state.
+    """
+    by = [*keys, "store_id"]
+    live = candidates.where("state is null or state <> 'out_of_stock'").join(requests.select(*keys, "asked", "asked_unit"), keys)
+    placed = select(near_tie(arithmetic(live), by, accept), by)
+    first = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    own_cost = F.max(F.when(F.col("place") == 1, F.col("cost_cents"))).over(Window.partitionBy(*by))
+    out_of_band = (F.col("score") >= accept) & ~F.col("in_band") & (F.col("cost_cents") < F.col("own_cost"))
+    best = placed.withColumn("own_cost", own_cost).groupBy(*by).agg(
+        first(1, "title").alias("title"), first(1, "size").alias("size"), first(1, "unit").alias("unit"), first(1, "price_cents").alias("price_cents"),
+        first(2, "title").alias("rival"), first(2, "cost_cents").alias("rival_cost"),
+        F.min(F.when(out_of_band, F.struct("cost_cents", "product_id", "title"))).alias("cheaper"),
+        F.count(F.when((F.col("score") >= accept) & F.col("cost_cents").isNotNull(), 1)).alias("considered"),
+        F.count(F.when((F.col("score") >= accept) & F.col("cost_cents").isNull(), 1)).alias("n_unresolved"),
+        F.count("*").alias("n_candidates"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "product_id"))), F.lit(1), F.lit(top)), lambda x: x["product_id"]).alias("shown"),
+    )
+    gone = candidates.where("state = 'out_of_stock'").groupBy(*by).agg(F.array_sort(F.collect_set("product_id")).alias("out_of_stock"))
+    out = resolved.join(best, by, "left").join(gone, by, "left").join(requests.select(*keys, "asked", "asked_unit"), keys, "left")
+    priced = F.col("state") == "priced"
+    reason = F.when(F.col("state") == "missing", "no candidate cleared the review floor").when(F.col("state") == "review", "candidates shown, not priced")
+    return out.select(
+        *by, "state", reason.alias("reason"), F.concat_ws(" ", number(F.col("asked")), "asked_unit").alias("requested"),
+        *(F.when(priced, c).alias(n) for n, c in (("product_id", F.col("product_id")), ("title", F.col("title")), ("package_size", F.concat_ws(" ", number(F.col("size")), "unit")), ("packages", F.col("packages")), ("cost_cents", F.col("cost_cents")), ("excess", F.col("excess")), ("unit_price", F.round(unit_price(F.col("price_cents"), F.col("size")), 6)))),
+        F.when(priced, because(F.col("cost_cents"), F.col("considered"), F.col("rival"), F.col("rival_cost"), F.col("cheaper.title"), F.col("cheaper.cost_cents"))).alias("chosen_because"),
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.when(priced, F.col("n_unresolved")).alias("n_unresolved"),
+        F.when(~priced, F.array_join(F.coalesce("shown", F.array().cast("array<string>")), ",")).alias("candidates"), F.array_join(F.coalesce("out_of_stock", F.array().cast("array<string>")), ",").alias("out_of_stock"),
+    )
 
 
 def explain(compared: DataFrame, resolved: DataFrame) -> DataFrame:

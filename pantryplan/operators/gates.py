@@ -20,7 +20,7 @@ def size_fits(asked: Column, asked_unit: Column, size: Column, unit: Column) ->
 
 def sufficiency(asked: Column, asked_unit: Column, size: Column, unit: Column) -> Column:
     """sufficient, unresolved or drop."""
-    return F.when(asked.isNull() | asked_unit.isNull(), "sufficient").when(size.isNull() | unit.isNull(), "unresolved").when(unit != asked_unit, "drop").otherwise("sufficient")
+    return F.when(asked.isNull() | asked_unit.isNull(), "sufficient").when(size.isNull() | unit.isNull() | (size <= 0), "unresolved").when(unit != asked_unit, "drop").otherwise("sufficient")
 
 
 def identity(mode: Column, brand_a: Column, brand_b: Column, conflict: Column) -> Column:

@@ -74,9 +74,77 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.orderBy("cost", F.desc("n_ok"), "threshold").limit(1)
 
 
-def cutpoints(records: DataFrame, grid: DataFrame, review: float = 0.5, wrong: float = 2.0, missed: float = 1.0) -> DataFrame:
-    """Cost of each pair accept >= floor of the grid's values."""
-    pairs = grid.select(F.col("value").alias("accept")).join(grid.select(F.col("value").alias("floor")), F.col("floor") <= F.col("accept"))
-    at = records.crossJoin(F.broadcast(pairs)).withColumn("out", outcome(F.lit(False), F.col("score"), F.col("accept"), F.col("floor")))
-    bad, miss = (F.col("out") == "accept") & ~F.col("is_ok"), (F.col("out") == "no_match") & F.col("answerable")
-    return at.groupBy("accept", "floor").agg(F.sum(F.when((F.col("out") == "accept") & F.col("is_ok"), 1).otherwise(0)).alias("n_ok"), F.sum(F.when(F.col("out") == "review", 1).otherwise(0)).alias("n_review"), F.round(F.sum(F.when(bad, wrong).when(miss, missed).when(F.col("out") == "review", review).otherwise(0.0)), 6).alias("cost"))
+def returned_accuracy(records: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Of answered requests those that should be answered, with an acceptable first result; every answer counts below the line."""
+    said = F.col("response") == "answerable"
+    right = said & (F.col("truth") == "answerable") & F.coalesce(F.col(label) == "Acceptable", F.lit(False))
+    return records.groupBy(*by).agg(F.count(F.when(said, 1)).alias("n"), F.count(F.when(right, 1)).alias("n_correct"), share(right, said).alias("accuracy"))
+
+
+def success_bounds(records: DataFrame, by: list[str], label: str) -> DataFrame:
+    """First results by what their label confirms; unlabelled ones are in the denominator alone."""
+    said = F.col("response") == "answerable"
+    count = lambda c: F.count(F.when(said & c, 1))
+    out = records.groupBy(*by).agg(F.count("*").alias("n"), count(F.col(label) == "Acceptable").alias("confirmed_correct"), count(F.col(label) == "Incorrect").alias("confirmed_incorrect"), count(F.col(label) == "Needs clarification").alias("unresolved"))
+    rate = lambda x: F.round(F.try_divide(x, F.col("n")), 6)
+    return out.withColumns({"lower_bound": rate(F.col("confirmed_correct")), "upper_bound": rate(F.col("confirmed_correct") + F.col("unresolved"))})
+
+
+def guess_exposure(records: DataFrame, by: list[str]) -> DataFrame:
+    """How many answered first results rest on a guessed label."""
+    said = F.col("response") == "answerable"
+    return records.groupBy(*by).agg(F.count(F.when(said, 1)).alias("n_scored"), F.count(F.when(said & F.col("is_best_guess"), 1)).alias("n_guessed"))
+
+
+def excluded(requests: DataFrame, audit: DataFrame) -> DataFrame:
+    """request_id of dev requests without a match whose audit hasn't confirmed that there is none."""
+    sure = audit.where(F.col("confidence").isin("confirmed", "confirmed by construction")).select("request_id")
+    return requests.where("split = 'dev' and truth = 'no_acceptable_match'").select("request_id").join(sure, "request_id", "left_anti")
+
+
+def cut(accept: Column | float, floor: Column | float) -> Column:
+    """Outcome of a stored record: what was to be clarified stays for review, what had no result stays without."""
+    no_answer = (F.col("response") != "answerable") | F.col("score").isNull()
+    return F.when(F.col("response") == "needs_clarification", "review").when(no_answer, "no_match").otherwise(outcome(F.lit(False), F.col("score"), accept, floor))
+
+
+def dev_grid(records: DataFrame, by: list[str], points: int = 17) -> DataFrame:
+    """0 and ``points`` equal steps from the least to the greatest first score of answered records, by group."""
+    ends = records.where("response = 'answerable' and score is not null").groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.round(F.col("lo") + i * (F.col("hi") - F.col("lo")) / (points - 1), 6))
+    return ends.select(*by, F.explode(F.array_distinct(F.concat(F.array(F.lit(0.0)), steps))).alias("value"))
+
+
+def cut_surface(records: DataFrame, by: list[str], review_costs: tuple[float, ...], label: str) -> DataFrame:
+    """Average cost of each pair accept >= floor of a group's grid at each cost of a review.
+
+    A wrong answer costs 2 and a missed one 1. The grid is some eighteen values a
+    group, so a record is held against 171 pairs and folded at once.
+    """
+    grid = dev_grid(records, by)
+    pairs = grid.withColumnRenamed("value", "accept").join(grid.withColumnRenamed("value", "floor"), by).where("floor <= accept")
+    at = records.join(F.broadcast(pairs), by).withColumn("out", cut(F.col("accept"), F.col("floor")))
+    right = (F.col("truth") == "answerable") & F.coalesce(F.col(label) == "Acceptable", F.lit(False))
+    cost = F.when(F.col("out") == "accept", F.when(right, 0.0).otherwise(2.0)).when((F.col("out") == "no_match") & (F.col("truth") == "answerable"), 1.0).otherwise(0.0)
+    count = lambda c: F.count(F.when(c, 1))
+    folded = at.groupBy(*by, "accept", "floor").agg(F.count("*").alias("n"), count(F.col("out") == "accept").alias("n_accept"), count(F.col("out") == "review").alias("n_review"), count(F.col("out") == "no_match").alias("n_no_match"), count((F.col("out") == "accept") & right).alias("n_correct"), F.sum(F.when(F.col("out") == "review", 0.0).otherwise(cost)).alias("cost"))
+    costs = F.explode(F.array(*map(F.lit, review_costs))).alias("review_cost")
+    return folded.select("*", costs).withColumn("avg_cost", F.round((F.col("cost") + F.col("n_review") * F.col("review_cost")) / F.col("n"), 9)).drop("cost")
+
+
+def best_cut(surface: DataFrame, by: list[str]) -> DataFrame:
+    """The cheapest pair; of equals the one with more correct answers, the narrower band, the lower cut."""
+    order = F.struct("avg_cost", (-F.col("n_correct")).alias("c"), (F.col("accept") - F.col("floor")).alias("w"), "accept")
+    return surface.groupBy(*by).agg(F.min_by(F.struct("accept", "floor", "avg_cost", "n_correct", "n_accept", "n_review", "n_no_match"), order).alias("b")).select(*by, "b.*")
+
+
+def outcome_report(records: DataFrame, by: list[str], accept: float, floor: float, labels: dict[str, str], criterion: float = 0.95) -> DataFrame:
+    """Outcomes of each group and the precision of automatic matches by label view; NULL where nothing was accepted."""
+    at = records.withColumn("out", cut(accept, floor))
+    said = F.col("out") == "accept"
+    count = lambda c: F.count(F.when(c, 1))
+    right = {v: said & (F.col("truth") == "answerable") & F.coalesce(F.col(c) == "Acceptable", F.lit(False)) for v, c in labels.items()}
+    n = [F.count("*").alias("n"), count(said).alias("n_accept"), count(F.col("out") == "review").alias("n_review"), count(F.col("out") == "no_match").alias("n_no_match")]
+    unjudged = count(said & F.col(next(iter(labels.values()))).isNull()).alias("n_unjudged")
+    out = at.groupBy(*by).agg(*n, unjudged, *(share(r, said).alias(f"precision_{v}") for v, r in right.items()))
+    return out.withColumns({f"meets_{v}": F.coalesce(F.col(f"precision_{v}") >= criterion, F.lit(False)) for v in labels})

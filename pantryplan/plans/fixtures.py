@@ -42,18 +42,33 @@ SELECT CAST(user_id AS STRING) AS item_id, event_id, CAST(CAST(ts AS DATE) AS ST
                        WHEN 'signup' THEN 'In stock (20+)' ELSE '' END AS stock_status
 FROM {events}
 """
-#: The requests are the reference's evaluation set: a fixed list of fifty.
+#: The requests are every row whose id is divisible by 50, held against all rows.
 REQUESTS = """
-SELECT vec_id AS request_id, label, CASE WHEN vec_id % 10 = 0 THEN 'needs_clarification' WHEN vec_id % 10 = 1 THEN 'no_acceptable_match' ELSE 'answerable' END AS truth,
-       CASE WHEN vec_id % 3 = 0 THEN 'exact' ELSE 'flexible' END AS matching_mode,
-       CASE WHEN vec_id % 7 <= 3 THEN 'dev' WHEN vec_id % 7 <= 5 THEN 'validation' ELSE 'test' END AS split
-FROM {embeddings} WHERE vec_id < 50
+SELECT vec_id AS request_id, label, CASE WHEN CAST(vec_id / 50 AS BIGINT) % 10 = 0 THEN 'needs_clarification' WHEN CAST(vec_id / 50 AS BIGINT) % 10 = 1 THEN 'no_acceptable_match' ELSE 'answerable' END AS truth,
+       CASE WHEN CAST(vec_id / 50 AS BIGINT) % 3 = 0 THEN 'exact' ELSE 'flexible' END AS matching_mode,
+       CASE WHEN CAST(vec_id / 50 AS BIGINT) % 7 <= 3 THEN 'dev' WHEN CAST(vec_id / 50 AS BIGINT) % 7 <= 5 THEN 'validation' ELSE 'test' END AS split
+FROM {embeddings} WHERE vec_id % 50 = 0
 """
 LABELS = """
 SELECT q.vec_id AS request_id, d.vec_id AS product_id,
        CASE WHEN q.label = d.label THEN 'Acceptable' WHEN abs(q.label - d.label) = 1 AND d.vec_id % 2 = 0 THEN 'Acceptable' ELSE 'Incorrect' END AS practical_label,
        CASE WHEN q.label = d.label THEN 'Acceptable' WHEN abs(q.label - d.label) = 1 AND d.vec_id % 2 = 0 THEN 'Needs clarification' ELSE 'Incorrect' END AS conservative_label
-FROM {embeddings} q JOIN {embeddings} d ON q.vec_id < 50 AND d.vec_id <> q.vec_id
+FROM {embeddings} q JOIN {embeddings} d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
+"""
+#: Written requests for products, in six forms: every part whose key is divisible by 50.
+ASKS = """
+SELECT p_partkey AS request_id, CAST(p_partkey / 50 AS BIGINT) % 6 AS form, p_size, lower(p_name) AS words,
+       CASE WHEN CAST(p_partkey / 50 AS BIGINT) % 3 = 0 THEN 'exact' ELSE 'flexible' END AS mode,
+       concat(CASE CAST(p_partkey / 50 AS BIGINT) % 6 WHEN 0 THEN concat(CAST(p_size AS STRING), ' oz ') WHEN 1 THEN concat(CAST(p_size AS STRING), ' fl oz ') WHEN 2 THEN '2 '
+              WHEN 3 THEN '3 bags of ' WHEN 4 THEN concat(CAST(p_size AS STRING), ' lb ') ELSE concat(CAST(p_size AS STRING), ' ct ') END, p_name) AS text
+FROM {part} WHERE p_partkey % 50 = 0
+"""
+#: Stored records with what is known of their first result.
+JUDGED = """
+SELECT r.*, CASE WHEN request_id % 17 = 3 THEN NULL WHEN is_ok THEN 'Acceptable' WHEN request_id % 4 = 0 THEN 'Needs clarification' ELSE 'Incorrect' END AS conservative_label,
+       CASE WHEN request_id % 17 = 3 THEN NULL WHEN is_ok OR request_id % 4 = 0 THEN 'Acceptable' ELSE 'Incorrect' END AS practical_label, request_id % 6 = 1 AS is_best_guess,
+       CASE WHEN request_id % 4 = 1 THEN 'confirmed' WHEN request_id % 4 = 2 THEN 'confirmed by construction' WHEN request_id % 4 = 3 THEN 'tentative' END AS confidence
+FROM ({RECORDS}) r
 """
 #: Stored runs of a matcher, one best score a request: an input of the sweeps.
 RECORDS = """
@@ -65,7 +80,8 @@ SELECT q.vec_id AS request_id, CASE WHEN q.vec_id % 7 <= 3 THEN 'dev' WHEN q.vec
        (q.vec_id * 37) % 5 < 3 AS is_ok, q.vec_id % 10 > 1 AS answerable, (q.vec_id * 7919) % 1000 AS elapsed_ms
 FROM {embeddings} q
 """
-VIEWS = {"catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS}
+JUDGED = JUDGED.replace("{RECORDS}", RECORDS)
+VIEWS = {"catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS, "asks": ASKS, "judged": JUDGED}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pantryplan.functions import identity, lineparse, payload, stock, units
 from pantryplan.operators import basket, gates, integrity, metrics, retrieval
 from pantryplan.plans.fixtures import oracle, view
 from pantryplan.sources import catalog as source
+from pantryplan.sources.settle import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,8 +41,17 @@ def stripped(text: str) -> str:
 
 
 def parse_distinct(df: DataFrame, column: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Join what ``parse`` adds for each distinct text back to all rows: texts repeat far more often than they differ."""
-    return df.join(retrieval.small(parse(df.select(column).distinct())), column)
+    """Join what ``parse`` adds for each distinct text back to all rows: texts repeat far more often than they differ.
+
+    Parsed columns pass an aggregate by text, which needs no other shuffle than
+    ``distinct``: filters above can't be pushed into the parser, where one predicate
+    over all of its stages grows exponentially.
+    """
+    texts = df.select(column).distinct()
+    parsed = parse(texts)
+    parsed = parsed.groupBy(column).agg(*(F.first(c).alias(c) for c in parsed.columns if c != column))
+    few = texts.limit(retrieval.SMALL + 1).count() <= retrieval.SMALL
+    return df.join(F.broadcast(parsed) if few else parsed, column)
 
 
 # --- sizes, units, prices -------------------------------------------------------------------------
@@ -204,7 +214,7 @@ def synonym_search(spark, sf_dir):
 
 
 VECTOR_SQL = """
-vs AS (SELECT q.vec_id AS request_id, d.vec_id AS product_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(d.embedding[i] AS DOUBLE))), 6) AS score FROM embeddings q JOIN embeddings d ON q.vec_id < 50),
+vs AS (SELECT q.vec_id AS request_id, d.vec_id AS product_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(d.embedding[i] AS DOUBLE))), 6) AS score FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0),
 vectors AS (SELECT request_id, product_id, score, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS rank FROM vs WHERE score > 0 QUALIFY rank <= 50)"""
 
 
@@ -224,7 +234,7 @@ def vector_topk(spark, sf_dir):
 
 
 RRF_SQL = f"""{VECTOR_SQL},
-near AS (SELECT request_id, product_id, row_number() OVER (PARTITION BY request_id ORDER BY abs(q.label - d.label), product_id) AS rank FROM (SELECT vec_id AS request_id, label FROM embeddings WHERE vec_id < 50) q CROSS JOIN (SELECT vec_id AS product_id, label FROM embeddings) d QUALIFY rank <= 50),
+near AS (SELECT request_id, product_id, row_number() OVER (PARTITION BY request_id ORDER BY abs(q.label - d.label), product_id) AS rank FROM (SELECT vec_id AS request_id, label FROM embeddings WHERE vec_id % 50 = 0) q CROSS JOIN (SELECT vec_id AS product_id, label FROM embeddings) d QUALIFY rank <= 50),
 fused AS (SELECT request_id, product_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT request_id, product_id, rank FROM vectors UNION ALL SELECT request_id, product_id, rank FROM near) GROUP BY 1, 2),
 hybrid AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS rank FROM fused QUALIFY rank <= 20)"""
 
@@ -242,10 +252,10 @@ def rrf_fusion(spark, sf_dir):
     return hybrid(spark, sf_dir)
 
 
-@query(f"""WITH {VECTOR_SQL}, pool AS (SELECT q.vec_id AS request_id, d.vec_id AS product_id FROM embeddings q JOIN embeddings d ON q.vec_id < 50 AND d.vec_id % 9 = q.vec_id % 9)
-SELECT p.request_id, p.product_id, coalesce(v.score, 0.0) AS score, CAST(row_number() OVER (PARTITION BY p.request_id ORDER BY coalesce(v.score, 0.0) DESC, p.product_id) AS INT) AS rank FROM pool p LEFT JOIN vectors v USING (request_id, product_id)""")
+@query("""WITH p AS (SELECT q.vec_id AS request_id, d.vec_id AS product_id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(d.embedding[i] AS DOUBLE))), 6) AS score FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND d.vec_id % 9 = q.vec_id % 9)
+SELECT *, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, product_id) AS INT) AS rank FROM p""")
 def within_pool_rank(spark, sf_dir):
-    # every pair is scored, as in the reference; the SQL scores only those of the full search's top 50 and differs
+    # every pair is scored, never only those that the full search has found
     items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("product_id"), F.col("embedding").alias("vec"))
     pool = items.join(retrieval.small(asked_vectors(spark, sf_dir), 5_000), F.col("product_id") % 9 == F.col("request_id") % 9)
     return retrieval.within_pool(pool, ["request_id"], ["product_id"])
@@ -253,7 +263,7 @@ def within_pool_rank(spark, sf_dir):
 
 POOL_SQL = f"""{RRF_SQL},
 rows AS (SELECT request_id, product_id, 'vectors' AS source, score, false AS protected FROM vectors UNION ALL SELECT request_id, product_id, 'hybrid', score, false FROM hybrid
-         UNION ALL SELECT q.vec_id, d.vec_id, 'reference', 0.0, true FROM embeddings q JOIN embeddings d ON q.vec_id < 50 AND q.label = d.label AND d.vec_id % 17 = 0),
+         UNION ALL SELECT q.vec_id, d.vec_id, 'reference', 0.0, true FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.label = d.label AND d.vec_id % 17 = 0),
 pool AS (SELECT request_id, product_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(score) AS score, bool_or(protected) AS protected FROM rows GROUP BY 1, 2)"""
 
 
@@ -344,13 +354,6 @@ def brand_lexicon(spark, sf_dir):
     return identity.brand_lexicon(view(spark, sf_dir, "catalog"))
 
 
-@query()
-def catalog_identity(spark, sf_dir):
-    rows = view(spark, sf_dir, "catalog").select("store_id", "product_id", "raw_title")
-    out = identity.brands(rows, identity.brand_lexicon(rows))
-    return out.select("store_id", "product_id", "brand", F.array_join(identity.variant_tokens(F.col("raw_title"), F.col("brand")), ",").alias("variants"), F.when(F.col("brand").isNull(), "brand_unknown").otherwise("resolved").alias("status"))
-
-
 @query("SELECT p_partkey, p_partkey % 3 = 0 AS conflict FROM part")
 def variant_conflicts(spark, sf_dir):
     k = F.col("p_partkey") % 3
@@ -362,25 +365,29 @@ def variant_conflicts(spark, sf_dir):
 # --- snapshots and stock --------------------------------------------------------------------------
 
 
-@query(f"WITH {oracle('stock')} SELECT item_id, event_id, snapshot_id, stock_status FROM fx_stock QUALIFY snapshot_id = max(snapshot_id) OVER (PARTITION BY item_id)")
+@query(f"WITH {oracle('stock')} SELECT item_id, event_id, snapshot_id, stock_status FROM fx_stock WHERE snapshot_id = (SELECT max(snapshot_id) FROM fx_stock)")
 def latest_snapshot(spark, sf_dir):
-    return source.latest_snapshot(view(spark, sf_dir, "stock"), ["item_id"], "snapshot_id")
+    return source.latest_snapshot(view(spark, sf_dir, "stock"), "snapshot_id")
 
 
 JOIN_SQL = f"""{oracle('catalog', 'stock')}, last AS (SELECT snapshot_id, item_id, arg_max(stock_status, event_id) AS stock_status FROM fx_stock GROUP BY 1, 2),
-day AS (SELECT min(snapshot_id) AS snapshot_id FROM fx_stock),
-joined AS (SELECT c.store_id, c.product_id, coalesce({STOCK_SQL}, 'unverified') AS state, l.stock_status IS NOT NULL AS joined FROM (SELECT * FROM fx_catalog CROSS JOIN day) c LEFT JOIN last l ON l.snapshot_id = c.snapshot_id AND l.item_id = c.product_id)"""
+days AS (SELECT snapshot_id, row_number() OVER (ORDER BY snapshot_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT snapshot_id FROM fx_stock)),
+joined AS (SELECT c.store_id, c.product_id, c.snapshot_id, coalesce({STOCK_SQL}, 'unverified') AS state, l.stock_status IS NOT NULL AS joined FROM (SELECT * FROM fx_catalog JOIN days ON (CAST(product_id AS BIGINT) + store_id) % n = i) c LEFT JOIN last l ON l.snapshot_id = c.snapshot_id AND l.item_id = c.product_id)"""
 
 
 def with_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog, each row with the snapshot that it was taken from, and its stock in that snapshot."""
     snaps = view(spark, sf_dir, "stock")
-    day = F.broadcast(snaps.agg(F.min("snapshot_id").alias("snapshot_id")))  # one row
-    return source.join_stock(view(spark, sf_dir, "catalog").select("store_id", "product_id", "price_cents").crossJoin(day), snaps)
+    days = snaps.select("snapshot_id").distinct()
+    # the days of the table are numbered: one row a day of some years
+    days = days.withColumn("i", F.row_number().over(Window.orderBy("snapshot_id")) - 1).crossJoin(F.broadcast(days.agg(F.count("*").alias("n"))))
+    rows = view(spark, sf_dir, "catalog").select("store_id", "product_id", "price_cents").join(F.broadcast(days), F.expr("(cast(product_id as bigint) + store_id) % n = i")).drop("i", "n")
+    return source.join_stock(rows, snaps)
 
 
 @query(f"WITH {JOIN_SQL} SELECT * FROM joined")
 def availability_join(spark, sf_dir):
-    return with_stock(spark, sf_dir).select("store_id", "product_id", "state", "joined")
+    return with_stock(spark, sf_dir).select("store_id", "product_id", "snapshot_id", "state", "joined")
 
 
 @query(f"WITH {JOIN_SQL} SELECT store_id, state, count(*) AS n FROM joined GROUP BY CUBE (store_id, state)")
@@ -424,42 +431,43 @@ baskets AS (SELECT list_id, store_id, count(CASE WHEN state = 'priced' THEN 1 EN
 
 
 def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with the request that they make; lines to review make none.
-
-    Kept, so that no filter above is pushed into the parser's stages: one predicate
-    over all of them grows exponentially.
-    """
+    """Lines with the request that they make; lines to review make none."""
     p = F.col("parsed")
     request = F.when(~p["needs_review"], F.concat_ws("|", p["product_type"], p["canonical_quantity"].cast("long"), p["canonical_unit"]))
-    return parsed_lines(spark, sf_dir).select("list_id", "pos", request.alias("request"), p["product_type"].alias("name"), p["canonical_quantity"].alias("asked"), p["canonical_unit"].alias("asked_unit")).persist()
+    return settled(parsed_lines(spark, sf_dir).select("list_id", "pos", request.alias("request"), p["product_type"].alias("name"), p["canonical_quantity"].alias("asked"), p["canonical_unit"].alias("asked_unit")))
 
 
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("store_id"))
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def candidates(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct requests of all lists, and their scored candidates."""
-    asked = keyed_lines(spark, sf_dir).where("request is not null").select("request", "name", "asked", "asked_unit").distinct()
+    lines = keyed_lines(spark, sf_dir) if lines is None else lines
+    asked = lines.where("request is not null").select("request", "name", "asked", "asked_unit").distinct()
     k = F.col("product_id").cast("long")
     score = F.round(F.when(k % 6 == 0, 0.5).when(k % 6 == 1, 0.3).otherwise(0.8 + (k % 5).cast("double") / 250), 6)
-    name = units.extract_modifiers(F.array_join(F.slice(F.split("raw_title", " "), 1, 2), " "))["rest"]
-    own = sizes(spark, sf_dir).select("store_id", "product_id", F.col("canonical_total").alias("size"), F.col("canonical_unit").alias("unit"), "price_cents", name.alias("name"), score.alias("score")).persist()
+    titled = sizes(spark, sf_dir).withColumn("lead", F.array_join(F.slice(F.split("raw_title", " "), 1, 2), " "))
+    titled = parse_distinct(titled, "lead", lambda df: df.withColumn("m", units.extract_modifiers(F.col("lead"))))
+    own = titled.select("store_id", "product_id", F.col("raw_title").alias("title"), F.col("canonical_total").alias("size"), F.col("canonical_unit").alias("unit"), "price_cents", F.col("m.rest").alias("name"), score.alias("score"))
     last = view(spark, sf_dir, "stock").groupBy(F.col("item_id").alias("product_id")).agg(F.max_by("stock_status", "event_id").alias("stock_status"))
-    own = own.join(last, "product_id", "left").withColumn("state", F.when(F.col("stock_status").isNotNull(), stock.classify(F.col("stock_status"))["state"])).drop("stock_status")
+    own = settled(own.join(last, "product_id", "left").withColumn("state", F.when(F.col("stock_status").isNotNull(), stock.classify(F.col("stock_status"))["state"])).drop("stock_status"))
     return asked.withColumn("needs_review", F.lit(False)), asked.select("request", "name").join(own, "name").drop("name")
 
 
-def resolved_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, found = candidates(spark, sf_dir)
+def resolved_requests(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    asked, found = candidates(spark, sf_dir, lines)
     return basket.resolve(asked, stores(spark, sf_dir), found, ["request"], ACCEPT, FLOOR)
 
 
-def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every list at every store."""
-    lines = keyed_lines(spark, sf_dir).select("list_id", "pos", "request").crossJoin(stores(spark, sf_dir))
-    out = lines.join(resolved_requests(spark, sf_dir), ["request", "store_id"], "left").drop("request")
-    return out.withColumns({"state": F.coalesce("state", F.lit("review")), "excluded": F.coalesce("excluded", F.lit(0))})
+def resolved(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Every line of every list at every store; lines without a request, a seventh of all, take no part in the join."""
+    lines = keyed_lines(spark, sf_dir) if lines is None else lines
+    made = lines.select("list_id", "pos", "request").where("request is not null").join(resolved_requests(spark, sf_dir, lines), "request").drop("request")
+    lines = lines.select("list_id", "pos", "request")
+    # the stores are a short list
+    none = lines.where("request is null").drop("request").crossJoin(stores(spark, sf_dir)).withColumns({"state": F.lit("review"), "excluded": F.lit(0).cast("long")})
+    return made.unionByName(none, allowMissingColumns=True)
 
 
 @query("""
@@ -494,16 +502,30 @@ def store_basket_totals(spark, sf_dir):
 
 
 @query(f"""WITH {CANDIDATE_SQL}, w AS (SELECT *, coalesce(total_cents = min(total_cents) OVER (PARTITION BY list_id), false) AS is_winner FROM baskets)
-SELECT list_id, store_id, complete, total_cents, CAST(CASE WHEN complete THEN row_number() OVER (PARTITION BY list_id ORDER BY total_cents NULLS LAST, store_id) END AS INT) AS rank, is_winner, is_winner AND sum(CAST(is_winner AS INT)) OVER (PARTITION BY list_id) > 1 AS is_tie FROM w""")
+SELECT list_id, store_id, complete, total_cents, CAST(CASE WHEN complete THEN row_number() OVER (PARTITION BY list_id ORDER BY total_cents NULLS LAST, store_id) END AS INT) AS rank, is_winner, is_winner AND sum(CAST(is_winner AS INT)) OVER (PARTITION BY list_id) > 1 AS is_tie,
+CASE WHEN min(total_cents) OVER (PARTITION BY list_id) IS NULL THEN 'no store can complete this basket' END AS no_winner_reason FROM w""")
 def basket_compare(spark, sf_dir):
-    return basket.compare(basket.totals(resolved(spark, sf_dir))).select("list_id", "store_id", "complete", "total_cents", "rank", "is_winner", "is_tie")
+    return basket.compare(basket.totals(resolved(spark, sf_dir))).select("list_id", "store_id", "complete", "total_cents", "rank", "is_winner", "is_tie", "no_winner_reason")
 
 
-@query(f"WITH {CANDIDATE_SQL} SELECT list_id, pos, store_id, CASE WHEN pos = 1 THEN 'priced' ELSE state END AS state, CASE WHEN pos = 1 THEN 'hand' ELSE product_id END AS product_id, CASE WHEN pos = 1 THEN 2 ELSE packages END AS packages, CASE WHEN pos = 1 THEN 1000 + store_id ELSE cost_cents END AS cost_cents FROM lines")
+HAND_SQL = f"""{CANDIDATE_SQL},
+cheap AS (SELECT request, store_id, min(product_id) AS product_id FROM live WHERE packages IS NOT NULL AND price_cents >= 0 GROUP BY 1, 2),
+hand AS (SELECT k.list_id, k.pos, c.store_id, l.product_id, l.packages, l.packages * l.price_cents AS cost_cents, round(greatest(0.0::DOUBLE, l.packages * l.size - l.asked), 6) AS excess, coalesce(l.state, 'unverified') AS stock
+  FROM keyed k JOIN cheap c ON c.request = k.request JOIN live l ON l.request = c.request AND l.store_id = c.store_id AND l.product_id = c.product_id WHERE k.pos = 1)"""
+
+
+@query(f"""WITH {HAND_SQL} SELECT l.list_id, l.pos, l.store_id, CASE WHEN h.product_id IS NOT NULL THEN 'priced' ELSE l.state END AS state, coalesce(h.product_id, l.product_id) AS product_id,
+CASE WHEN h.product_id IS NOT NULL THEN h.packages ELSE l.packages END AS packages, CASE WHEN h.product_id IS NOT NULL THEN h.cost_cents ELSE l.cost_cents END AS cost_cents, CASE WHEN h.product_id IS NOT NULL THEN h.excess ELSE l.excess END AS excess,
+CASE WHEN h.product_id IS NOT NULL THEN h.stock ELSE l.stock END AS stock, CASE WHEN h.product_id IS NULL THEN l.runner_up END AS runner_up, h.product_id IS NOT NULL AS overridden FROM lines l LEFT JOIN hand h USING (list_id, pos, store_id)""")
 def override_recompute(spark, sf_dir):
-    rows = resolved(spark, sf_dir)
-    hand = rows.where("pos = 1").select("list_id", "pos", "store_id", F.lit("hand").alias("product_id"), F.lit(2).cast("long").alias("packages"), (F.lit(1000) + F.col("store_id")).alias("cost_cents"))
-    return basket.override(rows, hand).select("list_id", "pos", "store_id", "state", "product_id", "packages", "cost_cents")
+    # the shopper takes the product with the least id that can be priced for each list's first line
+    lines = keyed_lines(spark, sf_dir)
+    asked, found = candidates(spark, sf_dir, lines)
+    usable = basket.arithmetic(found.where("state is null or state <> 'out_of_stock'").join(asked.select("request", "asked", "asked_unit"), "request")).where("cost_cents is not null")
+    fields = ["product_id", "asked", "asked_unit", "size", "unit", "price_cents", F.coalesce("state", F.lit("unverified")).alias("stock")]
+    choice = usable.groupBy("request", "store_id").agg(F.min(F.struct(*fields)).alias("c"))
+    hand = lines.where("pos = 1 and request is not null").select("list_id", "pos", "request").join(choice, "request").select("list_id", "pos", "store_id", "c.*")
+    return basket.override(resolved(spark, sf_dir, lines), hand).drop("excluded")
 
 
 @query()
@@ -578,11 +600,64 @@ def best_threshold(spark, sf_dir):
     return metrics.best_threshold(metrics.threshold_curve(view(spark, sf_dir, "records")))
 
 
-@query(f"""WITH {oracle('records')}, g AS (SELECT i / 16.0 AS v FROM range(17) t(i)), tried AS (SELECT a.v AS accept, b.v AS floor, CASE WHEN score IS NULL THEN 'no_match' WHEN score >= a.v THEN 'accept' WHEN score >= b.v THEN 'review' ELSE 'no_match' END AS o, is_ok, answerable FROM fx_records CROSS JOIN g a JOIN g b ON b.v <= a.v)
-SELECT CAST(accept AS DOUBLE) AS accept, CAST(floor AS DOUBLE) AS floor, CAST(sum(CAST(o = 'accept' AND is_ok AS INT)) AS BIGINT) AS n_ok, CAST(sum(CAST(o = 'review' AS INT)) AS BIGINT) AS n_review, CAST(sum(CASE WHEN o = 'accept' AND NOT is_ok THEN 2 WHEN o = 'no_match' AND answerable THEN 1 WHEN o = 'review' THEN 0.5 ELSE 0 END) AS DOUBLE) AS cost FROM tried GROUP BY 1, 2""")
+SURFACE_SQL = f"""{oracle('judged')}, kept AS (SELECT * FROM fx_judged WHERE split = 'dev' AND NOT (truth = 'no_acceptable_match' AND coalesce(confidence, '') NOT IN ('confirmed', 'confirmed by construction'))),
+ends AS (SELECT baseline, min(score) AS lo, max(score) AS hi FROM kept WHERE response = 'answerable' AND score IS NOT NULL GROUP BY 1),
+grid AS (SELECT DISTINCT baseline, value FROM (SELECT baseline, round(lo + i * (hi - lo) / 16, 6) AS value FROM ends CROSS JOIN range(17) t(i) UNION ALL SELECT baseline, 0.0 FROM ends)),
+tried AS (SELECT k.baseline, a.value AS accept, b.value AS floor, truth = 'answerable' AS answerable, coalesce(conservative_label = 'Acceptable', false) AS ok,
+  CASE WHEN response = 'needs_clarification' THEN 'review' WHEN response <> 'answerable' OR score IS NULL THEN 'no_match' WHEN score >= a.value THEN 'accept' WHEN score >= b.value THEN 'review' ELSE 'no_match' END AS o
+  FROM kept k JOIN grid a ON a.baseline = k.baseline JOIN grid b ON b.baseline = k.baseline AND b.value <= a.value),
+folded AS (SELECT baseline, accept, floor, count(*) AS n, count(CASE WHEN o = 'accept' THEN 1 END) AS n_accept, count(CASE WHEN o = 'review' THEN 1 END) AS n_review, count(CASE WHEN o = 'no_match' THEN 1 END) AS n_no_match, count(CASE WHEN o = 'accept' AND ok AND answerable THEN 1 END) AS n_correct,
+  sum(CASE WHEN o = 'accept' AND NOT (ok AND answerable) THEN 2.0::DOUBLE WHEN o = 'no_match' AND answerable THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cost FROM tried GROUP BY 1, 2, 3),
+surface AS (SELECT * EXCLUDE (cost), round((cost + n_review * review_cost) / n, 9) AS avg_cost FROM folded CROSS JOIN (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS review_cost))"""
+REVIEW_COSTS = (0.25, 0.5, 0.75)
+
+
+def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "judged")
+    dev = rows.where("split = 'dev'").join(metrics.excluded(rows, rows.select("request_id", "confidence")), "request_id", "left_anti")
+    return metrics.cut_surface(dev, ["baseline"], REVIEW_COSTS, "conservative_label")
+
+
+@query(f"WITH {SURFACE_SQL} SELECT * FROM surface")
 def cutpoint_sweep(spark, sf_dir):
-    grid = spark.range(17).select((F.col("id") / 16.0).alias("value"))
-    return metrics.cutpoints(view(spark, sf_dir, "records"), grid)
+    return surface(spark, sf_dir)
+
+
+@query(f"WITH {SURFACE_SQL} SELECT baseline, review_cost, accept, floor, avg_cost, n_correct, n_accept, n_review, n_no_match FROM surface QUALIFY row_number() OVER (PARTITION BY baseline, review_cost ORDER BY avg_cost, n_correct DESC, accept - floor, accept) = 1")
+def cutpoint_choice(spark, sf_dir):
+    return metrics.best_cut(surface(spark, sf_dir), ["baseline", "review_cost"])
+
+
+@query(f"""WITH {oracle('judged')} SELECT request_id FROM fx_judged WHERE split = 'dev' AND truth = 'no_acceptable_match' AND coalesce(confidence, '') NOT IN ('confirmed', 'confirmed by construction')""")
+def excluded_requests(spark, sf_dir):
+    rows = view(spark, sf_dir, "judged")
+    return metrics.excluded(rows, rows.select("request_id", "confidence"))
+
+
+@query(f"""WITH {oracle('judged')} SELECT baseline, split, count(CASE WHEN response = 'answerable' THEN 1 END) AS n, count(CASE WHEN response = 'answerable' AND truth = 'answerable' AND conservative_label = 'Acceptable' THEN 1 END) AS n_correct,
+round(count(CASE WHEN response = 'answerable' AND truth = 'answerable' AND conservative_label = 'Acceptable' THEN 1 END) / nullif(count(CASE WHEN response = 'answerable' THEN 1 END), 0), 6) AS accuracy FROM fx_judged GROUP BY 1, 2""")
+def returned_accuracy(spark, sf_dir):
+    return metrics.returned_accuracy(view(spark, sf_dir, "judged"), ["baseline", "split"], "conservative_label")
+
+
+@query(f"""WITH {oracle('judged')}, c AS (SELECT baseline, split, count(*) AS n, count(CASE WHEN response = 'answerable' AND conservative_label = 'Acceptable' THEN 1 END) AS confirmed_correct, count(CASE WHEN response = 'answerable' AND conservative_label = 'Incorrect' THEN 1 END) AS confirmed_incorrect,
+count(CASE WHEN response = 'answerable' AND conservative_label = 'Needs clarification' THEN 1 END) AS unresolved FROM fx_judged GROUP BY 1, 2) SELECT *, round(confirmed_correct / n, 6) AS lower_bound, round((confirmed_correct + unresolved) / n, 6) AS upper_bound FROM c""")
+def success_bounds(spark, sf_dir):
+    return metrics.success_bounds(view(spark, sf_dir, "judged"), ["baseline", "split"], "conservative_label")
+
+
+@query(f"WITH {oracle('judged')} SELECT baseline, count(CASE WHEN response = 'answerable' THEN 1 END) AS n_scored, count(CASE WHEN response = 'answerable' AND is_best_guess THEN 1 END) AS n_guessed FROM fx_judged GROUP BY 1")
+def guess_exposure(spark, sf_dir):
+    return metrics.guess_exposure(view(spark, sf_dir, "judged"), ["baseline"])
+
+
+@query(f"""WITH {oracle('judged')}, o AS (SELECT *, CASE WHEN response = 'needs_clarification' THEN 'review' WHEN response <> 'answerable' OR score IS NULL THEN 'no_match' WHEN score >= 0.75 THEN 'accept' WHEN score >= 0.45 THEN 'review' ELSE 'no_match' END AS o FROM fx_judged),
+c AS (SELECT split, matching_mode, count(*) AS n, count(CASE WHEN o = 'accept' THEN 1 END) AS n_accept, count(CASE WHEN o = 'review' THEN 1 END) AS n_review, count(CASE WHEN o = 'no_match' THEN 1 END) AS n_no_match, count(CASE WHEN o = 'accept' AND conservative_label IS NULL THEN 1 END) AS n_unjudged,
+round(count(CASE WHEN o = 'accept' AND truth = 'answerable' AND conservative_label = 'Acceptable' THEN 1 END) / nullif(count(CASE WHEN o = 'accept' THEN 1 END), 0), 6) AS precision_conservative,
+round(count(CASE WHEN o = 'accept' AND truth = 'answerable' AND practical_label = 'Acceptable' THEN 1 END) / nullif(count(CASE WHEN o = 'accept' THEN 1 END), 0), 6) AS precision_practical FROM o GROUP BY 1, 2)
+SELECT *, coalesce(precision_conservative >= 0.95, false) AS meets_conservative, coalesce(precision_practical >= 0.95, false) AS meets_practical FROM c""")
+def outcome_report(spark, sf_dir):
+    return metrics.outcome_report(view(spark, sf_dir, "judged"), ["split", "matching_mode"], ACCEPT, FLOOR, {"conservative": "conservative_label", "practical": "practical_label"})
 
 
 @query(f"""WITH {oracle('records')}, s AS (SELECT baseline, count(*) AS n, list_sort(list(elapsed_ms)) AS t FROM fx_records GROUP BY 1)

@@ -26,10 +26,17 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def latest_snapshot(rows: DataFrame, by: list[str], at: str) -> DataFrame:
-    """Rows of each group's greatest snapshot; an item that is gone from it isn't brought back."""
-    last = rows.groupBy(*by).agg(F.max(at).alias(at))
-    return rows.join(last, [*by, at], "left_semi")
+def latest_snapshot(rows: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
+    """Rows of the greatest snapshot of the table, or of each store in ``by``; an item that is gone from it isn't brought back."""
+    last = rows.groupBy(*(by or [])).agg(F.max(at).alias(at))
+    return rows.join(F.broadcast(last) if not by else last, [*(by or []), at], "left_semi")
+
+
+def latest_run(spark: SparkSession, path: str, column: str = "run") -> DataFrame:
+    """Parquet rows of the greatest run folder (``run=<name>/``); only that folder's files are read."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max(column)).first()[0]
+    return rows.where(F.col(column).eqNullSafe(F.lit(last)))
 
 
 def merge_items(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
@@ -82,8 +89,19 @@ def row_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("row_sha256", F.sha2(F.to_json(F.struct(*columns)), 256))
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A small report table as Markdown."""
-    rows = df.limit(limit).collect()
+def replace(df: DataFrame, table: str) -> None:
+    """Write a table anew; readers see the old rows until the new ones are complete."""
+    df.write.mode("overwrite").saveAsTable(table)
+
+
+#: Rows of a report that are gathered as one text.
+REPORT_ROWS = 1000
+
+
+def markdown(df: DataFrame) -> str:
+    """A report table of up to ``REPORT_ROWS`` rows as Markdown; more rows are refused, not cut."""
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has more than {REPORT_ROWS} rows; write it with a file sink")
     line = lambda values: "| " + " | ".join("" if v is None else str(v) for v in values) + " |"
     return "\n".join([line(df.columns), line("---" for _ in df.columns), *map(line, rows)])

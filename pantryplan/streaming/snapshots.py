@@ -1,7 +1,8 @@
-"""Snapshots that arrive as files: the same latest-snapshot rule, kept up incrementally.
+"""Snapshots that arrive as files: the state of the greatest snapshot, kept up incrementally.
 
-The reference appends snapshots and reads them in batches; this reads a folder as
-a stream and keeps, for each item, the newest state seen so far.
+A folder is read as a stream; each item's newest state is kept with its snapshot,
+and what is read out are the items of the greatest snapshot seen so far, so that an
+item which is gone from it isn't brought back.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ def newest(events: DataFrame) -> DataFrame:
     return last.select("item_id", "s.snapshot_id", classify(F.col("s.stock_status")).alias("stock")).select("item_id", "snapshot_id", "stock.*")
 
 
+def current(kept: DataFrame) -> DataFrame:
+    """The items of the greatest snapshot among the states that ``keep_up`` keeps."""
+    last = F.broadcast(kept.agg(F.max("snapshot_id").alias("snapshot_id")))  # one row
+    return kept.join(last, "snapshot_id", "left_semi")
+
+
 def keep_up(spark: SparkSession, path: str, name: str, checkpoint: str) -> StreamingQuery:
     """Run until the files that are there have been read."""
     return newest(read_snapshots(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

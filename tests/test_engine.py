@@ -86,4 +86,4 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     out = entry.entry(spark)
-    assert out.columns == ["list_id", "store_id", "complete", "total_cents", "rank", "is_winner", "is_tie"] and out.count() > 0
+    assert out.columns == ["list_id", "store_id", "complete", "total_cents", "rank", "is_winner", "is_tie", "no_winner_reason"] and out.count() > 0
