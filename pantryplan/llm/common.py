@@ -28,12 +28,14 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only on a local master where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             base = current
+        elif not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             base = f"file://{tempfile.mkdtemp(prefix='pantryplan-')}"
             spark.sparkContext.setCheckpointDir(base)
