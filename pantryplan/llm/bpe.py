@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from pantryplan.llm.common import table, text_batches
-from pantryplan.llm.tokens import encoder
+from pantryplan.llm.tokens import decode as decode_ids
+from pantryplan.llm.tokens import encoder, token_table
 
 #: Texts of one unit of work hold at most so many characters (one longer text is a unit of its own).
 UNIT_CHARS = 4_000_000
@@ -56,9 +57,9 @@ def decode_column(ids: Column, tokenizer_path: str) -> Column:
 
     @F.arrow_udf(StringType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = encoder(tokenizer_path)
+        bytes_of = token_table(tokenizer_path)
         for batch in batches:
-            yield pa.array([None if x is None else enc.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in batch], pa.string())
+            yield pa.array([None if x is None else decode_ids(x.values.to_numpy(zero_copy_only=False).tolist(), bytes_of) for x in batch], pa.string())
 
     return text(ids)
 

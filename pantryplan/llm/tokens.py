@@ -41,7 +41,7 @@ class PieceEncoder:
     def __init__(self, path: str, leaf_chars: int = 2048, cache_pieces: int = 100_000):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
+        self.path, self.tok = path, Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         spec = json.loads(self.tok.to_str())
@@ -94,14 +94,9 @@ class PieceEncoder:
             return None
         return tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-    @functools.cached_property
+    @property
     def token_bytes(self) -> list[bytes]:
-        chars = _byte_chars()
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        out = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            out[i] = token.encode() if token in self.special else bytes(chars[c] for c in token)
-        return out
+        return token_table(self.path)
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -235,8 +230,25 @@ class PieceEncoder:
             width *= 2
 
     def decode(self, ids: list[int]) -> str:
-        """As the library's ``decode(ids, skip_special_tokens=False)`` for a byte-level decoder."""
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return decode(ids, self.token_bytes)
+
+
+@functools.lru_cache(maxsize=4)
+def token_table(path: str) -> list[bytes]:
+    """The bytes of each token by id: all that decoding needs, without an encoder."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    vocab, chars = spec["model"]["vocab"] | special, _byte_chars()
+    out = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        out[i] = token.encode() if token in special else bytes(chars[c] for c in token)
+    return out
+
+
+def decode(ids: list[int], table: list[bytes]) -> str:
+    """As the library's ``decode(ids, skip_special_tokens=False)`` for a byte-level decoder."""
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4)
