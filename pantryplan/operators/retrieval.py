@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pantryplan.sources.settle import settled
+
 #: Letters, digits and underscores of any script, two or more.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 RRF_K = 60
@@ -56,8 +58,12 @@ def top_k(scored: DataFrame, by: list[str], k: int, ids: list[str], score: str =
 
 
 def tfidf_search(queries: DataFrame, docs: DataFrame, k: int, query: str, doc: str, text: str = "text") -> DataFrame:
-    """Cosine of each query with all documents that share a term; query, doc, score, rank."""
-    counts = term_counts(docs, doc, text)
+    """Cosine of each query with all documents that share a term; query, doc, score, rank.
+
+    Term counts are read three times (document frequencies, norms, hits) and so are
+    kept in the checkpoint folder.
+    """
+    counts = settled(term_counts(docs, doc, text))
     idfs = idf(counts, docs)
     asked = term_counts(queries, query, text)
     q = weights(asked, idfs, query).withColumnRenamed("w", "wq")
