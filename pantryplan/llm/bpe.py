@@ -72,9 +72,29 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
     return df.withColumn(text_col, decode_column(F.col(ids_col), tokenizer_path))
 
 
+def round_trip_column(text: Column, tokenizer_path: str, leaf_chars: int = 2048) -> Column:
+    """struct(ids, decoded) of a text: both ways in one Python task."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc, bytes_of = encoder(tokenizer_path, leaf_chars), token_table(tokenizer_path)
+        for batch in batches:
+            offsets, parts, decoded = [0], [], []
+            for unit in _units(batch):
+                for blob in enc.encode_bytes(unit):
+                    ids = np.frombuffer(blob, "<i4")
+                    parts.append(ids)
+                    offsets.append(offsets[-1] + len(ids))
+                    decoded.append(decode_ids(ids.tolist(), bytes_of))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, "<i4"), *parts])))
+            yield pa.StructArray.from_arrays([ids, pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    return both(text)
+
+
 def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a table of documents."""
-    coded = decode(encode(df.select("doc_id", "text"), tokenizer_path), tokenizer_path)
+    coded = df.select("doc_id", round_trip_column(F.col("text"), tokenizer_path).alias("c")).select("doc_id", "c.*")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
