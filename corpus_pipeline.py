@@ -53,10 +53,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text_batches(spark)
-    path = bpe.default_tokenizer()
-    coded = bpe.decode(bpe.encode(docs, path, ids_col="token_ids"), path, ids_col="token_ids", text_col="__decoded")
-    same = F.col("__decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("round_trip", same).drop("__decoded")
+    coded = docs.withColumn("__coded", bpe.round_trip_column(F.col("text"), bpe.default_tokenizer()))
+    same = F.col("__coded.decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    added = {"token_ids": F.col("__coded.ids"), "n_tokens": F.size("__coded.ids").cast("long"), "round_trip": same}
+    return coded.withColumns(added).drop("__coded")
 
 
 STAGES = [
