@@ -29,3 +29,16 @@ def test_rows_of_the_stages_keep_their_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.count() == 0
+
+
+def test_null_ids_and_clashing_columns(spark, tmp_path):
+    item = " ".join(f"word{i}" for i in range(40))
+    passage = " ".join(f"line{i}" for i in range(60))
+    rows = [(None, f"some text\n{item}\nmore", 1, 2), (4, "other text", 1, 2), (5, f"a\n{passage}", 1, 2), (6, f"b\n{passage}", 1, 2), (7, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_deleted int")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7]
+    lines = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    got = {r.doc_id: r for r in lines.collect()}
+    assert lines.columns == docs.columns and len(got) == 5 and got[6].text == "b" and (got[6].n_lines, got[6].n_deleted) == (1, 2) and passage in got[5].text
