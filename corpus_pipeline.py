@@ -26,12 +26,14 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that fail the base rules or the forest go; null and empty texts fail. Without labels of both kinds only the base rules judge."""
     text_batches(spark)
     judged = rules.verdicts(docs, rules.fit(docs, table(spark, sf_dir, "labels")), out="__rules")
     return judged.where("__rules.kept").drop("__rules")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs go, and rows of which nothing is left. Null and empty texts stay; equal rows are one document; ``n_chars`` follows the text."""
     text_batches(spark)
     out = linededup.dedup_lines(docs, lines_col="__lines", deleted_col="__deleted").where("__deleted = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     if "n_chars" in docs.columns:
@@ -41,17 +43,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each group stays. Rows without words or without doc_id stay; rows with one doc_id share their fate."""
     text_batches(spark)
     found = neardup.near_duplicates(docs, width=5, percent=80)
     return without(docs, found.where("not kept").select("doc_id").distinct())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark item go, one with a null doc_id like any other; rows with one doc_id share their fate."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return without(docs, Scratch(spark, "contaminated").save(found.select("doc_id").distinct(), "ids"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds token_ids, n_tokens and round_trip, in place of columns with these names; null and empty texts have no ids."""
     text_batches(spark)
     coded = docs.withColumn("__coded", bpe.round_trip_column(F.col("text"), bpe.default_tokenizer()))
     same = F.col("__coded.decoded").eqNullSafe(F.coalesce("text", F.lit("")))
