@@ -16,6 +16,7 @@ from pantryplan.llm.neardup import OP1_SQL, op1_near_duplicates
 from pantryplan.llm.rules import op9_quality_rules
 from pantryplan.llm.classifier import op8_quality_classifier
 from pantryplan.llm.dac import op5_token_files
+from pantryplan.llm.sharding import op11_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
         "op10_line_dedup": op10_line_dedup,
+        "op11_shards": op11_shards,
     }
 
 
