@@ -17,6 +17,7 @@ from pantryplan.llm.rules import op9_quality_rules
 from pantryplan.llm.classifier import op8_quality_classifier
 from pantryplan.llm.dac import op5_token_files
 from pantryplan.llm.sharding import op11_shards
+from pantryplan.llm.spelling import op12_spelling_variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_line_dedup": op10_line_dedup,
         "op11_shards": op11_shards,
+        "op12_spelling_variants": op12_spelling_variants,
     }
 
 
