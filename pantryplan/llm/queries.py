@@ -18,6 +18,7 @@ from pantryplan.llm.classifier import op8_quality_classifier
 from pantryplan.llm.dac import op5_token_files
 from pantryplan.llm.sharding import op11_shards
 from pantryplan.llm.spelling import op12_spelling_variants
+from pantryplan.llm.whitening import op13_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_shards": op11_shards,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_whitening": op13_whitening,
     }
 
 
