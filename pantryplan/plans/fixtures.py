@@ -81,7 +81,24 @@ SELECT q.vec_id AS request_id, CASE WHEN q.vec_id % 7 <= 3 THEN 'dev' WHEN q.vec
 FROM {embeddings} q
 """
 JUDGED = JUDGED.replace("{RECORDS}", RECORDS)
-VIEWS = {"catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS, "asks": ASKS, "judged": JUDGED}
+#: Raw fields of item cards, forty parts to a page; chr(92) is a backslash.
+CARDS = """
+SELECT p_partkey AS pid, CAST(floor(p_partkey / 40) AS BIGINT) AS page_id, CAST(p_partkey AS STRING) AS item_id,
+       concat(CASE WHEN p_partkey % 7 = 0 THEN 'Expires Soon ' ELSE '' END, p_name, CASE p_partkey % 5 WHEN 0 THEN concat(' ', chr(92), 'u0026 Co') WHEN 1 THEN concat(' ', chr(92), '"Best', chr(92), '"') WHEN 2 THEN ' (12 oz)' WHEN 3 THEN ' (bunch)' ELSE '' END) AS item_name,
+       CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('$', CAST(p_size AS STRING), '.49') END AS price_display,
+       CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat(CAST(p_size AS STRING), '49') END AS unit_amount,
+       CASE p_partkey % 8 WHEN 0 THEN concat('$', CAST(p_size AS STRING), '.25 on sale from $', CAST(p_size + 1 AS STRING), '.5') WHEN 4 THEN concat('$', CAST(p_size AS STRING), '.25') WHEN 5 THEN 'from $3' ELSE '' END AS item_price,
+       CASE WHEN p_partkey % 6 = 0 THEN concat(CAST(p_size + 2 AS STRING), '00') ELSE '' END AS non_discount,
+       CASE p_partkey % 9 WHEN 0 THEN '16 oz' WHEN 1 THEN '12 oz • $0.30/oz' WHEN 2 THEN '0 oz' ELSE '' END AS sold_as,
+       CASE WHEN p_partkey % 3 = 1 THEN 'average rating of 4.5 stars, 1.2k' ELSE '' END AS rating_text,
+       CASE WHEN p_partkey % 10 = 4 THEN CAST(p_partkey % 30 AS STRING) ELSE '' END AS item_limit,
+       CASE p_partkey % 5 WHEN 0 THEN '25% off' WHEN 1 THEN '3 in stock' WHEN 2 THEN '1.2k+ recently sold' WHEN 3 THEN 'Out of stock' ELSE '' END AS badge1,
+       CASE p_partkey % 7 WHEN 1 THEN 'SNAP' WHEN 2 THEN '20+ in stock' WHEN 3 THEN ' snap ' WHEN 4 THEN '0 in stock' ELSE '' END AS badge2,
+       CASE p_partkey % 11 WHEN 0 THEN 'Best by 9/30' WHEN 1 THEN '10% OFF today' ELSE '' END AS label_badge,
+       concat('https:', chr(92), '/', chr(92), '/cdn.example.com/fit=contain,width=1200,height=672/', CAST(p_partkey AS STRING), '.jpg') AS image
+FROM {part}
+"""
+VIEWS = {"cards": CARDS, "catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS, "asks": ASKS, "judged": JUDGED}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
