@@ -98,7 +98,30 @@ SELECT p_partkey AS pid, CAST(floor(p_partkey / 40) AS BIGINT) AS page_id, CAST(
        concat('https:', chr(92), '/', chr(92), '/cdn.example.com/fit=contain,width=1200,height=672/', CAST(p_partkey AS STRING), '.jpg') AS image
 FROM {part}
 """
-VIEWS = {"cards": CARDS, "catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS, "asks": ASKS, "judged": JUDGED}
+#: What a request expects, and the products that can be held against it.
+WISHES = """
+SELECT a.request_id, a.form, a.text, a.words, a.p_size, split_part(a.words, ' ', 2) AS noun, CASE WHEN a.request_id % 3 = 0 THEN replace(p.p_brand, '#', '') END AS brand,
+       CASE CAST(a.request_id / 50 AS BIGINT) % 5 WHEN 0 THEN 'Large, any' WHEN 1 THEN 'Extra Large' WHEN 2 THEN 'Small' WHEN 3 THEN 'ECONOMY pack' END AS variant,
+       CASE a.form WHEN 0 THEN concat(CAST(a.p_size AS STRING), ' oz') WHEN 1 THEN concat(CAST(a.p_size AS STRING), ' fl oz') WHEN 4 THEN concat(CAST(a.p_size AS STRING), ' lb') WHEN 5 THEN concat(CAST(a.p_size AS STRING), ' ct') END AS size_text,
+       CAST(a.request_id / 50 AS BIGINT) % 7 = 3 AS any_size, CAST(a.request_id / 50 AS BIGINT) % 7 = 4 AS any_brand, CAST(a.request_id / 50 AS BIGINT) % 7 = 5 AS any_variant
+FROM ({ASKS}) a JOIN {part} p ON p.p_partkey = a.request_id
+"""
+OFFERS = """
+SELECT p_partkey % 5 AS store_id, CAST(p_partkey AS STRING) AS product_id, p_partkey AS pid, p_size, split_part(lower(p_name), ' ', 2) AS noun,
+       concat(p_name, CASE WHEN p_partkey % 17 = 0 THEN 's ' ELSE ' ' END, replace(p_brand, '#', ''), ' ', lower(p_type), CASE p_partkey % 13 WHEN 0 THEN ' Extra Large' WHEN 1 THEN ' economy pack' WHEN 2 THEN ' medium roast' ELSE '' END) AS raw_title,
+       CASE p_partkey % 6 WHEN 0 THEN concat(CAST(p_size AS STRING), ' oz') WHEN 1 THEN concat(CAST(p_size AS STRING), '.2 oz') WHEN 2 THEN concat(CAST(p_size AS STRING), ' lb') WHEN 3 THEN concat(CAST(p_size AS STRING), ' fl oz') WHEN 4 THEN '0.5 kg' ELSE 'bunch' END AS raw_size,
+       p_partkey % 23 = 0 AS dimension_review
+FROM {part}
+"""
+WISHES = WISHES.replace("{ASKS}", ASKS)
+#: A log of decisions on documents: who decided what, and photos seen later; a third of it is on one key.
+DECISIONS = """
+SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id % 97 END AS request_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 11 AS STRING) END AS product_id, event_id AS seq,
+       CASE WHEN event_id % 3 = 0 AND event_id > 9 THEN 'photo' WHEN event_id % 7 = 0 THEN 'decide' WHEN event_id % 5 IN (0, 1) THEN 'photo' WHEN event_id % 41 = 2 THEN 'guess' ELSE 'seed' END AS kind,
+       CASE WHEN event_id % 4 < 2 THEN 'Needs clarification' WHEN event_id % 4 = 2 THEN 'Acceptable' WHEN event_id % 37 = 3 THEN 'Maybe' ELSE 'Incorrect' END AS label, event_id % 8 = 2 AS guess, event_type AS by
+FROM {events}
+"""
+VIEWS = {"wishes": WISHES, "offers": OFFERS, "decisions": DECISIONS, "cards": CARDS, "catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS, "asks": ASKS, "judged": JUDGED}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
