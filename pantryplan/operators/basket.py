@@ -47,6 +47,11 @@ def select(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumn("place", F.when(priced, F.row_number().over(order)))
 
 
+def cheapest(priced: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each group in ``order``."""
+    return priced.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("place = 1").drop("place")
+
+
 def resolve(requests: DataFrame, stores: DataFrame, candidates: DataFrame, keys: list[str], accept: float, floor: float) -> DataFrame:
     """A row for each request and store, those without candidates too.
 

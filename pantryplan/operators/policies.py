@@ -39,22 +39,22 @@ def gated(requests: DataFrame, found: DataFrame, size: bool = True, by_identity:
     return both.withColumn("tag", F.when(passes, tag).otherwise("drop")).where("tag <> 'drop'")
 
 
-def decide(requests: DataFrame, tagged: DataFrame, floor: float = 0.0, k: int = TOP) -> DataFrame:
-    """request_id, response, n_survivors and the ids of the ``k`` best of each request that is answered.
+def decide(requests: DataFrame, tagged: DataFrame, floor: float | Column = 0.0, k: int = TOP, by: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """``by``, response, n_survivors and the ids of the ``k`` best of each request that is answered.
 
     A line to review asks for clarification, and so does one all of whose candidates
     are gone and some for want of a known identity; no survivor, or none that reaches
     the floor, is no match.
     """
     kept = tagged.where("tag = 'keep'")
-    place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), *ID))
-    best = kept.withColumn("place", place).groupBy("request_id").agg(
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), *ID))
+    best = kept.withColumn("place", place).groupBy(*by).agg(
         F.count("*").alias("n"),
         F.max("score").alias("top"),
         F.array_sort(F.collect_list(F.when(F.col("place") <= k, F.struct("place", F.concat_ws("/", *ID).alias("id"))))).alias("ids"),
     )
-    unsure = tagged.groupBy("request_id").agg(F.bool_or(F.col("tag") == "review").alias("unsure"))
-    out = requests.select("request_id", "needs_review").join(best, "request_id", "left").join(unsure, "request_id", "left")
+    unsure = tagged.groupBy(*by).agg(F.bool_or(F.col("tag") == "review").alias("unsure"))
+    out = requests.join(best, list(by), "left").join(unsure, list(by), "left")
     response = (
         F.when(F.col("needs_review"), "needs_clarification")
         .when(F.col("n").isNull(), F.when(F.coalesce("unsure", F.lit(False)), "needs_clarification").otherwise("no_acceptable_match"))
@@ -65,7 +65,7 @@ def decide(requests: DataFrame, tagged: DataFrame, floor: float = 0.0, k: int =
     answered = F.col("response") == "answerable"
     ids = F.array_join(F.transform("ids", lambda x: x["id"]), ",")
     n = F.when(F.col("needs_review"), 0).otherwise(F.coalesce("n", F.lit(0)))
-    return out.select("request_id", "response", n.alias("n_survivors"), F.when(answered, F.col("top")).alias("top_score"), F.when(answered, ids).alias("ids"))
+    return out.select(*by, "response", n.alias("n_survivors"), F.when(answered, F.col("top")).alias("top_score"), F.when(answered, ids).alias("ids"))
 
 
 def refloored(decided: DataFrame, floor: float) -> DataFrame:

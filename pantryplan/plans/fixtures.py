@@ -121,7 +121,30 @@ SELECT CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id % 97 END AS request_id, C
        CASE WHEN event_id % 4 < 2 THEN 'Needs clarification' WHEN event_id % 4 = 2 THEN 'Acceptable' WHEN event_id % 37 = 3 THEN 'Maybe' ELSE 'Incorrect' END AS label, event_id % 8 = 2 AS guess, event_type AS by
 FROM {events}
 """
-VIEWS = {"wishes": WISHES, "offers": OFFERS, "decisions": DECISIONS, "cards": CARDS, "catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS, "asks": ASKS, "judged": JUDGED}
+#: A labelled benchmark with faults of every kind that its validation looks for.
+BENCH_REQUESTS = """
+SELECT vec_id AS request_id, CAST(vec_id / 50 AS BIGINT) % 23 AS paraphrase_group, CASE CAST(vec_id / 50 AS BIGINT) % 5 WHEN 0 THEN 'no_acceptable_match' WHEN 1 THEN 'needs_clarification' ELSE 'answerable' END AS answerability,
+       CASE WHEN vec_id % 3 = 0 THEN 'exact' ELSE 'flexible' END AS matching_mode, md5(concat('request ', CAST(vec_id AS STRING))) AS content_sha256, label, vec_id % 150 = 0 AS is_pilot
+FROM {embeddings} WHERE vec_id % 50 = 0
+UNION ALL SELECT vec_id, CAST(vec_id / 50 AS BIGINT) % 23, 'answerable', 'flexible', md5(concat('request ', CAST(vec_id AS STRING))), label, vec_id % 150 = 0 FROM {embeddings} WHERE vec_id % 50 = 0 AND vec_id % 350 = 0
+"""
+BENCH_CATALOG = """
+SELECT vec_id % 5 AS store_id, CAST(vec_id AS STRING) AS product_id FROM {embeddings} WHERE vec_id % 31 <> 3
+UNION ALL SELECT vec_id % 5, CAST(vec_id AS STRING) FROM {embeddings} WHERE vec_id % 101 = 7
+"""
+BENCH_POOL = """
+SELECT q.vec_id AS request_id, d.vec_id % 5 AS store_id, CAST(d.vec_id AS STRING) AS product_id, d.vec_id AS pid FROM {embeddings} q JOIN {embeddings} d ON q.label = d.label WHERE q.vec_id % 50 = 0
+UNION ALL SELECT q.vec_id, d.vec_id % 5, CAST(d.vec_id AS STRING), d.vec_id FROM {embeddings} q JOIN {embeddings} d ON q.label = d.label WHERE q.vec_id % 50 = 0 AND d.vec_id % 97 = 5
+"""
+BENCH_DECISIONS = """
+SELECT q.vec_id AS request_id, d.vec_id % 5 AS store_id, CASE WHEN d.vec_id % 53 = 9 THEN concat('old', CAST(d.vec_id AS STRING)) ELSE CAST(d.vec_id AS STRING) END AS product_id,
+       CASE WHEN d.vec_id % 61 = 2 THEN 'Maybe' WHEN d.vec_id % 67 = 1 THEN NULL WHEN CAST(q.vec_id / 50 AS BIGINT) % 6 = 1 THEN 'Incorrect' WHEN d.vec_id % 3 = 0 THEN 'Acceptable' WHEN d.vec_id % 3 = 1 THEN 'Needs clarification' ELSE 'Incorrect' END AS reviewer_label,
+       CASE WHEN d.vec_id % 8 = 0 THEN 'Incorrect' WHEN d.vec_id % 8 = 1 THEN '' END AS conservative_label, CASE WHEN d.vec_id % 4 = 0 THEN true WHEN d.vec_id % 4 = 1 THEN d.vec_id % 16 = 1 END AS is_best_guess,
+       CASE WHEN d.vec_id % 71 = 3 THEN 'c0' ELSE 'c1' END AS catalog_version_sha256, CASE WHEN d.vec_id % 73 = 3 THEN NULL ELSE 'r1' END AS request_version, CASE WHEN d.vec_id % 79 = 3 THEN 'g0' ELSE 'g1' END AS labeling_guideline_version,
+       md5(concat('request ', CAST(CASE WHEN q.vec_id % 250 = 100 THEN 0 ELSE q.vec_id END AS STRING))) AS request_content_sha256
+FROM {embeddings} q JOIN {embeddings} d ON q.label = d.label WHERE q.vec_id % 50 = 0 AND d.vec_id % 29 <> 4
+"""
+VIEWS = {"bench_requests": BENCH_REQUESTS, "bench_catalog": BENCH_CATALOG, "bench_pool": BENCH_POOL, "bench_decisions": BENCH_DECISIONS, "wishes": WISHES, "offers": OFFERS, "decisions": DECISIONS, "cards": CARDS, "catalog": CATALOG, "lines": LINES, "stock": STOCK, "requests": REQUESTS, "labels": LABELS, "records": RECORDS, "asks": ASKS, "judged": JUDGED}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

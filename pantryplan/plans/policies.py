@@ -117,15 +117,20 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(fields.join(named, "request_id"))
 
 
-def lexical_search(asked: DataFrame, items: DataFrame, key: str, depth: int) -> DataFrame:
-    """Products by the cosine of their text: each distinct text is weighed once, for as many rows as have it."""
+def lexical_index(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Term weights of the products' texts, their norms, and idfs: each distinct text is weighed once, for as many rows as have it."""
     texts = items.groupBy("words").agg(F.count("*").alias("rows"))
-    counts = retrieval.term_counts(texts, "words", "words")
+    counts = settled(retrieval.term_counts(texts, "words", "words"))
     df = counts.join(texts, "words").groupBy("term").agg(F.sum("rows").alias("df"))
     idfs = df.crossJoin(F.broadcast(texts.agg(F.sum("rows").alias("n")))).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = settled(counts.join(idfs, "term").select("words", "term", (F.col("tf") * F.col("idf")).alias("raw")))
+    return raw, raw.groupBy("words").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), idfs
+
+
+def lexical_search(asked: DataFrame, items: DataFrame, key: str, depth: int, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Products by the cosine of their text."""
+    raw, norm, idfs = index or lexical_index(items)
     q = retrieval.weights(retrieval.term_counts(asked, key, "text"), idfs, key).withColumnRenamed("w", "wq")
-    raw = counts.join(idfs, "term").select("words", "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norm = raw.groupBy("words").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     hits = raw.join(retrieval.small(q), "term").groupBy(key, "words").agg(F.sum(F.col("raw") * F.col("wq")).alias("dot"))
     scored = hits.join(norm, "words").select(key, "words", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where("score > 0")
     # no text beyond a request's ``depth`` best can have a row among its ``depth`` best rows
@@ -135,6 +140,16 @@ def lexical_search(asked: DataFrame, items: DataFrame, key: str, depth: int) ->
     return retrieval.top_k(scored.join(items.select("words", "store_id", "product_id"), "words").drop("words"), [key], depth, policies.ID)
 
 
+def lexical_scores(pairs: DataFrame, asked: DataFrame, items: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """The same cosine of given pairs (request_id, store_id, product_id) alone, whatever their rank; 0 without a common term."""
+    raw, norm, idfs = index
+    q = retrieval.weights(retrieval.term_counts(asked, "request_id", "text"), idfs, "request_id").withColumnRenamed("w", "wq")
+    pairs = pairs.join(items.select("store_id", "product_id", "words"), policies.ID)
+    hits = pairs.select("request_id", "words").distinct().join(raw, "words").join(q, ["request_id", "term"]).groupBy("request_id", "words").agg(F.sum(F.col("raw") * F.col("wq")).alias("dot"))
+    scored = hits.join(norm, "words").select("request_id", "words", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    return pairs.join(scored, ["request_id", "words"], "left").select("request_id", *policies.ID, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def vector_search(spark: SparkSession, sf_dir: str, asked: DataFrame, items: DataFrame, depth: int) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = vectors.join(asked.select(F.col("request_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("qvec"))

@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder beside the checkpoints, for files that a query writes and reads back."""
+    if not spark.sparkContext.getCheckpointDir():
+        settled(spark.range(0))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
