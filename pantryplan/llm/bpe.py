@@ -1,8 +1,11 @@
 """Operator 4: BPE encoding and decoding of a text column.
 
 ``encode`` adds the token ids of whole texts, ``decode`` the text of token ids.
-Null and empty texts have no ids and decode to the empty text. Rows are never
-moved: both are narrow, so a lost executor only repeats its own tasks.
+Null and empty texts have no ids and decode to the empty text; equal rows are coded
+each. Rows are not moved, so a lost executor only repeats its own tasks. Only a
+text of more than DEALT_CHARS is: ``round_trip`` deals its parts over tasks, which encode
+them side by side, and one task joins their ids, re-encoding a window at each join.
+A column named like the added one is replaced.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from pantryplan.llm.common import table, text_batches
+from pantryplan.llm.common import Scratch, table, text_batches
 from pantryplan.llm.tokens import decode as decode_ids
 from pantryplan.llm.tokens import encoder, token_table
 
 #: Texts of one unit of work hold at most so many characters (one longer text is a unit of its own).
 UNIT_CHARS = 4_000_000
+#: Texts of more characters are dealt over tasks in parts of so many.
+DEALT_CHARS, PART_CHARS = 1_000_000, 250_000
 
 
 def _units(array: pa.Array) -> Iterator[list]:
@@ -92,9 +97,45 @@ def round_trip_column(text: Column, tokenizer_path: str, leaf_chars: int = 2048)
     return both(text)
 
 
+def round_trip(df: DataFrame, tokenizer_path: str, text_col: str, out: str) -> DataFrame:
+    """Add ``out``, a struct of ids and decoded text; texts of more than DEALT_CHARS characters are encoded in parallel parts."""
+    df, long_ = df.drop(out), F.coalesce(F.octet_length(text_col) > DEALT_CHARS, F.lit(False))
+    if df.where(long_).isEmpty():
+        return df.withColumn(out, round_trip_column(F.col(text_col), tokenizer_path))
+    near = df.where(~long_).withColumn(out, round_trip_column(F.col(text_col), tokenizer_path))
+    kept = Scratch(df.sparkSession, "bpe").save(df.where(long_).select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("nth")), "long")
+    rows = kept.select("nth", F.col("row")[text_col].alias("text"))
+
+    @F.arrow_udf("array<struct<part:int,start:bigint,piece:string>>")
+    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(tokenizer_path)
+        for batch in batches:
+            cut = []
+            for text in batch.to_pylist():
+                at = enc.cuts(text, PART_CHARS)
+                cut.append([{"part": i, "start": a, "piece": text[a:b]} for i, (a, b) in enumerate(zip(at, at[1:]))])
+            yield pa.array(cut, pa.list_(pa.struct({"part": pa.int32(), "start": pa.int64(), "piece": pa.string()})))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def joined(lists: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        enc, bytes_of = encoder(tokenizer_path), token_table(tokenizer_path)
+        for texts, batch in lists:
+            out = []
+            for text, nodes in zip(texts.to_pylist(), batch.to_pylist()):
+                ends = [n["start"] for n in nodes[1:]] + [len(text)]
+                ids = enc.joined(text, [(n["start"], b, np.array(n["ids"], "<u4")) for n, b in zip(nodes, ends)]).tolist()
+                out.append({"ids": ids, "decoded": decode_ids(ids, bytes_of)})
+            yield pa.array(out, pa.struct({"ids": pa.list_(pa.int32()), "decoded": pa.string()}))
+
+    dealt = rows.select("nth", F.explode(parts(F.col("text"))).alias("p")).select("nth", "p.*").repartition("nth", "part")
+    coded = dealt.withColumn("ids", encode_column(F.col("piece"), tokenizer_path)).groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("part", "start", "ids"))).alias("nodes"))
+    far = kept.join(coded, "nth").withColumn(out, joined(F.col("row")[text_col], F.col("nodes")))
+    return near.unionByName(far.select(*(F.col("row")[c].alias(c) for c in df.columns), out))
+
+
 def digests(df: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of a table of documents."""
-    coded = df.select("doc_id", round_trip_column(F.col("text"), tokenizer_path).alias("c")).select("doc_id", "c.*")
+    coded = round_trip(df.select("doc_id", "text"), tokenizer_path, "text", "c").select("doc_id", "c.*")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -126,7 +126,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> Non
     """Encode ``text`` and write it in ascending order of ``doc_id``, file after file."""
 
     def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer_path, fast=False), np.array([end_id], "<u4").tobytes()
         docs, lengths, parts, n = [], [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -1,19 +1,20 @@
-"""Exact BPE encoding by tree concatenation, on one executor core.
-
-A text longer than a leaf is cut into leaves of equal length, wherever that falls.
-Leaves are encoded by themselves and joined two by two: each join is mended by
-re-encoding a window around it, which grows until its outermost tokens equal those
-of both sides. Windows start and end at a lone space between other characters; no
-token and no piece of a pre-tokenizer that keeps spaces crosses to its left, so what
-stands outside such a window is not changed by the join.
-
-Text without such spaces is cut at other white space, and a piece of it longer than
-a leaf goes through the same tree by tokens: adjacent tokens of a BPE encoding are
-compatible pair by pair, and a sequence all of whose adjacent pairs are compatible
-is the encoding, so agreement at both ends of the window proves the joined sequence.
-
-Leaves and windows of well-known letters are encoded by a faster library that has
-been given the same merges, any others by the tokenizers library.
+"""Exact BPE encoding by tree concatenation.
+
+A text longer than a leaf is cut into leaves, wherever that falls. Leaves are encoded by
+themselves and joined two by two: each join is mended by re-encoding a window around
+it, which grows until its outermost tokens equal those of both sides. Windows start and
+end where white space begins behind another character; no token and no piece of a
+pre-tokenizer that keeps spaces crosses such a place, and none looks back across it, so
+what stands outside a window is not changed by the join. Special tokens are cut out
+first, as the library does.
+
+A stretch without white space that is longer than a leaf is one node of that tree and goes
+through a tree of its own by tokens: adjacent tokens of a BPE encoding are compatible pair
+by pair, and a sequence all of whose adjacent pairs are compatible is the encoding, so
+agreement at both ends of the window proves the joined sequence.
+
+Leaves and windows of well-known letters may be encoded by a faster library that has
+been given the same merges (``fast``), any others by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def _byte_chars() -> dict[str, int]:
 class PieceEncoder:
     """Encodes texts as the library's ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, leaf_chars: int = 2048, cache_pieces: int = 100_000):
+    def __init__(self, path: str, leaf_chars: int = 2048, cache_pieces: int = 100_000, fast: bool = True):
         from tokenizers import Tokenizer
 
         self.path, self.tok = path, Tokenizer.from_file(path)
@@ -53,11 +54,12 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {}
         #: Joins mended so far: of whole texts, and of pieces without a space.
         self.joins, self.piece_joins = 0, 0
-        self.space = re.compile(f"[{_SPACE}]").match
+        #: Where white space begins behind another character.
+        self.safe = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]").search
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-        self.merger = self._merger(spec)
+        self.merger = self._merger(spec) if fast else None
 
     def _merger(self, spec: dict):
         """The same merges in a faster library, for texts of well-known letters; None if they can't be ranked so.
@@ -132,20 +134,44 @@ class PieceEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return [self._encode_text(text) if text else b"" for text in texts]
 
+    def _leaf(self, text: str) -> bytes:
+        return self._merged(text) if self.merger is not None and self._is_plain(text) else self._by_pieces(text)
+
     def _encode_text(self, text: str) -> bytes:
-        if self.merger is not None and self._is_plain(text):
-            leaf = self._merged
-        else:
-            leaf = self._by_pieces
-        if not self.tree or len(text) <= self.leaf_chars or not self._is_spaced(text):
-            return leaf(text)
-        cuts = [*range(0, len(text), self.leaf_chars), len(text)]
-        nodes = [(a, b, np.frombuffer(leaf(text[a:b]), "<u4")) for a, b in zip(cuts, cuts[1:])]
+        if not self.tree or len(text) <= self.leaf_chars:
+            return self._leaf(text)
+        out = []
+        for part in self.special_split.split(text) if self.special_split else [text]:
+            if part in self.special:
+                out.append(np.array([self.special[part]], "<u4").tobytes())
+            elif part:
+                out.append(self._concatenated(part))
+        return b"".join(out)
+
+    def cuts(self, text: str, size: int) -> list[int]:
+        """Places that cut a text into leaves of ``size`` characters, but for stretches without a safe place, which stay whole."""
+        out = [0]
+        while len(text) - out[-1] > size:
+            at = out[-1] + size
+            if self._before(text, out[-1], at) == out[-1]:
+                at = self._after(text, at, len(text))
+                if at == len(text):
+                    break
+            out.append(at)
+        return [*out, len(text)]
+
+    def _concatenated(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        cuts = self.cuts(text, self.leaf_chars)
+        return self.joined(text, [(a, b, np.frombuffer(self._leaf(text[a:b]), "<u4")) for a, b in zip(cuts, cuts[1:])]).tobytes()
+
+    def joined(self, text: str, nodes: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+        """Ids of a text from those of adjacent parts of it (start, stop, ids), two by two."""
         while len(nodes) > 1:
             pairs = zip(nodes[::2], nodes[1::2])
-            joined = [(a, c, self._mended(text, a, b, c, left, right, leaf)) for (a, b, left), (_, c, right) in pairs]
+            joined = [(a, c, self._mended(text, a, b, c, left, right)) for (a, b, left), (_, c, right) in pairs]
             nodes = joined + nodes[len(joined) * 2 :]
-        return nodes[0][2].tobytes()
+        return nodes[0][2]
 
     def _merged(self, text: str) -> bytes:
         if self.keeps_space:
@@ -153,37 +179,43 @@ class PieceEncoder:
         marked = "\0".join([*self.units(text.lower()), ""])
         return self.to_id[self.merger.encode_to_numpy(marked, disallowed_special=())].tobytes()
 
-    def _is_spaced(self, text: str) -> bool:
-        """Whether a lone space stands in each leaf, and no special token anywhere."""
-        leaves = (text[i : i + self.leaf_chars] for i in range(0, len(text) - self.leaf_chars, self.leaf_chars))
-        return not (self.special_split and self.special_split.search(text)) and all(self._lone_before(x, 0, len(x)) for x in leaves)
-
-    def _lone_before(self, text: str, start: int, stop: int) -> int:
-        """The last place before ``stop`` of a space between two other characters; ``start`` if there is none."""
-        while (at := text.rfind(" ", start + 1, max(stop - 1, 0))) > 0 and (self.space(text[at - 1]) or self.space(text[at + 1])):
-            stop = at
-        return max(at, start)
-
-    def _lone_after(self, text: str, start: int, stop: int) -> int:
-        """The first place from ``start`` on of such a space; ``stop`` if there is none."""
-        while (at := text.find(" ", start, stop - 1)) >= 0 and (self.space(text[at - 1]) or self.space(text[at + 1])):
-            start = at + 1
-        return at if at >= 0 else stop
+    def _before(self, text: str, start: int, stop: int) -> int:
+        """The last safe place before ``stop``; ``start`` if there is none behind it."""
+        width = 64
+        while True:
+            low, found = max(start, stop - width), None
+            at = low
+            while (m := self.safe_from(text, at, stop)) is not None:
+                found, at = m, m + 1
+            if found is not None and found > start:
+                return found
+            if low == start:
+                return start
+            width *= 4
+
+    def _after(self, text: str, start: int, stop: int) -> int:
+        """The first safe place from ``start`` on; ``stop`` if there is none."""
+        found = self.safe_from(text, start, stop)
+        return stop if found is None else found
+
+    def safe_from(self, text: str, start: int, stop: int) -> int | None:
+        m = self.safe(text, start, stop)
+        return m.start() if m else None
 
     @functools.cached_property
     def token_sizes(self) -> np.ndarray:
         return np.array([len(x) for x in self.token_bytes])
 
-    def _mended(self, text: str, start: int, cut: int, stop: int, left: np.ndarray, right: np.ndarray, leaf, width: int = 32) -> np.ndarray:
+    def _mended(self, text: str, start: int, cut: int, stop: int, left: np.ndarray, right: np.ndarray, width: int = 32) -> np.ndarray:
         """The encoding of text[start:stop] from those of text[start:cut] and text[cut:stop]."""
         self.joins += 1
         while True:
-            a, b = self._lone_before(text, start, max(cut - width, start)), self._lone_after(text, min(cut + width, stop), stop)
+            a, b = self._before(text, start, max(cut - width, start)), self._after(text, min(cut + width, stop), stop)
             # tokens of both sides inside the window; None where none of them ends at its edge
             k = len(left) if a == start else self._count(left[::-1], len(text[a:cut].encode()))
             m = len(right) if b == stop else self._count(right, len(text[cut:b].encode()))
             if k is not None and m is not None:
-                window = np.frombuffer(leaf(text[a:b]), "<u4")
+                window = np.frombuffer(self._leaf(text[a:b]), "<u4")
                 if (a == start or window[0] == left[-k]) and (b == stop or window[-1] == right[m - 1]):
                     return np.concatenate([left[: len(left) - k], window, right[m:]])
             width *= 2
@@ -252,6 +284,6 @@ def decode(ids: list[int], table: list[bytes]) -> str:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(path: str, leaf_chars: int = 2048) -> PieceEncoder:
+def encoder(path: str, leaf_chars: int = 2048, fast: bool = True) -> PieceEncoder:
     """One encoder for each Python worker: its tables and cache outlive a batch."""
-    return PieceEncoder(path, leaf_chars)
+    return PieceEncoder(path, leaf_chars, fast=fast)

@@ -66,11 +66,43 @@ def test_every_long_document_goes_through_the_tree():
         assert enc.joins + enc.piece_joins - before >= leaves - 1
 
 
+@pytest.mark.parametrize(
+    "t",
+    [
+        "two  spaces  between " * 1100, "a,b;c1,12.5\n" * 3500, ("some words here " * 460 + "<|endoftext|>") * 2, "short\n" * 2000 + "x" * 1600, "word " * 1500 + "y" * 9000 + " and more" * 900, "tab\tand\u3000wide" * 900, "<|endoftext|>" * 400 + "a b " * 900,
+    ],
+)
+def test_long_texts_of_any_kind_make_joins(t):
+    enc = PieceEncoder(BYTE)
+    assert ids(enc, t) == LIB[BYTE].encode(t, add_special_tokens=False).ids
+    stretches = sum(len(p) // enc.leaf_chars for p in enc.special_split.split(t) if p not in enc.special)
+    assert enc.joins + enc.piece_joins >= max(1, stretches // 2)
+
+
+def test_the_library_alone_gives_the_same_ids():
+    for t in ("The quick (brown) fox's 12 jumps " * 40, "éà ß İ", "Long " + "w" * 3000):
+        slow = PieceEncoder(WORD, fast=False)
+        assert slow.merger is None and ids(slow, t) == LIB[WORD].encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("t", ["a" * 5000, "!=" * 3000, " " * 4000 + "x", "ab" * 4000 + "c", "é" * 3000])
 def test_long_unsplit_texts(t):
     assert ids(ENC[BYTE], t) == LIB[BYTE].encode(t, add_special_tokens=False).ids
 
 
+def test_long_texts_are_dealt_over_tasks(spark, monkeypatch):
+    """Parts of a text are encoded apart and joined; other columns and rows stay as they are."""
+    monkeypatch.setattr(bpe, "DEALT_CHARS", 300)
+    monkeypatch.setattr(bpe, "PART_CHARS", 100)
+    texts = ["the quick brown fox's  " * 40, "<|endoftext|>" + "a b " * 200 + "<|endoftext|>x", "z" * 900, "é中 " * 120, "same text here " * 30, "same text here " * 30, "short", None, ""]
+    df = spark.createDataFrame([(None if i == 3 else i % 6, t, f"p{i}") for i, t in enumerate(texts)], "doc_id long, text string, part string").repartition(3)
+    got = {r.part: r for r in bpe.round_trip(df, BYTE, "text", "coded").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        r = got[f"p{i}"]
+        assert r.text == t and r.coded.decoded == (t or "") and r.coded.ids == LIB[BYTE].encode(t or "", add_special_tokens=False).ids
+
+
 def test_round_trip_of_a_table(spark):
     texts = [None, "", "Hello  world\n", "x" * 9000, "dup", "dup", "<|endoftext|> é😀"]
     df = spark.createDataFrame([(i, t, "ids") for i, t in enumerate(texts)], "doc_id long, text string, ids_note string")
