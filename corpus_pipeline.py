@@ -58,7 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds token_ids, n_tokens and round_trip, in place of columns with these names; null and empty texts have no ids."""
     text_batches(spark)
-    coded = docs.withColumn("__coded", bpe.round_trip_column(F.col("text"), bpe.default_tokenizer()))
+    coded = bpe.round_trip(docs, bpe.default_tokenizer(), "text", "__coded")
     same = F.col("__coded.decoded").eqNullSafe(F.coalesce("text", F.lit("")))
     added = {"token_ids": F.col("__coded.ids"), "n_tokens": F.size("__coded.ids").cast("long"), "round_trip": same}
     return coded.withColumns(added).drop("__coded")
