@@ -7,14 +7,16 @@ of another, missing or added) for every eight words of the template.
 1. A template that may have ``d`` differences is cut into ``d + 1`` parts, one of
    which stands in any such notice word for word; so the index of all parts meets
    every notice. A text with none of the parts' longest words is not read further.
-2. A block is what a part points at: as many words as its template, and ``d`` more
-   on both sides. It is compressed by itself and with the template as a raw
-   zstandard dictionary; blocks are ranked by the share that this saves, and those
-   that it doesn't shorten go.
-3. The exact wording confirms: words of the template that the block lacks and words
-   that it has inside the template's wording. Of notices that overlap, the one with
-   most words of its template less differences stays; then the larger saving, then
-   the first name.
+2. What a part points at is a candidate block: as many words as its template, and ``d``
+   more on both sides. Which template it came from is forgotten.
+3. The block is compressed by itself and with each template as a raw zstandard
+   dictionary, and the templates are ranked by the bytes that this saves; those that
+   save none go.
+4. The exact wording confirms in that order: words of the template that the block lacks
+   and words that it has inside the template's wording are differences. A difference
+   counts as PENALTY bytes, about what it costs a compressor, so that of two templates
+   that save alike the one with the exact wording wins.
+5. Of blocks that overlap, the one with the greater saving less its differences stays.
 
 Null and empty texts have no notices; each row is scanned by itself, and a line may
 hold several.
@@ -24,7 +26,8 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,7 +63,7 @@ TEMPLATES = {
     "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
 }
 _WORD = re.compile(r"[^\s]+")
-WORDS_PER_DIFFERENCE = 8
+WORDS_PER_DIFFERENCE, PENALTY = 8, 6
 
 
 def _bare(word: str) -> str:
@@ -89,7 +92,8 @@ class Scanner:
         for name, words in self.templates.items():
             for offset, part in parts_of(words):
                 self.parts[part[:2]].append((part, offset, name))
-        self.memo: dict[tuple[str, str], tuple | None] = {}
+        self.bags = {k: Counter(t) for k, t in self.templates.items()}
+        self.memo: dict[str, tuple | None] = {}
 
     def wording(self, block: str, name: str) -> tuple[int, int, list[str], int, int] | None:
         """Start and end of the template's wording in the block, the differences inside it, their number and that of equal words."""
@@ -108,48 +112,65 @@ class Scanner:
         changes += [f"-{w}" for w in want[b:]]
         return found[first][0], found[last - 1][1], changes, cost + len(want) - b, sum(m.size for m in same)
 
-    def saving(self, block: str, name: str) -> float:
-        """Share of its compressed size that a block loses with the template at hand."""
+    def savings(self, block: str) -> list[tuple[int, str]]:
+        """Bytes that a block's compressed form loses with each template at hand, most first; templates that save none are left out."""
         raw = block.encode()
         alone = len(self.plain.compress(raw))
-        return (alone - len(self.given[name].compress(raw))) / alone
-
-    def confirmed(self, block: str, name: str) -> tuple | None:
-        """Saving, then what ``wording`` gives, of a block that is the template's notice."""
-        key = (name, block)
-        if key not in self.memo:
-            out, saved = None, self.saving(block, name)
-            if saved > 0:
+        saved = ((alone - len(given.compress(raw)), name) for name, given in self.given.items())
+        return sorted((x for x in saved if x[0] > 0), key=lambda x: (-x[0], x[1]))
+
+    def winner(self, block: str) -> tuple | None:
+        """Rank (saving less penalties, the smaller the better), template, saving, and what ``wording`` gives, of the confirmed template that ranks first."""
+        if block not in self.memo:
+            best, bag = None, Counter(b for m in _WORD.finditer(block) if (b := _bare(m[0])))
+            for saved, name in self.savings(block):
+                if best and -saved > best[0]:  # whatever its wording, it ranks behind
+                    break
+                allowed = len(self.templates[name]) // WORDS_PER_DIFFERENCE
+                if (self.bags[name] - bag).total() > allowed:
+                    continue
                 found = self.wording(block, name)
-                if found and found[3] <= len(self.templates[name]) // WORDS_PER_DIFFERENCE:
-                    out = (saved, *found)
+                if found and found[3] <= allowed:
+                    mine = (PENALTY * found[3] - saved, name, saved, *found)
+                    best = min(best, mine, key=lambda x: x[:2]) if best else mine
             if len(self.memo) >= 50_000:
                 self.memo.clear()
-            self.memo[key] = out
-        return self.memo[key]
+            self.memo[block] = best
+        return self.memo[block]
 
-    def scan(self, text: str | None) -> list[tuple]:
-        """(start, end, license, saved, differences) in code points."""
-        words = [(m.start(), m.end(), b) for m in _WORD.finditer(text or "") if (b := _bare(m[0]))]
+    def blocks(self, words: list[tuple[int, int, str]]) -> set[tuple[int, int]]:
+        """First and last word of every candidate block."""
         bare = [b for _, _, b in words]
-        places = set()
+        out = set()
         for i, pair in enumerate(zip(bare, bare[1:])):
             for part, offset, name in self.parts.get(pair, ()):
                 if tuple(bare[i : i + len(part)]) == part:
-                    places.add((name, i - offset))
+                    n = len(self.templates[name])
+                    slack = n // WORDS_PER_DIFFERENCE
+                    out.add((max(i - offset - slack, 0), min(i - offset + n + slack, len(words)) - 1))
+        return out
+
+    def chosen(self, text: str, words: list[tuple[int, int, str]], blocks: set[tuple[int, int]]) -> list[tuple]:
+        """Of the blocks' notices those that no better one overlaps; a notice is only held against its neighbours among the ones kept."""
         found = []
-        for name, at in sorted(places):
-            n = len(self.templates[name])
-            slack = n // WORDS_PER_DIFFERENCE
-            a, b = words[max(at - slack, 0)][0], words[min(at + n + slack, len(words)) - 1][1]
-            if hit := self.confirmed(text[a:b], name):
-                saved, start, stop, changes, cost, same = hit
-                found.append((cost - same, -saved, name, a + start, a + stop, changes))
-        out: list[tuple] = []
-        for _, saved, name, start, stop, changes in sorted(found, key=lambda x: x[:5]):
-            if all(stop <= o[0] or start >= o[1] for o in out):
-                out.append((start, stop, name, -saved, changes))
-        return sorted(out)
+        for first, last in blocks:
+            at = words[first][0]
+            if hit := self.winner(text[at : words[last][1]]):
+                rank, name, saved, start, stop, changes, *_ = hit
+                found.append((rank, name, at + start, at + stop, saved, changes))
+        starts: list[int] = []
+        kept: list[tuple] = []
+        for _, name, start, stop, saved, changes in sorted(found, key=lambda x: x[:4]):
+            i = bisect_left(starts, start)
+            if (i == 0 or kept[i - 1][1] <= start) and (i == len(kept) or kept[i][0] >= stop):
+                starts.insert(i, start)
+                kept.insert(i, (start, stop, name, saved, changes))
+        return kept
+
+    def scan(self, text: str | None) -> list[tuple]:
+        """(start, end, license, saved bytes, differences) in code points."""
+        words = [(m.start(), m.end(), b) for m in _WORD.finditer(text or "") if (b := _bare(m[0]))]
+        return self.chosen(text, words, self.blocks(words))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -164,11 +185,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
                 ids += [doc] * len(found)
                 rows += found
             start, stop, name, saved, changes = map(list, zip(*rows)) if rows else ([], [], [], [], [])
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64()), "license": pa.array(name, pa.string()), "saved": pa.array(saved, pa.float64()), "differences": pa.array(changes, pa.list_(pa.string()))})
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64()), "license": pa.array(name, pa.string()), "saved": pa.array(saved, pa.int64()), "differences": pa.array(changes, pa.list_(pa.string()))})
 
     rare = "|".join(re.sub(r"([^a-z0-9])", r"\\\1", w) for w in rare_words(templates))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(f"(?iu)(?:{rare})"))
-    return some.mapInArrow(run, "doc_id long, start long, stop long, license string, saved double, differences array<string>")
+    return some.mapInArrow(run, "doc_id long, start long, stop long, license string, saved long, differences array<string>")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
