@@ -20,12 +20,14 @@ if the sets' Jaccard similarity is at least ``percent`` / 100, in whole numbers.
    families are held against each other by the estimate and join families. Inside
    a family, classes of different components are then compared exactly, in blocks
    whose output is one link for each two components. So no list or family is ever
-   written out in pairs: rows grow with members, work inside blocks with what the
-   neighbours left open.
-
-Lists of more than ``LIST`` members are dealt into parts, and families into blocks;
-the largest family of a list and the largest component of a family aren't held
-against themselves. Components are of doc_ids; a row without one shows its class and
+   written out in pairs of its members: each member is packed into one block, and
+   what is joined are pairs of blocks, a row each. A family of ``g`` unlinked classes
+   makes ``g`` rows and (g / block)^2 / 2 tiles, which is the work that exact
+   comparison takes.
+
+Lists of more than ``LIST`` members are dealt into parts, and families into blocks of
+up to ``BLOCK`` classes and ``BLOCK_VALUES`` shingles; the largest family of a list and the
+largest component of a family aren't held against themselves. Components are of doc_ids; a row without one shows its class and
 is always kept. Rows with equal doc_id are one node that has the sets of all of them.
 """
 
@@ -47,8 +49,10 @@ K = 48
 ESTIMATE = 0.45
 #: Partners that a member of a list names.
 NEIGHBOURS = 2
-#: Members of a list, and classes of a family, that one task holds against as many others.
-LIST, BLOCK = 512, 128
+#: Members of a list, and classes of a family and their shingles together, that a tile holds against as many others.
+LIST, BLOCK, BLOCK_VALUES = 512, 1024, 500_000
+#: Tiles in an Arrow batch.
+TILES = 4
 #: 64-bit words of a sketch's bitmap.
 WORDS = 8
 #: Rows of two whole sets in an Arrow batch, and columns of a block's matrix.
@@ -195,6 +199,16 @@ def _fitting(bits: np.ndarray, n: np.ndarray, least: np.ndarray, percent: int) -
     return common, fits
 
 
+def _fits(bx: np.ndarray, nx: np.ndarray, lx: np.ndarray, by: np.ndarray, ny: np.ndarray, ly: np.ndarray, percent: int) -> np.ndarray:
+    """``_fitting`` of two blocks."""
+    common = np.zeros((len(nx), len(ny)), np.int16)
+    for w in range(WORDS):
+        common += np.bitwise_count(bx[:, None, w] & by[None, :, w])
+    lost = [np.minimum(n, K) - np.bitwise_count(b).sum(1, dtype=np.int64) for n, b in ((nx, bx), (ny, by))]
+    need = np.maximum(lx[:, None], ly[None]) - np.minimum(lost[0][:, None], lost[1][None])
+    return (common >= need) & (100 * np.minimum(nx[:, None], ny[None]) >= percent * np.maximum(nx[:, None], ny[None]))
+
+
 class _Union:
     """Joined numbers; the root of a set is its smallest."""
 
@@ -224,10 +238,10 @@ class NearDuplicates:
     def _reps(self) -> DataFrame:
         self.sketched = self.scratch.save(sketches(self.docs, self.width, self.percent), "sketches")
         full = self.sketched.where("n_shingles > 0 and doc_id is not null")
-        self.classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-        own = full.join(self.classes, ["n_shingles", "d1", "d2"]).where("doc_id = rep")
+        # one row a class, combined where rows are read, so that a class of many copies never meets as rows
+        first = full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "bits", "least"), "doc_id").alias("own"))
         # Where rows share a doc_id, a node may have several sets; each of them is held by its digest.
-        return own.select("rep", F.xxhash64("d1", "d2").alias("d"), F.col("n_shingles").alias("n"), "sketch", "bits", "least").dropDuplicates(["rep", "d"])
+        return first.select("rep", F.xxhash64("d1", "d2").alias("d"), F.col("n_shingles").alias("n"), "own.*", "d1", "d2")
 
     def _lists(self, reps: DataFrame) -> DataFrame:
         """v, part, whole, rep, d, n, least and bits of each class at its rarest values that others have too."""
@@ -316,7 +330,7 @@ class NearDuplicates:
         first = graded.where("linked").select("u", "v")
         found = s.save(components(first, s, "one"), "found")
         home = s.save(components(graded.select("u", "v"), s, "fam"), "home")
-        more = s.save(self._across(listed.where("b is null").select("v", F.col("a").alias("rep"), F.col("da").alias("d")), home), "across")
+        more = self._across(listed.where("b is null").select("v", F.col("a").alias("rep"), F.col("da").alias("d")), home)
         if not more.isEmpty():
             home = s.save(components(self._as_edges(home).unionByName(more), s, "wide"), "families")
         second = self._within(home, found)
@@ -328,81 +342,96 @@ class NearDuplicates:
     def _as_edges(found: DataFrame) -> DataFrame:
         return found.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
-    @staticmethod
-    def _pairs_of_blocks(largest: Column, outer: Column, inner: Column, own: Column) -> Column:
-        """Keys (i, j), i <= j, of a member in block ``own``: blocks from ``outer`` on aren't held against each other."""
-        low, high = F.sequence(F.lit(0), outer - 1), F.sequence(F.lit(0), outer + inner - 1)
-        pair = lambda x: F.struct(F.least(x, own).cast("int").alias("i"), F.greatest(x, own).cast("int").alias("j"))
-        return F.when(largest, F.transform(low, pair)).otherwise(F.transform(high, pair))
-
-    def _dealt(self, members: DataFrame, group: str, part: str, size: int) -> DataFrame:
-        """Members of groups with several parts, once for each two blocks that hold them: i, j and own block.
+    def _dealt(self, members: DataFrame, group: str, part: str, size: Column) -> tuple[DataFrame, DataFrame]:
+        """Members of groups with several parts and their block ``own``; and the tiles (i, j) of blocks to hold against each other.
 
-        A group of up to ``size`` members is one block; in others the largest part has blocks of its own.
+        A group of up to ``size`` members is one block; in others the largest part has
+        blocks of its own, behind the others, which aren't held against each other.
         """
-        sizes = members.groupBy(group, part).agg(F.count("*").alias("k"))
-        sizes = sizes.groupBy(group).agg(F.sum("k").alias("all"), F.max(F.struct("k", F.col(part).alias("p"))).alias("m")).where("m.k < all")
-        one, blocks = F.col("all") <= size, lambda k: F.ceil(k / size).cast("int")
+        sizes = members.groupBy(group, part).agg(F.count("*").alias("k"), F.max("n").alias("n"))
+        sizes = sizes.groupBy(group).agg(F.sum("k").alias("all"), F.max("n").alias("n"), F.max(F.struct("k", F.col(part).alias("p"))).alias("m")).where("m.k < all").withColumn("size", size)
+        one, blocks = F.col("all") <= F.col("size"), lambda k: F.ceil(k / F.col("size")).cast("int")
         outer, inner = F.when(one, 1).otherwise(blocks(F.col("all") - F.col("m.k"))), F.when(one, 0).otherwise(blocks(F.col("m.k")))
-        plan = sizes.select(group, F.col("m.p").alias("core"), outer.alias("outer"), inner.alias("inner"))
+        plan = self.scratch.save(sizes.select(group, F.col("m.p").alias("core"), outer.alias("outer"), inner.alias("inner")), f"plan_{group}")
         at = members.join(plan, group).withColumn("core", (F.col("inner") > 0) & (F.col(part) == F.col("core")))
         own = F.when(F.col("core"), F.col("outer") + F.pmod(F.xxhash64("rep", "d"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("rep", "d"), F.col("outer"))).cast("int")
-        at = at.withColumn("own", own)
-        keys = self._pairs_of_blocks(F.col("core"), F.col("outer"), F.col("inner"), F.col("own"))
-        return at.select(group, part, "rep", "d", "own", F.inline(keys))
+        tiles = plan.select(group, F.explode(F.expr("sequence(0, outer - 1)")).alias("i"), (F.col("outer") + F.col("inner")).alias("end"))
+        tiles = tiles.select(group, "i", F.explode(F.expr("sequence(i, end - 1)")).alias("j"))
+        return at.withColumn("own", own).drop("outer", "inner", "core"), tiles
+
+    def _compared(self, members: DataFrame, tiles: DataFrame, group: str, columns: list[str], compare, name: str) -> DataFrame:
+        """Distinct links (u, v) that ``compare`` finds in tiles of packed blocks; a block is packed once."""
+        s, key, conf = self.scratch, "spark.sql.execution.arrow.maxRecordsPerBatch", self.docs.sparkSession.conf
+        blocks = s.save(members.groupBy(group, "own").agg(F.collect_list(F.struct(*columns)).alias("members")), f"{name}_blocks", "none")
+        side = lambda at, out: blocks.select(group, F.col("own").alias(at), F.col("members").alias(out))
+        # of a block with itself only one copy travels
+        left = tiles.join(side("i", "left"), [group, "i"])
+        both = left.where("i < j").join(side("j", "right"), [group, "j"]).select("left", "right")
+        both = both.unionByName(left.where("i = j").select("left", F.lit(None).cast(blocks.schema["members"].dataType).alias("right")))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    x = batch.column(0)[k].values
+                    y = batch.column(1)[k].values if batch.column(1)[k].is_valid else x
+                    if links := compare(x, y):
+                        yield pa.record_batch({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+
+        before = conf.get(key)
+        conf.set(key, str(TILES))
+        out = s.save(both.mapInArrow(scan, "u long, v long").distinct(), name)
+        conf.set(key, before)
+        s.drop(f"{name}_blocks", f"plan_{group}")
+        return out
 
     def _across(self, members: DataFrame, home: DataFrame) -> DataFrame:
         """Pairs of families that have members in one list for whom the estimate passes."""
         percent = self.percent
         at = members.join(home.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-        dealt = self._dealt(at, "v", "family", LIST).join(self.reps.select("rep", "d", "n", "least", "bits", "sketch"), ["rep", "d"])
-        columns = ["v", "i", "j", "own", "family", "n", "least", "bits", "sketch"]
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in _whole_groups(batches, 3):
-                own, j, i, family, n, least = (part.column(c).to_numpy() for c in ("own", "j", "i", "family", "n", "least"))
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
-                sketch = [x.values.to_numpy().view(np.uint64) ^ _SIGN for x in part.column("sketch")]
-                joined, edges = _Union(), []
-                for start, size in zip(*_groups(part, 3)):
-                    at = slice(start, start + size)
-                    _, fits = _fitting(bits[None, at], n[None, at], least[None, at], percent)
-                    apart = (family[at][:, None] != family[at][None]) & (own[at] == i[start])[:, None] & (own[at] == j[start])[None]
-                    for x, y in np.argwhere(fits[0] & apart):
-                        a, b = int(family[start + x]), int(family[start + y])
-                        if joined.root(a) != joined.root(b) and estimate(sketch[start + x], sketch[start + y]) >= ESTIMATE * percent / 80:
-                            joined.join(a, b)
-                            edges.append((a, b))
-                yield pa.record_batch({"u": pa.array([a for a, _ in edges], pa.int64()), "v": pa.array([b for _, b in edges], pa.int64())})
-
-        return dealt.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j").select(*columns).mapInArrow(scan, "u long, v long").distinct()
+        dealt, tiles = self._dealt(at.withColumn("n", F.lit(0)), "v", "family", F.lit(LIST))
+        dealt = dealt.drop("n").join(self.reps.select("rep", "d", "n", "least", "bits", "sketch"), ["rep", "d"])
+
+        def compare(x: pa.StructArray, y: pa.StructArray) -> list[tuple[int, int]]:
+            (fx, nx, lx), (fy, ny, ly) = ([t.field(c).to_numpy(zero_copy_only=False) for c in ("family", "n", "least")] for t in (x, y))
+            bx, by = (np.frombuffer(b"".join(t.field("bits").to_pylist()), np.uint64).reshape(-1, WORDS) for t in (x, y))
+            sx, sy = ([v.values.to_numpy().view(np.uint64) ^ _SIGN for v in t.field("sketch")] for t in (x, y))
+            joined, edges = _Union(), []
+            for p, q in np.argwhere(_fits(bx, nx, lx, by, ny, ly, percent) & (fx[:, None] != fy[None])):
+                a, b = int(fx[p]), int(fy[q])
+                if joined.root(a) != joined.root(b) and estimate(sx[p], sy[q]) >= ESTIMATE * percent / 80:
+                    joined.join(a, b)
+                    edges.append((a, b))
+            return edges
+
+        return self._compared(dealt, tiles, "v", ["family", "n", "least", "bits", "sketch"], compare, "across")
 
     def _within(self, home: DataFrame, found: DataFrame) -> DataFrame:
         """Links inside families between classes whose components still differ: the exact comparison of block with block."""
         s, percent = self.scratch, self.percent
         members = home.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        members = members.withColumn("component", F.coalesce("component", "rep")).join(self.reps.select("rep", "d"), "rep")
-        dealt = s.save(self._dealt(members, "family", "component", BLOCK), "dealt")
+        members = members.withColumn("component", F.coalesce("component", "rep")).join(self.reps.select("rep", "d", "n"), "rep")
+        size = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(BLOCK_VALUES / F.col("n")))).cast("int")
+        dealt, tiles = self._dealt(members, "family", "component", size)
+        dealt = s.save(dealt, "dealt")
         sets = s.save(self._sets(dealt.select(F.col("rep").alias("doc_id"))), "wholes", "none")
 
-        def compare(part: pa.Table) -> pa.Table:
-            own, comp, rep = (part.column(c).to_numpy() for c in ("own", "component", "rep"))
-            wholes = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("whole")]
-            x, y = np.flatnonzero(own == part.column("i")[0].as_py()), np.flatnonzero(own == part.column("j")[0].as_py())
-            both = common_values([wholes[k] for k in x], [wholes[k] for k in y])
-            n, m = (np.array([len(wholes[k]) for k in at])[shape] for at, shape in ((x, np.s_[:, None]), (y, np.s_[None])))
-            linked = (100 * both >= percent * (n + m - both)) & (comp[x][:, None] != comp[y][None])
+        def compare(x: pa.StructArray, y: pa.StructArray) -> list[tuple[int, int]]:
+            (cx, rx), (cy, ry) = ([t.field(c).to_numpy(zero_copy_only=False) for c in ("component", "rep")] for t in (x, y))
+            sx, sy = ([np.frombuffer(w.as_buffer(), np.uint64) for w in t.field("whole")] for t in (x, y))
+            both = common_values(sx, sy)
+            n, m = np.array([len(w) for w in sx])[:, None], np.array([len(w) for w in sy])[None]
+            linked = (100 * both >= percent * (n + m - both)) & (cx[:, None] != cy[None])
             joined = _Union()
-            links = [(int(rep[x[p]]), int(rep[y[q]])) for p, q in np.argwhere(linked) if joined.join(int(comp[x[p]]), int(comp[y[q]]))]
-            return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+            return [(int(rx[p]), int(ry[q])) for p, q in np.argwhere(linked) if joined.join(int(cx[p]), int(cy[q]))]
 
-        out = s.save(dealt.join(sets, ["rep", "d"]).groupBy("family", "i", "j").applyInArrow(compare, "u long, v long"), "within")
+        out = self._compared(dealt.join(sets, ["rep", "d"]), tiles, "family", ["component", "rep", "whole"], compare, "within")
         s.drop("wholes", "dealt")
         return out
 
     def _result(self, found: DataFrame) -> DataFrame:
-        own = self.sketched.select("doc_id", "n_shingles", "d1", "d2").join(self.classes, ["n_shingles", "d1", "d2"], "left")
-        out = own.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        # what is known of a class meets its rows in one join, whose larger side can be split where a class has many
+        classes = self.reps.select(F.col("n").alias("n_shingles"), "d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        out = self.sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["n_shingles", "d1", "d2"], "left")
         component = F.coalesce("component", "rep", "doc_id")
         return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

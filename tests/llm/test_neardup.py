@@ -118,3 +118,76 @@ def test_edge_rows(spark):
     got = sorted(map(str, (tuple(r) for r in neardup.near_duplicates(df, 2).select("doc_id", "component_id", "kept").collect())))
     assert got == sorted(map(str, [(5, 5, True), (5, 5, True), (9, 5, False), (7, 7, True), (None, 5, True), (None, None, True)]))
     assert neardup.near_duplicates(df.limit(0), 2).count() == 0
+
+
+@pytest.mark.parametrize("members", [512, 2048])
+def test_a_family_of_unlinked_members_makes_a_row_each(spark, members, monkeypatch):
+    """One member a block, whatever the number of blocks; tiles are pairs of blocks."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(neardup, "BLOCK", 128)
+    rows = spark.range(members).select(F.col("id").alias("rep"), F.col("id").alias("d"), F.lit(1).cast("long").alias("family"), F.col("id").alias("component"), F.lit(10).cast("long").alias("n"))
+    job = neardup.NearDuplicates(rows)
+    dealt, tiles = job._dealt(rows, "family", "component", F.lit(128))
+    blocks = -(-members // 128)
+    assert dealt.count() == members and tiles.count() <= (blocks + 1) * (blocks + 2) // 2
+    held = {(r.i, r.j) for r in tiles.collect()}
+    own = {r.own for r in dealt.select("own").distinct().collect()}
+    assert all((i, j) in held for i in own for j in own if i < j)
+
+
+def test_very_long_and_repeated_texts(spark):
+    rng = random.Random(8)
+    long_ = " ".join(f"t{rng.randrange(50_000)}" for _ in range(120_000))
+    rows = [(1, long_), (2, long_ + " and a little more"), (3, "short text of a few words here"), (3, "short text of a few words here"), (4, long_.upper())]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 1)}
+
+
+def exact_links(sets, percent=80):
+    """All links of a large table: by size order and the rarest shingles of each set, which any linked set must meet."""
+    from collections import Counter, defaultdict
+
+    count = Counter(g for s in sets.values() for g in s)
+    rank = {g: i for i, (g, _) in enumerate(sorted(count.items(), key=lambda x: x[1]))}
+    lists, links = defaultdict(list), []
+    for doc, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        order, seen = sorted(rank[g] for g in s), set()
+        for g in order[: len(s) - -(-percent * len(s) // 100) + 1]:
+            for other in lists[g]:
+                if other not in seen:
+                    seen.add(other)
+                    if 100 * len(sets[other]) >= percent * len(s):
+                        both = len(s & sets[other])
+                        if 100 * both >= percent * (len(s) + len(sets[other]) - both):
+                            links.append((doc, other))
+            lists[g].append(doc)
+    return links
+
+
+def test_recall_on_ten_thousand_documents(spark):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pydict()
+    sets = {i: s for i, x in zip(t["doc_id"], t["text"]) if (s := grams(x, 2))}
+    # copies of one set are linked by themselves
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    parent = {i: first[frozenset(s)] for i, s in sets.items()}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = exact_links({i: set(s) for s, i in first.items()})
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 2).collect()}
+    assert len(got) >= 10_000 and len(links) > 100
+    assert sum(got[a] == got[b] for a, b in links) >= 0.99 * len(links)
+    # and nothing that isn't linked
+    assert all(root(i) == root(got[i]) for i in sets)
