@@ -15,7 +15,7 @@ from pantryplan.functions.units import UNIT_PATTERN, canonical_unit, dimension,
 NUMBER_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 QUANTITY_WORDS = {"a dozen": 12, "dozen": 12, "half a dozen": 6, "half dozen": 6, "a couple": 2, "a couple of": 2, "couple": 2, "a pair": 2, "a pair of": 2, "a": 1, "an": 1}
 VAGUE = ("some", "a few", "few", "several", "a bunch of")
-CONTAINERS = ("bag", "bags", "bottle", "bottles", "box", "boxes", "bunch", "bunches", "can", "cans", "carton", "cartons", "case", "cases", "container", "containers", "jar", "jars", "jug", "jugs", "loaf", "loaves", "pack", "packs", "package", "packages")
+CONTAINERS = ("bag", "bags", "box", "boxes", "can", "cans", "bottle", "bottles", "pack", "packs", "carton", "cartons", "jar", "jars", "case", "cases", "loaf", "loaves")
 SOLD_BY_SIZE = ("milk", "juice", "oil", "flour", "sugar", "rice", "pasta", "cereal", "yogurt", "cheese", "butter", "water", "soda", "coffee", "tea", "honey", "syrup", "broth", "soup", "cream", "vinegar")
 
 NO_QUANTITY, BAD_QUANTITY, VAGUE_QUANTITY = "no recognizable quantity", "non-positive quantity", "vague quantity"
@@ -114,6 +114,12 @@ def parse_lines(df: DataFrame, text: str = "text") -> DataFrame:
     return out.select(*columns, parsed.alias("parsed"))
 
 
+def pool_query(text: Column, parsed: Column) -> Column:
+    """What a pool of candidates is searched by: modifiers and product, without words of quantity; the text where nothing is left."""
+    words = F.trim(F.concat_ws(" ", F.array_join(parsed["modifiers"], " "), F.trim(F.coalesce(parsed["product_type"], F.lit("")))))
+    return F.coalesce(F.nullif(words, F.lit("")), text)
+
+
 MULTIPACK = rf"(?i)([\d./]+\s*(?:{UNIT_PATTERN})\s*[x×]\s*\d+\s*(?:ct|count|pk|pack|ea|each)?)"
 
 

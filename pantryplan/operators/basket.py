@@ -13,6 +13,17 @@ from pantryplan.operators.gates import outcome
 
 TOLERANCE = 0.01
 BAND = 0.01
+# Why a package was chosen, and what is said of its excess; {} are titles and amounts.
+CHEAPEST, TIED = "cheapest accepted option: {}c against {}c for {}, a {}c difference", "tied on cost with {} at {}c; broken by less excess, then by match score"
+BEST_MATCH = "best match among accepted options; {} is {}c cheaper but scores further from the request than the near-tie band (0.01) allows"
+ONLY_PRICED, ONLY_ACCEPTED = "the only candidate that could be priced", "the only accepted candidate"
+LEAVES = "buying {} package(s) leaves {} {} more than requested"
+
+
+def filled(template: str, *values: Column) -> Column:
+    """A text with its ``{}`` replaced; null if a value is."""
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:], strict=True) for x in (v.cast("string"), F.lit(p))))
 
 
 def packages_needed(asked: Column, size: Column) -> Column:
@@ -129,53 +140,63 @@ def number(x: Column) -> Column:
 
 def because(chosen_cost: Column, considered: Column, rival: Column, rival_cost: Column, cheaper: Column, cheaper_cost: Column) -> Column:
     """Why a package was chosen: from the runner-up in the band, or a cheaper one outside it, by their titles and costs."""
-    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
     delta = rival_cost - chosen_cost
     return (
-        F.when(rival.isNotNull() & (delta > 0), text("cheapest accepted option: ", chosen_cost.cast("string"), "c against ", rival_cost.cast("string"), "c for ", rival, ", a ", delta.cast("string"), "c difference"))
-        .when(rival.isNotNull(), text("tied on cost with ", rival, " at ", chosen_cost.cast("string"), "c; broken by less excess, then by match score"))
-        .when(cheaper.isNotNull(), text("best match among accepted options; ", cheaper, " is ", (chosen_cost - cheaper_cost).cast("string"), f"c cheaper but scores further from the request than the near-tie band ({BAND}) allows"))
-        .when(considered <= 1, "the only candidate that could be priced")
-        .otherwise("the only accepted candidate")
+        F.when(rival.isNotNull() & (delta > 0), filled(CHEAPEST, chosen_cost, rival_cost, rival, delta))
+        .when(rival.isNotNull(), filled(TIED, rival, chosen_cost))
+        .when(cheaper.isNotNull(), filled(BEST_MATCH, cheaper, chosen_cost - cheaper_cost))
+        .when(considered <= 1, ONLY_PRICED)
+        .otherwise(ONLY_ACCEPTED)
     )
 
 
-def explain_lines(requests: DataFrame, candidates: DataFrame, resolved: DataFrame, keys: list[str], accept: float, top: int = 5) -> DataFrame:
+def explain_lines(requests: DataFrame, candidates: DataFrame, resolved: DataFrame, keys: list[str], accept: float, top: int = 5, cheaper: int = 3) -> DataFrame:
     """An explanation of each resolved request at each store.
 
-    Priced lines tell the package, unit price, excess and why it was chosen; others
-    show the ``top`` best candidates. Out-of-stock products are listed for both.
-    ``candidates`` have product_id, title, score, size, unit, price_cents and state.
+    Priced lines tell the package, its price and unit price, excess and stock, why it was
+    chosen, and the runner-up, or else up to ``cheaper`` accepted packages outside the band
+    that cost less; others show the ``top`` best candidates. Out-of-stock products are
+    listed for both. ``candidates`` have product_id, title, score, size, unit,
+    price_cents and state; at most as many of a group as a search returns.
     """
     by = [*keys, "store_id"]
     live = candidates.where("state is null or state <> 'out_of_stock'").join(requests.select(*keys, "asked", "asked_unit"), keys)
     placed = select(near_tie(arithmetic(live), by, accept), by)
-    first = lambda n, c: F.max(F.when(F.col("place") == n, F.col(c)))
+    chosen = lambda n: F.max(F.when(F.col("place") == n, F.struct("product_id", "title", "size", "unit", "price_cents", "packages", "cost_cents", "excess")))
     own_cost = F.max(F.when(F.col("place") == 1, F.col("cost_cents"))).over(Window.partitionBy(*by))
     out_of_band = (F.col("score") >= accept) & ~F.col("in_band") & (F.col("cost_cents") < F.col("own_cost"))
     best = placed.withColumn("own_cost", own_cost).groupBy(*by).agg(
-        first(1, "title").alias("title"), first(1, "size").alias("size"), first(1, "unit").alias("unit"), first(1, "price_cents").alias("price_cents"),
-        first(2, "title").alias("rival"), first(2, "cost_cents").alias("rival_cost"),
-        F.min(F.when(out_of_band, F.struct("cost_cents", "product_id", "title"))).alias("cheaper"),
+        chosen(1).alias("own"), chosen(2).alias("rival"),
+        F.slice(F.array_sort(F.collect_list(F.when(out_of_band, F.struct("cost_cents", "excess", (-F.col("score")).alias("s"), "product_id", "title")))), F.lit(1), F.lit(cheaper)).alias("cheaper"),
         F.count(F.when((F.col("score") >= accept) & F.col("cost_cents").isNotNull(), 1)).alias("considered"),
         F.count(F.when((F.col("score") >= accept) & F.col("cost_cents").isNull(), 1)).alias("n_unresolved"),
         F.count("*").alias("n_candidates"),
         F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "product_id"))), F.lit(1), F.lit(top)), lambda x: x["product_id"]).alias("shown"),
     )
     gone = candidates.where("state = 'out_of_stock'").groupBy(*by).agg(F.array_sort(F.collect_set("product_id")).alias("out_of_stock"))
-    out = resolved.join(best, by, "left").join(gone, by, "left").join(requests.select(*keys, "asked", "asked_unit"), keys, "left")
+    out = resolved.drop("product_id", "packages", "cost_cents", "excess", "runner_up").join(best, by, "left").join(gone, by, "left").join(requests.select(*keys, "asked", "asked_unit"), keys, "left")
     priced = F.col("state") == "priced"
     reason = F.when(F.col("state") == "missing", "no candidate cleared the review floor").when(F.col("state") == "review", "candidates shown, not priced")
+    first = F.get("cheaper", 0)
+    rest = F.array_join(F.transform("cheaper", lambda c: F.concat(c["product_id"], F.lit(":"), c["cost_cents"].cast("string"))), ",")
+    fields = {
+        "product_id": F.col("own.product_id"), "title": F.col("own.title"), "package_size": F.concat_ws(" ", number(F.col("own.size")), "own.unit"), "packages": F.col("own.packages"), "package_price_cents": F.col("own.price_cents"),
+        "cost_cents": F.col("own.cost_cents"), "excess": F.col("own.excess"), "excess_note": F.when(F.col("own.excess") != 0, filled(LEAVES, F.col("own.packages"), number(F.col("own.excess")), F.col("own.unit"))),
+        "unit_price": F.round(unit_price(F.col("own.price_cents"), F.col("own.size")), 6), "stock": F.col("stock"), "verified": F.col("stock") != "unverified",
+        "chosen_because": because(F.col("own.cost_cents"), F.col("considered"), F.col("rival.title"), F.col("rival.cost_cents"), first["title"], first["cost_cents"]),
+        "runner_up": F.when(F.col("rival").isNotNull(), F.concat_ws("|", "rival.product_id", "rival.title", F.col("rival.cost_cents").cast("string"), F.col("rival.packages").cast("string"), number(F.col("rival.excess")))),
+        "cheaper_but_worse": F.when(F.isnull("rival"), rest), "n_unresolved": F.col("n_unresolved"),
+    }
     return out.select(
-        *by, "state", reason.alias("reason"), F.concat_ws(" ", number(F.col("asked")), "asked_unit").alias("requested"),
-        *(F.when(priced, c).alias(n) for n, c in (("product_id", F.col("product_id")), ("title", F.col("title")), ("package_size", F.concat_ws(" ", number(F.col("size")), "unit")), ("packages", F.col("packages")), ("cost_cents", F.col("cost_cents")), ("excess", F.col("excess")), ("unit_price", F.round(unit_price(F.col("price_cents"), F.col("size")), 6)))),
-        F.when(priced, because(F.col("cost_cents"), F.col("considered"), F.col("rival"), F.col("rival_cost"), F.col("cheaper.title"), F.col("cheaper.cost_cents"))).alias("chosen_because"),
-        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.when(priced, F.col("n_unresolved")).alias("n_unresolved"),
+        *by, "state", reason.alias("reason"), F.concat_ws(" ", number(F.col("asked")), "asked_unit").alias("requested"), *(F.when(priced, c).alias(n) for n, c in fields.items()), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
         F.when(~priced, F.array_join(F.coalesce("shown", F.array().cast("array<string>")), ",")).alias("candidates"), F.array_join(F.coalesce("out_of_stock", F.array().cast("array<string>")), ",").alias("out_of_stock"),
     )
 
 
 def explain(compared: DataFrame, resolved: DataFrame) -> DataFrame:
-    """A JSON document for each list and store, its lines in the order of the list."""
-    lines = resolved.groupBy("list_id", "store_id").agg(F.array_sort(F.collect_list(F.struct("pos", "state", "product_id", "packages", "cost_cents", "excess", "runner_up"))).alias("lines"))
-    return compared.join(lines, ["list_id", "store_id"]).select("list_id", "store_id", F.to_json(F.struct("complete", "total_cents", "rank", "is_winner", "lines")).alias("explanation"))
+    """A JSON document for each list and store: total, completeness, counts of lines and of verified ones, and its lines in the order of the list."""
+    lines = resolved.groupBy("list_id", "store_id").agg(F.array_sort(F.collect_list(F.struct("pos", "state", "product_id", "packages", "cost_cents", "excess", "stock", "runner_up"))).alias("lines"))
+    counts = F.struct(
+        F.col("n_priced").alias("priced"), F.col("n_review").alias("review"), F.col("n_missing").alias("missing"), F.col("n_verified").alias("verified"), (F.col("n_priced") - F.col("n_verified")).alias("unverified"), F.col("n_excluded").alias("out_of_stock_excluded"),
+    ).alias("counts")
+    return compared.join(lines, ["list_id", "store_id"]).select("list_id", "store_id", F.to_json(F.struct("complete", "total_cents", "rank", "is_winner", counts, "lines")).alias("explanation"))

@@ -34,8 +34,3 @@ def outcome(review: Column, top_score: Column, accept: float | Column, floor: fl
     """The three-way cut: accept, review or no_match."""
     accept, floor = (x if isinstance(x, Column) else F.lit(x) for x in (accept, floor))
     return F.when(review, "review").when(top_score.isNull(), "no_match").when(top_score >= accept, "accept").when(top_score >= floor, "review").otherwise("no_match")
-
-
-def response(review: Column, top_score: Column, floor: float) -> Column:
-    """The two-way answer of a policy with one floor."""
-    return F.when(review, "needs_clarification").when(top_score >= floor, "answerable").otherwise("no_acceptable_match")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("Acceptable", "Needs clarification", "Incorrect")
@@ -35,12 +35,6 @@ def label_conflicts(labels: DataFrame, by: list[str]) -> DataFrame:
     return labels.groupBy(*by).agg(F.countDistinct("label").alias("n_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")).where("n_labels > 1")
 
 
-def shared_references(groups: DataFrame) -> DataFrame:
-    """Groups (paraphrase_group, product_id) with one and the same set of products."""
-    sets = groups.groupBy("paraphrase_group").agg(F.array_sort(F.collect_set("product_id")).alias("products"))
-    return sets.groupBy("products").agg(F.array_sort(F.collect_list("paraphrase_group")).alias("groups"), F.count("*").alias("n")).where("n > 1")
-
-
 def assign_splits(groups: list[tuple[str, str, int]], pinned: set[str] = frozenset(), seed: int = 20) -> dict[str, str]:
     """Split of each (group, mode, size): pinned ones to dev, others where most is missing; a short driver-side list."""
     order = sorted(groups)
@@ -55,27 +49,21 @@ def assign_splits(groups: list[tuple[str, str, int]], pinned: set[str] = frozens
 
 
 def sample(rows: DataFrame, by: list[str], key: list[str], fraction: float, seed: int) -> DataFrame:
-    """Of each group max(1, round(n * fraction)) rows, by a seeded hash of their key."""
-    order = Window.partitionBy(*by).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
-    size = F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy(*by)) * fraction, 0))
-    return rows.withColumn("place", F.row_number().over(order)).withColumn("size", size).where(F.col("place") <= F.col("size")).drop("place", "size")
-
-
-def upsert(state: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """Decisions win over the state's rows; rows of either are kept."""
-    return decisions.unionByName(state.join(decisions.select(*keys), keys, "left_anti"))
-
-
-def draft_label(asked_dim: Column, dim: Column, asked_brand: Column, brand: Column, conflict: Column) -> Column:
-    clash = F.coalesce(asked_dim != dim, F.lit(False)) | F.coalesce(F.lower(asked_brand) != F.lower(brand), F.lit(False)) | conflict
-    return F.when(clash, "Incorrect").when(asked_brand.isNotNull() & brand.isNull(), "Needs clarification").otherwise("Acceptable")
-
-
-def strict_label(label: Column, core: Column, title: Column, asked: Column, asked_unit: Column, size: Column, unit: Column, tolerance: float = 0.01) -> Column:
-    """Tightens a label: every core word stands in the title, and sizes agree (exactly in one unit, else within the tolerance)."""
-    whole = F.forall(core, lambda w: F.array_contains(F.split(F.lower(title), r"[^\p{L}\p{N}%]+"), w))
-    apart = F.when(asked_unit == unit, F.abs(asked - size) > tolerance * asked).otherwise(F.lit(False))
-    return F.when(~whole | F.coalesce(apart, F.lit(False)), "Incorrect").otherwise(label)
+    """Of each group max(1, round(n * fraction)) rows, those with the least seeded hashes of their key; halves go to the even number."""
+    turn = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)))
+    sizes = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction, 0)).alias("__size"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__turn", *key))
+    out = rows.withColumn("__turn", turn).withColumn("__place", place).join(sizes, by)
+    return out.where(F.col("__place") <= F.col("__size")).drop("__place", "__size", "__turn")
+
+
+def sample_each(rows: DataFrame, by: list[str], key: list[str], n: int, seed: int) -> DataFrame:
+    """``n`` rows of each group, or of all rows where ``by`` is empty; all where there are fewer."""
+    turn = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)))
+    if not by:
+        return rows.withColumn("__turn", turn).orderBy("__turn", *key).limit(n).drop("__turn")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("__turn", *key))
+    return rows.withColumn("__turn", turn).withColumn("__place", place).where(F.col("__place") <= n).drop("__turn", "__place")
 
 
 def transitions(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

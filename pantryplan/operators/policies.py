@@ -18,6 +18,9 @@ TOP = 5
 #: Candidates that a gated policy asks of its retriever, and each retriever of a hybrid.
 DEPTH, HYBRID_DEPTH, LIST_DEPTH = max(TOP * 4, 20), 50, 400
 ID = ["store_id", "product_id"]
+# The notes of a matched line; where the parser has a reason for its review, that is the note.
+AMBIGUOUS, UNCONFIRMED, SOME_UNCONFIRMED = "ambiguous request", "could not confirm brand or variant for this request", "some candidates could not be identity-confirmed"
+NOTHING = "no product in the snapshot satisfies this request above the {:.2f} score floor"
 
 
 def catalog_text(title: Column, brand: Column, variants: Column) -> Column:
@@ -75,30 +78,42 @@ def refloored(decided: DataFrame, floor: float) -> DataFrame:
 
 
 def line_matches(requests: DataFrame, tagged: DataFrame, floor: float = 0.35) -> DataFrame:
-    """The demo's answer: the best product of each store above a floor; response and note come with every request."""
+    """The demo's answer: the best product of each store above a floor; response and note come with every request.
+
+    ``requests`` have ``review_reason``, the parser's, which is the note of a line to review.
+    """
     kept = tagged.where((F.col("tag") == "keep") & (F.col("score") >= floor))
     place = F.row_number().over(Window.partitionBy("request_id", "store_id").orderBy(F.desc("score"), "product_id"))
     best = kept.withColumn("place", place).where("place = 1").select("request_id", "store_id", "product_id", "score")
     unsure = tagged.groupBy("request_id").agg(F.bool_or(F.col("tag") == "review").alias("unsure"))
-    asked = requests.select("request_id", "needs_review").join(unsure, "request_id", "left").withColumn("unsure", F.coalesce("unsure", F.lit(False)))
+    asked = requests.select("request_id", "needs_review", "review_reason").join(unsure, "request_id", "left").withColumn("unsure", F.coalesce("unsure", F.lit(False)))
     best = best.join(asked.where("not needs_review"), "request_id", "left_semi").withColumn("hit", F.lit(True))
     out = asked.join(best, "request_id", "left")
     response = F.when(F.col("needs_review"), "needs_clarification").when(F.col("hit"), "answerable").when(F.col("unsure"), "needs_clarification").otherwise("no_acceptable_match")
-    note = F.when(F.col("needs_review"), "ambiguous request").when(F.col("hit"), F.when(F.col("unsure"), "some candidates have no confirmed identity")).when(F.col("unsure"), "identity not confirmed").otherwise("nothing above the floor")
+    note = (
+        F.when(F.col("needs_review"), F.coalesce(F.nullif("review_reason", F.lit("")), F.lit(AMBIGUOUS)))
+        .when(F.col("hit"), F.when(F.col("unsure"), SOME_UNCONFIRMED).otherwise(""))
+        .otherwise(F.when(F.col("unsure"), UNCONFIRMED).otherwise(NOTHING.format(floor)))
+    )
     return out.select("request_id", "store_id", "product_id", "score", response.alias("response"), note.alias("note"))
 
 
 def simple_comparison(matches: DataFrame, prices: DataFrame, stores: DataFrame) -> DataFrame:
-    """A store's subtotal at one package a line; complete if all answerable lines have a match there."""
+    """A store's subtotal at one package a line; complete if all answerable lines, and one at least, have a match there.
+
+    Only stores that are complete and have a price for every match are ranked, by
+    subtotal and name. Every list of ``matches`` has a row a store.
+    """
     lines = matches.where("response = 'answerable'")
-    n = lines.select("list_id", "request_id").distinct().groupBy("list_id").agg(F.count("*").alias("n_answerable"))
+    n = matches.select("list_id").distinct().join(lines.select("list_id", "request_id").distinct().groupBy("list_id").agg(F.count("*").alias("n_answerable")), "list_id", "left").fillna({"n_answerable": 0})
     held = lines.join(prices, ID, "left").groupBy("list_id", "store_id").agg(F.count("*").alias("n_matched"), F.coalesce(F.sum("price_cents"), F.lit(0)).alias("subtotal_cents"), F.bool_and(F.col("price_cents").isNotNull()).alias("fully_priced"))
     # the stores are a short list
-    grid = n.crossJoin(stores.select("store_id"))
+    grid = n.crossJoin(stores.select("store_id", "store_name"))
     out = grid.join(held, ["list_id", "store_id"], "left").fillna({"n_matched": 0, "subtotal_cents": 0}).withColumn("fully_priced", F.coalesce("fully_priced", F.lit(True)))
-    out = out.withColumn("complete", F.col("n_matched") == F.col("n_answerable"))
-    order = Window.partitionBy("list_id").orderBy(F.when(F.col("complete"), 0).otherwise(1), "subtotal_cents", "store_id")
-    return out.withColumn("rank", F.when(F.col("complete"), F.row_number().over(order)))
+    out = out.withColumn("complete", (F.col("n_answerable") > 0) & (F.col("n_matched") == F.col("n_answerable")))
+    ranked = F.col("complete") & F.col("fully_priced")
+    order = Window.partitionBy("list_id", ranked).orderBy("subtotal_cents", "store_name", "store_id")
+    return out.withColumn("rank", F.when(ranked, F.row_number().over(order))).drop("store_name")
 
 
 def violations(top: DataFrame) -> DataFrame:

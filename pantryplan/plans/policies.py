@@ -113,7 +113,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parse_distinct(asks, "text", lineparse.parse_lines).withColumn("r", lineparse.requested_total(F.col("text"), F.col("parsed")))
     lexicon = identity.brand_lexicon(view(spark, sf_dir, "catalog"))
     named = identity.request_identity(asks, lexicon, "request_id", "text")
-    fields = parsed.select("request_id", "text", "mode", "parsed.needs_review", "parsed.dimension", F.col("r.total").alias("asked"), F.col("r.unit").alias("asked_unit"))
+    fields = parsed.select("request_id", "text", "mode", "parsed.needs_review", F.array_join("parsed.review_reasons", "; ").alias("review_reason"), "parsed.dimension", F.col("r.total").alias("asked"), F.col("r.unit").alias("asked_unit"))
     return settled(fields.join(named, "request_id"))
 
 
@@ -223,7 +223,7 @@ MATCH_SQL = f"""{BASE_SQL}, {_tfidf('asked_', 'request_id', policies.LIST_DEPTH)
 won AS (SELECT request_id, store_id, product_id, score FROM tagged WHERE tag = 'keep' AND score >= 0.35 QUALIFY row_number() OVER (PARTITION BY request_id, store_id ORDER BY score DESC, product_id) = 1),
 unsure AS (SELECT request_id, bool_or(tag = 'review') AS unsure FROM tagged GROUP BY 1),
 matches AS (SELECT a.request_id, w.store_id, w.product_id, w.score, CASE WHEN needs_review THEN 'needs_clarification' WHEN w.product_id IS NOT NULL THEN 'answerable' WHEN coalesce(unsure, false) THEN 'needs_clarification' ELSE 'no_acceptable_match' END AS response,
-  CASE WHEN needs_review THEN 'ambiguous request' WHEN w.product_id IS NOT NULL THEN CASE WHEN coalesce(unsure, false) THEN 'some candidates have no confirmed identity' END WHEN coalesce(unsure, false) THEN 'identity not confirmed' ELSE 'nothing above the floor' END AS note
+  CASE WHEN needs_review THEN '{lineparse.NO_SIZE}' WHEN w.product_id IS NOT NULL THEN CASE WHEN coalesce(unsure, false) THEN '{policies.SOME_UNCONFIRMED}' ELSE '' END WHEN coalesce(unsure, false) THEN '{policies.UNCONFIRMED}' ELSE '{policies.NOTHING.format(0.35)}' END AS note
   FROM asked_ a LEFT JOIN unsure USING (request_id) LEFT JOIN won w ON w.request_id = a.request_id AND NOT a.needs_review)"""
 
 
@@ -238,13 +238,16 @@ def line_matcher(spark, sf_dir):
     return matches(spark, sf_dir)[0]
 
 
-@query(f"""{MATCH_SQL}, l AS (SELECT request_id % 250 AS list_id, * FROM matches WHERE response = 'answerable'), n AS (SELECT list_id, count(DISTINCT request_id) AS n_answerable FROM l GROUP BY 1),
-h AS (SELECT list_id, store_id, count(*) AS n_matched, CAST(sum(price_cents) AS BIGINT) AS subtotal_cents, bool_and(price_cents IS NOT NULL) AS fully_priced FROM l JOIN prod USING (store_id, product_id) GROUP BY 1, 2),
-cg AS (SELECT n.list_id, s.store_id, n_answerable, coalesce(n_matched, 0) AS n_matched, coalesce(subtotal_cents, 0) AS subtotal_cents, coalesce(fully_priced, true) AS fully_priced FROM n CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS store_id FROM region) s LEFT JOIN h ON h.list_id = n.list_id AND h.store_id = s.store_id)
-SELECT *, n_matched = n_answerable AS complete, CAST(CASE WHEN n_matched = n_answerable THEN row_number() OVER (PARTITION BY list_id ORDER BY CASE WHEN n_matched = n_answerable THEN 0 ELSE 1 END, subtotal_cents, store_id) END AS INT) AS rank FROM cg""")
+@query(f"""{MATCH_SQL}, m AS (SELECT request_id % 250 AS list_id, * FROM matches), l AS (SELECT * FROM m WHERE response = 'answerable'), n AS (SELECT list_id, count(DISTINCT CASE WHEN response = 'answerable' THEN request_id END) AS n_answerable FROM m GROUP BY 1),
+h AS (SELECT list_id, store_id, count(*) AS n_matched, CAST(coalesce(sum(CASE WHEN CAST(product_id AS BIGINT) % 37 <> 5 THEN price_cents END), 0) AS BIGINT) AS subtotal_cents, bool_and(CAST(product_id AS BIGINT) % 37 <> 5) AS fully_priced FROM l JOIN prod USING (store_id, product_id) GROUP BY 1, 2),
+cg AS (SELECT n.list_id, s.store_id, r_name, n_answerable, coalesce(n_matched, 0) AS n_matched, coalesce(subtotal_cents, 0) AS subtotal_cents, coalesce(fully_priced, true) AS fully_priced, n_answerable > 0 AND coalesce(n_matched, 0) = n_answerable AS complete FROM n CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS store_id, r_name FROM region) s LEFT JOIN h ON h.list_id = n.list_id AND h.store_id = s.store_id)
+SELECT list_id, store_id, n_answerable, n_matched, subtotal_cents, fully_priced, complete, CAST(CASE WHEN complete AND fully_priced THEN row_number() OVER (PARTITION BY list_id, complete AND fully_priced ORDER BY subtotal_cents, r_name, store_id) END AS INT) AS rank FROM cg""")
 def simple_comparison(spark, sf_dir):
+    """Some products have no known price, so some complete stores aren't ranked."""
     found, items = matches(spark, sf_dir)
-    return policies.simple_comparison(found.withColumn("list_id", F.col("request_id") % 250), items.select("store_id", "product_id", "price_cents"), stores(spark, sf_dir))
+    prices = items.select("store_id", "product_id", F.when(F.col("product_id").cast("long") % 37 != 5, F.col("price_cents")).alias("price_cents"))
+    named = read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("store_id"), F.col("r_name").alias("store_name"))
+    return policies.simple_comparison(found.withColumn("list_id", F.col("request_id") % 250), prices, named)
 
 
 @query(f"""{LEXICAL_SQL}, {_decided('lx', False, False, 0.0).rpartition('best AS')[0].rstrip().rstrip(',')},
@@ -260,56 +263,90 @@ def constraint_violations(spark, sf_dir):
     return policies.violations(top).select("request_id", "store_id", "product_id", F.array_join("violations", ",").alias("violations"))
 
 
-#: The list runner: the distinct lines of chosen lists, searched deep, gated and resolved at every store.
+def _explained(key: str, accept: str, floor: str) -> str:
+    """SQL of explanations: ``told`` by ``key`` and store, from candidates (with titles), live and asked rows."""
+    say = lambda template, *values: "concat(" + ", ".join(x for v, p in zip(("''", *values), template.split("{}")) for x in (v, f"'{p}'")) + ")"
+    return f"""band AS (SELECT *, CASE WHEN packages IS NOT NULL AND price_cents >= 0 THEN packages * price_cents END AS cost_cents, CASE WHEN packages IS NOT NULL AND price_cents >= 0 THEN round(greatest(0.0::DOUBLE, packages * size - asked), 6) END AS excess,
+  coalesce(score >= {accept} AND round(max(CASE WHEN score >= {accept} THEN score END) OVER (PARTITION BY {key}, store_id) - score, 9) <= 0.01, false) AS in_band FROM live),
+spot AS (SELECT *, CASE WHEN in_band AND cost_cents IS NOT NULL THEN row_number() OVER (PARTITION BY {key}, store_id, in_band AND cost_cents IS NOT NULL ORDER BY cost_cents, excess, score DESC, product_id) END AS place, row_number() OVER (PARTITION BY {key}, store_id ORDER BY score DESC, product_id) AS i FROM band),
+owns AS (SELECT * FROM spot WHERE place = 1), rivals AS (SELECT * FROM spot WHERE place = 2),
+worse AS (SELECT s.*, row_number() OVER (PARTITION BY s.{key}, s.store_id ORDER BY s.cost_cents, s.excess, s.score DESC, s.product_id) AS nth FROM spot s JOIN owns o ON o.{key} = s.{key} AND o.store_id = s.store_id WHERE s.score >= {accept} AND NOT s.in_band AND s.cost_cents < o.cost_cents),
+worst AS (SELECT {key}, store_id, string_agg(CASE WHEN nth <= 3 THEN concat(product_id, ':', cost_cents) END, ',' ORDER BY nth) AS some, max(CASE WHEN nth = 1 THEN title END) AS cheaper, max(CASE WHEN nth = 1 THEN cost_cents END) AS cheaper_cost FROM worse GROUP BY 1, 2),
+agg AS (SELECT {key}, store_id, max(score) AS top_score, count(*) AS n_candidates, count(CASE WHEN score >= {accept} AND cost_cents IS NOT NULL THEN 1 END) AS considered, count(CASE WHEN score >= {accept} AND cost_cents IS NULL THEN 1 END) AS n_unresolved, string_agg(CASE WHEN i <= 5 THEN product_id END, ',' ORDER BY i) AS shown FROM spot GROUP BY 1, 2),
+away AS (SELECT {key}, store_id, string_agg(DISTINCT product_id, ',' ORDER BY product_id) AS out_of_stock FROM candidates WHERE state = 'out_of_stock' GROUP BY 1, 2),
+told AS (SELECT a.{key}, s.store_id, CASE WHEN top_score IS NULL OR top_score < {floor} THEN 'missing' WHEN top_score >= {accept} AND o.product_id IS NOT NULL THEN 'priced' ELSE 'review' END AS state, CASE WHEN top_score IS NULL OR top_score < {floor} THEN 'no candidate cleared the review floor' WHEN top_score >= {accept} AND o.product_id IS NOT NULL THEN NULL ELSE 'candidates shown, not priced' END AS reason,
+  concat(printf('%g', a.asked), ' ', a.asked_unit) AS requested, o.product_id, o.title, concat(printf('%g', o.size), ' ', o.unit) AS package_size, o.packages, o.price_cents AS package_price_cents, o.cost_cents, o.excess, CASE WHEN o.excess <> 0 THEN {say(basket.LEAVES, 'o.packages', "printf('%g', o.excess)", 'o.unit')} END AS excess_note,
+  round(o.price_cents / o.size, 6) AS unit_price, coalesce(o.state, 'unverified') AS stock, coalesce(o.state, 'unverified') <> 'unverified' AS verified,
+  CASE WHEN r.product_id IS NOT NULL AND r.cost_cents > o.cost_cents THEN {say(basket.CHEAPEST, 'o.cost_cents', 'r.cost_cents', 'r.title', 'r.cost_cents - o.cost_cents')} WHEN r.product_id IS NOT NULL THEN {say(basket.TIED, 'r.title', 'o.cost_cents')}
+    WHEN w.cheaper IS NOT NULL THEN {say(basket.BEST_MATCH, 'w.cheaper', 'o.cost_cents - w.cheaper_cost')} WHEN considered <= 1 THEN '{basket.ONLY_PRICED}' ELSE '{basket.ONLY_ACCEPTED}' END AS chosen_because,
+  CASE WHEN r.product_id IS NOT NULL THEN concat_ws('|', r.product_id, r.title, r.cost_cents, r.packages, printf('%g', r.excess)) END AS runner_up, CASE WHEN r.product_id IS NULL THEN coalesce(w.some, '') END AS cheaper_but_worse, n_unresolved, coalesce(n_candidates, 0) AS n_candidates, coalesce(shown, '') AS shown, coalesce(out_of_stock, '') AS out_of_stock
+  FROM asked a CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS store_id FROM region) s LEFT JOIN agg g ON g.{key} = a.{key} AND g.store_id = s.store_id LEFT JOIN owns o ON o.{key} = a.{key} AND o.store_id = s.store_id LEFT JOIN rivals r ON r.{key} = a.{key} AND r.store_id = s.store_id
+  LEFT JOIN worst w ON w.{key} = a.{key} AND w.store_id = s.store_id LEFT JOIN away y ON y.{key} = a.{key} AND y.store_id = s.store_id),
+said AS (SELECT {key}, store_id, state, reason, requested, {', '.join(f"CASE WHEN state = 'priced' THEN {c} END AS {c}" for c in TOLD)}, n_candidates, CASE WHEN state <> 'priced' THEN shown END AS candidates, out_of_stock FROM told)"""
+
+
+TOLD = ("product_id", "title", "package_size", "packages", "package_price_cents", "cost_cents", "excess", "excess_note", "unit_price", "stock", "verified", "chosen_because", "runner_up", "cheaper_but_worse", "n_unresolved")
+#: The list runner: lines of chosen lists, merged where they ask for one product, searched deep, gated and resolved at every store.
 RUN_SQL = f"""{BASE_SQL}, {oracle('lines', 'stock')}, {LINE_SQL}, last AS (SELECT item_id, arg_max(stock_status, event_id) AS stock_status FROM fx_stock GROUP BY 1),
-chosen AS (SELECT list_id, pos, text, needs_review, CASE WHEN NOT needs_review THEN text END AS line, quantity AS asked, canonical_unit AS asked_unit FROM typed WHERE list_id % 50 = 0),
-wanted AS (SELECT DISTINCT line AS text, asked, asked_unit FROM chosen WHERE line IS NOT NULL), {_tfidf('wanted', 'text', policies.LIST_DEPTH)},
-candidates AS (SELECT f.text, f.store_id, f.product_id, f.score, p.size, p.unit, p.price_cents, CASE WHEN l.stock_status IS NOT NULL THEN {STOCK_SQL} END AS state FROM lx f JOIN wanted w USING (text) JOIN prod p USING (store_id, product_id) LEFT JOIN last l ON l.item_id = f.product_id
+chosen AS (SELECT list_id, min(pos) AS pos, count(*) AS n_written, string_agg(text, '; ' ORDER BY pos) AS texts, min(matching_mode) AS matching_mode, CASE WHEN NOT bool_or(needs_review) THEN arg_min(text, pos) END AS text, round(sum(quantity), 6) AS asked, min(canonical_unit) AS asked_unit FROM typed WHERE list_id % 50 = 0
+  GROUP BY list_id, CASE WHEN needs_review THEN concat('#', CAST(pos AS STRING)) ELSE concat(product, '|', canonical_unit, '|', matching_mode) END),
+keyed_ AS (SELECT *, CASE WHEN text IS NOT NULL THEN concat(text, '|', CAST(CAST(asked AS BIGINT) AS VARCHAR)) END AS line FROM chosen), asked AS (SELECT DISTINCT line, text, asked, asked_unit FROM keyed_ WHERE line IS NOT NULL),
+wanted AS (SELECT DISTINCT text FROM asked), {_tfidf('wanted', 'text', policies.LIST_DEPTH)},
+candidates AS (SELECT w.line, f.store_id, f.product_id, p.raw_title AS title, f.score, p.size, p.unit, p.price_cents, CASE WHEN l.stock_status IS NOT NULL THEN {STOCK_SQL} END AS state FROM lx f JOIN asked w USING (text) JOIN prod p USING (store_id, product_id) LEFT JOIN last l ON l.item_id = f.product_id
   WHERE (p.dimension_ IS NULL OR p.dimension_ = CASE w.asked_unit WHEN 'oz' THEN 'weight' WHEN 'fl oz' THEN 'volume' ELSE 'count' END) AND p.size > 0 AND p.unit = w.asked_unit),
-live AS (SELECT c.*, w.asked, CASE WHEN floor(w.asked / c.size) >= 1 AND w.asked / c.size <= floor(w.asked / c.size) * 1.01::DOUBLE THEN CAST(floor(w.asked / c.size) AS BIGINT) ELSE CAST(ceil(w.asked / c.size) AS BIGINT) END AS packages FROM candidates c JOIN wanted w USING (text) WHERE c.state IS NULL OR c.state <> 'out_of_stock'),
-priced AS (SELECT *, packages * price_cents AS cost_cents, round(greatest(0.0::DOUBLE, packages * size - asked), 6) AS excess, max(CASE WHEN score >= {{accept}} THEN score END) OVER (PARTITION BY text, store_id) AS best FROM live),
-placed AS (SELECT *, CASE WHEN score >= {{accept}} AND round(best - score, 9) <= 0.01 THEN row_number() OVER (PARTITION BY text, store_id, coalesce(score >= {{accept}} AND round(best - score, 9) <= 0.01, false) ORDER BY cost_cents, excess, score DESC, product_id) END AS place FROM priced),
-won AS (SELECT text, store_id, max(score) AS top_score, max(CASE WHEN place = 1 THEN cost_cents END) AS cost_cents FROM placed GROUP BY 1, 2),
-every AS (SELECT c.list_id, c.pos, s.store_id, CASE WHEN c.line IS NULL THEN 'review' WHEN top_score IS NULL OR top_score < {{floor}} THEN 'missing' WHEN top_score >= {{accept}} AND cost_cents IS NOT NULL THEN 'priced' ELSE 'review' END AS state, cost_cents
-  FROM chosen c CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS store_id FROM region) s LEFT JOIN won w ON w.text = c.line AND w.store_id = s.store_id),
-basket AS (SELECT list_id, store_id, count(CASE WHEN state = 'priced' THEN 1 END) AS n_priced, count(CASE WHEN state = 'review' THEN 1 END) AS n_review, count(CASE WHEN state = 'missing' THEN 1 END) AS n_missing, CAST(CASE WHEN bool_and(state = 'priced') THEN sum(cost_cents) END AS BIGINT) AS total_cents FROM every GROUP BY 1, 2)
-SELECT list_id, store_id, n_priced, n_review, n_missing, total_cents, coalesce(total_cents = min(total_cents) OVER (PARTITION BY list_id), false) AS is_winner FROM basket"""
+live AS (SELECT c.*, w.asked, CASE WHEN floor(w.asked / c.size) >= 1 AND w.asked / c.size <= floor(w.asked / c.size) * 1.01::DOUBLE THEN CAST(floor(w.asked / c.size) AS BIGINT) ELSE CAST(ceil(w.asked / c.size) AS BIGINT) END AS packages FROM candidates c JOIN asked w USING (line) WHERE c.state IS NULL OR c.state <> 'out_of_stock'),
+{_explained('line', '{accept}', '{floor}')},
+every AS (SELECT c.list_id, c.pos, c.n_written, c.texts, c.matching_mode, s.store_id, coalesce(d.state, 'review') AS state, d.* EXCLUDE (line, store_id, state) FROM keyed_ c CROSS JOIN (SELECT CAST(r_regionkey AS BIGINT) AS store_id FROM region) s LEFT JOIN said d ON d.line = c.line AND d.store_id = s.store_id),
+basket AS (SELECT list_id, store_id, CAST(sum(n_written) AS BIGINT) AS n_written, count(*) AS n_lines, count(CASE WHEN state = 'priced' THEN 1 END) AS n_priced, count(CASE WHEN state = 'review' THEN 1 END) AS n_review, count(CASE WHEN state = 'missing' THEN 1 END) AS n_missing, CAST(CASE WHEN bool_and(state = 'priced') THEN sum(cost_cents) END AS BIGINT) AS total_cents FROM every GROUP BY 1, 2)"""
 RUN_ACCEPT, RUN_FLOOR = 0.45, 0.25
 
 
-@query(RUN_SQL.replace("{accept}", str(RUN_ACCEPT)).replace("{floor}", str(RUN_FLOOR)))
-def list_end_to_end(spark, sf_dir):
-    """Search, dimension gate, size sufficiency, resolution, totals and comparison of whole lists."""
-    p, items = F.col("parsed"), products(spark, sf_dir)
-    lines = parsed_lines(spark, sf_dir).where("list_id % 50 = 0").select("list_id", "pos", F.when(~p["needs_review"], F.col("text")).alias("text"), p["canonical_quantity"].alias("asked"), p["canonical_unit"].alias("asked_unit"), p["dimension"].alias("dimension"))
-    lines = settled(lines)
-    wanted = lines.where("text is not null").select("text", "asked", "asked_unit", "dimension").distinct()
-    found = lexical_search(wanted, items, "text", policies.LIST_DEPTH).drop("rank").join(items.select("store_id", "product_id", "dimension_", "size", "unit", "price_cents"), policies.ID).join(wanted, "text")
+RUN_SQL = RUN_SQL.replace("{accept}", str(RUN_ACCEPT)).replace("{floor}", str(RUN_FLOOR))
+
+
+def list_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Merged lines of whole lists, and each distinct request explained at each store: search, dimension gate, size sufficiency, resolution."""
+    items = products(spark, sf_dir)
+    lines = lineparse.merge_lines(parsed_lines(spark, sf_dir).where("list_id % 50 = 0"))
+    ask = F.when(~F.col("needs_review"), F.concat_ws("|", F.get("texts", 0), F.col("quantity").cast("long")))
+    lines = settled(lines.select("list_id", "pos", F.col("n_lines").alias("n_written"), F.array_join("texts", "; ").alias("texts"), F.get("texts", 0).alias("text"), "matching_mode", ask.alias("line"), F.col("quantity").alias("asked"), F.col("canonical_unit").alias("asked_unit")))
+    asked = lines.where("line is not null").select("line", "text", "asked", "asked_unit").distinct()
+    dimension = F.when(F.col("asked_unit") == "oz", "weight").when(F.col("asked_unit") == "fl oz", "volume").otherwise("count")
+    found = lexical_search(asked.select("text").distinct(), items, "text", policies.LIST_DEPTH).drop("rank")
+    found = found.join(items.select("store_id", "product_id", F.col("raw_title").alias("title"), "dimension_", "size", "unit", "price_cents"), policies.ID).join(asked, "text")
     enough = gates.sufficiency(F.col("asked"), F.col("asked_unit"), F.col("size"), F.col("unit")) == "sufficient"
-    found = found.where(gates.same_or_unknown(F.col("dimension"), F.col("dimension_")) & enough)
+    found = found.where(gates.same_or_unknown(dimension, F.col("dimension_")) & enough)
     last = view(spark, sf_dir, "stock").groupBy(F.col("item_id").alias("product_id")).agg(F.max_by("stock_status", "event_id").alias("stock_status"))
     found = found.join(last, "product_id", "left").withColumn("state", F.when(F.col("stock_status").isNotNull(), stock_states.classify(F.col("stock_status"))["state"]))
-    found = settled(found.select("text", "store_id", "product_id", "score", "size", "unit", "price_cents", "state"))
-    every = basket.resolve(wanted.withColumn("needs_review", F.lit(False)), stores(spark, sf_dir), found, ["text"], RUN_ACCEPT, RUN_FLOOR)
-    made = lines.where("text is not null").select("list_id", "pos", "text").join(every, "text").drop("text")
-    none = lines.where("text is null").select("list_id", "pos").crossJoin(stores(spark, sf_dir)).withColumns({"state": F.lit("review"), "excluded": F.lit(0).cast("long")})
-    out = basket.compare(basket.totals(made.unionByName(none, allowMissingColumns=True)))
-    return out.select("list_id", "store_id", "n_priced", "n_review", "n_missing", "total_cents", "is_winner")
+    found = settled(found.select("line", "store_id", "product_id", "title", "score", "size", "unit", "price_cents", "state"))
+    resolved = basket.resolve(asked.withColumn("needs_review", F.lit(False)), stores(spark, sf_dir), found, ["line"], RUN_ACCEPT, RUN_FLOOR)
+    return lines, settled(basket.explain_lines(asked, found, resolved, ["line"], RUN_ACCEPT).join(resolved.select("line", "store_id", "excluded"), ["line", "store_id"]))
+
+
+def list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every merged line at every store; one to review has a row without a candidate."""
+    lines, told = list_run(spark, sf_dir)
+    own = ["list_id", "pos", "n_written", "texts", "matching_mode"]
+    made = lines.where("line is not null").select(*own, "line").join(told, "line").drop("line")
+    none = lines.where("line is null").select(*own).crossJoin(stores(spark, sf_dir)).withColumns({"state": F.lit("review"), "excluded": F.lit(0).cast("long")})
+    return made.unionByName(none, allowMissingColumns=True)
+
+
+@query(f"{RUN_SQL} SELECT *, coalesce(total_cents = min(total_cents) OVER (PARTITION BY list_id), false) AS is_winner FROM basket")
+def list_end_to_end(spark, sf_dir):
+    """From written lists to the stores that win: as many lines as were written, and as are left after merging."""
+    rows = list_lines(spark, sf_dir)
+    n = rows.groupBy("list_id", "store_id").agg(F.sum("n_written").alias("n_written"), F.count("*").alias("n_lines"))
+    out = basket.compare(basket.totals(rows)).join(n, ["list_id", "store_id"])
+    return out.select("list_id", "store_id", "n_written", "n_lines", "n_priced", "n_review", "n_missing", "total_cents", "is_winner")
 
 
-EXPLAIN_SQL = f"""WITH {CANDIDATE_SQL}, shown AS (SELECT request, store_id, product_id, row_number() OVER (PARTITION BY request, store_id ORDER BY score DESC, product_id) AS i FROM live),
-tops AS (SELECT request, store_id, string_agg(CASE WHEN i <= 5 THEN product_id END, ',' ORDER BY i) AS candidates, count(*) AS n_candidates FROM shown GROUP BY 1, 2),
-gone AS (SELECT request, store_id, string_agg(DISTINCT product_id, ',' ORDER BY product_id) AS out_of_stock FROM candidates WHERE state = 'out_of_stock' GROUP BY 1, 2)
-SELECT f.request, f.store_id, f.state, CASE f.state WHEN 'missing' THEN 'no candidate cleared the review floor' WHEN 'review' THEN 'candidates shown, not priced' END AS reason, f.product_id, f.packages, f.cost_cents, f.excess,
-CASE WHEN f.state = 'priced' THEN round(p.price_cents / p.size, 6) END AS unit_price, coalesce(n_candidates, 0) AS n_candidates, CASE WHEN f.state <> 'priced' THEN coalesce(candidates, '') END AS candidates, coalesce(out_of_stock, '') AS out_of_stock,
-CASE WHEN f.state = 'priced' THEN CASE WHEN f.runner_up IS NOT NULL THEN CASE WHEN r.cost_cents > f.cost_cents THEN 'cheapest' ELSE 'tied on' END ELSE 'other' END END AS why
-FROM found f LEFT JOIN tops t ON t.request = f.request AND t.store_id = f.store_id LEFT JOIN gone g ON g.request = f.request AND g.store_id = f.store_id
-LEFT JOIN priced p ON p.request = f.request AND p.store_id = f.store_id AND p.product_id = f.product_id LEFT JOIN priced r ON r.request = f.request AND r.store_id = f.store_id AND r.product_id = f.runner_up"""
+@query(f"{RUN_SQL} SELECT * EXCLUDE (texts, n_written), CASE WHEN n_written > 1 THEN texts END AS merged_from FROM every")
+def list_explanations(spark, sf_dir):
+    return list_lines(spark, sf_dir).withColumn("merged_from", F.when(F.col("n_written") > 1, F.col("texts"))).drop("texts", "n_written", "excluded")
 
 
-@query(EXPLAIN_SQL)
+@query(f"""WITH {CANDIDATE_SQL.replace('o.size, o.unit, o.price_cents, CASE', 'o.raw_title AS title, o.size, o.unit, o.price_cents, CASE').replace('own AS (SELECT store_id, product_id,', 'own AS (SELECT store_id, product_id, raw_title,')}, {_explained('request', str(ACCEPT), str(FLOOR))} SELECT * FROM said""")
 def line_explanations(spark, sf_dir):
     asked, found = candidates(spark, sf_dir)
-    told = basket.explain_lines(asked, found, resolved_requests(spark, sf_dir), ["request"], ACCEPT)
-    why = F.when(F.col("chosen_because").startswith("cheapest"), "cheapest").when(F.col("chosen_because").startswith("tied on"), "tied on").when(F.col("chosen_because").isNotNull(), "other")
-    return told.select("request", "store_id", "state", "reason", "product_id", "packages", "cost_cents", "excess", "unit_price", "n_candidates", "candidates", "out_of_stock", why.alias("why"))
+    return basket.explain_lines(asked, found, resolved_requests(spark, sf_dir), ["request"], ACCEPT)

@@ -528,10 +528,19 @@ def override_recompute(spark, sf_dir):
     return basket.override(resolved(spark, sf_dir, lines), hand).drop("excluded")
 
 
-@query()
+@query(f"""WITH {CANDIDATE_SQL}, w AS (SELECT *, coalesce(total_cents = min(total_cents) OVER (PARTITION BY list_id), false) AS is_winner FROM baskets),
+t AS (SELECT list_id, store_id, count(*) AS n_lines, string_agg(concat_ws('|', pos, state, coalesce(product_id, ''), coalesce(CAST(packages AS VARCHAR), ''), coalesce(CAST(cost_cents AS VARCHAR), ''), coalesce(runner_up, '')), ' ; ' ORDER BY pos) AS lines FROM lines GROUP BY 1, 2)
+SELECT list_id, store_id, complete, total_cents, CAST(CASE WHEN complete THEN row_number() OVER (PARTITION BY list_id ORDER BY total_cents NULLS LAST, store_id) END AS INT) AS rank, is_winner, n_lines, n_priced, n_review, n_missing, n_verified, n_priced - n_verified AS n_unverified, n_excluded, lines FROM w JOIN t USING (list_id, store_id)""")
 def basket_explanations(spark, sf_dir):
+    """The documents of all baskets, read back field by field."""
     rows = resolved(spark, sf_dir)
-    return basket.explain(basket.compare(basket.totals(rows)), rows)
+    told = basket.explain(basket.compare(basket.totals(rows)), rows)
+    line = "struct<pos:int,state:string,product_id:string,packages:bigint,cost_cents:bigint,runner_up:string>"
+    kind = f"struct<complete:boolean,total_cents:bigint,rank:int,is_winner:boolean,counts:struct<priced:bigint,review:bigint,missing:bigint,verified:bigint,unverified:bigint,out_of_stock_excluded:bigint>,lines:array<{line}>>"
+    d, text = F.col("d"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    shown = F.transform(d["lines"], lambda x: F.concat_ws("|", *(text(x[c]) for c in ("pos", "state", "product_id", "packages", "cost_cents", "runner_up"))))
+    counts = {"n_priced": "priced", "n_review": "review", "n_missing": "missing", "n_verified": "verified", "n_unverified": "unverified", "n_excluded": "out_of_stock_excluded"}
+    return told.withColumn("d", F.from_json("explanation", kind)).select("list_id", "store_id", *(d[c].alias(c) for c in ("complete", "total_cents", "rank", "is_winner")), F.size(d["lines"]).cast("long").alias("n_lines"), *(d["counts"][v].alias(k) for k, v in counts.items()), F.array_join(shown, " ; ").alias("lines"))
 
 
 @query(f"WITH {CANDIDATE_SQL} SELECT request, store_id, product_id, score FROM candidates QUALIFY row_number() OVER (PARTITION BY request, store_id ORDER BY score DESC, product_id) = 1")
@@ -709,11 +718,25 @@ def label_transitions(spark, sf_dir):
     return integrity.transitions(rows.select(*keys, F.col("practical_label").alias("label")), rows.select(*keys, F.col("conservative_label").alias("label")), keys)
 
 
-@query()
+TURN = "md5(concat('{seed}|', {key}))"
+
+
+@query(f"""WITH {oracle('labels')}, p AS (SELECT request_id, product_id, row_number() OVER (PARTITION BY request_id ORDER BY {TURN.format(seed=7, key='product_id')}, product_id) AS place, count(*) OVER (PARTITION BY request_id) AS n FROM fx_labels)
+SELECT request_id, product_id FROM p WHERE place <= greatest(1, round_even(n * 0.1::DOUBLE, 0))""")
 def stratified_sample(spark, sf_dir):
     return integrity.sample(view(spark, sf_dir, "labels").select("request_id", "product_id"), ["request_id"], ["product_id"], 0.1, 7)
 
 
+@query(f"""WITH {oracle('catalog')} SELECT store_id, product_id FROM fx_catalog QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY {TURN.format(seed=11, key='product_id')}, product_id) <= 25""")
+def store_sample(spark, sf_dir):
+    return integrity.sample_each(view(spark, sf_dir, "catalog").select("store_id", "product_id"), ["store_id"], ["product_id"], 25, 11)
+
+
+@query(f"""WITH {oracle('catalog')} SELECT store_id, product_id FROM fx_catalog ORDER BY {TURN.format(seed=13, key="store_id, '|', product_id")}, store_id, product_id LIMIT 100""")
+def uniform_sample(spark, sf_dir):
+    return integrity.sample_each(view(spark, sf_dir, "catalog").select("store_id", "product_id"), [], ["store_id", "product_id"], 100, 13)
+
+
 @query(r"""
 SELECT page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,
        CAST((length(html) - length(replace(html, '<a href=', ''))) / 8 AS BIGINT) AS n_links, CAST(length(regexp_extract(html, '(?s)<article>(.*?)</article>', 1)) AS BIGINT) AS article_chars FROM pages

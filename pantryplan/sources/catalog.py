@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pantryplan.functions.stock import UNVERIFIED, classify
+from pantryplan.functions.units import is_liquid, parse_package_size, price_to_cents
 
 # The columns of a raw item file, all text.
 ITEM_COLUMNS = (
@@ -17,13 +18,39 @@ ITEM_SCHEMA = StructType([StructField(c, StringType()) for c in ITEM_COLUMNS])
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Item files with their store from the path (``store=<id>/`` or a number in the name)."""
-    rows = spark.read.schema(ITEM_SCHEMA).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    return rows.withColumn("store_id", F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*/?[^/]*\.csv", 1).try_cast("bigint"))
+    """Item files in folders ``store_id=<id>``; what a file lacks is blank."""
+    rows = spark.read.schema(f"{ITEM_SCHEMA.simpleString()[7:-1].replace(':', ' ')}, store_id long").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select("store_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ITEM_COLUMNS))
 
 
-def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+def write_items(rows: DataFrame, path: str) -> None:
+    """Item files of each store: all ITEM_COLUMNS in their order, missing ones blank."""
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    out = rows.select("store_id", *(value(c).alias(c) for c in ITEM_COLUMNS))
+    out.write.mode("overwrite").partitionBy("store_id").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+# Fixed value: why a weight is doubted.
+LITERAL_OUNCES = "bare 'oz' on a likely-liquid product -- parsed as weight per the documented literal rule, but this may actually be a beverage sold in fluid ounces; not auto-converted, needs human review"
+
+
+def build_rows(items: DataFrame) -> DataFrame:
+    """The twenty columns of a normalised catalog from item rows with store_id, store_name and snapshot_id; brand and variant are found later, by title.
+
+    Sizes are parsed once for each distinct text.
+    """
+    texts = items.select(F.coalesce("unit_size", F.lit("")).alias("raw_size")).distinct()
+    parsed = texts.select("raw_size", parse_package_size(F.col("raw_size")).alias("s")).groupBy("raw_size").agg(F.first("s").alias("s"))
+    rows = items.withColumn("raw_size", F.coalesce("unit_size", F.lit(""))).join(parsed, "raw_size")
+    flag = (F.col("s.dimension") == "weight") & (F.col("s.unit") == "oz") & ~F.col("s.unresolved") & is_liquid(F.col("item_name"), F.col("category"))
+    flag = F.coalesce(flag, F.lit(False))
+    status = F.when(~F.col("s.unresolved"), "resolved").when(F.col("s.variable_weight"), "variable_weight").otherwise("unresolved")
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "store_id", "store_name", "snapshot_id", F.col("item_id").alias("product_id"), F.col("item_name").alias("raw_title"), F.col("category").alias("raw_category"), "raw_size", price_to_cents(F.col("price_usd")).alias("price_cents"), none.alias("brand"), none.alias("variant"),
+        F.col("s.dimension").alias("pkg_dimension"), F.col("s.pack_count").alias("pkg_count"), F.col("s.amount_per_pack").alias("pkg_amount_per_pack"), F.col("s.unit").alias("pkg_unit"), F.col("s.canonical_unit").alias("pkg_canonical_unit"), F.col("s.canonical_total").alias("pkg_canonical_total"),
+        status.alias("parsing_status"), F.col("s.reason").alias("parsing_reason"), flag.alias("dimension_review_flag"), F.when(flag, LITERAL_OUNCES).alias("dimension_review_reason"),
+    )
 
 
 def latest_snapshot(rows: DataFrame, at: str, by: list[str] | None = None) -> DataFrame:
@@ -45,8 +72,16 @@ def merge_items(rows: DataFrame, key: str, order: str, columns: list[str]) -> Da
     return rows.groupBy(key).agg(*first)
 
 
+def overlay(items: DataFrame, details: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Items whose details, where they aren't blank, replace what the item pages said."""
+    found = details.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+    new = {c: F.coalesce(F.nullif(f"__{c}", F.lit("")), F.col(c)) for c in columns}
+    return items.join(found, key, "left").withColumns(new).drop(*(f"__{c}" for c in columns))
+
+
 def latest_image(rows: DataFrame) -> DataFrame:
-    return rows.where("image_url <> ''").groupBy("store_id", "item_id").agg(F.max_by("image_url", "scraped_at").alias("image_url"))
+    """The image of an item's newest row that has one."""
+    return rows.where("image_url <> ''").groupBy("store_id", "item_id").agg(F.max_by("image_url", F.struct("scraped_at", "image_url")).alias("image_url"))
 
 
 def join_stock(catalog: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -57,10 +92,12 @@ def join_stock(catalog: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def complete_groups(rows: DataFrame, by: str, key: str, size: int = 10) -> DataFrame:
-    """The first ``size`` items of each group that has as many."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(key))
-    n = F.count("*").over(Window.partitionBy(by))
-    return rows.dropDuplicates([by, key]).withColumn("place", place).withColumn("n", n).where((F.col("n") >= size) & (F.col("place") <= size)).drop("place", "n")
+    """Of each group that has ``size`` distinct keys the rows of the first ``size``; of rows with one key any one."""
+    seen = rows.dropDuplicates([by, key])
+    # the rank is limited before rows are shuffled, so a large group sends ``size`` rows a task
+    first = seen.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(key))).where(F.col("place") <= size)
+    whole = first.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") == size).select(by)
+    return first.drop("place").join(whole, by, "left_semi")
 
 
 def coverage(items: DataFrame) -> DataFrame:
@@ -69,29 +106,19 @@ def coverage(items: DataFrame) -> DataFrame:
     return items.groupBy("store_id").agg(F.count("*").alias("n_rows"), F.countDistinct("product_id").alias("n_items"), F.countDistinct("raw_category").alias("n_categories"), blank("raw_size"), F.min("price_cents").alias("min_cents"), F.max("price_cents").alias("max_cents"))
 
 
-def append(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of both; columns that one lacks are blank text there."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    return both.select(*(F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in both.dtypes))
-
-
-def write_records(df: DataFrame, path: str, by: str = "baseline") -> None:
-    """JSON lines, a folder for each baseline, so that one can be written anew alone."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
-
-
-def table_hash(df: DataFrame) -> DataFrame:
-    """Rows and a hash that doesn't depend on their order."""
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("hash"))
-
-
-def row_hash(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumn("row_sha256", F.sha2(F.to_json(F.struct(*columns)), 256))
-
-
-def replace(df: DataFrame, table: str) -> None:
-    """Write a table anew; readers see the old rows until the new ones are complete."""
-    df.write.mode("overwrite").saveAsTable(table)
+def store_coverage(items: DataFrame, top: int = 5) -> DataFrame:
+    """A store's items: all, unique and repeated ids, blank names, prices and sizes, categories, the ``top`` largest of them (of equals the first by name), and the range of prices."""
+    blank = lambda c: F.count_if(F.trim(F.coalesce(F.col(c), F.lit(""))) == "")
+    price = F.col("price_usd").try_cast("double")
+    out = items.groupBy("store_id").agg(
+        F.count("*").alias("products_total"), F.countDistinct("item_id").alias("unique_product_ids"), blank("item_name").alias("missing_name"), blank("price_usd").alias("missing_price"), blank("unit_size").alias("missing_unit_size"),
+        F.round(F.min(price), 2).alias("min_price"), F.round(F.max(price), 2).alias("max_price"),
+    )
+    kinds = items.groupBy("store_id", F.coalesce("category", F.lit("")).alias("category")).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("n"), "category"))
+    first = kinds.withColumn("place", place).where(F.col("place") <= top).groupBy("store_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "category", "n"))), lambda x: F.concat(x["category"], F.lit(":"), x["n"].cast("string"))), ", ").alias("top_categories"))
+    counts = kinds.groupBy("store_id").agg(F.count("*").alias("category_count"))
+    return out.withColumn("duplicate_ids", F.col("products_total") - F.col("unique_product_ids")).join(counts, "store_id").join(first, "store_id")
 
 
 #: Rows of a report that are gathered as one text.

@@ -31,6 +31,20 @@ def current(kept: DataFrame) -> DataFrame:
     return kept.join(last, "snapshot_id", "left_semi")
 
 
-def keep_up(spark: SparkSession, path: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Run until the files that are there have been read."""
-    return newest(read_snapshots(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def keep_up(spark: SparkSession, path: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Run until the files that are there have been read; the states that a batch changes go to its own folder of ``table``.
+
+    A batch that is tried again overwrites its folder, so that no state counts twice.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+    return newest(read_snapshots(spark, path)).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def kept_states(spark: SparkSession, table: str) -> DataFrame:
+    """Each item's state after the last batch that changed it."""
+    rows = spark.read.option("basePath", table).parquet(table)
+    own = [c for c in rows.columns if c not in ("item_id", "batch")]
+    return rows.groupBy("item_id").agg(F.max_by(F.struct(*own), "batch").alias("s")).select("item_id", "s.*")
