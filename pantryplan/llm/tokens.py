@@ -59,6 +59,12 @@ class PieceEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+        self.units = None
+        if not self.keeps_space and spec["model"].get("end_of_word_suffix"):
+            # of well-known letters: what the pre-tokenizer makes of lower-case text, each encoded by itself
+            self.odd = re.compile(r"[^\t\n\r -~\xa0-\xac\xae-\xff]").search
+            letter, digit = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+            self.units = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+").findall
         self.merger = self._merger(spec) if fast else None
 
     def _merger(self, spec: dict):
@@ -79,9 +85,6 @@ class PieceEncoder:
             self.odd = re.compile(r"[^\t\n\r -~\xa0-\xac\xae-\u0220\u0391-\u03a1\u03a3-\u03ce\u0410-\u044f\u2010-\u2027\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]").search
             ranks, pattern = {bytes(chars[c] for c in t): i for i, t in order}, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         elif mark:
-            self.odd = re.compile(r"[^\t\n\r -~\xa0-\xac\xae-\xff]").search
-            letter, digit = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-            self.units = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+").findall
             ranks, to_id = {b"\0": 0} | {bytes([b]): b for b in range(1, 256)}, {chars[t]: i for i, t in order if len(t) == 1}
             for i, t in order:
                 if t.endswith(mark) or len(t) > 1:
@@ -114,7 +117,8 @@ class PieceEncoder:
                 self.cache[p] = np.asarray(self.encode_long(p), "<u4").tobytes()
 
     def _by_pieces(self, text: str) -> bytes:
-        pieces = self.split(text)
+        plain = self.units and "<|" not in text and not self.odd(text)
+        pieces = self.units(text.lower()) if plain else self.split(text)
         if len(self.cache) > self.cache_pieces:
             self.cache.clear()
         missing = set(pieces).difference(self.cache)
@@ -286,4 +290,4 @@ def decode(ids: list[int], table: list[bytes]) -> str:
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, leaf_chars: int = 2048, fast: bool = True) -> PieceEncoder:
     """One encoder for each Python worker: its tables and cache outlive a batch."""
-    return PieceEncoder(path, leaf_chars, fast=fast)
+    return PieceEncoder(path, leaf_chars, fast=fast) if fast else PieceEncoder(path, leaf_chars, cache_pieces=600_000, fast=False)
