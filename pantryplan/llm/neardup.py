@@ -50,7 +50,7 @@ ESTIMATE = 0.45
 #: Partners that a member of a list names.
 NEIGHBOURS = 2
 #: Members of a list, and classes of a family and their shingles together, that a tile holds against as many others.
-LIST, BLOCK, BLOCK_VALUES = 512, 1024, 500_000
+LIST, BLOCK, BLOCK_VALUES = 512, 128, 200_000
 #: Tiles in an Arrow batch.
 TILES = 4
 #: 64-bit words of a sketch's bitmap.
