@@ -30,6 +30,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -93,6 +94,10 @@ class Scanner:
             for offset, part in parts_of(words):
                 self.parts[part[:2]].append((part, offset, name))
         self.bags = {k: Counter(t) for k, t in self.templates.items()}
+        self.rare = ahocorasick.Automaton()
+        for word in rare_words(templates):
+            self.rare.add_word(word, word)
+        self.rare.make_automaton()
         self.memo: dict[str, tuple | None] = {}
 
     def wording(self, block: str, name: str) -> tuple[int, int, list[str], int, int] | None:
@@ -169,7 +174,9 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[tuple]:
         """(start, end, license, saved bytes, differences) in code points."""
-        words = [(m.start(), m.end(), b) for m in _WORD.finditer(text or "") if (b := _bare(m[0]))]
+        if not text or next(self.rare.iter(text.lower()), None) is None:
+            return []
+        words = [(m.start(), m.end(), b) for m in _WORD.finditer(text) if (b := _bare(m[0]))]
         return self.chosen(text, words, self.blocks(words))
 
 
@@ -187,8 +194,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
             start, stop, name, saved, changes = map(list, zip(*rows)) if rows else ([], [], [], [], [])
             yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64()), "license": pa.array(name, pa.string()), "saved": pa.array(saved, pa.int64()), "differences": pa.array(changes, pa.list_(pa.string()))})
 
-    rare = "|".join(re.sub(r"([^a-z0-9])", r"\\\1", w) for w in rare_words(templates))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike(f"(?iu)(?:{rare})"))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return some.mapInArrow(run, "doc_id long, start long, stop long, license string, saved long, differences array<string>")
 
 
