@@ -56,3 +56,28 @@ def test_against_brute_force(spark, monkeypatch):
     for limit in ("BROADCAST_SHINGLES", "BROADCAST_DOCS", "BROADCAST_ITEMS"):
         monkeypatch.setattr(d, limit, 1)
     assert {(r.doc_id, r.item_id) for r in d.contaminated(df, it).collect()} == set(got)
+
+
+def test_measured_loss_of_the_radius():
+    """Windows of 140 words with three replaced ones have a similarity of just over 0.8: how many fingerprints are further apart than the radius."""
+    import numpy as np
+    import xxhash
+
+    def fingerprint(counts):
+        h = np.array([xxhash.xxh64_intdigest(s) for s in counts], np.uint64)
+        w = np.array([len(s) * n for s, n in counts.items()])
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
+        return (w[:, None] * (2 * bits.astype(int) - 1)).sum(0) > 0
+
+    rng, near = random.Random(12), []
+    for _ in range(6000):
+        words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(140)]
+        other = list(words)
+        for at in rng.sample(range(8, 132, 8), 3):
+            other[at] = "".join(rng.choices("qrstuvwxyz", k=len(other[at])))
+        a, b = shingles(words), shingles(other)
+        if 0.8 <= similarity(a, b) < 0.82:
+            near.append(int((fingerprint(a) != fingerprint(b)).sum()))
+    lost = sum(x > d.RADIUS for x in near) / len(near)
+    print(f"lost {lost:.5f} of {len(near)}")
+    assert len(near) > 2000 and lost < 0.003

@@ -45,5 +45,28 @@ def test_battery_tells_random_from_ordinary(spark):
     assert len([i for i in found if i >= len(secret)]) <= 0.1 * len(found)
 
 
-def test_query_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_query(spark, tmp_path):
+    key = "k7Q2mZx9Rt4WbVn8Lp3SdFg6"
+    texts = ["password = '" + "x" * 12 + "'", "AKIA" + "Q7" * 8 + " and " + "0a" * 9, None, "", f"word {key} word"]
+    rows = [(i, t, 5) for i, t in enumerate(texts)] + [(None, texts[0], 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_hex int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op7_secret_scan(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = brute(texts[r.doc_id or 0])
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest() and [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in want) for k in range(3)]
+        assert r.spans == text or r.doc_id == 4
+
+
+def test_share_of_random_strings_found_by_length(spark):
+    """The longer a random string, the surer it is found; letters-only strings have no alphabet that they must be drawn from, and are never judged."""
+    rng = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["x " + "".join(rng.choices(alphabet, k=n)) + " y" for n in (24, 40, 80) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id for r in secrets.scan(docs, secrets.cuts(docs)).collect() if any(s.kind == 3 for s in r.spans)}
+    digits = [i for i, t in enumerate(texts) if re.search("[0-9]", t)]
+    assert len(found & set(digits)) >= 0.9 * len(digits)
+    letters = spark.createDataFrame([(1, "z " + "QwErTyUiOpAsDfGhJkLzXcVb" + " z")], "doc_id long, text string")
+    assert secrets.scan(letters, secrets.cuts(docs)).first().spans == []
