@@ -148,3 +148,28 @@ def outcome_report(records: DataFrame, by: list[str], accept: float, floor: floa
     unjudged = count(said & F.col(next(iter(labels.values()))).isNull()).alias("n_unjudged")
     out = at.groupBy(*by).agg(*n, unjudged, *(share(r, said).alias(f"precision_{v}") for v, r in right.items()))
     return out.withColumns({f"meets_{v}": F.coalesce(F.col(f"precision_{v}") >= criterion, F.lit(False)) for v in labels})
+
+
+def ranking_views(results: DataFrame, labels: DataFrame, requests: DataFrame, key: str, item: str, views: dict[str, str], by: list[str], k: int = 5) -> DataFrame:
+    """Success, hit and reciprocal rank by label view and every subset of ``by``: a long table, NULL where an axis is summed up.
+
+    Results are joined with their labels once for all views.
+    """
+    judged = results.where(F.col("rank") <= k).join(labels.select(key, item, *views.values()), [key, item], "left")
+    per = judged.groupBy(key).agg(*(F.min(F.when(F.col(c) == "Acceptable", F.col("rank"))).alias(v) for v, c in views.items()))
+    rows = requests.select(key, *by).join(per, key, "left").select(*by, F.explode(F.array(*(F.struct(F.lit(v).alias("view"), F.col(v).alias("first")) for v in views))).alias("x")).select(*by, "x.*")
+    # the view is kept, the other axes are summed up in every way
+    sets = rows.withColumn("s", F.coalesce((F.col("first") == 1).cast("int"), F.lit(0))).withColumn("h", F.col("first").isNotNull().cast("int"))
+    out = sets.cube("view", *by).agg(F.grouping("view").alias("all_views"), F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("success"), F.round(F.avg("h"), 6).alias("hit"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return out.where("all_views = 0").drop("all_views")
+
+
+def outcome_rates(records: DataFrame, by: list[str], accept: float, floor: float) -> DataFrame:
+    """The partition of each group, and of every sum of groups, in rates; and automatic matches that only the practical view takes for right."""
+    out = cut(accept, floor)
+    rows = records.withColumn("out", out)
+    said = F.col("out") == "accept"
+    rate = lambda what: F.round(F.avg((F.col("out") == what).cast("int")), 6)
+    ok = lambda c: F.coalesce(F.col(c) == "Acceptable", F.lit(False))
+    only = said & (F.col("truth") == "answerable") & ok("practical_label") & ~ok("conservative_label")
+    return rows.cube(*by).agg(F.count("*").alias("n"), rate("accept").alias("automatic_match_rate"), rate("review").alias("review_rate"), rate("no_match").alias("abstention_rate"), F.count_if(only).alias("n_practical_only"), (F.count_if(F.col("out").isin("accept", "review", "no_match")) == F.count("*")).alias("sums_to_one"))

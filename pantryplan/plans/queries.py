@@ -576,6 +576,14 @@ def metric_cube(spark, sf_dir):
     return per_request(spark, sf_dir).cube("split", "matching_mode").agg(F.count("*").alias("n"), F.round(F.avg("success"), 6).alias("success"), F.round(F.avg("hit"), 6).alias("hit"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
+@query(f"""WITH {RANK_SQL}, v AS (SELECT unnest(['practical', 'conservative']) AS "view"), f AS (SELECT r.request_id, "view", min(CASE WHEN CASE "view" WHEN 'practical' THEN practical_label ELSE conservative_label END = 'Acceptable' THEN r.rank END) AS first FROM r5 r LEFT JOIN fx_labels l USING (request_id, product_id) CROSS JOIN v GROUP BY 1, 2),
+p AS (SELECT "view", split, matching_mode, CASE WHEN first = 1 THEN 1 ELSE 0 END AS s, CASE WHEN first IS NOT NULL THEN 1 ELSE 0 END AS h, coalesce(1.0::DOUBLE / first, 0.0) AS rr FROM fx_requests CROSS JOIN v LEFT JOIN f USING (request_id, "view"))
+SELECT "view", split, matching_mode, count(*) AS n, round(avg(s), 6) AS success, round(avg(h), 6) AS hit, round(avg(rr), 6) AS mrr FROM p GROUP BY GROUPING SETS (("view", split, matching_mode), ("view", split), ("view", matching_mode), ("view"))""")
+def metric_views(spark, sf_dir):
+    requests = view(spark, sf_dir, "requests").select("request_id", "split", "matching_mode")
+    return metrics.ranking_views(top5(spark, sf_dir), view(spark, sf_dir, "labels"), requests, "request_id", "product_id", {"practical": "practical_label", "conservative": "conservative_label"}, ["split", "matching_mode"])
+
+
 @query(f"""WITH {RANK_SQL}, good AS (SELECT request_id, product_id FROM fx_labels WHERE practical_label = 'Acceptable')
 SELECT q.request_id, coalesce(n_good, 0) AS n_good, coalesce(n_found, 0) AS n_found, CASE WHEN n_good > 0 THEN round(coalesce(n_found, 0) / n_good, 6) END AS recall FROM fx_requests q
 LEFT JOIN (SELECT request_id, count(*) AS n_good FROM good GROUP BY 1) g USING (request_id) LEFT JOIN (SELECT request_id, count(*) AS n_found FROM good JOIN r5 USING (request_id, product_id) GROUP BY 1) f USING (request_id)""")
@@ -660,6 +668,13 @@ def guess_exposure(spark, sf_dir):
     return metrics.guess_exposure(view(spark, sf_dir, "judged"), ["baseline"])
 
 
+@query(f"""WITH {oracle('judged')}, o AS (SELECT *, CASE WHEN response = 'needs_clarification' THEN 'review' WHEN response <> 'answerable' OR score IS NULL THEN 'no_match' WHEN score >= 0.75 THEN 'accept' WHEN score >= 0.45 THEN 'review' ELSE 'no_match' END AS o FROM fx_judged)
+SELECT baseline, split, matching_mode, count(*) AS n, round(avg(CAST(o = 'accept' AS INT)), 6) AS automatic_match_rate, round(avg(CAST(o = 'review' AS INT)), 6) AS review_rate, round(avg(CAST(o = 'no_match' AS INT)), 6) AS abstention_rate,
+count(CASE WHEN o = 'accept' AND truth = 'answerable' AND practical_label = 'Acceptable' AND coalesce(conservative_label, '') <> 'Acceptable' THEN 1 END) AS n_practical_only, true AS sums_to_one FROM o GROUP BY CUBE (baseline, split, matching_mode)""")
+def outcome_rates(spark, sf_dir):
+    return metrics.outcome_rates(view(spark, sf_dir, "judged"), ["baseline", "split", "matching_mode"], ACCEPT, FLOOR)
+
+
 @query(f"""WITH {oracle('judged')}, o AS (SELECT *, CASE WHEN response = 'needs_clarification' THEN 'review' WHEN response <> 'answerable' OR score IS NULL THEN 'no_match' WHEN score >= 0.75 THEN 'accept' WHEN score >= 0.45 THEN 'review' ELSE 'no_match' END AS o FROM fx_judged),
 c AS (SELECT split, matching_mode, count(*) AS n, count(CASE WHEN o = 'accept' THEN 1 END) AS n_accept, count(CASE WHEN o = 'review' THEN 1 END) AS n_review, count(CASE WHEN o = 'no_match' THEN 1 END) AS n_no_match, count(CASE WHEN o = 'accept' AND conservative_label IS NULL THEN 1 END) AS n_unjudged,
 round(count(CASE WHEN o = 'accept' AND truth = 'answerable' AND conservative_label = 'Acceptable' THEN 1 END) / nullif(count(CASE WHEN o = 'accept' THEN 1 END), 0), 6) AS precision_conservative,
