@@ -74,6 +74,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each but the last written to the shared folder and read again. Equal rows share their fate; an empty table gives no rows."""
     scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
