@@ -29,6 +29,24 @@ def test_rows_of_the_stages_keep_their_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.count() == 0
+    last = corpus_pipeline.tokens(spark, empty, str(tmp_path))
+    assert last.columns == [*empty.columns, "token_ids", "n_tokens", "round_trip"] and last.count() == 0
+
+
+def test_repeated_rows_and_a_very_long_text(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("klmnopqrst") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    long_, text = say(220_000), say(90)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, long_), (2, long_ + " tail"), (3, text), (3, text), (4, say(80))]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, say(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 3, 4] and all(r.round_trip and r.n_tokens > 0 for r in got)
+    assert next(r.text for r in got if r.doc_id == 1) == long_
 
 
 def test_null_ids_and_clashing_columns(spark, tmp_path):
