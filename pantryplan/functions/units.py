@@ -99,6 +99,7 @@ def convert_amount(amount: Column, source: Column, target: Column) -> Column:
 
 def parse_package_size(raw: Column) -> Column:
     """struct(unresolved, reason, variable_weight, dimension, pack_count, amount_per_pack, unit, total_amount, canonical_unit, canonical_total)."""
+    # The written forms of a size, packs of counts, packs of amounts, and one amount.
     packs, multi, simple = r"(?i)^(\d+)\s*(?:pk|pack)\s*[x×]\s*(\d+)\s*(?:ct|count)$", rf"(?i)^([\d./]+)\s*({UNIT_PATTERN})\s*[x×]\s*(\d+)\s*(?:ct|count|pk|pack|ea|each)?$", rf"(?i)^([\d./]+)\s*({UNIT_PATTERN})$"
     null = F.lit(None)
 

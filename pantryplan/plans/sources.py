@@ -41,6 +41,14 @@ def store_coverage(spark, sf_dir):
     return source.store_coverage(rows.unionByName(rows.where("cast(item_id as long) % 20 = 3")))
 
 
+@query("""SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS run FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)""")
+def latest_run_rows(spark, sf_dir):
+    """Rows of the greatest run's folder, of which alone files are read."""
+    folder = shared_folder(spark, "runs")
+    read(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").cast("string").alias("run")).write.partitionBy("run").parquet(folder)
+    return source.latest_run(spark, folder).withColumn("run", F.col("run").cast("string"))
+
+
 DETAIL_SQL = ORACLE["item_details"].removeprefix(f"WITH {MOSAIC_SQL}, ")
 
 
