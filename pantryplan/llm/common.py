@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that separate words, as a Java and Python character class.
@@ -27,6 +29,14 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release_memory() -> None:
+    """Give memory that Arrow and the C library hold as free back to the system: a Python worker lives on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only on a local master where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

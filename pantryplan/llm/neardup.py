@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantryplan.llm.common import Scratch, bounded, table, text_batches
+from pantryplan.llm.common import Scratch, bounded, release_memory, table, text_batches
 from pantryplan.llm.graph import BROADCAST_IDS, components
 
 K = 48
@@ -290,6 +290,7 @@ class NearDuplicates:
                 none = pa.nulls(len(open_), pa.int64())
                 columns = (pa.concat_arrays([pa.array(p), q]) for p, q in ((np.zeros(len(x), np.int64), pa.array(v[open_])), (rep[x], pa.array(rep[open_])), (d[x], pa.array(d[open_])), (rep[y], none), (d[y], none)))
                 yield pa.record_batch(dict(zip(("v", "a", "da", "b", "db"), columns)))
+            release_memory()
 
         return lists.repartition("v", "part").sortWithinPartitions("v", "part").select("v", "part", "whole", "rep", "d", "n", "least", "bits").mapInArrow(scan, "v long, a long, da long, b long, db long")
 
@@ -302,6 +303,7 @@ class NearDuplicates:
                 sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
                 d1, d2 = _digests(sets)
                 yield pa.record_batch({"rep": batch.column(0), "d1": d1, "d2": d2, "whole": pa.array([x.tobytes() for x in sets], pa.binary())})
+            release_memory()
 
         needed = needed.distinct()
         needed = F.broadcast(needed) if bounded(needed, BROADCAST_IDS) else needed
@@ -376,6 +378,7 @@ class NearDuplicates:
                     y = batch.column(1)[k].values if batch.column(1)[k].is_valid else x
                     if links := compare(x, y):
                         yield pa.record_batch({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
+            release_memory()
 
         before = conf.get(key)
         conf.set(key, str(TILES))

@@ -25,6 +25,8 @@ import re
 
 import numpy as np
 
+from pantryplan.llm.common import release_memory
+
 #: White space of the tokenizers' patterns; Python's \s also has 1C-1F.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -290,4 +292,6 @@ def decode(ids: list[int], table: list[bytes]) -> str:
 @functools.lru_cache(maxsize=4)
 def encoder(path: str, leaf_chars: int = 2048, fast: bool = True) -> PieceEncoder:
     """One encoder for each Python worker: its tables and cache outlive a batch."""
-    return PieceEncoder(path, leaf_chars, fast=fast) if fast else PieceEncoder(path, leaf_chars, cache_pieces=600_000, fast=False)
+    made = PieceEncoder(path, leaf_chars, fast=fast) if fast else PieceEncoder(path, leaf_chars, cache_pieces=600_000, fast=False)
+    release_memory()
+    return made
