@@ -281,6 +281,8 @@ def token_table(path: str) -> list[bytes]:
     out = [b""] * (max(vocab.values()) + 1)
     for token, i in vocab.items():
         out[i] = token.encode() if token in special else bytes(chars[c] for c in token)
+    del spec, vocab
+    release_memory()
     return out
 
 
