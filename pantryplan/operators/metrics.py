@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pantryplan.operators.gates import outcome
+from pantryplan.operators.retrieval import small
 
 RESPONSES = ("answerable", "needs_clarification", "no_acceptable_match")
 
@@ -33,7 +34,8 @@ def pool_recall(results: DataFrame, labels: DataFrame, requests: DataFrame, key:
     """Share of a request's acceptable items among its ``k`` best; requests without any are NULL."""
     good = labels.where("label = 'Acceptable'").select(key, item)
     n = good.groupBy(key).agg(F.count("*").alias("n_good"))
-    found = good.join(results.where(F.col("rank") <= k).select(key, item), [key, item]).groupBy(key).agg(F.count("*").alias("n_found"))
+    # results are few beside labels
+    found = good.join(small(results.where(F.col("rank") <= k).select(key, item), 500_000), [key, item]).groupBy(key).agg(F.count("*").alias("n_found"))
     return requests.select(key).join(n, key, "left").join(found, key, "left").select(key, F.coalesce("n_good", F.lit(0)).alias("n_good"), F.coalesce("n_found", F.lit(0)).alias("n_found"), F.when(F.col("n_good") > 0, F.round(F.coalesce("n_found", F.lit(0)) / F.col("n_good"), 6)).alias("recall"))
 
 

@@ -151,10 +151,13 @@ def lexical_scores(pairs: DataFrame, asked: DataFrame, items: DataFrame, index:
 
 
 def vector_search(spark: SparkSession, sf_dir: str, asked: DataFrame, items: DataFrame, depth: int) -> DataFrame:
+    """Products by the dot product of their vector; of equal ones a vector's first store decides which can be among the best."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = vectors.join(asked.select(F.col("request_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("qvec"))
-    scored = vectors.withColumnRenamed("embedding", "vec").join(retrieval.small(q, 5_000), F.lit(True)).select("request_id", F.col("vec_id").cast("string").alias("product_id"), F.round(retrieval.dot(F.col("qvec"), F.col("vec")), 6).alias("score")).where("score > 0")
-    return retrieval.top_k(scored.join(items.select("store_id", "product_id"), "product_id"), ["request_id"], depth, policies.ID)
+    first = items.groupBy("product_id").agg(F.min("store_id").alias("store_id"))
+    held = vectors.select(F.col("vec_id").cast("string").alias("product_id"), F.col("embedding").alias("vec")).join(first, "product_id")
+    found = retrieval.nearest(q, held, depth, "request_id", "product_id", policies.ID)
+    return retrieval.top_k(found.join(items.select("store_id", "product_id"), "product_id"), ["request_id"], depth, policies.ID)
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str, asked: DataFrame, items: DataFrame) -> DataFrame:
