@@ -162,9 +162,15 @@ metadata:struct<soldAsInfo:struct<measurementPrice:struct<displayString:string>,
 
 
 def six_digits(amount: Column) -> Column:
-    """A positive number below a million with six digits that count, no trailing zeros."""
-    scale = F.pow(F.lit(10.0), F.lit(5) - F.floor(F.log10(amount)))
-    return F.when(amount == 0, "0").otherwise(F.regexp_replace(F.format_string("%.10f", F.rint(amount * scale) / scale), r"\.?0+$", ""))
+    """A positive number with six digits that count, no trailing zeros; with an exponent from a million on and below a ten-thousandth, as ``:g`` writes it."""
+    power = F.floor(F.log10(amount))
+    # halves go to the even digit; a power of ten that isn't below 1 is exact
+    rounded = F.when(power > 5, F.rint(amount / F.pow(F.lit(10.0), power - 5)) * F.pow(F.lit(10.0), power - 5)).otherwise(F.rint(amount * F.pow(F.lit(10.0), F.lit(5) - power)) / F.pow(F.lit(10.0), F.lit(5) - power))
+    high = F.floor(F.log10(rounded))
+    bare = lambda text: F.regexp_replace(text, r"\.?0+$", "")
+    mantissa = F.when(high < 0, rounded * F.pow(F.lit(10.0), -high)).otherwise(rounded / F.pow(F.lit(10.0), high))
+    short = F.concat(bare(F.format_string("%.5f", mantissa)), F.when(high < 0, "e-").otherwise("e+"), F.lpad(F.abs(high).cast("string"), 2, "0"))
+    return F.when(amount == 0, "0").when((high > 5) | (high < -4), short).otherwise(bare(F.format_string("%.10f", rounded)))
 
 
 def raw_products(docs: DataFrame, column: str) -> DataFrame:

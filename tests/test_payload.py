@@ -148,3 +148,9 @@ def test_page_badges(spark):
     got = one(spark, payload.page_badges, 'Best by 1/2 data-testid="best_by:Best by 3/4" 5k+ Recently Sold 1.5 oz · $2/oz >SNAP<')
     assert tuple(got) == ("3/4", "5k+ Recently Sold", "1.5 oz", "$2/oz", "yes")
     assert tuple(one(spark, payload.page_badges, "")) == ("", "", "", "", "")
+
+
+def test_amounts_have_six_digits_at_any_size(spark):
+    values = [0.0, 1.0, 12.75, 0.5, 999999.0, 999999.4, 999999.5, 1e6, 1000001.0, 1000005.0, 1000015.0, 1234565.0, 1234567.0, 7199995.0, 9999995.0, 1.5e12, 0.0001, 0.00012345678, 0.00005]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r[0] for r in df.select(payload.six_digits(F.col("x"))).collect()] == [f"{v:g}" for v in values]
