@@ -127,3 +127,12 @@ def test_csv_keeps_quotes_and_line_ends(spark, tmp_path):
     rows = [(' "a", b\n', None, "x"), ("", "é", "y")]
     derived.write_csv(spark.createDataFrame(rows, "b string, a string, extra string"), f"{tmp_path}/c", ("a", "b"))
     assert sorted(tuple(r) for r in derived.read_csv(spark, f"{tmp_path}/c", ("a", "b")).collect()) == [("", ' "a", b\n'), ("é", "")]
+
+
+def test_shares_at_a_half_digit_are_written_by_their_value(spark):
+    # 439 of 2,000 is 0.2195, whose double lies above it; 1,561 of 2,000 is 0.7805, below
+    requests = spark.range(2000).select(F.col("id").alias("request_id"), F.col("id").alias("paraphrase_group"), F.lit("exact").alias("matching_mode"))
+    assigned = spark.range(2000).select(F.col("id").alias("request_id"), F.when(F.col("id") < 439, "dev").otherwise("test").alias("split"))
+    pins = spark.createDataFrame([], "paraphrase_group long, pin string")
+    got = {r.subject: r.detail for r in validation.split_invariants(requests, assigned, pins, {"dev": 0.6, "test": 0.2}).where("invariant = 'share_of_split'").collect()}
+    assert got == {f"{m}|{s}": f"{n / 2000:.3f}" for m in ("exact", "all") for s, n in (("dev", 439), ("test", 1561))}
