@@ -63,12 +63,32 @@ def cheapest(priced: DataFrame, by: list[str], order: list[Column]) -> DataFrame
     return priced.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("place = 1").drop("place")
 
 
+def deciding(products: DataFrame, by: list[str]) -> DataFrame:
+    """Of products that requests meet as a group (``by``), those that can decide anything in ``resolve``, with ``weight``, for how many products of the group a row stands.
+
+    Products of one score, size and unit differ for a request by price and id alone, so
+    only the first two by these can be chosen or runner-up: the number of rows depends on how many
+    sizes there are, not on how many products. Those without a price or size count
+    by their score, and those out of stock by their number.
+    """
+    gone = F.coalesce(F.col("state") == "out_of_stock", F.lit(False))
+    usable = ~gone & F.col("unit").isNotNull() & (F.col("size") > 0) & (F.col("price_cents") >= 0)
+    kind = F.when(gone, "gone").when(usable, "usable").otherwise("unpriced")
+    rows = products.withColumn("__kind", F.coalesce(kind, F.lit("unpriced")))
+    order = Window.partitionBy(*by, "score", "size", "unit").orderBy("price_cents", "product_id")
+    first = rows.where("__kind = 'usable'").withColumn("__n", F.row_number().over(order)).where("__n <= 2").drop("__n")
+    rest = rows.where("__kind = 'unpriced'").groupBy(*by, "score").agg(F.lit(None).cast("string").alias("state"))
+    out = rows.where("__kind = 'gone'").groupBy(*by).agg(F.count("*").alias("weight")).withColumn("state", F.lit("out_of_stock"))
+    both = first.select(*by, "product_id", "score", "size", "unit", "price_cents", "state").unionByName(rest, allowMissingColumns=True)
+    return both.withColumn("weight", F.lit(1).cast("long")).unionByName(out, allowMissingColumns=True)
+
+
 def resolve(requests: DataFrame, stores: DataFrame, candidates: DataFrame, keys: list[str], accept: float, floor: float) -> DataFrame:
     """A row for each request and store, those without candidates too.
 
     ``requests``: keys, needs_review, asked, asked_unit. ``candidates``: keys, store_id,
-    product_id, score, size, unit, price_cents, state. Products out of stock leave
-    first; state is priced, review or missing.
+    product_id, score, size, unit, price_cents, state, and a weight where they come from
+    ``deciding``. Products out of stock leave first; state is priced, review or missing.
     """
     by = [*keys, "store_id"]
     live = candidates.where("state is null or state <> 'out_of_stock'").join(requests.select(*keys, "asked", "asked_unit"), keys)
@@ -78,7 +98,8 @@ def resolve(requests: DataFrame, stores: DataFrame, candidates: DataFrame, keys:
         F.max(F.when(F.col("place") == 1, F.struct("product_id", "packages", "cost_cents", "excess", F.coalesce("state", F.lit("unverified")).alias("stock")))).alias("chosen"),
         F.max(F.when(F.col("place") == 2, F.col("product_id"))).alias("runner_up"),
     )
-    out_of_stock = candidates.where("state = 'out_of_stock'").groupBy(*by).agg(F.count("*").alias("excluded"))
+    weight = F.sum("weight") if "weight" in candidates.columns else F.count("*")
+    out_of_stock = candidates.where("state = 'out_of_stock'").groupBy(*by).agg(weight.alias("excluded"))
     # the stores are a short list, crossed with the requests so that a missing one is a row
     grid = requests.select(*keys, "needs_review").crossJoin(stores.select("store_id"))
     cut = outcome(F.col("needs_review"), F.col("top_score"), accept, floor)

@@ -70,3 +70,20 @@ def test_overlay_keeps_what_details_do_not_say(spark):
     details = spark.createDataFrame([("1", "", "new"), ("3", "x", "x")], "item_id string, u string, v string")
     assert sorted(tuple(r) for r in catalog.overlay(items, details, "item_id", ["u", "v"]).select("item_id", "u", "v").collect()) == [("1", "a", "new"), ("2", "a", "b")]
     assert catalog.overlay(items, details, "item_id", ["u"]).where(F.col("v") != "b").count() == 0
+
+
+def test_products_that_decide_resolve_as_all_do(spark):
+    import random
+
+    from pantryplan.operators import basket
+
+    rng = random.Random(11)
+    rows = [("n", rng.randrange(2), str(i), rng.choice([0.5, 0.8, 0.804, 0.9]), rng.choice([None, 0.0, 8.0, 16.0]), rng.choice([None, "oz", "ct"]), rng.choice([None, -1, 100, 150, 200]), rng.choice([None, "out_of_stock", "in_stock"])) for i in range(3000)]
+    own = spark.createDataFrame(rows, "name string, store_id int, product_id string, score double, size double, unit string, price_cents long, state string")
+    asked = spark.createDataFrame([(f"r{a}{u}", "n", False, a, u) for a in (1.0, 16.0, 40.0, 0.0) for u in ("oz", "ct", "lb")], "request string, name string, needs_review boolean, asked double, asked_unit string")
+    told = basket.deciding(own, ["name", "store_id"])
+    stores = spark.createDataFrame([(0,), (1,), (2,)], "store_id int")
+    made = [basket.resolve(asked, stores, asked.select("request", "name").join(p, "name").drop("name"), ["request"], 0.75, 0.45).orderBy("request", "store_id").collect() for p in (own, told)]
+    assert made[0] == made[1] and any(r.runner_up for r in made[0])
+    # four scores of two sizes and units make at most two rows each, however many products there are
+    assert told.count() <= 2 * (4 * 2 * 2 * 2 + 4 + 1)
