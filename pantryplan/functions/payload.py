@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A JSON string's inside, without a step back on long ones.
@@ -64,6 +64,13 @@ def flight(html: Column) -> Column:
     return F.array_join(F.transform(string, lambda s: F.get(F.from_json(s, "array<string>"), 1)), "")
 
 
+def page_batches(spark: SparkSession, rows: int = 32) -> None:
+    """Arrow batches for rows that hold whole pages of cards: ten thousand of those would fill a worker's memory. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def item_windows(pages: DataFrame, text: str, before: int = BEFORE, behind: int = BEHIND) -> DataFrame:
     """A row for each mark of an item, in order: ``item_no``, the text ``ahead`` of it and that from it on (``window``).
 
@@ -71,6 +78,8 @@ def item_windows(pages: DataFrame, text: str, before: int = BEFORE, behind: int
     the page and its marks, not with their product.
     """
 
+    page_batches(pages.sparkSession)
+
     @F.arrow_udf("array<struct<ahead:string,window:string>>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:

@@ -154,3 +154,15 @@ def test_amounts_have_six_digits_at_any_size(spark):
     values = [0.0, 1.0, 12.75, 0.5, 999999.0, 999999.4, 999999.5, 1e6, 1000001.0, 1000005.0, 1000015.0, 1234565.0, 1234567.0, 7199995.0, 9999995.0, 1.5e12, 0.0001, 0.00012345678, 0.00005]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert [r[0] for r in df.select(payload.six_digits(F.col("x"))).collect()] == [f"{v:g}" for v in values]
+
+
+def test_pages_reach_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", "32"), ("0", "32"), ("5", "5")):
+            spark.conf.set(key, given)
+            payload.item_windows(spark.createDataFrame([("x",)], "text string"), "text")
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
