@@ -6,7 +6,7 @@ catalog; those of the list runner are the lines of every list whose id is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pantryplan.functions import identity, lineparse
@@ -17,6 +17,8 @@ from pantryplan.sources.settle import settled
 from pantryplan.plans.queries import ACCEPT, CANDIDATE_SQL, FLOOR, LEXICON_SQL, LINE_SQL, SIZE_SQL, STOCK_SQL, candidates, parse_distinct, parsed_lines, query, read, resolved_requests, sizes, stores
 
 FLOOR_LEXICAL, FLOOR_HYBRID = 0.2, 0.016
+#: What the gates read of a product.
+GATED = ("dimension_", "size", "unit", "brand_", "variants_")
 
 
 def _list(values) -> str:
@@ -98,25 +100,38 @@ fu AS (SELECT request_id, store_id, product_id, round(sum(1.0::DOUBLE / (60 + ra
 hx AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, store_id, product_id) AS rank FROM fu QUALIFY rank <= {policies.DEPTH})"""
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["store_id", "product_id", "raw_title", "price_cents", F.col("dimension").alias("dimension_"), F.col("canonical_total").alias("size"), F.col("canonical_unit").alias("unit")]
+    return settled(sizes(spark, sf_dir).select(*fields))
+
+
+def products(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """The catalog with sizes, identity and search text."""
-    rows = sizes(spark, sf_dir).select("store_id", "product_id", "raw_title", "price_cents", F.col("dimension").alias("dimension_"), F.col("canonical_total").alias("size"), F.col("canonical_unit").alias("unit"))
-    titles = identity.brands(rows.select("raw_title").distinct(), identity.brand_lexicon(rows)).withColumnRenamed("brand", "brand_")
+    rows = catalog_rows(spark, sf_dir) if rows is None else rows
+    titles = identity.brands(rows.select("raw_title").distinct(), identity.brand_lexicon(rows) if lexicon is None else lexicon).withColumnRenamed("brand", "brand_")
     titles = titles.withColumn("variants_", identity.variant_tokens(F.col("raw_title"), F.col("brand_")))
     words = policies.catalog_text(F.col("raw_title"), F.col("brand_"), F.array_join("variants_", " "))
-    return settled(rows.join(titles.select("raw_title", "brand_", "variants_", words.alias("words")), "raw_title"))
+    titles = settled(titles.select("raw_title", "brand_", "variants_", words.alias("words")))
+    return settled(rows.join(retrieval.small(titles), "raw_title"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, lexicon: DataFrame | None = None) -> DataFrame:
     """Parsed written requests with their identity."""
     asks = view(spark, sf_dir, "asks").select("request_id", "text", "mode")
     parsed = parse_distinct(asks, "text", lineparse.parse_lines).withColumn("r", lineparse.requested_total(F.col("text"), F.col("parsed")))
-    lexicon = identity.brand_lexicon(view(spark, sf_dir, "catalog"))
+    lexicon = identity.brand_lexicon(view(spark, sf_dir, "catalog")) if lexicon is None else lexicon
     named = identity.request_identity(asks, lexicon, "request_id", "text")
     fields = parsed.select("request_id", "text", "mode", "parsed.needs_review", F.array_join("parsed.review_reasons", "; ").alias("review_reason"), "parsed.dimension", F.col("r.total").alias("asked"), F.col("r.unit").alias("asked_unit"))
     return settled(fields.join(named, "request_id"))
 
 
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and products; the catalog is read once, and its lexicon serves both."""
+    rows = catalog_rows(spark, sf_dir)
+    lexicon = settled(identity.brand_lexicon(rows))
+    return requests(spark, sf_dir, lexicon), products(spark, sf_dir, rows, lexicon)
+
+
 def lexical_index(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Term weights of the products' texts, their norms, and idfs: each distinct text is weighed once, for as many rows as have it."""
     texts = items.groupBy("words").agg(F.count("*").alias("rows"))
@@ -127,17 +142,26 @@ def lexical_index(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return raw, raw.groupBy("words").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")), idfs
 
 
-def lexical_search(asked: DataFrame, items: DataFrame, key: str, depth: int, index: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Products by the cosine of their text."""
+def lexical_search(asked: DataFrame, items: DataFrame, key: str, depth: int, index: tuple[DataFrame, DataFrame, DataFrame] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Products by the cosine of their text, with the columns of ``items`` in ``carry``.
+
+    Requests that hold the same known words as often are one search, and a text has a row among
+    a request's ``depth`` best only where its first row is: what is scored depends on how
+    many searches and texts differ, not on how many requests and products have them.
+    """
     raw, norm, idfs = index or lexical_index(items)
-    q = retrieval.weights(retrieval.term_counts(asked, key, "text"), idfs, key).withColumnRenamed("w", "wq")
-    hits = raw.join(retrieval.small(q), "term").groupBy(key, "words").agg(F.sum(F.col("raw") * F.col("wq")).alias("dot"))
-    scored = hits.join(norm, "words").select(key, "words", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where("score > 0")
-    # no text beyond a request's ``depth`` best can have a row among its ``depth`` best rows
-    texts_kept = retrieval.top_k(scored, [key], depth, ["words"])
-    last = texts_kept.groupBy(key).agg(F.min("score").alias("least"))
-    scored = scored.join(last, key).where("score >= least").drop("least")
-    return retrieval.top_k(scored.join(items.select("words", "store_id", "product_id"), "words").drop("words"), [key], depth, policies.ID)
+    counts = settled(retrieval.term_counts(asked, key, "text").join(idfs.select("term"), "term"))
+    same = settled(counts.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "term", "tf"))), " ").alias("search")))
+    one = same.groupBy("search").agg(F.min(key).alias(key))
+    q = retrieval.weights(counts.join(one, key).select("search", "term", "tf"), idfs, "search").withColumnRenamed("w", "wq")
+    hits = raw.join(retrieval.small(q), "term").groupBy("search", "words").agg(F.sum(F.col("raw") * F.col("wq")).alias("dot"))
+    rows = items.select("words", *policies.ID, *carry).withColumn("nth", F.row_number().over(Window.partitionBy("words").orderBy(*policies.ID))).where(F.col("nth") <= depth)
+    rows = settled(rows)
+    first = rows.where("nth = 1").select("words", *(F.col(c).alias(f"first_{c}") for c in policies.ID))
+    scored = hits.join(norm, "words").select("search", "words", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where("score > 0")
+    kept = retrieval.top_k(scored.join(first, "words"), ["search"], depth, [f"first_{c}" for c in policies.ID]).select("search", "words", "score")
+    best = settled(retrieval.top_k(kept.join(rows.drop("nth"), "words").drop("words"), ["search"], depth, policies.ID))
+    return same.join(retrieval.small(best), "search").drop("search")
 
 
 def lexical_scores(pairs: DataFrame, asked: DataFrame, items: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
@@ -166,8 +190,11 @@ def hybrid_search(spark: SparkSession, sf_dir: str, asked: DataFrame, items: Dat
 
 
 def run(spark: SparkSession, sf_dir: str, search: str, size: bool, by_identity: bool, floor: float = 0.0) -> DataFrame:
-    asked, items = requests(spark, sf_dir), products(spark, sf_dir)
-    found = {"lexical": lambda: lexical_search(asked, items, "request_id", policies.DEPTH), "vectors": lambda: vector_search(spark, sf_dir, asked, items, policies.DEPTH), "hybrid": lambda: hybrid_search(spark, sf_dir, asked, items)}[search]()
+    asked, items = sides(spark, sf_dir)
+    if search == "lexical":
+        found = lexical_search(asked, items, "request_id", policies.DEPTH, carry=GATED).drop("rank")
+        return policies.decide(asked, policies.gated(asked.drop("text"), found, size, by_identity), floor)
+    found = {"vectors": lambda: vector_search(spark, sf_dir, asked, items, policies.DEPTH), "hybrid": lambda: hybrid_search(spark, sf_dir, asked, items)}[search]()
     found = found.drop("rank").join(items.drop("words", "raw_title", "price_cents"), policies.ID)
     return policies.decide(asked, policies.gated(asked.drop("text"), found, size, by_identity), floor)
 
@@ -209,7 +236,7 @@ def policy_vectors(spark, sf_dir):
 
 @query(f"{HYBRID_SQL} SELECT request_id, store_id, product_id, score, CAST(rank AS INT) AS rank FROM hx")
 def hybrid_retrieval(spark, sf_dir):
-    return hybrid_search(spark, sf_dir, requests(spark, sf_dir), products(spark, sf_dir))
+    return hybrid_search(spark, sf_dir, *sides(spark, sf_dir))
 
 
 @query(f"{HYBRID_SQL}, {_decided('hx', True, False, FLOOR_HYBRID)}")
@@ -231,8 +258,8 @@ matches AS (SELECT a.request_id, w.store_id, w.product_id, w.score, CASE WHEN ne
 
 
 def matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    asked, items = requests(spark, sf_dir), products(spark, sf_dir)
-    found = lexical_search(asked, items, "request_id", policies.LIST_DEPTH).drop("rank").join(items.drop("words", "raw_title", "price_cents"), policies.ID)
+    asked, items = sides(spark, sf_dir)
+    found = lexical_search(asked, items, "request_id", policies.LIST_DEPTH, carry=GATED).drop("rank")
     return policies.line_matches(asked, policies.gated(asked.drop("text"), found, True, True)), items
 
 
@@ -259,8 +286,8 @@ b AS (SELECT *, string_split(lower(brand), ' ') AS x, string_split(lower(brand_)
 SELECT request_id, store_id, product_id, array_to_string(list_filter([CASE WHEN mode = 'exact' AND x IS NOT NULL AND y IS NOT NULL AND x[1:least(len(x), len(y))] <> y[1:least(len(x), len(y))] THEN 'brand_conflict' END, CASE WHEN {_conflict('variants', 'variants_')} THEN 'variant_conflict' END,
 CASE WHEN dimension <> dimension_ THEN 'dimension_conflict' END, CASE WHEN asked_unit = unit AND abs(size - asked) / asked > 0.01::DOUBLE THEN 'size_conflict' END], lambda v: v IS NOT NULL), ',') AS violations FROM b""")
 def constraint_violations(spark, sf_dir):
-    asked, items = requests(spark, sf_dir), products(spark, sf_dir)
-    found = lexical_search(asked, items, "request_id", policies.DEPTH).drop("rank").join(items.drop("words", "raw_title", "price_cents"), policies.ID)
+    asked, items = sides(spark, sf_dir)
+    found = lexical_search(asked, items, "request_id", policies.DEPTH, carry=GATED).drop("rank")
     kept = policies.gated(asked.drop("text"), found, False, False).join(asked.where("not needs_review").select("request_id"), "request_id", "left_semi")
     top = retrieval.top_k(kept, ["request_id"], 1, policies.ID)
     return policies.violations(top).select("request_id", "store_id", "product_id", F.array_join("violations", ",").alias("violations"))
@@ -315,8 +342,8 @@ def list_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = settled(lines.select("list_id", "pos", F.col("n_lines").alias("n_written"), F.array_join("texts", "; ").alias("texts"), F.get("texts", 0).alias("text"), "matching_mode", ask.alias("line"), F.col("quantity").alias("asked"), F.col("canonical_unit").alias("asked_unit")))
     asked = lines.where("line is not null").select("line", "text", "asked", "asked_unit").distinct()
     dimension = F.when(F.col("asked_unit") == "oz", "weight").when(F.col("asked_unit") == "fl oz", "volume").otherwise("count")
-    found = lexical_search(asked.select("text").distinct(), items, "text", policies.LIST_DEPTH).drop("rank")
-    found = found.join(items.select("store_id", "product_id", F.col("raw_title").alias("title"), "dimension_", "size", "unit", "price_cents"), policies.ID).join(asked, "text")
+    found = lexical_search(asked.select("text").distinct(), items, "text", policies.LIST_DEPTH, carry=("raw_title", "dimension_", "size", "unit", "price_cents")).drop("rank")
+    found = found.withColumnRenamed("raw_title", "title").join(asked, "text")
     enough = gates.sufficiency(F.col("asked"), F.col("asked_unit"), F.col("size"), F.col("unit")) == "sufficient"
     found = found.where(gates.same_or_unknown(dimension, F.col("dimension_")) & enough)
     last = view(spark, sf_dir, "stock").groupBy(F.col("item_id").alias("product_id")).agg(F.max_by("stock_status", "event_id").alias("stock_status"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pantryplan.operators import basket, gates, policies, retrieval, runners
 from pantryplan.plans.fixtures import oracle, view
-from pantryplan.plans.policies import BASE_SQL, FLOOR_HYBRID, FLOOR_LEXICAL, VECTORS_SQL, _conflict, _tfidf, lexical_index, lexical_scores, lexical_search, products, requests, vector_search
+from pantryplan.plans.policies import BASE_SQL, FLOOR_HYBRID, FLOOR_LEXICAL, VECTORS_SQL, _conflict, _tfidf, lexical_index, lexical_scores, lexical_search, sides, vector_search
 from pantryplan.plans.queries import CANDIDATE_SQL, candidates, query, read, stores
 from pantryplan.sources import derived
 from pantryplan.sources.settle import settled, shared_folder
@@ -62,7 +62,7 @@ def found_lists(spark, sf_dir, asked: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def all_records(spark, sf_dir) -> DataFrame:
-    asked, items = requests(spark, sf_dir), products(spark, sf_dir)
+    asked, items = sides(spark, sf_dir)
     lists, folder = settled(found_lists(spark, sf_dir, asked, items)), shared_folder(spark, "records")
     baselines = spark.createDataFrame(BASELINES, runners.SCHEMA)
     # a run that ends early, and the one that goes on with what it left
@@ -79,7 +79,7 @@ def prediction_records(spark, sf_dir):
 @query(f"""{RECORDS_SQL}, ids AS (SELECT DISTINCT request_id, unnest(string_split(ids, ',')) AS id FROM rec WHERE experiment = 'full_catalog' AND ids IS NOT NULL),
 np AS (SELECT request_id, CAST(string_split(id, '/')[1] AS BIGINT) AS store_id, string_split(id, '/')[2] AS product_id FROM ids) SELECT * FROM np ANTI JOIN pool USING (request_id, store_id, product_id)""")
 def unlabelled_pairs(spark, sf_dir):
-    asked, items = requests(spark, sf_dir), products(spark, sf_dir)
+    asked, items = sides(spark, sf_dir)
     lists = settled(found_lists(spark, sf_dir, asked, items))
     made = runners.records(asked, lists, spark.createDataFrame(BASELINES, runners.SCHEMA))
     labelled = lists.where("experiment = 'pool'").select("request_id", *policies.ID).distinct()

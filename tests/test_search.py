@@ -53,3 +53,21 @@ def test_labels_of_pairs_are_those_of_the_view(spark):
     got = queries.labels_of(spark, sf, pairs)
     assert sorted(got.collect()) == sorted(every.where("product_id % 7 = 1").collect())
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_requests_are_one_lexical_search(spark, monkeypatch):
+    from pantryplan.plans import policies
+
+    texts = ["red pan", "red pan lid", "blue pot"]
+    items = spark.createDataFrame([(s, str(p), texts[p % 3]) for s in range(2) for p in range(150)], "store_id long, product_id string, words string")
+    asked = spark.createDataFrame([(i, f"{i % 9} x red pan") for i in range(40)] + [(90, "blue"), (91, "none of these")], "request_id long, text string")
+    seen, top_k = [], retrieval.top_k
+    monkeypatch.setattr(retrieval, "top_k", lambda df, *a: (seen.append(df.count()), top_k(df, *a))[1])
+    got = policies.lexical_search(asked, items, "request_id", 60).collect()
+    first = lambda p: sorted([(s, str(n)) for s in range(2) for n in range(p, 150, 3)])
+    for i in range(40):
+        assert [(r.store_id, r.product_id) for r in sorted((r for r in got if r.request_id == i), key=lambda r: r.rank)] == first(0)[:60]
+    assert [(r.store_id, r.product_id, r.score) for r in sorted((r for r in got if r.request_id == 90), key=lambda r: r.rank)] == [(*x, 0.707107) for x in first(2)[:60]]
+    assert len(got) == 41 * 60
+    # two searches meet three texts, of which no more than 60 rows each are ranked: not 41 requests by 300 products
+    assert max(seen) <= 3 * 60
