@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pantryplan.operators.gates import outcome
+from pantryplan.operators.retrieval import small
 
 TOLERANCE = 0.01
 BAND = 0.01
@@ -63,26 +64,51 @@ def cheapest(priced: DataFrame, by: list[str], order: list[Column]) -> DataFrame
     return priced.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("place = 1").drop("place")
 
 
-def deciding(products: DataFrame, by: list[str]) -> DataFrame:
+def deciding(products: DataFrame, by: list[str], accept: float | None = None, cheaper: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
     """Of products that requests meet as a group (``by``), those that can decide anything in ``resolve``, with ``weight``, for how many products of the group a row stands.
 
     Products of one score, size and unit differ for a request by price and id alone, so
     only the first two by these can be chosen or runner-up: the number of rows depends on how many
     sizes there are, not on how many products. Those without a price or size count
     by their score, and those out of stock by their number.
+
+    The best score of a group is the same for every request, and so is the band. With
+    ``accept`` given, products of the band differ by size, price and score: two of a size
+    and unit stay, of the accepted ones outside the band the ``cheaper`` first, and the best score is a row by itself.
     """
     gone = F.coalesce(F.col("state") == "out_of_stock", F.lit(False))
     usable = ~gone & F.col("unit").isNotNull() & (F.col("size") > 0) & (F.col("price_cents") >= 0)
     kind = F.when(gone, "gone").when(usable, "usable").otherwise("unpriced")
     rows = products.withColumn("__kind", F.coalesce(kind, F.lit("unpriced")))
-    order = Window.partitionBy(*by, "score", "size", "unit").orderBy("price_cents", "product_id")
-    first = rows.where("__kind = 'usable'").withColumn("__n", F.row_number().over(order)).where("__n <= 2").drop("__n")
-    rest = rows.where("__kind = 'unpriced'").groupBy(*by, "score").agg(F.lit(None).cast("string").alias("state"))
+    if accept is None:
+        order = Window.partitionBy(*by, "score", "size", "unit").orderBy("price_cents", "product_id")
+        first = rows.where("__kind = 'usable'").withColumn("__n", F.row_number().over(order)).where("__n <= 2")
+        rest = rows.where("__kind = 'unpriced'").groupBy(*by, "score").agg(F.lit(None).cast("string").alias("state"))
+    else:
+        rest = rows.where("__kind <> 'gone'").groupBy(*by).agg(F.max("score").alias("score"), F.lit(None).cast("string").alias("state"))
+        top = rest.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("score").alias("__best"))
+        near = rows.where((F.col("__kind") == "usable") & (F.col("score") >= accept)).join(small(top), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+        near = near.withColumn("__in", F.round(F.col("__best") - F.col("score"), 9) <= BAND)
+        order = Window.partitionBy(*by, "size", "unit", "__in").orderBy("price_cents", F.desc("score"), "product_id")
+        first = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= F.when(F.col("__in"), 2).otherwise(cheaper))
     out = rows.where("__kind = 'gone'").groupBy(*by).agg(F.count("*").alias("weight")).withColumn("state", F.lit("out_of_stock"))
-    both = first.select(*by, "product_id", "score", "size", "unit", "price_cents", "state").unionByName(rest, allowMissingColumns=True)
+    both = first.select(*by, "product_id", "score", "size", "unit", "price_cents", "state", *also).unionByName(rest, allowMissingColumns=True)
     return both.withColumn("weight", F.lit(1).cast("long")).unionByName(out, allowMissingColumns=True)
 
 
+def summary(products: DataFrame, by: list[str], accept: float, top: int = 5) -> DataFrame:
+    """What an explanation says of all products of a group, whatever is asked: how many there are, how many are accepted and, by unit, can be priced, the ``top`` best and those out of stock."""
+    gone = F.coalesce(F.col("state") == "out_of_stock", F.lit(False))
+    ok, usable = F.col("score") >= accept, F.col("unit").isNotNull() & (F.col("size") > 0) & (F.col("price_cents") >= 0)
+    live = products.where(~gone)
+    n = live.groupBy(*by).agg(F.count("*").alias("n_candidates"), F.count(F.when(ok, 1)).alias("n_accepted"))
+    units = live.where(ok & usable).groupBy(*by, "unit").agg(F.count("*").alias("n")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("unit", "n"))).alias("priceable"))
+    first = live.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "product_id"))).where(F.col("__i") <= top)
+    shown = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "product_id"))), lambda x: x["product_id"]).alias("shown"))
+    away = products.where(gone).groupBy(*by).agg(F.array_sort(F.collect_set("product_id")).alias("out_of_stock"))
+    return n.join(units, by, "left").join(shown, by, "left").join(away, by, "full_outer")
+
+
 def resolve(requests: DataFrame, stores: DataFrame, candidates: DataFrame, keys: list[str], accept: float, floor: float) -> DataFrame:
     """A row for each request and store, those without candidates too.
 
@@ -171,16 +197,18 @@ def because(chosen_cost: Column, considered: Column, rival: Column, rival_cost:
     )
 
 
-def explain_lines(requests: DataFrame, candidates: DataFrame, resolved: DataFrame, keys: list[str], accept: float, top: int = 5, cheaper: int = 3) -> DataFrame:
+def explain_lines(requests: DataFrame, candidates: DataFrame, resolved: DataFrame, keys: list[str], accept: float, top: int = 5, cheaper: int = 3, about: DataFrame | None = None, group: tuple[str, ...] = ()) -> DataFrame:
     """An explanation of each resolved request at each store.
 
     Priced lines tell the package, its price and unit price, excess and stock, why it was
     chosen, and the runner-up, or else up to ``cheaper`` accepted packages outside the band
     that cost less; others show the ``top`` best candidates. Out-of-stock products are
     listed for both. ``candidates`` have product_id, title, score, size, unit,
-    price_cents and state; at most as many of a group as a search returns.
+    price_cents and state: all of a request, at most as many as a search returns, or those
+    of ``deciding``. With these goes ``about``, the ``summary`` of all products by the columns ``group`` of the requests, and store.
     """
-    by = [*keys, "store_id"]
+    by, group = [*keys, "store_id"], list(group) or keys
+    about = summary(candidates, by, accept, top) if about is None else about
     live = candidates.where("state is null or state <> 'out_of_stock'").join(requests.select(*keys, "asked", "asked_unit"), keys)
     placed = select(near_tie(arithmetic(live), by, accept), by)
     chosen = lambda n: F.max(F.when(F.col("place") == n, F.struct("product_id", "title", "size", "unit", "price_cents", "packages", "cost_cents", "excess")))
@@ -189,13 +217,10 @@ def explain_lines(requests: DataFrame, candidates: DataFrame, resolved: DataFram
     best = placed.withColumn("own_cost", own_cost).groupBy(*by).agg(
         chosen(1).alias("own"), chosen(2).alias("rival"),
         F.slice(F.array_sort(F.collect_list(F.when(out_of_band, F.struct("cost_cents", "excess", (-F.col("score")).alias("s"), "product_id", "title")))), F.lit(1), F.lit(cheaper)).alias("cheaper"),
-        F.count(F.when((F.col("score") >= accept) & F.col("cost_cents").isNotNull(), 1)).alias("considered"),
-        F.count(F.when((F.col("score") >= accept) & F.col("cost_cents").isNull(), 1)).alias("n_unresolved"),
-        F.count("*").alias("n_candidates"),
-        F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "product_id"))), F.lit(1), F.lit(top)), lambda x: x["product_id"]).alias("shown"),
     )
-    gone = candidates.where("state = 'out_of_stock'").groupBy(*by).agg(F.array_sort(F.collect_set("product_id")).alias("out_of_stock"))
-    out = resolved.drop("product_id", "packages", "cost_cents", "excess", "runner_up").join(best, by, "left").join(gone, by, "left").join(requests.select(*keys, "asked", "asked_unit"), keys, "left")
+    out = resolved.drop("product_id", "packages", "cost_cents", "excess", "runner_up").join(best, by, "left").join(requests.select(*dict.fromkeys([*keys, *group]), "asked", "asked_unit"), keys, "left").join(about, [*group, "store_id"], "left")
+    considered = F.when(F.col("asked") > 0, F.coalesce(F.try_element_at("priceable", F.col("asked_unit")), F.lit(0))).otherwise(F.lit(0))
+    out = out.withColumn("considered", considered).withColumn("n_unresolved", F.col("n_accepted") - F.col("considered"))
     priced = F.col("state") == "priced"
     reason = F.when(F.col("state") == "missing", "no candidate cleared the review floor").when(F.col("state") == "review", "candidates shown, not priced")
     first = F.get("cheaper", 0)

@@ -14,7 +14,7 @@ from pantryplan.functions import stock as stock_states
 from pantryplan.operators import basket, gates, metrics, policies, retrieval
 from pantryplan.plans.fixtures import oracle, view
 from pantryplan.sources.settle import settled
-from pantryplan.plans.queries import ACCEPT, CANDIDATE_SQL, FLOOR, LEXICON_SQL, LINE_SQL, SIZE_SQL, STOCK_SQL, candidates, parse_distinct, parsed_lines, query, read, resolved_requests, sizes, stores
+from pantryplan.plans.queries import ACCEPT, CANDIDATE_SQL, FLOOR, LEXICON_SQL, LINE_SQL, SIZE_SQL, STOCK_SQL, distinct_requests, met, named_products, parse_distinct, parsed_lines, query, read, resolved_requests, sizes, stores
 
 FLOOR_LEXICAL, FLOOR_HYBRID = 0.2, 0.016
 #: What the gates read of a product.
@@ -378,5 +378,8 @@ def list_explanations(spark, sf_dir):
 
 @query(f"""WITH {CANDIDATE_SQL.replace('o.size, o.unit, o.price_cents, CASE', 'o.raw_title AS title, o.size, o.unit, o.price_cents, CASE').replace('own AS (SELECT store_id, product_id,', 'own AS (SELECT store_id, product_id, raw_title,')}, {_explained('request', str(ACCEPT), str(FLOOR))} SELECT * FROM said""")
 def line_explanations(spark, sf_dir):
-    asked, found = candidates(spark, sf_dir)
-    return basket.explain_lines(asked, found, resolved_requests(spark, sf_dir), ["request"], ACCEPT)
+    asked, own = settled(distinct_requests(spark, sf_dir)), named_products(spark, sf_dir)
+    by = ["name", "store_id"]
+    told = settled(basket.deciding(own, by, ACCEPT, 3, ("title",)))
+    about = settled(basket.summary(own, by, ACCEPT))
+    return basket.explain_lines(asked, met(asked, told), resolved_requests(spark, sf_dir, asked=asked, own=own), ["request"], ACCEPT, about=about, group=("name",))

@@ -87,3 +87,23 @@ def test_products_that_decide_resolve_as_all_do(spark):
     assert made[0] == made[1] and any(r.runner_up for r in made[0])
     # four scores of two sizes and units make at most two rows each, however many products there are
     assert told.count() <= 2 * (4 * 2 * 2 * 2 + 4 + 1)
+
+
+def test_explanations_from_products_that_decide_are_those_from_all(spark):
+    import random
+
+    rng = random.Random(13)
+    rows = [("n", rng.randrange(2), str(i), f"t{i}", rng.choice([0.5, 0.8, 0.804, 0.808, 0.812]), rng.choice([None, 0.0, 8.0, 16.0]), rng.choice([None, "oz", "ct"]), rng.choice([None, -1, *range(100, 160)]), rng.choice([None, "out_of_stock", "in_stock"])) for i in range(2000)]
+    own = spark.createDataFrame(rows, "name string, store_id int, product_id string, title string, score double, size double, unit string, price_cents long, state string")
+    asked = spark.createDataFrame([(f"r{a}{u}", "n", False, a, u) for a in (1.0, 16.0, 40.0, 0.0) for u in ("oz", "ct", "lb")], "request string, name string, needs_review boolean, asked double, asked_unit string")
+    stores, by = spark.createDataFrame([(0,), (1,), (2,)], "store_id int"), ["name", "store_id"]
+    told = basket.deciding(own, by, 0.75, 3, ("title",))
+    every, few = (asked.select("request", "name").join(p, "name").drop("name") for p in (own, told))
+    one, two = (basket.resolve(asked, stores, p, ["request"], 0.75, 0.45).orderBy("request", "store_id") for p in (every, few))
+    assert one.collect() == two.collect()
+    about = basket.summary(own, by, 0.75)
+    first, second = basket.explain_lines(asked, every, one, ["request"], 0.75), basket.explain_lines(asked, few, two, ["request"], 0.75, about=about, group=("name",))
+    assert first.orderBy("request", "store_id").collect() == second.orderBy("request", "store_id").collect()
+    assert first.where("cheaper_but_worse like '%,%' or runner_up is not null").count() > 0
+    # by store two in the band and three outside it of each size and unit, the best score and those out of stock
+    assert told.count() <= 2 * (2 * 2 * 5 + 2)
