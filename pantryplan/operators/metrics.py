@@ -16,6 +16,15 @@ def first_label(labels: DataFrame, keys: list[str]) -> DataFrame:
     return labels.groupBy(*keys).agg(F.min_by("label", F.struct("priority", "label")).alias("label"))
 
 
+def first_given(sources: list[tuple[Column, Column]]) -> Column:
+    """The same of sources that are columns of one row: the label of the first whose condition, that it has this row, holds. Nothing is shuffled."""
+    (has, label), *rest = sources
+    out = F.when(has, label)
+    for has, label in rest:
+        out = out.when(has, label)
+    return out
+
+
 def share(part: Column, whole: Column) -> Column:
     """NULL, not 0, where nothing was counted."""
     return F.round(F.try_divide(F.sum(F.when(part & whole, 1).otherwise(0)), F.sum(F.when(whole, 1).otherwise(0))), 6)
