@@ -7,6 +7,9 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pantryplan.operators.retrieval import small
+from pantryplan.sources.settle import settled
+
 LABELS = ("Acceptable", "Needs clarification", "Incorrect")
 SPLITS = {"dev": 0.6, "validation": 0.2, "test": 0.2}
 
@@ -49,12 +52,23 @@ def assign_splits(groups: list[tuple[str, str, int]], pinned: set[str] = frozens
 
 
 def sample(rows: DataFrame, by: list[str], key: list[str], fraction: float, seed: int) -> DataFrame:
-    """Of each group max(1, round(n * fraction)) rows, those with the least seeded hashes of their key; halves go to the even number."""
+    """Of each group max(1, round(n * fraction)) rows, those with the least seeded hashes of their key; halves go to the even number.
+
+    Rows are read twice and hardly shuffled: counts by the first bits of the hash tell in
+    which of 64 parts a group's sample ends. Rows of earlier parts stay as they are, and
+    only those of that part are put in order.
+    """
     turn = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)))
-    sizes = rows.groupBy(*by).agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction, 0)).alias("__size"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("__turn", *key))
-    out = rows.withColumn("__turn", turn).withColumn("__place", place).join(sizes, by)
-    return out.where(F.col("__place") <= F.col("__size")).drop("__place", "__size", "__turn")
+    marked = rows.withColumn("__turn", turn).withColumn("__part", F.shiftright(F.conv(F.left("__turn", F.lit(2)), 16, 10).cast("int"), 2))
+    group = Window.partitionBy(*by)
+    ends = marked.groupBy(*by, "__part").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(group.orderBy("__part"))).withColumn("__all", F.sum("__n").over(group))
+    size = F.least(F.greatest(F.lit(1), F.bround(F.col("__all") * fraction, 0)), F.col("__all"))
+    ends = ends.withColumn("__size", size).where((F.col("__upto") >= F.col("__size")) & (F.col("__upto") - F.col("__n") < F.col("__size")))
+    ends = settled(ends.select(*by, F.col("__part").alias("__end"), (F.col("__size") - F.col("__upto") + F.col("__n")).alias("__left")))
+    near = marked.join(small(ends), by)
+    whole = near.where(F.col("__part") < F.col("__end"))
+    edge = near.where(F.col("__part") == F.col("__end")).withColumn("__place", F.row_number().over(group.orderBy("__turn", *key))).where(F.col("__place") <= F.col("__left"))
+    return whole.select(*rows.columns).unionByName(edge.select(*rows.columns))
 
 
 def sample_each(rows: DataFrame, by: list[str], key: list[str], n: int, seed: int) -> DataFrame:
