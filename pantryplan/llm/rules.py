@@ -9,9 +9,9 @@ text, with cuts over the box that all labelled rows span. The threshold is calib
 on both labels: of those that reject at most ``cost`` of the good rows it is the one
 with the greatest share of bad rows rejected less that of good
 rows. Without labels of both kinds nothing is rejected beyond the base
-rules. All statistics cover whole texts of all rows; only the forest and the
-threshold are fitted on a bounded sample of labelled rows (``fit_rows``, those
-with the smallest hashes of doc_id).
+rules. All statistics cover whole texts of all rows. The box and the threshold come
+from all labelled rows, on grids of ``BOX_STEP`` and ``CUTS``; as the method has it, each tree
+is grown on a few rows drawn from all good ones (those with the smallest hashes of doc_id).
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantryplan.llm.common import table, text_batches
+from pantryplan.llm.common import Scratch, table, text_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_distinct", "n_upper", "n_letters", "n_digits", "n_marks")
 SYMBOLS, SPACES, MARKS = b"#*$%&|<>", b" \t\n\v\f\r", b"!?\"'()[]{}-_=+/\\:;,.@^~`"
 WINDOW = 5
+#: Scores that a threshold can have, and the steps in which the ends of the box are told.
+CUTS, BOX_STEP = 100_000, 0.001
 
 
 def _codes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -147,14 +149,17 @@ class Forest:
         return 2 ** (-total / len(self.trees) / self.norm)
 
 
+def best_cut(cuts: np.ndarray, good: np.ndarray, bad: np.ndarray, cost: float) -> float:
+    """Of ascending scores, with how many good and bad rows have each, the one above which at most ``cost`` of the good lie and the most of the bad less the share of the good."""
+    lost, caught = (1 - np.cumsum(n) / n.sum() for n in (good, bad))
+    return float(cuts[np.argmax(np.where(lost <= cost, caught - lost, -1.0))])
+
+
 def calibrate(forest: Forest, x: np.ndarray, good: np.ndarray, cost: float) -> Forest:
     """Of thresholds that reject at most ``cost`` of the good rows, set the one that rejects the most of the bad less that of the good."""
     if good.any() and not good.all():
-        s = forest.score(x)
-        cuts = np.unique(s)
-        above = lambda part: 1 - np.searchsorted(np.sort(part), cuts, "right") / len(part)
-        lost, caught = above(s[good]), above(s[~good])
-        forest.threshold = float(cuts[np.argmax(np.where(lost <= cost, caught - lost, -1.0))])
+        cuts, at = np.unique(forest.score(x), return_inverse=True)
+        forest.threshold = best_cut(cuts, np.bincount(at[good], minlength=len(cuts)), np.bincount(at[~good], minlength=len(cuts)), cost)
     return forest
 
 
@@ -170,19 +175,51 @@ def _statistics(text: Column) -> Column:
     return stats(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, cost: float = 0.005) -> Forest | None:
-    """Grow the forest and set its threshold; None where labels lack one of the two kinds."""
+def _features(counts: Column) -> Column:
+    @F.arrow_udf("array<double>")
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            x = features(np.column_stack([batch.field(c).to_numpy(zero_copy_only=False) for c in COUNTS + MORE]))
+            yield pa.array(list(x), pa.list_(pa.float64()))
+
+    return made(counts)
+
+
+def _cut(x: Column, model: Forest) -> Column:
+    """The least of the ``CUTS`` that is no less than a row's anomaly."""
+
+    @F.arrow_udf("bigint")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.ceil(model.score(batch.flatten().to_numpy().reshape(len(batch), -1)) * CUTS).astype(np.int64))
+
+    return scored(x)
+
+
+def fit(docs: DataFrame, labels: DataFrame, cost: float = 0.005, trees: int = 400, sample: int = 512) -> Forest | None:
+    """Grow the forest and set its threshold; None where labels lack one of the two kinds.
+
+    What reaches the driver is the box, the rows that trees are grown on, ``sample`` a
+    tree, and how many good and bad rows have each of the scores.
+    """
     sure = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a = b")
-    chosen = sure.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("doc_id", F.col("a").alias("quality_label"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality_label", _statistics(F.col("text")).alias("s")).select("quality_label", "s.*").toPandas()
-    counts, good = rows[list(COUNTS + MORE)].to_numpy(np.int64), rows["quality_label"].to_numpy() == 1
-    keep = ~base_failed(counts)
-    counts, good = counts[keep], good[keep]
-    if not good.any() or good.all():
+    sure = sure.select("doc_id", (F.col("a") == 1).alias("good"))
+    scratch = Scratch(docs.sparkSession, "rules")
+    # texts are measured where they are read: what meets the labels are numbers
+    rows = docs.select("doc_id", _statistics(F.col("text")).alias("s")).where("s.n_words >= 10 and 100 * s.n_repeat_words <= 20 * s.n_words").join(sure, "doc_id")
+    rows = scratch.save(rows.select("doc_id", "good", _features(F.col("s")).alias("x")), "labelled")
+    n = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("good"), 1)).alias("good")).first()
+    if not n.good or n.good == n.n:
         return None
-    order = np.lexsort(counts.T)
-    x, good = features(counts[order]), good[order]
-    return calibrate(Forest.grow(x[good], tuple(np.quantile(x, [0.001, 0.999], axis=0))), x, good, cost)
+    width = len(rows.first().x)
+    ends = rows.select(*(F.percentile(F.round(F.col("x")[i] / BOX_STEP) * BOX_STEP, F.array(F.lit(0.001), F.lit(0.999))).alias(f"e{i}") for i in range(width))).first()
+    box = tuple(np.array([ends[i][side] for i in range(width)]) for side in (0, 1))
+    grown_on = rows.where("good").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(trees * sample).select("x").toArrow().column("x").combine_chunks()
+    forest = Forest.grow(grown_on.flatten().to_numpy().reshape(-1, width), box, trees, sample)
+    held = rows.select("good", _cut(F.col("x"), forest).alias("cut")).groupBy("cut").agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad")).orderBy("cut").toPandas()
+    forest.threshold = best_cut(held["cut"].to_numpy() / CUTS, held["good"].to_numpy(), held["bad"].to_numpy(), cost)
+    scratch.drop("labelled")
+    return forest
 
 
 def verdicts(docs: DataFrame, forest: Forest | None, text_col: str = "text", out: str = "rules") -> DataFrame:

@@ -65,3 +65,18 @@ def test_verdicts(spark):
     none = rules.verdicts(docs, rules.fit(docs, labels.limit(0)))
     assert none.where("rules.kept = rules.base_failed").count() == 0
     assert rules.verdicts(docs.limit(0), rules.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_threshold_comes_from_all_labelled_rows(spark):
+    """As few rows grow the forest as two trees take, and yet every row counts for the threshold."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(w + "*" * (i >= 400) for w in rng.choice(words, rng.integers(30, 60))) for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    forest = rules.fit(docs, labels, 0.01, trees=2, sample=8)
+    assert len(forest.trees) == 2
+    score = forest.score(rules.features(np.array([rules.measure(t) for t in texts])))
+    cuts = np.unique(np.ceil(score * rules.CUTS) / rules.CUTS)
+    lost, caught = (np.array([(score[part] > c).mean() for c in cuts]) for part in (slice(0, 400), slice(400, 600)))
+    assert forest.threshold == cuts[np.argmax(np.where(lost <= 0.01, caught - lost, -1.0))]
