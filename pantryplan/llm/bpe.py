@@ -28,7 +28,7 @@ UNIT_CHARS = 4_000_000
 DEALT_CHARS, PART_CHARS = 1_000_000, 250_000
 
 
-def _units(array: pa.Array) -> Iterator[list]:
+def units(array: pa.Array) -> Iterator[list]:
     unit, n = [], 0
     for text in array.to_pylist():
         unit.append(text)
@@ -47,7 +47,7 @@ def encode_column(text: Column, tokenizer_path: str, leaf_chars: int = 2048) ->
         enc = encoder(tokenizer_path, leaf_chars)
         for batch in batches:
             parts, lengths = [], [np.zeros(1, np.int64)]
-            for unit in _units(batch):
+            for unit in units(batch):
                 blobs = enc.encode_bytes(unit)
                 lengths.append(np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4)
                 parts.append(b"".join(blobs))
@@ -85,7 +85,7 @@ def round_trip_column(text: Column, tokenizer_path: str, leaf_chars: int = 2048)
         enc, bytes_of = encoder(tokenizer_path, leaf_chars), token_table(tokenizer_path)
         for batch in batches:
             offsets, parts, decoded = [0], [], []
-            for unit in _units(batch):
+            for unit in units(batch):
                 for blob in enc.encode_bytes(unit):
                     ids = np.frombuffer(blob, "<i4")
                     parts.append(ids)

@@ -19,6 +19,7 @@ null doc_id are all kept, ordered by their text; null ids come first.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pantryplan.llm.bpe import default_tokenizer
+from pantryplan.llm.bpe import default_tokenizer, units
 from pantryplan.llm.common import Scratch, bounded, table, text_batches, write_blobs
 from pantryplan.llm.tokens import encoder
 
@@ -135,9 +136,9 @@ def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> Non
             return pa.record_batch({"segment": pa.array([out], pa.binary())})
 
         for batch in batches:
-            texts = batch.column(1)
-            for start in range(0, batch.num_rows, 64):
-                for doc, blob in zip(batch.column(0).slice(start, 64).to_pylist(), enc.encode_bytes(texts.slice(start, 64).to_pylist())):
+            ids = iter(batch.column(0).to_pylist())
+            for texts in units(batch.column(1)):
+                for doc, blob in zip(itertools.islice(ids, len(texts)), enc.encode_bytes(texts)):
                     docs.append(doc)
                     lengths.append(len(blob) // 4 + 1)
                     parts += (blob, end)

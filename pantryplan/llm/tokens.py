@@ -20,10 +20,13 @@ been given the same merges (``fast``), any others by the tokenizers library.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pantryplan.llm.common import release_memory
 
@@ -38,6 +41,13 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _gather(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs numbered ``at`` of adjacent runs of these sizes, one after another, and their sizes."""
+    size = sizes[at]
+    starts, ends = (np.cumsum(sizes) - sizes)[at], np.cumsum(size)
+    return values[np.repeat(starts - (ends - size), size) + np.arange(size.sum())], size
+
+
 class PieceEncoder:
     """Encodes texts as the library's ``encode(text, add_special_tokens=False)``."""
 
@@ -54,6 +64,8 @@ class PieceEncoder:
         self.split = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+" if self.keeps_space else f"[^{_SPACE}]+").findall
         self.leaf_chars, self.cache_pieces = leaf_chars, cache_pieces
         self.cache: dict[str, bytes] = {}
+        #: Units by number, and their ids one after another.
+        self.known, self.known_ids, self.known_sizes = {"\n": 0}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
         #: Joins mended so far: of whole texts, and of pieces without a space.
         self.joins, self.piece_joins = 0, 0
         #: Where white space begins behind another character.
@@ -62,11 +74,16 @@ class PieceEncoder:
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
         self.units = None
-        if not self.keeps_space and spec["model"].get("end_of_word_suffix"):
+        mark = spec["model"].get("end_of_word_suffix")
+        if not self.keeps_space and mark:
+            #: Whether a token ends what the pre-tokenizer made.
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1 + len(self.special), bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(mark)]] = True
             # of well-known letters: what the pre-tokenizer makes of lower-case text, each encoded by itself
             self.odd = re.compile(r"[^\t\n\r -~\xa0-\xac\xae-\xff]").search
             letter, digit = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-            self.units = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+").findall
+            pattern = rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^\s{letter}{digit}]+"
+            self.units, self.units_lines = re.compile(pattern).findall, re.compile(rf"{pattern}|\n").findall
         self.merger = self._merger(spec) if fast else None
 
     def _merger(self, spec: dict):
@@ -118,6 +135,37 @@ class PieceEncoder:
             if p not in self.cache:
                 self.cache[p] = np.asarray(self.encode_long(p), "<u4").tobytes()
 
+    def _listed(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of well-known units one after another, and how many each has: they are encoded as one text, in which tokens with an end mark show where each ends."""
+        ids = np.asarray(self._batch([" ".join(units)])[0], "<u4")
+        sizes = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+        if len(sizes) != len(units) or sizes.sum() != len(ids):
+            each = self._batch(units)
+            ids, sizes = np.array([i for e in each for i in e], "<u4"), np.fromiter(map(len, each), np.int64, len(each))
+        return ids, sizes
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of well-known letters: each distinct word of all of them is cut into units once, and each unit is encoded once as long as it is known."""
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        words = lists.flatten().dictionary_encode()
+        # a line end, which is no unit and has no ids, behind each word
+        distinct = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary.cast(pa.string())), "\n")[0].as_py()
+        units = self.units_lines(distinct + "\n")
+        if len(self.known) > self.cache_pieces or len(self.known_ids) > 10 * self.cache_pieces:
+            self.known, self.known_ids, self.known_sizes = {"\n": 0}, np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        at = np.fromiter(map(self.known.get, units, itertools.repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            missing = list(dict.fromkeys(map(units.__getitem__, new)))
+            found = [self._listed(missing[i : i + 4096]) for i in range(0, len(missing), 4096)]
+            self.known.update(zip(missing, itertools.count(len(self.known))))
+            self.known_ids, self.known_sizes = (np.concatenate(x) for x in zip((self.known_ids, self.known_sizes), *found))
+            at[new] = [self.known[units[i]] for i in new]
+        ids, sizes = _gather(self.known_ids, self.known_sizes, at)
+        ids, sizes = _gather(ids, np.diff(np.cumsum(sizes)[at == 0], prepend=0), words.indices.to_numpy())
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(lists.offsets)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
     def _by_pieces(self, text: str) -> bytes:
         plain = self.units and "<|" not in text and not self.odd(text)
         pieces = self.units(text.lower()) if plain else self.split(text)
@@ -138,7 +186,11 @@ class PieceEncoder:
 
     def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return [self._encode_text(text) if text else b"" for text in texts]
+        if self.merger is not None or self.units is None:
+            return [self._encode_text(text) if text else b"" for text in texts]
+        plain = [bool(text) and "<|" not in text and not self.odd(text) for text in texts]
+        words = iter(self._by_words([text for text, p in zip(texts, plain) if p]))
+        return [next(words) if p else self._encode_text(text) if text else b"" for text, p in zip(texts, plain)]
 
     def _leaf(self, text: str) -> bytes:
         return self._merged(text) if self.merger is not None and self._is_plain(text) else self._by_pieces(text)

@@ -113,3 +113,22 @@ def test_round_trip_of_a_table(spark):
         assert rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.digests(df.limit(0), BYTE).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.text(alphabet="abcéÉß',.1½ <|>\n\t\xa0", max_size=60) | text, max_size=12))
+def test_same_ids_by_words(texts):
+    """Texts that are looked up word by word together, beside others that are not."""
+    enc = PieceEncoder(WORD, cache_pieces=20, fast=False)
+    for _ in range(2):
+        assert [list(memoryview(b).cast("I")) for b in enc.encode_bytes([None, *texts, ""])] == [[], *(LIB[WORD].encode(t, add_special_tokens=False).ids for t in texts), []]
+
+
+def test_new_units_are_encoded_as_one_text():
+    """The library's call costs more than a short unit: three hundred new units are one call on one text."""
+    enc, sent = PieceEncoder(WORD, fast=False), []
+    batch = enc._batch
+    enc._batch = lambda texts: sent.extend(texts) or batch(texts)
+    texts = [" ".join(f"wörd{chr(97 + i // 26)}{chr(97 + i % 26)}'s, {i}" for i in range(300))] * 3
+    assert [list(memoryview(b).cast("I")) for b in enc.encode_bytes(texts)] == [LIB[WORD].encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(sent) == 1
