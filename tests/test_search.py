@@ -34,6 +34,29 @@ def test_search_is_exact_and_sends_no_more_than_its_best(spark):
     assert retrieval.nearest(queries, items, 4, "q", "id").count() <= 20 * 4 * items.rdd.getNumPartitions() + 20
 
 
+def test_tiles_share_a_bar(spark):
+    """A task sends what its earlier tiles don't exclude, not the best of each tile; copies of vectors, of queries too, stay exact."""
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(6, 4096, 8)).round(3)
+    vecs[3:] = vecs[2]
+    rows = vecs.reshape(-1, 8)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], SCHEMA).coalesce(1)
+    asked = items.where("id % 2000 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qvec"))
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        sent = retrieval.nearest(asked, items, 40, "q", "id").count()
+        found = retrieval.vector_search(asked.unionByName(asked.where("q = 0").withColumn("q", F.lit(-1))), items, 40, "q", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert sent < 13 * 40 * 5  # six tiles sent 13 * 40 * 6 and more
+    at = {-1: 0} | {q: q for q in range(0, len(rows), 2000)}
+    for q, i in at.items():
+        score = np.round(sum(rows[i][d] * rows[:, d] for d in range(8)), 6)
+        best = np.lexsort((np.arange(len(rows)), -score))[:40].tolist()
+        assert [r.id for r in sorted((r for r in found if r.q == q), key=lambda r: r.rank)] == best
+
+
 def test_nearest_kinds(spark):
     items = spark.createDataFrame([(i, i % 7 if i % 11 else None) for i in range(200)], "p long, kind int")
     asked = spark.createDataFrame([(1, 3), (2, 3), (3, 0), (4, None)], "q long, kind int")
