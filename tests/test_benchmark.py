@@ -1,9 +1,13 @@
 import glob
 import os
+import random
+from collections import Counter, defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pantryplan.operators import runners, validation
+from pantryplan.operators import retrieval, runners, validation
+from pantryplan.plans import fixtures
 from pantryplan.sources import derived
 
 VERSIONS = {"catalog_version_sha256": "c", "request_version": "r", "labeling_guideline_version": "g"}
@@ -136,3 +140,78 @@ def test_shares_at_a_half_digit_are_written_by_their_value(spark):
     pins = spark.createDataFrame([], "paraphrase_group long, pin string")
     got = {r.subject: r.detail for r in validation.split_invariants(requests, assigned, pins, {"dev": 0.6, "test": 0.2}).where("invariant = 'share_of_split'").collect()}
     assert got == {f"{m}|{s}": f"{n / 2000:.3f}" for m in ("exact", "all") for s, n in (("dev", 439), ("test", 1561))}
+
+
+def brute(catalog, requests, pool, decisions, pilots, audits):
+    """check: (n, examples) of what pool and decisions show, one row after the other."""
+    found = defaultdict(list)
+    text = lambda *c: "|".join(str(x) for x in c if x is not None)
+    content, group = {}, {}
+    for r, g, _, _, sha in requests:
+        content[r] = min(sha, content.get(r, sha))
+        group[r] = min(g, group.get(r, g))
+    times, positive, labels = Counter(pool), set(), defaultdict(set)
+    whole = lambda k: None not in k
+    for key, n in times.items():
+        on = [d for d in decisions if d[:3] == key and whole(key)]
+        for d in on or [None]:
+            if None in key[1:] or key[1:] not in catalog:
+                found["every_pair_product_in_catalog"].append((text(*key), n))
+            if n > 1:
+                found["no_duplicate_pairs_within_a_pool"].append((text(*key), n - 1))
+            if d is None:
+                found["every_pair_has_a_decision"].append((text(*key), n))
+                continue
+            if d[3] not in ("Acceptable", "Needs clarification", "Incorrect"):
+                found["all_reviewer_labels_valid"].append((text(*key, d[3]), n))
+            wanted = zip(("catalog_version_sha256", "request_version", "labeling_guideline_version", "request_content_sha256"), (*VERSIONS.values(), content.get(key[0])), d[6:])
+            found["no_version_or_hash_mismatches"] += [(text(*key, c), n) for c, want, has in wanted if want != has]
+            if d[5] and not d[4]:
+                found["guessed_labels_carry_conservative_interpretation"].append((text(*key), n))
+            if d[3] == "Acceptable":
+                positive.add(key[0])
+            if key[0] in group and d[3] is not None:
+                labels[group[key[0]], *key[1:]].add(d[3])
+    found["decisions_outside_current_pool"] = [(text(*d[:3]), 1) for d in decisions if not whole(d[:3]) or d[:3] not in times]
+    found["no_paraphrase_group_label_conflicts"] = [(text(*k, ",".join(sorted(v))), 1) for k, v in labels.items() if len(v) > 1]
+    kinds = {r: min(q[2] for q in requests if q[0] == r) for r in content}
+    found["answerable_requests_with_no_known_positive_in_pool"] = [(str(r), 1) for r in content if kinds[r] == "answerable" and r not in positive]
+    return {c: (sum(n for _, n in rows), sorted({e for e, _ in rows})[:10]) for c, rows in found.items() if rows}
+
+
+def test_checks_of_a_pool_agree_with_brute_force_however_it_is_dealt(spark, monkeypatch):
+    pick, some = random.Random(5), lambda *values: pick.choice(values)
+    requests = [(r, some(1, 2, 3), some("answerable", "needs_clarification"), "exact", f"h{r}") for r in [*range(12), 3, 3, 5]]
+    key = lambda: (some(*range(14), None), some(1, 2, None), some("a", "b", "c", "é", None))
+    pool = [key() for _ in range(300)]
+    decisions = [(*key(), some("Acceptable", "Needs clarification", "Incorrect", "Maybe", "", None), some("", None, "Incorrect"), some(True, False, None), some("c", "x", None), some("r", None), "g", some("h1", "h2", "h3", None)) for _ in range(250)]
+    catalog = {(s, p) for s in (1, 2) for p in "abé"} | {(1, None), (None, "a")}
+    want = brute(catalog, requests, pool, decisions, (1,), ())
+    assert len(want) == 9
+    for rows in (50, 1_000_000):
+        monkeypatch.setattr(retrieval, "TASK_ROWS", rows, raising=False)
+        got = run(spark, sorted(catalog, key=str), requests, pool, decisions)
+        assert {c: got[c][1:] for c in want} == want
+
+
+def test_pairs_are_made_and_met_in_as_many_tasks_as_they_take(spark, tmp_path, monkeypatch):
+    spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5)).alias("embedding"), F.lit(1).alias("label")).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(retrieval, "TASK_ROWS", 10_000, raising=False)
+    tables = {n: fixtures.view(spark, str(tmp_path), f"bench_{n}") for n in ("catalog", "requests", "pool", "decisions")}
+    for name in ("pool", "decisions"):
+        made = [r["count"] for r in tables[name].groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(made) > 170_000 and max(made) < 30_000
+    met, settled = [], validation.settled
+    monkeypatch.setattr(validation, "settled", lambda df: met.append(df) or settled(df))
+    validation.pair_findings(*tables.values(), VERSIONS)
+    plan = met[-1]._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "RepartitionByExpression [store_id" in line]
+    n = tables["pool"].count() + tables["decisions"].count()
+    assert len(dealt) == 1 and int(dealt[0].split("], ")[-1].split(",")[0]) == -(-n // 10_000)
+
+
+def test_a_key_is_never_cut_in_two():
+    h = [-3] * 4 + [-1] * 9 + [0, 2, 2, 5]
+    batch = lambda hs: pa.RecordBatch.from_arrays([pa.array(hs, pa.int64())], ["h"])
+    tables = [t.column("h").to_pylist() for t in validation._whole_keys((batch(h[i : i + 3]) for i in range(0, len(h), 3)), 4)]
+    assert sum(tables, []) == h and sum(len(set(t)) for t in tables) == len(set(h)) and len([t for t in tables if t]) > 2
