@@ -82,4 +82,9 @@ def sample_each(rows: DataFrame, by: list[str], key: list[str], n: int, seed: in
 
 def transitions(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     both = before.select(*keys, F.col("label").alias("before")).join(after.select(*keys, F.col("label").alias("after")), keys)
-    return both.groupBy("before", "after").agg(F.count("*").alias("n"))
+    return transitions_in(both)
+
+
+def transitions_in(rows: DataFrame) -> DataFrame:
+    """``transitions`` of rows that hold both labels (``before``, ``after``): counted where they are read, nothing is joined."""
+    return rows.groupBy("before", "after").agg(F.count("*").alias("n"))
