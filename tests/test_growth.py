@@ -16,3 +16,12 @@ def test_label_transitions_join_no_pairs(spark):
     assert got == {("a", "b"): 2, (None, "b"): 1, ("a", None): 1}
     # the only join left is the one that makes the pairs
     assert plan(spark, "label_transitions").count("Join") == 1
+
+
+def test_bands_and_bests_are_found_by_name_and_not_for_each_request(spark):
+    for name in ("near_tie_select", "store_best"):
+        lines = plan(spark, name).splitlines()
+        windows = [line for line in lines if "Window" in line]
+        assert windows and not any("request#" in line for line in windows), windows
+        # requests meet what was found last: nothing is grouped or sorted above that join
+        assert next(i for i, line in enumerate(lines) if "Join" in line) < next(i for i, line in enumerate(lines) if "Window" in line)
