@@ -155,13 +155,13 @@ def override(resolved: DataFrame, choices: DataFrame) -> DataFrame:
     return out.withColumns(new).drop(*(f"h_{c}" for c in fields)).withColumnRenamed("by_hand", "overridden")
 
 
-def totals(resolved: DataFrame) -> DataFrame:
-    """A basket for each list and store; without a total unless every line is priced."""
+def totals(resolved: DataFrame, *more: Column) -> DataFrame:
+    """A basket for each list and store, with ``more`` aggregates of its lines; without a total unless every line is priced."""
     count = lambda c: F.count(F.when(c, 1))
     state = F.col("state")
     out = resolved.groupBy("list_id", "store_id").agg(
         count(state == "priced").alias("n_priced"), count(state == "review").alias("n_review"), count(state == "missing").alias("n_missing"),
-        count((state == "priced") & (F.col("stock") != "unverified")).alias("n_verified"), F.sum("excluded").alias("n_excluded"), F.sum("cost_cents").alias("priced_cents"),
+        count((state == "priced") & (F.col("stock") != "unverified")).alias("n_verified"), F.sum("excluded").alias("n_excluded"), F.sum("cost_cents").alias("priced_cents"), *more,
     )
     complete = (F.col("n_priced") > 0) & (F.col("n_review") + F.col("n_missing") == 0)
     return out.withColumn("complete", complete).withColumn("total_cents", F.when(complete, F.col("priced_cents"))).drop("priced_cents")
@@ -239,10 +239,22 @@ def explain_lines(requests: DataFrame, candidates: DataFrame, resolved: DataFram
     )
 
 
+def _lines() -> Column:
+    return F.array_sort(F.collect_list(F.struct("pos", "state", "product_id", "packages", "cost_cents", "excess", "stock", "runner_up"))).alias("lines")
+
+
 def explain(compared: DataFrame, resolved: DataFrame) -> DataFrame:
     """A JSON document for each list and store: total, completeness, counts of lines and of verified ones, and its lines in the order of the list."""
-    lines = resolved.groupBy("list_id", "store_id").agg(F.array_sort(F.collect_list(F.struct("pos", "state", "product_id", "packages", "cost_cents", "excess", "stock", "runner_up"))).alias("lines"))
+    return _documents(compared.join(resolved.groupBy("list_id", "store_id").agg(_lines()), ["list_id", "store_id"]))
+
+
+def explain_all(resolved: DataFrame) -> DataFrame:
+    """``explain`` for all baskets of resolved lines, which are read once: where they are dealt by list, nothing is shuffled."""
+    return _documents(compare(totals(resolved, _lines())))
+
+
+def _documents(compared: DataFrame) -> DataFrame:
     counts = F.struct(
         F.col("n_priced").alias("priced"), F.col("n_review").alias("review"), F.col("n_missing").alias("missing"), F.col("n_verified").alias("verified"), (F.col("n_priced") - F.col("n_verified")).alias("unverified"), F.col("n_excluded").alias("out_of_stock_excluded"),
     ).alias("counts")
-    return compared.join(lines, ["list_id", "store_id"]).select("list_id", "store_id", F.to_json(F.struct("complete", "total_cents", "rank", "is_winner", counts, "lines")).alias("explanation"))
+    return compared.select("list_id", "store_id", F.to_json(F.struct("complete", "total_cents", "rank", "is_winner", counts, "lines")).alias("explanation"))

@@ -25,3 +25,19 @@ def test_bands_and_bests_are_found_by_name_and_not_for_each_request(spark):
         assert windows and not any("request#" in line for line in windows), windows
         # requests meet what was found last: nothing is grouped or sorted above that join
         assert next(i for i, line in enumerate(lines) if "Join" in line) < next(i for i, line in enumerate(lines) if "Window" in line)
+
+
+def test_baskets_are_explained_from_lines_that_are_dealt_once(spark):
+    from pantryplan.operators import basket
+    from pantryplan.plans import queries as plans
+
+    rows = plans.dealt_lines(spark, SF)
+    want = plans.resolved(spark, SF)
+    assert sorted(map(str, rows.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert {r.state for r in rows.select("state").distinct().collect()} == {"priced", "review", "missing"}
+    told = basket.explain_all(rows)
+    both = basket.explain(basket.compare(basket.totals(want)), want)
+    assert sorted(map(str, told.collect())) == sorted(map(str, both.collect()))
+    # behind the deal by list there is no other shuffle: five rows of stores of each line never travel
+    told = queries()["basket_explanations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in told and "Exchange" not in told[: told.index("REPARTITION_BY_NUM")].rsplit("Exchange", 1)[0].replace("BroadcastExchange", "")
