@@ -41,3 +41,33 @@ def test_baskets_are_explained_from_lines_that_are_dealt_once(spark):
     # behind the deal by list there is no other shuffle: five rows of stores of each line never travel
     told = queries()["basket_explanations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in told and "Exchange" not in told[: told.index("REPARTITION_BY_NUM")].rsplit("Exchange", 1)[0].replace("BroadcastExchange", "")
+
+
+def test_lexical_search_keeps_no_counts_and_ships_no_products(spark, monkeypatch):
+    from pantryplan.operators import retrieval
+
+    kept, settle = [], retrieval.settled
+    monkeypatch.setattr(retrieval, "settled", lambda df: kept.append(df.columns) or settle(df))
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} same {'w1 ' * (i % 4)}") for i in range(60)] + [(3, "w1 again"), (70, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w1 same"), (2, "w5 nowhere"), (3, None)], "item_id long, text string")
+    found = retrieval.tfidf_search(asked, docs, 4, "item_id", "doc_id")
+    # a document of two rows is one
+    import math
+    import re
+    from collections import Counter
+
+    rows = docs.collect()
+    tf = {}
+    for r in rows:
+        tf.setdefault(r.doc_id, Counter()).update(re.findall(r"\w{2,}", (r.text or "").lower()))
+    df = Counter(t for c in tf.values() for t in c)
+    unit = lambda c: {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in c.items() if t in df}
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    want = []
+    for q in asked.collect():
+        a = unit(Counter(re.findall(r"\w{2,}", (q.text or "").lower())))
+        scores = ((round(sum(x * unit(c).get(t, 0) for t, x in a.items()) / norm(a) / norm(unit(c)), 6), d) for d, c in tf.items() if a and c)
+        want += [(q.item_id, d, s) for s, d in sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1]))[:4]]
+    assert sorted((r.item_id, r.doc_id) for r in found.collect()) == sorted(w[:2] for w in want)
+    assert max(abs(r.score - w[2]) for r, w in zip(sorted(found.collect()), sorted(want), strict=True)) <= 2e-6
+    assert kept and not any("doc_id" in columns for columns in kept)
